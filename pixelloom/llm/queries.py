@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import substring, suffix
+from pixelloom.llm import neardup, substring, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +17,16 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_word_windows(_table(spark, sf_dir, "documents"), window=35, with_text=False)
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_byte_strings(_table(spark, sf_dir, "documents"), window=200, with_bytes=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op6_suffix_dedup)}
+    return {f.__name__: f for f in (op2_substring_dedup, op5_minhash_near_dedup, op6_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

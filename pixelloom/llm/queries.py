@@ -6,17 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import decontam, exactdup, neardup, packing, substring, suffix
+from pixelloom.llm import _common as C
+from pixelloom.llm import decontam, exactdup, langid, neardup, packing, pii, substring, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = C.scratch_path(spark, "warc")
+    index = warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc.resolved(warc.read_records(index, folder))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_word_windows(_table(spark, sf_dir, "documents"), window=35, with_text=False)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -43,8 +54,19 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), size=2048, end_id=0)
 
 
+#: Production takes the key from its secret store; this one makes the query's result reproducible.
+SURROGATE_KEY = b"surrogate key of the registered query"
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op5_minhash_near_dedup, op6_suffix_dedup, op7_decontamination, op8_exact_dedup, op9_best_fit_packing)}
+    ops = (
+        op1_warc, op2_substring_dedup, op3_language_id, op5_minhash_near_dedup, op6_suffix_dedup, op7_decontamination, op8_exact_dedup, op9_best_fit_packing, op10_pii_surrogates,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:

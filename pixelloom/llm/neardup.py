@@ -395,7 +395,7 @@ def near_duplicates(
     groups = components(candidates)
     members = _cells(groups.select(F.col("component").alias("group"), "id"), "group", block)
     links = (
-        source.join(members.select("id", "cell", "side"), "id")
+        source.join(members.select("id", "cell", "side").hint("merge"), "id")  # grows with the corpus: the same plan at every size
         .select("id", "text", "cell", "side")
         .mapInArrow(_sets(shingle), "id long, cell long, side int, set binary")
         .repartition(parts, "cell")

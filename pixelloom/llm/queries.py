@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelloom.llm import _common as C
-from pixelloom.llm import decontam, exactdup, langid, neardup, packing, pii, substring, suffix, warc
+from pixelloom.llm import decontam, exactdup, htmltext, langid, neardup, packing, pii, substring, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -64,7 +68,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
-        op1_warc, op2_substring_dedup, op3_language_id, op5_minhash_near_dedup, op6_suffix_dedup, op7_decontamination, op8_exact_dedup, op9_best_fit_packing, op10_pii_surrogates,
+        op1_warc, op2_substring_dedup, op3_language_id, op4_html_text, op5_minhash_near_dedup, op6_suffix_dedup, op7_decontamination, op8_exact_dedup, op9_best_fit_packing, op10_pii_surrogates,
     )
     return {f.__name__: f for f in ops}
 

@@ -1,12 +1,60 @@
-"""A training corpus from `documents`: language ID, exact dedup, near dedup, decontamination, packing."""
+"""A training corpus from `documents`: language ID, exact dedup, near dedup, decontamination, packing.
+
+Each stage is written as Parquet and read again by the next. All stages but the last keep the columns of documents. Rows
+that share a doc_id stand or fall together in near dedup and decontamination; rows that also share the text become one in
+exact dedup. An empty table passes through empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelloom.llm import _common, decontam, exactdup, langid, neardup, packing, queries
+
+#: Score below which a language is not accepted; four equally likely languages have 0.25.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.accepted(docs, least=LEAST_SCORE)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = exactdup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("kept_id")) & (sha == F.col("kept_sha")), "left_semi")
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = neardup.near_duplicates(docs, shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bad = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("bad_id"))
+    return docs.join(bad.distinct(), docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, queries.tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+#: Training, sketches and packing have no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = _common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

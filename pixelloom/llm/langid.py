@@ -186,6 +186,20 @@ def _label(net: Network | None):
     return run
 
 
+def _accept(net: Network | None, text_at: int, least: float):
+    """Rows whose language is known well enough, with all their columns."""
+    label = _label(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(text_at)
+            own = pa.RecordBatch.from_arrays([pa.nulls(len(text), pa.int64()), text, pa.nulls(len(text), pa.bool_())], ["id", "text", "held_out"])
+            keep = [lang != "und" and score >= least for out in label([own]) for lang, score in zip(out.column(2).to_pylist(), out.column(3).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def held_out(id_col: str) -> Column:
     """Rows that training never sees: crc32 of the id as text is divisible by five. A null id is never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -205,3 +219,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     net = net or learned(docs, id_col, text_col, lang_col, per_language)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
     return rows.mapInArrow(_label(net), "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3, net: Network | None = None) -> DataFrame:
+    """The rows of docs, unchanged, whose text has a language with a score of at least `least`."""
+    net = net or learned(docs, id_col, text_col, lang_col)
+    return docs.mapInArrow(_accept(net, docs.columns.index(text_col), least), docs.schema)

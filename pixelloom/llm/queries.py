@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelloom.llm import _common as C
-from pixelloom.llm import decontam, exactdup, htmltext, langid, neardup, packing, pii, substring, suffix, warc
+from pixelloom.llm import decontam, exactdup, htmltext, langid, neardup, oracles, packing, pii, substring, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

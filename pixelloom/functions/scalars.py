@@ -110,7 +110,7 @@ def is_comparison(path: Column, suffixes: list[str], terms: list[str]) -> Column
     named = F.lit(False)
     for t in terms:
         named = named | name.contains(t)
-    return suffix.isin(suffixes) & ((F.try_element_at(parts, F.lit(-2)) == "comparisons") | named)
+    return suffix.isin(suffixes) & (F.coalesce(F.try_element_at(parts, F.lit(-2)) == "comparisons", F.lit(False)) | named)
 
 
 def shortened(text: Column, width: int = 62) -> Column:

@@ -16,7 +16,6 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import pyarrow as pa
 import regex
@@ -29,7 +28,19 @@ from pixelloom.llm import _common as C
 _PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Characters outside of which the tokenizer itself splits the text.
 _OTHER = regex.compile(r"[^\t\n\r -~¡-¬®-ɏ‐-‧‰-⁞€]")
-_KNOWN_PIECES = 200_000
+#: Pieces that a worker remembers, about 200 bytes each.
+_KNOWN_PIECES = 500_000
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the
+    others in order from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+_ALPHABET = _byte_alphabet()
 
 
 class _Known(dict):
@@ -37,16 +48,13 @@ class _Known(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
-
-    def encoded(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join(map(int.to_bytes, ids, repeat(4), repeat("little")))
+        self.merge = tokenizer.model.tokenize
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= _KNOWN_PIECES:
             self.clear()
-        out = self[piece] = self.encoded(piece)
+        tokens = self.merge(piece.encode().decode("latin-1").translate(_ALPHABET))
+        out = self[piece] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
         return out
 
 
@@ -56,12 +64,13 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        self.known = _Known(tokenizer)
+        self.tokenizer, self.known = tokenizer, _Known(tokenizer)
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers. A piece of a text has the ids it has alone."""
         if _OTHER.search(text):
-            return self.known.encoded(text)
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return b"".join([i.to_bytes(4, "little") for i in ids])
         return b"".join(map(self.known.__getitem__, _PIECES.findall(text)))
 
 

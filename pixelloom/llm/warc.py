@@ -8,6 +8,8 @@ smallest page id, and revisits of it.
 Reading goes by the index alone. The selected rows are dealt out by (file, offset) and sorted; neighbouring ranges, with
 gaps of at most GAP bytes, are read at once, up to SPAN bytes, and the records are cut out of what was read.
 
+Records are gzip members of their own, as is usual for WARC, so that each can be read alone; `level` 0 leaves them plain.
+
 A null html is an empty payload; a null URL has no target header; control characters in a URL are percent-encoded. A
 null page id is larger than any other. Rows that repeat a page id and its payload are responses alike. Extra columns are
 ignored; empty tables give an empty index. Archives lie in a store that pyarrow.fs can open from the folder's URI.
@@ -15,6 +17,7 @@ ignored; empty tables give an empty index. Archives lie in a store that pyarrow.
 
 from __future__ import annotations
 
+import gzip
 import re
 import uuid
 from collections.abc import Iterator
@@ -54,6 +57,8 @@ def record(page_id: int | None, url: str | None, digest: str, payload: bytes, or
 
 def parse(raw: bytes) -> tuple:
     """(page_id, url, record_type, record_id, refers_to_id, header_digest, payload) of one record; a revisit has no payload."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -66,21 +71,22 @@ def parse(raw: bytes) -> tuple:
     return int(page) if page else None, fields.get("warc-target-uri"), kind, fields["warc-record-id"], fields.get("warc-refers-to"), fields["warc-payload-digest"].removeprefix("sha256:"), payload
 
 
-def _write(folder: str, date: str):
+def _write(folder: str, date: str, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
         out, at = None, 0
-        name = f"{root}/part-{uuid.uuid4().hex}.warc"
+        name = f"{root}/part-{uuid.uuid4().hex}.warc{'.gz' if level else ''}"
         try:
             for batch in batches:
                 rows = []
                 for page, url, digest, payload, original in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                     if out is None:
                         store.create_dir(root, recursive=True)
-                        out = store.open_output_stream(name)
+                        out = store.open_output_stream(name, compression=None)
                     raw = record(page, url, digest, payload, original, date)
+                    raw = gzip.compress(raw, level, mtime=0) if level else raw
                     out.write(raw)
                     rows.append((name, at, len(raw), url, digest, "response" if original is None else "revisit", page))
                     at += len(raw)
@@ -94,14 +100,14 @@ def _write(folder: str, date: str):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, date: str = "1970-01-01T00:00:00Z", level: int = 1) -> DataFrame:
     """Write the pages as WARC files below folder and return their index, a Parquet table beside them."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     heads = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("head"))
     original = F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head"))
     marked = rows.join(heads, "digest", "left").select("page_id", "url", "digest", "payload", original.alias("original"))
-    index = marked.mapInArrow(_write(f"{folder}/archives", date), INDEX)
+    index = marked.mapInArrow(_write(f"{folder}/archives", date, level), INDEX)
     index.write.parquet(f"{folder}/index")
     return read_index(pages.sparkSession, folder)
 

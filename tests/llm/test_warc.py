@@ -1,5 +1,8 @@
+import gzip
 import hashlib
 
+import pytest
+
 from pixelloom.llm import _common as C
 from pixelloom.llm import warc
 
@@ -7,10 +10,11 @@ LONG = "é" * 60
 ROWS = [(5, "http://a/x y", LONG), (3, None, LONG), (9, "http://b", "short"), (8, "http://b", "short"), (1, "u\r\nX: y", None), (2, "", ""), (7, "http://c", "z" * 100), (7, "http://c", "z" * 100), (11, "q", "z" * 100), (None, "n", LONG), (12, "w", "z" * 99)]
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("level", [0, 1])
+def test_round_trip(spark, level):
     pages = spark.createDataFrame([(p, u, h, "x") for p, u, h in ROWS], "page_id long, url string, html string, digest string").repartition(3)
     folder = C.scratch_path(spark, "warc")
-    index = warc.write_archives(pages, folder)
+    index = warc.write_archives(pages, folder, level=level)
     rows = index.collect()
     assert len(rows) == len(ROWS)
     for r in rows:  # the index alone finds each record
@@ -18,6 +22,7 @@ def test_round_trip(spark):
             f.seek(r.offset)
             raw = f.read(r.length)
         got = warc.parse(raw)
+        raw = gzip.decompress(raw) if level else raw
         assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n")
         assert (got[0], got[2], got[5]) == (r.page_id, r.record_type, r.digest)
     for gap, span in ((warc.GAP, warc.SPAN), (0, 300), (0, 0)):

@@ -200,3 +200,85 @@ def luminous_support(pixels: DataFrame, frames: DataFrame, focal: DataFrame) ->
     touch = joins.contacts(parts, focal.select(*PIXEL, F.lit(1).alias("owner"))).join(frames, "image_id").where(F.col("contacts") >= F.greatest(F.lit(8.0), F.col("width") * F.col("height") * 0.001))
     best = aggregates.best(size.join(touch.select("image_id", "component", "contacts"), ["image_id", "component"]), ["image_id"], "area", "component", ["component"])
     return parts.join(best, ["image_id", "component"], "left_semi").select(PIXEL)
+
+
+# Bounds of the two weaker kinds of focal island, as shares of the frame or distances in Oklab.
+_RARE = {"low": 0.030, "high": 0.055, "calm": 0.035, "area": (0.001, 0.025), "compact": 0.25, "aspect": 0.18, "purity": 0.80, "strength": 0.82, "spread": 0.035, "ring": 0.016}
+_CROSS = {"top": 0.82, "share": 0.10, "cover": 0.88, "distance": 0.075, "area": (0.0007, 0.022), "compact": 0.25, "aspect": 0.16, "lowest": 0.80, "spread": 0.10, "rarity": 0.045}
+_LAB = ["L", "a", "bb"]
+
+
+def _boxes(parts: DataFrame, frames: DataFrame, area: tuple[float, float], compact: float, aspect: float) -> DataFrame:
+    size = K.measures(parts).join(frames, "image_id").withColumn("w", F.col("x1") - F.col("x0") + 1).withColumn("h", F.col("y1") - F.col("y0") + 1)
+    total = F.col("width") * F.col("height")
+    return size.where(F.col("area").between(total * area[0], total * area[1]) & (scalars.compactness(F.col("area"), F.col("w"), F.col("h")) >= compact) & (scalars.aspect(F.col("w"), F.col("h")) >= aspect))
+
+
+def _medians(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(*(F.median(c).alias(f"{prefix}{c}") for c in _LAB))
+
+
+def _gap(one: str, two: str):
+    return color.oklab_distance([F.col(f"{one}{c}") for c in _LAB], [F.col(f"{two}{c}") for c in _LAB])
+
+
+def rare_chromatic_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:
+    """(image_id, component, kind, score, satellites): a small patch whose hue is rare in an otherwise calm image, and the
+    patches above it that share its hue."""
+    t, keys = _RARE, ["image_id", "component"]
+    rows = labelled
+    for c in ("a", "bb"):
+        rows = stencils.gaussian(rows.withColumn(f"s_{c}", F.col(c)), f"s_{c}", 4.0)
+    gap = F.sqrt((F.col("a") - F.col("s_a")) * (F.col("a") - F.col("s_a")) + (F.col("bb") - F.col("s_bb")) * (F.col("bb") - F.col("s_bb")))
+    rows = K.stored(rows.withColumn("gap", gap).select(*PIXEL, "label", *_LAB, "gap"))
+    lim = rows.groupBy("image_id").agg(F.percentile("gap", F.lit(0.982)).alias("p98"), F.percentile("gap", F.lit(0.90)).alias("p90")).where(F.col("p98").between(t["low"], t["high"]) & (F.col("p90") <= t["calm"]))
+    seeds = rows.join(lim, "image_id").where("gap >= p98").select(PIXEL)
+    parts = K.stored(K.components(stencils.closed(seeds, 7, frames, shrink=5)))
+    size = K.stored(_boxes(parts, frames, t["area"], t["compact"], t["aspect"]))
+    own = K.stored(parts.join(size.select(*keys), keys, "left_semi").join(rows, PIXEL))
+    mixed = aggregates.purity(own, "label", keys).where(F.col("purity") < t["purity"]).select(*keys)
+    strong = own.join(lim, "image_id").groupBy(*keys, "p98").agg(F.avg("gap").alias("mean")).where(F.col("mean") >= F.col("p98") * t["strength"]).select(*keys, "mean")
+    even = aggregates.spread(own, keys, ["a", "bb"]).where(F.col("spread") <= t["spread"]).select(*keys)
+    around = _medians(joins.ring(own.select(*PIXEL, "component"), 9, frames).join(rows, PIXEL), keys, "o")
+    mid = K.stored(_medians(own, keys, "i"))
+    good = mid.join(around, keys).where(_gap("i", "o") >= t["ring"]).join(mixed, keys).join(strong, keys).join(even, keys).join(size.select(*keys, "area"), keys)
+    best = K.stored(aggregates.best(good.withColumn("score", F.col("mean") * F.sqrt("area")), ["image_id"], "score", "component", ["component", "score"]))
+    boxes = K.measures(parts).join(frames.select("image_id", "height"), "image_id")
+    near = joins.satellites(boxes.select(*keys, "x0", "x1", "y0", "y1"), F.lit(520.0)).join(best.select("image_id", F.col("component").alias("main")), ["image_id", "main"])
+    hues = _medians(parts.join(rows, PIXEL), keys, "s")
+    near = near.join(hues.withColumnRenamed("component", "satellite"), ["image_id", "satellite"]).join(mid.withColumnRenamed("component", "main"), ["image_id", "main"])
+    near = near.where(color.hue_cosine([F.col(f"s{c}") for c in _LAB], [F.col(f"i{c}") for c in _LAB]) >= 0.82).groupBy("image_id").agg(F.array_sort(F.collect_set("satellite")).alias("satellites"))
+    return best.join(near, "image_id", "left").select("image_id", "component", F.lit("rare-chromatic").alias("kind"), "score", F.coalesce("satellites", F.array().cast("array<long>")).alias("satellites"))
+
+
+def cross_field_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:
+    """(image_id, component, kind, score): a patch at the meeting of two or three fields that has the colour of none."""
+    t, keys = _CROSS, ["image_id", "component"]
+    rows = K.stored(labelled.select(*PIXEL, "label", *_LAB))
+    roles = K.stored(_medians(rows, ["image_id", "label"], "r"))
+    near = joins.nearest_centre_of_image(rows.drop("label"), _LAB, roles.select("image_id", "label", *(F.col(f"r{c}").alias(c) for c in _LAB)), "near").join(roles.withColumnRenamed("label", "near"), ["image_id", "near"])
+    far = near.where(_gap("", "r") >= t["distance"]).select(PIXEL)
+    parts = K.stored(K.components(stencils.closed(stencils.opened(far, 3, frames), 3, frames)))
+    size = K.stored(_boxes(parts, frames, t["area"], t["compact"], t["aspect"]).where(F.col("cy") < F.col("height") * t["lowest"]))
+    own = K.stored(parts.join(size.select(*keys), keys, "left_semi").join(rows, PIXEL))
+    ring = joins.ring(own.select(*PIXEL, "component"), 9, frames).join(rows, PIXEL)
+    share = ring.groupBy(*keys, "label").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+    fields = K.stored(share.where(F.col("share") >= t["share"]))
+    meets = fields.groupBy(*keys).agg(F.max("share").alias("top"), F.count("*").alias("k"), F.sum("share").alias("cover")).where((F.col("top") < t["top"]) & F.col("k").between(2, 3) & (F.col("cover") >= t["cover"])).select(*keys)
+    mid = K.stored(_medians(own, keys, "i"))
+    apart = fields.join(mid, keys).join(roles, ["image_id", "label"]).groupBy(*keys).agg(F.min(_gap("i", "r")).alias("contrast")).where(F.col("contrast") >= t["distance"])
+    even = aggregates.spread(own, keys, _LAB).where(F.col("spread") <= t["spread"]).select(*keys)
+    rare = aggregates.rarity(rows, mid.select(*keys, *(F.col(f"i{c}").alias(c) for c in _LAB)), _LAB).where(F.col("rarity") <= t["rarity"]).select(*keys)
+    good = meets.join(apart, keys).join(even, keys).join(rare, keys).join(size.select(*keys, "area", "w", "h"), keys)
+    good = good.withColumn("score", F.col("contrast") * F.sqrt("area") * scalars.compactness(F.col("area"), F.col("w"), F.col("h")))
+    return aggregates.best(good, ["image_id"], "score", "component", ["component", "score"]).select("image_id", "component", F.lit("cross-field").alias("kind"), "score")
+
+
+def focal_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:
+    """(image_id, component, kind, score): at most one island an image, by local contrast before rare hue before junction."""
+    kinds = [compact_island(labelled, frames).select("image_id", "component", "kind", "score"), rare_chromatic_island(labelled, frames).drop("satellites"), cross_field_island(labelled, frames)]
+    rows = None
+    for i, k in enumerate(kinds):
+        k = k.withColumn("_turn", F.lit(i))
+        rows = k if rows is None else rows.unionByName(k)
+    return masks.first_claim(rows, ["image_id"], "_turn", F.desc("score")).drop("_turn")

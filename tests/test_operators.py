@@ -365,3 +365,21 @@ def test_catalogues(spark, tmp_path):
     assert catalog.read_svgs(spark, str(tmp_path / "svgs/*")).first().svg.strip() == "<svg/>"
     keys = spark.createDataFrame([(1, '{"A": {"b": [ {"C": 1} ]}}'), (2, "no")], "k int, j string")
     assert {r.name for r in validate.nested_keys(keys, "k", "j").collect()} == {"a", "b", "c"}
+
+
+def test_weaker_islands(spark, monkeypatch):
+    a = np.full((60, 80, 3), 128)
+    a[:, 40:] = (70, 70, 70)
+    a[26:32, 37:44] = (185, 110, 60)
+    px = detect.with_oklab(pixels_of(spark, a)).withColumn("label", F.when(F.col("x") < 40, 0).otherwise(1))
+    f = raster.frames(px)
+    got = detect.cross_field_island(px, f).collect()
+    assert [(r.kind, r.component // K.WIDE) for r in got] == [("cross-field", 26)]
+    monkeypatch.setitem(detect._RARE, "area", (0.001, 0.05))  # a patch that fills its percentile is larger than usual here
+    soft = np.full((80, 120, 3), 128)
+    soft[20:33, 20:33] = (190, 105, 70)
+    px2 = detect.with_oklab(pixels_of(spark, soft)).withColumn("label", F.when(F.col("x") < 26, 0).otherwise(1))
+    rare = detect.rare_chromatic_island(px2, raster.frames(px2)).collect()
+    assert [(r.kind, r.satellites) for r in rare] == [("rare-chromatic", [])]
+    plain = detect.with_oklab(pixels_of(spark, np.full((60, 80, 3), 128))).withColumn("label", F.lit(0))
+    assert detect.focal_island(plain, f).count() == 0

@@ -60,8 +60,8 @@ def abstraction(pixels: DataFrame, options: Options = Options()) -> DataFrame:
     wide = many.select("image_id", "y", "x").join(many.select("image_id", "image", "owner").distinct().join(frames.withColumnRenamed("image_id", "image"), "image"), "image_id")
     bled = regions.bled(wide.select("image_id", "y", "x"), wide.select("image_id", "width", "height").distinct(), margin).join(many.select("image_id", "image", "owner").distinct(), "image_id")
     outline = regions.boundary_edges(bled.select(F.col("image").alias("image_id"), "owner", "y", "x"), "owner")
-    scale = float(options.width) / 21.0
-    paths = geometry.path_table(outline, "owner", 0.9, (scale, scale), options.curve_smoothing)
+    scales = frames.select("image_id", (F.lit(float(options.width)) / F.col("width")).alias("scale"))
+    paths = geometry.path_table(outline.join(scales, "image_id"), "owner", 0.9, smoothing=options.curve_smoothing)
     inks = pixels.join(found, PIXEL).groupBy("image_id", "owner").agg(*(F.rint(F.median(c)).cast("int").alias(c) for c in "rgb"), F.count("*").alias("area"))
     tint = geometry.source_gradients(pixels.join(found, PIXEL), ["image_id", "owner"], frames, options.gradient_strength).select("image_id", "owner", "axis", "stops")
     layers = paths.join(inks, ["image_id", "owner"]).join(tint, ["image_id", "owner"], "left").join(edges, ["image_id", "owner"]).join(chosen.select("image_id", F.col("component").alias("owner"), "paint", "label"), ["image_id", "owner"])
@@ -70,8 +70,11 @@ def abstraction(pixels: DataFrame, options: Options = Options()) -> DataFrame:
     layers = layers.withColumn("name", name).withColumn("c", out).withColumn("fill", color.rgb_hex(F.col("c.r"), F.col("c.g"), F.col("c.b"))).withColumn("opacity", F.lit(1.0))
     layers = K.stored(layers.withColumn("gradient", F.when(F.col("axis").isNotNull(), document.gradient_def(F.concat(F.lit("g-"), name), F.col("axis"), F.col("stops")))).where("path <> ''"))
     ground = roles.join(background, (roles["image_id"] == background["image_id"]) & (roles["label"] == background["background"])).select(roles["image_id"], color.rgb_hex(F.col("r"), F.col("g"), F.col("b")).alias("fill"))
-    canvas = frames.select("image_id", F.rint(F.col("width") * scale).cast("int").alias("width"), F.rint(F.col("height") * scale).cast("int").alias("height"))
-    points = document.highlights(pixels, frames, options.seed).select("image_id", "n", *(((F.col(c) + 0.5) * scale).alias(c) for c in "xy"), (F.col("r") * scale).alias("r")) if options.points else None
+    canvas = frames.join(scales, "image_id").select("image_id", F.lit(options.width).alias("width"), F.rint(F.col("height") * F.col("scale")).cast("int").alias("height"))
+    points = None
+    if options.points:
+        found_points = document.highlights(pixels, frames, options.seed).join(scales, "image_id")
+        points = found_points.select("image_id", "n", *(((F.col(c) + 0.5) * F.col("scale")).alias(c) for c in "xy"), (F.col("r") * F.col("scale")).alias("r"))
     specks = document.texture(canvas, options.paper, options.paper_density, options.seed) if options.paper_style == "rough" else None
     svg = document.documents(canvas, layers, ground, points, specks)
     plans = layers.groupBy("image_id").agg(

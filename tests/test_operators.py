@@ -299,6 +299,7 @@ def test_documents_pass_the_structural_rules(spark):
     out = abstraction(pixels_of(spark, scene(), image=3), Options(palette_size=4, max_shapes=8, paper_style="rough", width=640)).select("image_id", "svg", F.try_parse_json("plan").alias("plan")).cache()
     doc = validate.measured(out)
     checks = validate.validated(doc, "image_id", validate.structural_rules())
+    assert (doc.first().svg_width, doc.first().svg_height) == (640, 480)
     assert validate.reports(checks, "image_id").first().failed_checks == ""
     plan = {r.check: r.passed for r in validate.validated(doc, "image_id", validate.plan_rules()).collect()}
     for name in ("analysis_dimensions_match", "analysis_omits_private_quadrant_confidence", "analysis_shape_count_matches", "analysis_gradient_count_matches", "analysis_color_mode_is_valid", "analysis_archetype_is_valid", "general_fields_bleed_past_touched_frame_edges"):

@@ -25,6 +25,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many small stores reserves megabytes of disk
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -34,9 +36,9 @@ def sha256(text: Column) -> Column:
 
 
 def stream_state(records: DataFrame, files_per_batch: int = 1000) -> DataFrame:
-    """(digest, keep, group_size) after all records (digest, doc, file) have gone through the stream.
+    """A table (digest, keep, group_size) after all records (digest, doc, file) have gone through the stream.
 
-    keep is (doc, file) of the row that stays.
+    keep is (doc, file) of the row that stays. What the stream itself has written is deleted once the table stands.
     """
     spark = records.sparkSession
     landing, out, log = (C.scratch_path(spark, x) for x in ("records", "updates", "state"))
@@ -59,9 +61,13 @@ def stream_state(records: DataFrame, files_per_batch: int = 1000) -> DataFrame:
     schema = "digest binary, keep struct<doc: long, file: string>, group_size long, batch int"
     if not records.limit(1).count():
         return spark.createDataFrame([], schema).drop("batch")
+    if query.exception() is not None:
+        raise query.exception()
     updates = spark.read.schema(schema).parquet(out)
     last = updates.groupBy("digest").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("v"))
-    return last.select("digest", "v.keep", "v.group_size")
+    table = C.written(last.select("digest", "v.keep", "v.group_size"), "digests")
+    C.dropped(spark, landing, out, log)
+    return table
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, files_per_batch: int = 1000) -> DataFrame:
@@ -69,7 +75,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.input_file_name().alias("file"))
     rows = rows.withColumn("digest", digest(F.col("text")))
-    state = C.written(stream_state(rows.select("digest", "doc", "file"), files_per_batch), "digests")
+    state = stream_state(rows.select("digest", "doc", "file"), files_per_batch)
 
     hits = state.where("group_size > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "file"), F.lit(SALTS)).cast("int"))

@@ -251,8 +251,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round sends every node's smallest known id to its neighbours and then halves the paths; a table per round.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = C.written(both, "links")
+    links = C.written(links.select("a", "b").where("a <> b"), "links")  # evaluated once: a second evaluation may find another forest
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = C.written(both, "edges")
     label = C.written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("id"), "c"), "label")
     for _ in range(rounds):
         seen = both.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
@@ -399,7 +400,7 @@ def near_duplicates(
         .select("id", "text", "cell", "side")
         .mapInArrow(_sets(shingle), "id long, cell long, side int, set binary")
         .repartition(parts, "cell")
-        .sortWithinPartitions("cell")
+        .sortWithinPartitions("cell", "id")
         .mapInArrow(_verified(percent, 100), "a long, b long")
     )
     found = components(links)

@@ -4,7 +4,9 @@
    name with what follows it; each part of a name is an entity of its own, so that a later mention by surname follows.
 2. Surrogates: every distinct (kind, value) of the corpus gets one draw from a stream keyed by (key, kind, value, attempt).
    A draw keeps the type's own rules (checksum, octets, country code), every separator, and the script and case of each
-   letter; given names keep their gender.
+   letter. Given names keep their gender: after two draws from the listed names they are made of syllables with an ending
+   of their gender, one more syllable every fourth attempt, so that they never run out. That holds for Latin, Cyrillic,
+   Greek, Hebrew and Arabic letters; in other scripts letters are drawn without gender.
 3. Collisions: a draw that equals any value found in the corpus, or that another value drew, is drawn again with the next
    attempt; of several values with one draw the smallest keeps it. So distinct values stay distinct, and equal ones equal.
 4. Replacement: the surrogates join the documents' entities and are put in place.
@@ -151,6 +153,45 @@ def shaped(value: str, draw: _Stream, hexadecimal: bool = False) -> str:
     return "".join(out)
 
 
+# Syllables (onsets, vowels) of made-up given names by script, and endings by gender; no ending of one gender
+# ends in the last letter of one of the other.
+SYLLABLES = {
+    "LATIN": ("b br c d dr f g gr k l m n p r s st t tr v z".split(), "a e i o u".split()),
+    "CYRILLIC": ("б бр в г д др з к л м н п р с ст т тр ф".split(), "а е и о у".split()),
+    "GREEK": ("β γ δ θ κ λ μ ν π ρ σ τ φ χ".split(), "α ε ι ο".split()),
+    "HEBREW": ("ב ג ד ז ח ט ל מ נ ס ק ר ש".split(), ["", "ו", "י"]),
+    "ARABIC": ("ب ت ج ح د ر ز س ش ف ق ك ل م ن".split(), ["", "ا", "و", "ي"]),
+}
+ENDINGS = {
+    "LATIN": {"f": "lina mina rella nora lia nette vina sa".split(), "m": "bert lon mir ndro rik tus nald vor".split()},
+    "CYRILLIC": {"f": "лина мила нора рия сена вета".split(), "m": "слав мир тон рик дор лан".split()},
+    "GREEK": {"f": "λια νη ρινα τια".split(), "m": "νος ρης λας τιος".split()},
+    "HEBREW": {"f": "לית נה רית".split(), "m": "אל רון דב".split()},
+    "ARABIC": {"f": "لية مة نة".split(), "m": "دين مان رير".split()},
+}
+_JOINS = re.compile("([-'’])")
+
+
+def made_name(gender: str, like: str, attempt: int, draw: _Stream) -> str | None:
+    """A given name that is not listed, in the script, case and joints of another; None in a script without syllables."""
+    script = next((unicodedata.name(c, "?").split(" ")[0] for c in like if c.isalpha()), "?")
+    if script not in SYLLABLES:
+        return None
+    onsets, vowels = SYLLABLES[script]
+    endings = ENDINGS[script].get(gender) or sum(ENDINGS[script].values(), [])
+    out = []
+    for part in _JOINS.split(like):
+        if _JOINS.fullmatch(part):
+            out.append(part)
+            continue
+        name = ""
+        while not name or name.capitalize() in _GENDER:
+            stem = "".join(onsets[draw.below(len(onsets))] + vowels[draw.below(len(vowels))] for _ in range(2 + attempt // 4))
+            name = stem + endings[draw.below(len(endings))]
+        out.append(name.upper() if len(part) > 1 and part.isupper() else name.capitalize() if part[:1].isupper() else name)
+    return "".join(out)
+
+
 def luhn(digits: str) -> int:
     return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10
 
@@ -194,10 +235,13 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         if value.startswith("AKIA"):
             return "AKIA" + shaped(value[4:], draw)
         return shaped(value, draw, hexadecimal=re.fullmatch(r"[0-9a-f]+", value) is not None)
-    if kind.startswith("given_") and value.isascii() and attempt < 8:
-        pool = GIVEN.get(kind[6:]) or GIVEN["f"] + GIVEN["m"]
-        name = pool[draw.below(len(pool))]
-        return name.upper() if value.isupper() else name
+    if kind.startswith("given_"):
+        if value.isascii() and attempt < 2 and not _JOINS.search(value):
+            pool = GIVEN.get(kind[6:]) or GIVEN["f"] + GIVEN["m"]
+            name = pool[draw.below(len(pool))]
+            return name.upper() if value.isupper() else name
+        if name := made_name(kind[6:], value, attempt, draw):
+            return name
     return shaped(value, draw)
 
 

@@ -69,3 +69,20 @@ def test_distinct_coreferent_and_whole(spark):
             assert pairs.setdefault(old, new) == new
     assert len(set(pairs.values())) == len(pairs) and not set(pairs) & set(pairs.values())
     assert pii.pseudonymised(df.limit(0), KEY).count() == 0
+
+
+def test_given_names_keep_their_gender_where_every_listed_name_occurs(spark):
+    made = [a + b for a in "Xab Xeb Xib Xob Xub".split() for b in "cor dor lor mor nor por".split()]  # more than are listed
+    names = {g: [*listed, *made, "José", "Мария" if g == "f" else "Иван", "Anne-Lou"] for g, listed in pii.GIVEN.items()}
+    rows = [(f"given_{g}", n) for g in names for n in names[g]]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, value string"), KEY).collect()
+    assert len(got) == len(rows) and len({r.surrogate for r in got}) == len(rows)
+    assert not {r.surrogate for r in got} & {n for ns in names.values() for n in ns}
+    for r in got:
+        script = "CYRILLIC" if r.value in ("Мария", "Иван") else "LATIN"
+        ends = {g: tuple(e) for g, e in pii.ENDINGS[script].items()}
+        for part in r.surrogate.split("-"):
+            assert part.endswith(ends[r.kind[6:]]) and not part.endswith(ends["m" if r.kind == "given_f" else "f"]), r
+        assert r.surrogate.count("-") == r.value.count("-") and r.surrogate[0].isupper()
+    for ends in pii.ENDINGS.values():
+        assert not {e[-1] for e in ends["f"]} & {e[-1] for e in ends["m"]}

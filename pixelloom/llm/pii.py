@@ -54,7 +54,7 @@ _PATTERNS = [
 ]
 _DIGIT = re.compile(r"[0-9]")
 _MAIL_RIGHT = re.compile(r"@((?:[\w-]+\.)+[^\W\d_]{2,})")
-_MAIL_LEFT = re.compile(r"[\w.%+'-]+$")
+_MAIL_LEFT = re.compile(r"[\w.%+'-]+")
 _TITLED = re.compile(r"(?<!\w)(" + "|".join(sorted(_TITLE, key=len, reverse=True)) + r")\.?[ \t]+((?:" + _CAP + r"[ \t]+){0,2}" + _CAP + ")")
 _AFTER = re.compile(r"[ \t]+(" + _CAP + ")")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -83,12 +83,12 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order, without overlaps; of overlapping ones the first found stays."""
     found: list[tuple[int, int, str]] = []
     found += [(m.start(1), m.end(1), "secret") for m in _SECRET.finditer(text)]
-    at = text.find("@")
+    at, last = text.find("@"), 0
     while at >= 0:
-        right, left = _MAIL_RIGHT.match(text, at), _MAIL_LEFT.search(text[max(0, at - 128) : at])
+        right, left = _MAIL_RIGHT.match(text, at), _MAIL_LEFT.match(text[last:at][::-1])  # read backwards, each character once
         if right and left:
             found.append((at - len(left[0]), right.end(), "email"))
-        at = text.find("@", at + 1)
+        at, last = text.find("@", at + 1), at + 1
     if _DIGIT.search(text):
         found += [(m.start(), m.end(), kind) for kind, p in _PATTERNS for m in p.finditer(text)]
     found += _names(text)

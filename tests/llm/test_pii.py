@@ -86,3 +86,9 @@ def test_given_names_keep_their_gender_where_every_listed_name_occurs(spark):
         assert r.surrogate.count("-") == r.value.count("-") and r.surrogate[0].isupper()
     for ends in pii.ENDINGS.values():
         assert not {e[-1] for e in ends["f"]} & {e[-1] for e in ends["m"]}
+
+
+def test_long_local_parts_are_taken_whole():
+    tail = "b" * 150 + "@mail.example.com"
+    text = f"x {'a' * 60}{tail} y {'c' * 60}{tail}, z@host.org@"
+    assert kinds(text) == [("a" * 60 + tail, "email"), ("c" * 60 + tail, "email"), ("z@host.org", "email")]

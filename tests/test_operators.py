@@ -384,3 +384,16 @@ def test_weaker_islands(spark, monkeypatch):
     assert [(r.kind, r.satellites) for r in rare] == [("rare-chromatic", [])]
     plain = detect.with_oklab(pixels_of(spark, np.full((60, 80, 3), 128))).withColumn("label", F.lit(0))
     assert detect.focal_island(plain, f).count() == 0
+
+
+def test_low_pass_of_tables_holds_a_fixed_number_of_values_a_row(spark):
+    sizes = {None: 7, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 40}
+    rows = [(g, i, float((i * 7 + n) % 11), float(i * i % 5)) for g, n in sizes.items() for i in range(n)]
+    out = geometry.low_passed(spark.createDataFrame(rows, "g int, i int, x double, y double").repartition(3), ["g"], ["i"])
+    assert out.columns == ["g", "i", "x", "y"]
+    got = {(r.g, r.i): (r.x, r.y) for r in out.collect()}
+    assert len(got) == len(rows)
+    for g, n in sizes.items():
+        want = geometry.low_pass(np.array([r[2:] for r in rows if r[0] == g]), 0.82)
+        assert np.allclose([got[g, i] for i in range(n)], want)
+    assert "collect_list" not in out._jdf.queryExecution().toString()

@@ -1,15 +1,21 @@
 """Main text of web pages by template deduction over equivalence classes.
 
-A page's tokens are its structural elements, told apart by their path (tags with their first class). For every host, each
-token has an occurrence vector over all pages of the host: how often each page holds it. Tokens with one vector form an
-equivalence class. A class is valid if at least SUPPORT of the host's pages hold it and the parent of each member is in a
-valid class too, so that valid classes nest, by path, into the host's template. Members that stand once in each of their
-pages cut a page into slots. The slot of the article is the one marked as such, or else the deepest one that holds most of
-the text outside of menus and the like; what the pages have in that slot, without nested slots of boilerplate, is extracted.
+A page's tokens are its structural elements, told apart by their path (tags with their first class), and the words of its
+text, told apart by the path they stand at. For every host, each token has an occurrence vector over all pages of the host:
+how often each page holds it. Tokens with one vector form an equivalence class. A class is valid as a whole or not at all:
+at least SUPPORT of the host's pages hold it; it has an element or LARGE words; its members follow each other in one order, the same on
+all pages; no run of it straddles a member of a valid class with more pages; and the paths of its members lie in valid
+classes. The valid classes nest into the host's template; hosts of fewer than LEAST_PAGES pages have none.
+
+Elements of the template that stand once in each of their pages cut a page into slots. The slot of the article is the one
+marked as such, or else the deepest one that holds most of the text that is not the template's, outside of menus and the
+like. What a page has in that slot, without nested slots of boilerplate, is extracted; in a slot that is not marked, blocks
+made of nothing but the template's words are left out too.
 
 Vectors are compared by a 64-bit hash over (page, count), combined without order, so that they aggregate before the
-shuffle; a host's template is small and joins its pages. A page without its host's slot, and every page of a host without
-one, is judged by its own structure with the same rules.
+shuffle; tokens are 64-bit hashes too. Orders are checked on each page's sequence of tokens, reduced to what a bit field of
+fixed size holds of all hosts' candidates. A host's template is small and joins its pages. A page without its host's slot,
+and every page of a host without one, is judged by its own structure with the same rules.
 
 Character references are decoded; white space inside a block becomes one space; blocks are joined by one newline. A null
 or empty html gives an empty text; a page without a URL belongs to the host ''. Repeated rows give repeated results; extra
@@ -20,14 +26,21 @@ from __future__ import annotations
 
 import html as entities
 import re
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.llm import _common as C
+
 SUPPORT = 0.5
+#: Words of a class without elements, and pages of a host, from which on chance does not make them.
+LARGE, LEAST_PAGES = 3, 3
+#: Bits of the field that tells which words may be candidates; more candidates only let more words through.
+FIELD = 1 << 22
 #: Share of the text that the article's slot holds where nothing marks it.
 MOST = 0.6
 
@@ -123,38 +136,68 @@ def tokens(page: str) -> dict[str, list[int]]:
     return out
 
 
-def article_slot(rows: list[tuple[str, int, int, int, int, int]]) -> str | None:
-    """rows: (path, pages, times, vector, characters, in links) of a host. The path of the article's slot, if there is one."""
+def hashed(values: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(values, object), categorize=False).view(np.int64) if values else np.zeros(0, np.int64)
+
+
+def word_tokens(path: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Tokens of words (hashes) at paths (hashes)."""
+    return C.mix(word.view(C.U64) * C.U64(0x9E3779B97F4A7C15) + path.view(C.U64)).view(np.int64)
+
+
+def deduced(rows: list[tuple[str, int, int, int, int, int]], words: list[tuple[int, str, int, int, int, int, int]], bad: frozenset[tuple[int, int, int]] = frozenset()) -> tuple[str | None, set[int]]:
+    """(path of the article's slot if there is one, words of the template) of a host. rows: (path, pages, times, vector,
+    characters, in links); words: (token, path, pages, times, vector, characters, in links); bad: classes out of order."""
     pages = next(n for path, n, *_ in rows if path == "")
-    classes: dict[tuple[int, int, int], list[str]] = {}
+    classes: dict[tuple[int, int, int], tuple[list[str], list[int]]] = {}
     for path, n, times, vector, *_ in rows:
-        classes.setdefault((n, times, vector), []).append(path)
+        classes.setdefault((n, times, vector), ([], []))[0].append(path)
+    for i, (_, _, n, times, vector, *_) in enumerate(words):
+        classes.setdefault((n, times, vector), ([], []))[1].append(i)
     by_path = {r[0]: r for r in rows}
-    template: set[str] = {""}
-    for (n, _, _), members in sorted(classes.items(), key=lambda x: (-x[0][0], x[0][1])):
-        if n >= SUPPORT * pages:
-            for path in sorted(members, key=lambda x: x.count("/")):
-                if path.rpartition("/")[0] in template:  # nested in what is already valid
-                    template.add(path)
+    valid = [v for k, v in classes.items() if k[0] >= SUPPORT * pages and k not in bad and (v[0] or len(v[1]) >= LARGE)]
+    count = -1
+    while len(valid) != count:  # a class stands only if all of its members are nested in what stands
+        count = len(valid)
+        template = {""}.union(*(v[0] for v in valid))
+        valid = [v for v in valid if all(p.rpartition("/")[0] in template for p in v[0]) and all(words[i][1] in template for i in v[1])]
+    held = [i for v in valid for i in v[1]]
     slots = [p for p in template if p and by_path[p][1] == by_path[p][2] and not any(map(boilerplate, p.split("/")))]
     slots.sort(key=lambda p: (p.count("/"), p))
+    tokens_of = {words[i][0] for i in held}
     for mark in ("article", "main"):
         marked = [p for p in slots if p.rpartition("/")[2].partition(".")[0] == mark]
         if marked:
-            return max(marked, key=lambda p: by_path[p][4])
-    plain = lambda p: by_path[p][4] - by_path[p][5]
-    body = max(map(plain, slots), default=0)
-    rich = [p for p in slots if body and plain(p) >= MOST * body and p.rpartition("/")[2].partition(".")[0] in _HOLDERS]
-    return rich[-1] if rich else None
+            return max(marked, key=lambda p: by_path[p][4]), tokens_of
+    free = {p: by_path[p][4] - by_path[p][5] for p in slots}
+    for i in held:
+        at = words[i][1]
+        while at:
+            if at in free:
+                free[at] -= words[i][5] - words[i][6]
+            at = at.rpartition("/")[0]
+    body = max(free.values(), default=0)
+    rich = [p for p in slots if body > 0 and free[p] >= MOST * body and p.rpartition("/")[2].partition(".")[0] in _HOLDERS]
+    return (rich[-1] if rich else None), tokens_of
+
+
+def article_slot(rows: list[tuple[str, int, int, int, int, int]]) -> str | None:
+    """The slot by elements alone, as for a single page."""
+    return deduced(rows, [])[0]
+
+
+def marked(slot: str) -> bool:
+    return slot.rpartition("/")[2].partition(".")[0] in ("article", "main")
 
 
-def main_text(page: str, slot: str | None) -> str:
+def main_text(page: str, slot: str | None, template: frozenset[int] = frozenset()) -> str:
     own = list(text_nodes(page))
     if slot is None or not any(p == slot for p, _, t, _ in own if not t):
         seen = tokens(page)
-        slot = article_slot([(p, 1, n, n, c, k) for p, (n, c, k) in seen.items()]) or ""
+        slot, template = article_slot([(p, 1, n, n, c, k) for p, (n, c, k) in seen.items()]) or "", frozenset()
     blocks: dict[int, list[str]] = {}
     known: dict[str, bool] = {}
+    fresh: set[int] = set()
     inside = slot + "/" if slot else ""
     for path, block, text, _ in own:
         if not text or not (path == slot or path.startswith(inside)):
@@ -163,47 +206,258 @@ def main_text(page: str, slot: str | None) -> str:
             known[path] = not any(map(boilerplate, path[len(inside) :].split("/")))
         if known[path]:
             blocks.setdefault(block, []).append(text)
-    lines = (_SPACE.sub(" ", entities.unescape("".join(b))).strip() for b in blocks.values())
+            if template and block not in fresh and (own_words := text.split()):
+                if not template.issuperset(word_tokens(np.repeat(hashed([path]), len(own_words)), hashed(own_words)).tolist()):
+                    fresh.add(block)
+    lines = (_SPACE.sub(" ", entities.unescape("".join(b))).strip() for k, b in blocks.items() if k in fresh or not template)
     return "\n".join(x for x in lines if x)
 
 
 # ---------------------------------------------------------------- Spark
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of each host, summed over a batch."""
+def _sequences(pages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, str]]:
+    """(page, token, path, characters, in links) of all tokens in page order, and the paths by hash; an element's characters
+    are not counted here."""
+    texts: list[str] = []
+    nodes: list[tuple[int, int, int, bool]] = []  # page, path, words (0: an element), in a link
+    number: dict[str, int] = {}
+    for i, page in enumerate(pages):
+        for path, _, text, link in text_nodes(page):
+            k = number.setdefault(path, len(number))
+            if not text:
+                nodes.append((i, k, 0, False))
+            elif got := text.split():
+                texts += got
+                nodes.append((i, k, len(got), link))
+    codes = hashed(list(number))
+    node = np.array(nodes, np.int64).reshape(-1, 4)
+    spread = np.maximum(node[:, 2], 1)
+    page, path, many, link = (np.repeat(node[:, k], spread) for k in range(4))
+    path, is_word = codes[path] if len(codes) else path, many > 0
+    token, size = path.copy(), np.zeros(len(path), np.int64)
+    token[is_word] = word_tokens(path[is_word], hashed(texts))
+    size[is_word] = np.fromiter(map(len, texts), np.int64, len(texts))
+    return page, token, path, size, size * link, dict(zip(codes.tolist(), number, strict=True))
+
+
+def _sums(first: list[np.ndarray], values: list[np.ndarray], how: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """values reduced by equal rows of the keys first."""
+    order = np.lexsort(first[::-1])
+    first = [k[order] for k in first]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in first])
+    at = np.flatnonzero(new)
+    return [k[at] for k in first], [f.reduceat(v[order], at) for f, v in zip(how, values, strict=True)] if len(at) else values
+
+
+_SLICE = 256
+_SEEN = "host string, token long, path string, at long, pages long, times long, vector long, chars long, links long"
+
+
+def _often_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of the words that SUPPORT of a host's pages in the batch hold: what so many of all its pages hold is among
+    them in one batch at least."""
+    for batch in batches:
+        hosts = batch.column(0).to_pylist()
+        code, parts = hashed(hosts), []
+        for k in range(0, len(hosts), _SLICE):
+            page, token, _, size, *_ = _sequences(batch.column(1).slice(k, _SLICE).to_pylist())
+            pick = size > 0
+            one = np.ones(int(pick.sum()), np.int64)
+            (page, token), _ = _sums([page[pick], token[pick]], [one], [np.add])
+            parts.append(_sums([code[k:][page], token], [np.ones(len(page), np.int64)], [np.add]))
+        host, token, n = (np.concatenate(c) for c in zip(*((*k, *v) for k, v in parts), strict=True)) if parts else [np.zeros(0, np.int64)] * 3
+        (host, token), (n,) = _sums([host, token], [n], [np.add])
+        known, many = np.unique(code, return_counts=True)
+        pick = n >= SUPPORT * many[np.searchsorted(known, host)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_field_bits(host[pick], token[pick])))], ["b"])
+
+
+def _field(bits: DataFrame) -> bytes:
+    """A field with the bits (b); at most FIELD / 8 rows come to the driver at any size."""
+    field = np.zeros(FIELD // 8, np.uint8)
+    for r in bits.groupBy(F.shiftright("b", 3).alias("i")).agg(F.bit_or(F.expr("shiftleft(1, cast(b & 7 as int))")).alias("v")).toLocalIterator():
+        field[r.i] = r.v
+    return field.tobytes()
+
+
+def _bits(field) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(field.value, np.uint8), bitorder="little").astype(bool)
+
+
+def _occurrences(field):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _counted(batches, _bits(field))
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch], have: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Tokens of each host, words if in the field, summed over a batch. path is an element's own; `at` is the hash of a word's path."""
     for batch in batches:
+        hosts, ids = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
+        number = {h: i for i, h in enumerate(dict.fromkeys(hosts))}
+        code, host_code = np.array([number[h] for h in hosts], np.int64), hashed(hosts)
+        words: list[list[np.ndarray]] = []
         sums: dict[tuple[str, str], list[int]] = {}
-        for host, page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            for path, (times, chars, links) in tokens(text.as_py()).items():
-                row = sums.setdefault((host, path), [0, 0, 0, 0, 0])
-                row[0] += 1
-                row[1] += times
-                row[2] ^= zlib.crc32(b"%d %d" % (page, times)) << 31 ^ zlib.crc32(b"%d.%d" % (times, page))
-                row[3] += chars
-                row[4] += links
-        cols = [[k[0] for k in sums], [k[1] for k in sums], *([v[i] for v in sums.values()] for i in range(5))]
-        kinds = [pa.string(), pa.string(), *[pa.int64()] * 5]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["host", "path", "pages", "times", "vector", "chars", "links"])
+        for k in range(0, len(hosts), _SLICE):
+            texts = batch.column(2).slice(k, _SLICE).to_pylist()
+            for i, text in enumerate(texts, k):
+                for path, (times, chars, links) in tokens(text).items():
+                    row = sums.setdefault((hosts[i], path), [0, 0, 0, 0, 0])
+                    row[0] += 1
+                    row[1] += times
+                    row[2] ^= int(_vector(ids[i : i + 1], np.array([times]))[0])
+                    row[3] += chars
+                    row[4] += links
+            page, token, path, size, link, _ = _sequences(texts)
+            pick = size > 0
+            pick[pick] = have[_field_bits(host_code[k:][page[pick]], token[pick])]
+            (page, token), (times, at, size, link) = _sums([page[pick], token[pick]], [pick[pick].astype(np.int64), path[pick], size[pick], link[pick]], [np.add, np.maximum, np.add, np.add])
+            one = np.ones(len(page), np.int64)
+            vector = _vector(ids[k:][page], times) if len(page) else one
+            (host, token), got = _sums([code[k:][page], token], [at, one, times, vector, size, link], [np.maximum, np.add, np.add, np.bitwise_xor, np.add, np.add])
+            words.append([host, token, *got])
+        if words:
+            all_words = [np.concatenate(c) for c in zip(*words, strict=True)]
+            (host, token), got = _sums(all_words[:2], all_words[2:], [np.maximum, np.add, np.add, np.bitwise_xor, np.add, np.add])
+            names = pa.array(list(number), pa.string()).take(pa.array(host))
+            yield pa.RecordBatch.from_arrays([names, pa.array(token), pa.nulls(len(token), pa.string()), *map(pa.array, got)], ["host", "token", "path", "at", "pages", "times", "vector", "chars", "links"])
+        cols = [[k[0] for k in sums], hashed([k[1] for k in sums]), [k[1] for k in sums], [0] * len(sums), *([v[i] for v in sums.values()] for i in range(5))]
+        kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 6]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["host", "token", "path", "at", "pages", "times", "vector", "chars", "links"])
+
+
+def _vector(page: np.ndarray, times: np.ndarray) -> np.ndarray:
+    return C.mix(page.view(C.U64) * C.U64(0xD6E8FEB86659FD93) + times.astype(np.int64).view(C.U64)).view(np.int64)
+
+
+def _field_bits(host: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return (C.mix(host.view(C.U64) * C.U64(0x9E3779B97F4A7C15) + token.view(C.U64)) % C.U64(FIELD)).astype(np.int64)
+
+
+def _classes(rows: list[dict]) -> dict[tuple[int, int, int], list[int]]:
+    """Tokens by class, of classes large enough to be a template's; none where the host has too few pages."""
+    out: dict[tuple[int, int, int], list[int]] = {}
+    elements = set()
+    if next(r["pages"] for r in rows if r["path"] == "") >= LEAST_PAGES:
+        for r in rows:
+            if r["path"] != "":
+                key = r["pages"], r["times"], r["vector"]
+                out.setdefault(key, []).append(r["token"])
+                if r["path"] is not None:
+                    elements.add(key)
+    return {k: v for k, v in out.items() if k in elements or len(v) >= LARGE}
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, sorted tokens, the number of each one's class, bits in the field); classes with more pages come first."""
+    for batch in batches:
+        toks, nums, bits = [], [], []
+        for host, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = sorted((t, i) for i, (_, ts) in enumerate(sorted(_classes(rows).items(), key=lambda x: (-x[0][0], x[0]))) for t in ts)
+            toks.append([t for t, _ in found])
+            nums.append([i for _, i in found])
+            bits.append(np.unique(_field_bits(np.repeat(hashed([host]), len(found)), np.array(toks[-1], np.int64))).tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in (toks, nums, bits))], ["host", "tokens", "numbers", "bits"])
+
+
+def _reduced(field):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each different (host, sequence of what may be candidates) of a batch."""
+        have = _bits(field)
+        for batch in batches:
+            hosts, seen = batch.column(0).to_pylist(), set()
+            for k in range(0, len(hosts), _SLICE):
+                page, token, *_ = _sequences(batch.column(2).slice(k, _SLICE).to_pylist())
+                code = hashed(hosts[k : k + _SLICE])
+                pick = have[_field_bits(code[page], token)]
+                page, token = page[pick], token[pick]
+                ends = np.searchsorted(page, np.arange(len(code) + 1))
+                seen |= {(hosts[k + i], token[ends[i] : ends[i + 1]].tobytes()) for i in range(len(code))}
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([np.frombuffer(x, np.int64) for _, x in seen], pa.list_(pa.int64()))], ["host", "sequence"])
+
+    return run
+
+
+def class_orders(token: np.ndarray, number: np.ndarray) -> dict[int, tuple[int, bool]]:
+    """class number -> (hash of its members' order, well-formed) of a page's candidates in page order."""
+    out: dict[int, tuple[int, bool]] = {}
+    valid: list[np.ndarray] = []
+    for c in np.unique(number).tolist():
+        at = np.flatnonzero(number == c)
+        mine = token[at]
+        size = len(np.unique(mine))
+        runs = mine.reshape(-1, size) if len(mine) % size == 0 else None
+        good = runs is not None and bool((runs == runs[0]).all()) and len(np.unique(runs[0])) == size
+        if good:
+            begin, end = at[::size], at[size - 1 :: size]
+            for other, width in valid:  # whole runs of one class lie in one gap of the other
+                a, b = np.searchsorted(other, begin), np.searchsorted(other, end)
+                inside = b - a
+                good &= bool((inside % width == 0).all() and (a[inside > 0] % width == 0).all())
+                if good and (inside > 0).any():  # the other's runs within this one must not be cut by its members
+                    x, y = np.searchsorted(at, other[::width]), np.searchsorted(at, other[width - 1 :: width])
+                    good &= bool(((y - x) % size == 0).all() and (x[y > x] % size == 0).all())
+        if good:
+            valid.append((at, size))
+            order = int(C.mix(np.array([C.span_hash(C.prefix(C.mix(runs[0].view(C.U64).copy())), np.array([0]), np.array([size]))[0]], C.U64)).view(np.int64)[0])
+        out[c] = (order if good else 0, good)
+    return out
+
+
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums: dict[tuple[str, int], list] = {}
+        for host, seq, tok, num in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3)), strict=True):
+            seq, tok, num = (x.values.to_numpy(zero_copy_only=False) for x in (seq, tok, num))
+            if len(tok):
+                at = np.minimum(np.searchsorted(tok, seq), len(tok) - 1)
+                pick = tok[at] == seq
+                for c, (order, good) in class_orders(seq[pick], num[at[pick]]).items():
+                    row = sums.setdefault((host, c), [order, order, True])
+                    row[:] = [min(row[0], order), max(row[1], order), row[2] and good]
+        cols = [[k[0] for k in sums], [k[1] for k in sums], *([v[i] for v in sums.values()] for i in range(3))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["host", "number", "low", "high", "good"])
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [article_slot([(r["path"], r["pages"], r["times"], r["vector"], r["chars"], r["links"]) for r in sorted(rows, key=lambda r: r["path"])]) for rows in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string())], ["host", "slot"])
+        slots, words = [], []
+        for rows, wrong in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            large = sorted(_classes(rows), key=lambda k: (-k[0], k))
+            bad = frozenset(large[i] for i in wrong or ())
+            paths = {r["token"]: r["path"] for r in rows if r["path"] is not None}
+            figures = lambda r: (r["pages"], r["times"], r["vector"], r["chars"], r["links"])
+            tags = sorted((r["path"], *figures(r)) for r in rows if r["path"] is not None)
+            found = sorted((r["token"], paths[r["at"]], *figures(r)) for r in rows if r["path"] is None and r["at"] in paths) if large else []
+            slot, template = deduced(tags, found, bad)
+            slots.append(slot)
+            words.append(sorted(template) if slot is not None and not marked(slot) else [])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.string()), pa.array(words, pa.list_(pa.int64()))], ["host", "slot", "words"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(t.as_py(), s) for t, s in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
+        texts = [main_text(t.as_py(), s, frozenset(w.as_py() or ())) for t, s, w in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
 
 def article_slots(pages: DataFrame) -> DataFrame:
-    """(host, slot) from pages (host, page, html)."""
-    seen = pages.mapInArrow(_occurrences, "host string, path string, pages long, times long, vector long, chars long, links long")
-    seen = seen.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    most = seen.where("path = ''").select("host", F.col("pages").alias("all"))
+    """(host, slot, words of the template if the slot is not marked) from pages (host, page, html)."""
+    spark = pages.sparkSession
+    here = spark.sparkContext.broadcast(_field(pages.select("host", "html").mapInArrow(_often_here, "b long")))
+    seen = pages.mapInArrow(_occurrences(here), _SEEN).groupBy("host", "token")
+    seen = seen.agg(F.max("path").alias("path"), F.max("at").alias("at"), *(F.sum(c).alias(c) for c in ("pages", "times", "chars", "links")), F.bit_xor("vector").alias("vector"))
+    most = pages.groupBy("host").agg(F.count("*").alias("all"))
     often = seen.join(most, "host").where(F.col("pages") >= SUPPORT * F.col("all"))  # rarer tokens are in no valid class
-    return often.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "times", "vector", "chars", "links")).alias("rows")).mapInArrow(_slots, "host string, slot string")
+    hosts = C.written(often.groupBy("host").agg(F.collect_list(F.struct("token", "path", "at", "pages", "times", "vector", "chars", "links")).alias("rows")), "hosts")
+    found = C.written(hosts.mapInArrow(_candidates, "host string, tokens array<long>, numbers array<long>, bits array<long>"), "candidates")
+    field = _field(found.select(F.explode("bits").alias("b")))
+    reduced = pages.mapInArrow(_reduced(spark.sparkContext.broadcast(field)), "host string, sequence array<long>")
+    orders = reduced.join(found.select("host", "tokens", "numbers"), "host").mapInArrow(_orders, "host string, number long, low long, high long, good boolean")
+    wrong = orders.groupBy("host", "number").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("good").alias("good")).where("low <> high or not good")
+    wrong = wrong.groupBy("host").agg(F.collect_list("number").alias("wrong"))
+    return hosts.join(wrong, "host", "left").select("host", "rows", "wrong").mapInArrow(_slots, "host string, slot string, words array<long>")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -212,5 +466,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(host.alias("host"), F.col(id_col).cast("long").alias("id"), url.alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     slots = article_slots(rows.select("host", F.xxhash64("id", "url", "html").alias("page"), "html"))
-    out = rows.join(slots, "host", "left").select("id", "url", "html", "slot").mapInArrow(_extract, "id long, url string, text string, n_chars long")
+    out = rows.join(slots, "host", "left").select("id", "url", "html", "slot", "words").mapInArrow(_extract, "id long, url string, text string, n_chars long")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

@@ -49,3 +49,29 @@ def test_whole_table_against_the_generator(spark):
         want = [re.sub(r"\s+", " ", html.unescape(b)).strip() for b in blocks]
         want = "\n".join(b for b in want if b)
         assert re.sub(" +", " ", got[r.page_id]) == re.sub(" +", " ", want), r.page_id
+
+
+def test_template_text_is_found_without_marks_or_names(spark):
+    rows = []
+    for i in range(12):
+        order = ["<p>alpha beta gamma</p>", "<p>delta epsilon zeta</p>"][:: 1 if i % 2 else -1]  # same vector, two orders: no class
+        body = f"<p>Unique{i} story{i} text{i} with{i} words{i}.</p>" + "".join(f"<p>part{i}x{k} more{i}y{k}</p>" for k in range(i % 4 + 1))
+        rows.append((i, "http://plain.org/a", f"<body><div id=x><p>Welcome to our great site</p></div><div id=y>{body}<p>Copyright Plain Inc 2020</p></div></body>"))
+        rows.append((100 + i, "http://mixed.org/a", f"<body><div id=y>{body}{''.join(order)}</div></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    for i in range(12):
+        parts = [f"Unique{i} story{i} text{i} with{i} words{i}."] + [f"part{i}x{k} more{i}y{k}" for k in range(i % 4 + 1)]
+        assert got[i] == "\n".join(parts)
+        assert {"alpha beta gamma", "delta epsilon zeta"} <= set(got[100 + i].split("\n")) and set(parts) <= set(got[100 + i].split("\n"))
+
+
+def test_orders_of_classes():
+    import numpy as np
+
+    orders = lambda t, n: H.class_orders(np.array(t), np.array(n))
+    nested = orders([1, 7, 8, 7, 8, 2, 3], [0, 1, 1, 1, 1, 0, 0])
+    assert nested[0][1] and nested[1][1] and nested[0][0] == orders([1, 2, 3], [0, 0, 0])[0][0] != orders([2, 1, 3], [0, 0, 0])[0][0]
+    assert not orders([1, 2, 3, 1, 3, 2], [0] * 6)[0][1]
+    straddling = orders([1, 7, 2, 8, 3], [0, 1, 0, 1, 0])
+    assert straddling[0][1] and not straddling[1][1]

@@ -8,7 +8,7 @@ salts, so that a length that very many pieces share is ranked by many tasks.
 
 A document is its ids and one end id. Longer ones are cut: the first piece takes what is left over, the others are full.
 A null text is empty and holds the end id alone; repeated rows are packed as often as they stand there; extra columns are
-ignored; an empty table gives an empty result. Strings of special tokens in a text are ordinary text.
+ignored; an empty table gives an empty result. A special token's string in a text has the id that the tokenizer gives it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pixelloom.llm import _common as C
 
 #: Pieces of words, as the byte-level tokenizer splits them (fixed by its vocabulary).
 _PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: Characters outside of which the tokenizer itself splits the text.
+#: Characters outside of which the tokenizer itself splits the text, as it does where an added token stands.
 _OTHER = regex.compile(r"[^\t\n\r -~¡-¬®-ɏ‐-‧‰-⁞€]")
 #: Pieces that a worker remembers, about 200 bytes each.
 _KNOWN_PIECES = 500_000
@@ -63,12 +63,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         self.tokenizer, self.known = tokenizer, _Known(tokenizer)
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.whole = regex.compile("|".join([_OTHER.pattern, *map(regex.escape, added)]))
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers. A piece of a text has the ids it has alone."""
-        if _OTHER.search(text):
+        if self.whole.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return b"".join([i.to_bytes(4, "little") for i in ids])
         return b"".join(map(self.known.__getitem__, _PIECES.findall(text)))
@@ -159,7 +160,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most size rows
     steps = spark.createDataFrame(plan(histogram, size), "length long, first long, number long, sequence long, each long, place long")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
-    shifts = counts.select("length", "salt", before.alias("shift"))
+    shifts = counts.select("length", "salt", before.alias("shift")).hint("merge")  # meets the ranks where they are; grows with salts
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece")) - 1
     ranked = pieces.withColumn("own", own).join(shifts, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("shift"))
     # steps has a few rows for each length, and no more than size lengths

@@ -11,8 +11,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_encoder_equals_the_tokenizer(spark):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
-    texts = ["", " ", "a  b\n\n c's 's\t", "<|endoftext|> x", "é ñ x y\x1cz\x85", "日本 ١٢", "don't we'LL ''s  ", "x" * 3000, "²½ 3²"]
+    texts = ["", " ", "a  b\n\n c's 's\t", "<|endoftext|>", "<|endoftext|> x", "one  <|endoftext|>\ntwo<|endoftext", "<|endoftext|><|endoftext|>", "é ñ x y\x1cz\x85", "日本 ١٢", "don't we'LL ''s  ", "x" * 3000, "²½ 3²"]
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     enc = Encoder(PATH)
     for t in texts:
@@ -64,7 +63,7 @@ def test_plan_is_best_fit_decreasing():
 
 def test_pack(spark):
     tok = Tokenizer.from_file(PATH)
-    rows = [(1, "word " * 70), (2, None), (2, None), (3, ""), (4, "a b c"), (None, "x y"), (5, "é" * 40)]
+    rows = [(1, "word " * 70), (2, None), (2, None), (3, ""), (4, "a b c"), (None, "x y"), (5, "é" * 40), (6, "a<|endoftext|> b")]
     df = spark.createDataFrame([(d, t, 3) for d, t in rows], "doc_id long, text string, length int")
     got = pack(df, PATH, size=16).collect()
     seqs, docs = {}, {}

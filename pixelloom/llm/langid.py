@@ -3,20 +3,20 @@
 The network reads a text's UTF-8 bytes in both directions with minimally gated units (one gate, which both resets and
 updates), labels every position, and a document's probabilities are the mean over all its positions. It is trained here,
 in numpy, by backpropagation through time, on a bounded sample of labelled rows: at most `per_language` texts of each
-language, a `snippet` of characters from each. Texts are read whole, in segments of SEGMENT bytes that run side by side.
+language, an equal number from each of SHARES hashed shares, and a `snippet` of characters from each. Texts are read whole, in segments of SEGMENT bytes that run side by side.
 
-A null text, or one without a letter, is `und` with score 0, and so is every text if nothing is labelled. Languages with
+A null text, or one without a letter (category L), is `und` with score 0, and so is every text if nothing is labelled. Languages with
 equal probability go to the first in order. Repeated rows are labelled alike; extra columns are ignored; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +25,9 @@ from pixelloom.llm import _common as C
 #: The sample: its bound is per_language rows for each learned language.
 PER_LANGUAGE, SNIPPET = 400, 320
 WIDTH, SEGMENT, SIDE_BY_SIDE = 8, 128, 2048
-_LETTER = re.compile(r"[^\W\d_]")
+#: The sample is drawn alike from so many shares of a language, so that no task ranks all its rows.
+SHARES = 16
+_LETTER = regex.compile(r"\p{L}")
 
 
 class Network:
@@ -41,35 +43,39 @@ class Network:
         for d in "fb":
             self.p[f"gate{d}"] -= 1  # long memory to begin with
 
-    def states(self, x: np.ndarray, d: str, keep: bool = False):
-        """Hidden states of direction d for bytes x (time, batch); with keep, also what training needs."""
+    def states(self, x: np.ndarray, d: str, keep: bool = False, active: np.ndarray | None = None):
+        """Hidden states of direction d for bytes x (time, batch); with keep, also what training needs. active: how many of
+        the batch, longest first, have not ended at each time; what has ended has no state."""
         p, (steps, batch) = self.p, x.shape
         gate, cand, ugate, ucand = p[f"gate{d}"], p[f"cand{d}"], p[f"ugate{d}"], p[f"ucand{d}"]
         width = gate.shape[1]
         h = np.zeros((batch, width), np.float32)
-        out = np.empty((steps, batch, width), np.float32)
+        out = (np.empty if active is None else np.zeros)((steps, batch, width), np.float32)
         kept = [] if keep else None
-        half, f, c = np.float32(0.5), np.empty_like(h), np.empty_like(h)
+        half, start, wide_f, wide_c = np.float32(0.5), h, np.empty_like(h), np.empty_like(h)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            np.take(gate, x[t], axis=0, out=f, mode="clip")
+            n = batch if active is None else int(active[t])
+            f, c = wide_f[:n], wide_c[:n]
+            h = h[:n] if len(h) >= n else np.concatenate([h, start[len(h) : n]])
+            np.take(gate, x[t, :n], axis=0, out=f, mode="clip")
             f += h @ ugate
             f *= half
             np.tanh(f, out=f)
             f += 1
             f *= half
-            np.take(cand, x[t], axis=0, out=c, mode="clip")
+            np.take(cand, x[t, :n], axis=0, out=c, mode="clip")
             c += (f * h) @ ucand
             np.tanh(c, out=c)
             if kept is not None:
                 kept.append((t, h, f.copy(), c.copy()))
             c -= h
             c *= f
-            h = np.add(h, c, out=out[t])
+            h = np.add(h, c, out=out[t, :n])
         return out, kept
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
+    def probabilities(self, x: np.ndarray, active: np.ndarray | None = None) -> np.ndarray:
         """(time, batch, language): the label of every position."""
-        hf, hb = self.states(x, "f")[0], self.states(x, "b")[0]
+        hf, hb = self.states(x, "f", active=active)[0], self.states(x, "b", active=active)[0]
         z = hf.reshape(-1, hf.shape[2]) @ self.p["outf"]
         z += hb.reshape(-1, hb.shape[2]) @ self.p["outb"]
         z += self.p["bias"]
@@ -155,7 +161,7 @@ def pooled(net: Network, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         step = np.arange(longest)[:, None]
         inside = step < length[of][None, :]
         x = np.where(inside, padded[start[of][None, :] + step], 0).astype(np.uint8)
-        z = net.probabilities(x)
+        z = net.probabilities(x, inside.sum(1))
         if not inside.all():
             z *= inside[:, :, None]
         np.add.at(total, doc[of], z.sum(0, dtype=np.float64))
@@ -209,7 +215,8 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """A network trained on the bounded sample, or None if no row is labelled."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(~held_out("id") & F.col("lang").isNotNull() & (F.length("text") > 0))
     rows = rows.select("lang", F.xxhash64("id").alias("turn"), F.expr(f"substring(text, cast(1 + pmod(xxhash64(id, 1), greatest(1, length(text) - {snippet})) as int), {snippet})").alias("text"))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "text"))).where(F.col("n") <= per_language)
+    share = F.pmod(F.xxhash64("turn", F.lit(2)), F.lit(SHARES))
+    rows = rows.withColumn("share", share).withColumn("n", F.row_number().over(Window.partitionBy("lang", "share").orderBy("turn", "text"))).where(F.col("n") <= -(-per_language // SHARES))
     sample = sorted((r.lang, r.text) for r in rows.select("lang", "text").collect())
     return trained(sample) if sample else None
 

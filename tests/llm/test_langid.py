@@ -36,7 +36,7 @@ def rows():
 
 
 def test_held_out_accuracy_and_cases(spark, rows):
-    extra = [(1000, None, "xx"), (1001, "", "yy"), (1002, "123 !?", "zz"), (None, rows[0][1], "xx"), (1003, words("yy", 4000, np.random.default_rng(5)), None)]
+    extra = [(1000, None, "xx"), (1001, "", "yy"), (1002, "123 !?", "zz"), (1004, "½ ② Ⅷ ٣ _", "zz"), (1005, "ª", None), (None, rows[0][1], "xx"), (1003, words("yy", 4000, np.random.default_rng(5)), None)]
     df = spark.createDataFrame([(*r, 0.5) for r in rows + extra], "doc_id long, text string, lang string, score double").repartition(3)
     out = L.identify(df).collect()
     assert len(out) == len(rows) + len(extra)
@@ -44,7 +44,8 @@ def test_held_out_accuracy_and_cases(spark, rows):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out if r.doc_id is not None)
     held = [(lang, got[i].lang_pred) for i, _, lang in rows if got[i].held_out]
     assert len(held) > 20 and sum(a == b for a, b in held) >= 0.97 * len(held)
-    assert [(got[i].lang_pred, got[i].score) for i in (1000, 1001, 1002)] == [("und", 0.0)] * 3
+    assert [(got[i].lang_pred, got[i].score) for i in (1000, 1001, 1002, 1004)] == [("und", 0.0)] * 4
+    assert got[1005].lang_pred != "und"  # category Lo
     assert got[1003].lang_pred == "yy" and got[None].lang_pred == "xx" and not got[None].held_out
     assert all(0 <= r.score <= 1 for r in out)
     again = {r.doc_id: r for r in L.identify(df.repartition(2)).collect()}
@@ -59,3 +60,25 @@ def test_positions_and_nothing_labelled(spark, rows):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in L.identify(df).collect()] == [("und", 0.0)]
     assert L.identify(df.limit(0)).count() == 0
+
+
+def test_whole_table_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    held = [(lang[r.doc_id], r.lang_pred) for r in L.identify(docs).collect() if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
+    assert len(held) > 100 and sum(a == b for a, b in held) >= 0.97 * len(held)
+
+
+def test_characters_across_segments():
+    net = L.Network(["a", "b"])
+    text = ("x" * (L.SEGMENT - 1) + "é日") * 3
+    data = np.frombuffer((text + "tail").encode(), np.uint8)
+    both = L.pooled(net, data, np.array([0, len(data) - 4, len(data)]))
+    assert np.allclose(both.sum(1), 1, atol=1e-4)
+    assert np.allclose(both[1], L.pooled(net, data[-4:], np.array([0, 4]))[0], atol=1e-6)
+
+
+def test_sample_is_bounded(spark):
+    df = spark.createDataFrame([(i, f"wörd {i} only", "xx" if i % 9 else "yy") for i in range(2000)], "doc_id long, text string, lang string")
+    net = L.learned(df, per_language=32)
+    assert net.languages == ["xx", "yy"]

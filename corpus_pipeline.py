@@ -2,12 +2,14 @@
 
 Each stage is written as Parquet and read again by the next. All stages but the last keep the columns of documents. Rows
 that share a doc_id stand or fall together in near dedup and decontamination; rows that also share the text become one in
-exact dedup. An empty table passes through empty.
+exact dedup. An empty table passes through empty; extra columns of any name pass through the stages but the last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.llm import _common, decontam, exactdup, langid, neardup, packing, queries
@@ -21,21 +23,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exactdup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("kept_id")) & (sha == F.col("kept_sha")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    kept = exactdup.exact_duplicates(docs).where("kept")
+    own_id, own_sha = (f"{x}_{uuid.uuid4().hex}" for x in ("id", "sha"))  # names that no column of docs has
+    keyed = docs.withColumn(own_id, _text_id("doc_id")).withColumn(own_sha, F.sha2(F.coalesce("text", F.lit("")), 256))
+    kept = kept.select(_text_id("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha))
+    # rows that repeat id and text meet in the join's own partitions, where one of them stays
+    return keyed.join(kept.hint("merge"), [own_id, own_sha], "left_semi").dropDuplicates([own_id, own_sha]).drop(own_id, own_sha)
+
+
+def _text_id(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("null"))
+
+
+def _of_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs whose doc_id is among ids (left_semi) or not (left_anti); a null id equals a null id."""
+    return docs.alias("_docs").join(ids.select("doc_id").alias("_ids").hint("merge"), F.col("_docs.doc_id").eqNullSafe(F.col("_ids.doc_id")), how)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs, shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    return _of_ids(docs, neardup.near_duplicates(docs, shingle=5, percent=80).where("kept"), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bad = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad.distinct(), docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    return _of_ids(docs, decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"), "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -55,3 +56,14 @@ def test_empty(spark):
 def test_threshold(spark, least):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert langid.accepted(docs, least=least, net=langid.trained([("en", "the and"), ("fr", "le les")], steps=2)).count() == (docs.count() if least == 0 else 0)
+
+
+def test_extra_columns_of_any_name_pass_through(spark):
+    sf = "/root/testdata/sf0.001"
+    names = ["kept_id", "bad_id", "kept_sha", "keep_id", "kept", "text_sha256", "contaminated", "id", "rid", "component_id", "_docs", "_ids"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    docs = docs.unionByName(docs.limit(2)).select("*", *(F.lit(7).alias(n) for n in names))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and 0 < out.count() <= 42, name
+    assert P.best_fit_packing(spark, docs, sf).count() >= 42

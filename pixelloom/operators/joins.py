@@ -95,19 +95,18 @@ def along(lines: DataFrame, pixels: DataFrame, value: str, least: int = 8) -> Da
     return spots.join(pixels.select(*PIXEL, value), PIXEL).groupBy("image_id", "line").agg(F.avg(value).alias("mean"))
 
 
-def spaced(points: DataFrame, distance: float, score: str, rounds: int = 64) -> DataFrame:
+def spaced(points: DataFrame, distance: float, score: str) -> DataFrame:
     """Points (image_id, x, y, score) of which no two kept ones are closer than a distance, greedily by score: in each round
     a point is kept if nothing left within the distance beats it, and what it covers goes. Cells as wide as the distance
-    make the comparison an equi-join of a point with nine cells."""
+    make the comparison an equi-join of a point with nine cells. Each round decides the best of every neighbourhood, so the
+    rounds end when no point is left."""
     from pixelloom.operators.components import stored
 
     rank = F.struct(F.col(score), -F.col("y"), -F.col("x"))
     left = stored(points.withColumn("_r", rank).withColumn("_cx", F.floor(F.col("x") / distance)).withColumn("_cy", F.floor(F.col("y") / distance)))
     kept = None
     near = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("_d")
-    for _ in range(rounds):
-        if not left.limit(1).count():
-            break
+    while left.limit(1).count():
         sent = left.select("*", near).select("image_id", (F.col("_cx") + F.col("_d.a")).alias("_cx"), (F.col("_cy") + F.col("_d.b")).alias("_cy"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("_r").alias("_o"))
         close = (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")) < distance * distance
         beaten = left.join(sent, ["image_id", "_cx", "_cy"]).where(close & (F.col("_o") > F.col("_r"))).select("image_id", "y", "x").distinct()

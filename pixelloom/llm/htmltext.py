@@ -1,22 +1,30 @@
 """Main text of web pages by template deduction over equivalence classes.
 
-A page's tokens are its structural elements, told apart by their path (tags with their first class), and the words of its
-text, told apart by the path they stand at. For every host, each token has an occurrence vector over all pages of the host:
+A page's tokens are its structural elements, told apart by the elements around them and, for those that hold others, by
+their turn among siblings of one kind, and the words of its text, told apart by the element they stand in. Names that a
+site gives to classes or ids play no part. For every host, each token has an occurrence vector over all pages of the host:
 how often each page holds it. Tokens with one vector form an equivalence class. A class is valid as a whole or not at all:
-at least SUPPORT of the host's pages hold it; it has an element or LARGE words; its members follow each other in one order, the same on
-all pages; no run of it straddles a member of a valid class with more pages; and the paths of its members lie in valid
-classes. The valid classes nest into the host's template; hosts of fewer than LEAST_PAGES pages have none.
+at least SUPPORT of the host's pages hold it; it has an element or LARGE words; its members follow each other in one order,
+the same on all pages; no run of it straddles a member of a valid class with more pages; and the elements around its members
+lie in valid classes. The valid classes nest into the host's template.
 
-Elements of the template that stand once in each of their pages cut a page into slots. The slot of the article is the one
-marked as such, or else the deepest one that holds most of the text that is not the template's, outside of menus and the
-like. What a page has in that slot, without nested slots of boilerplate, is extracted; in a slot that is not marked, blocks
-made of nothing but the template's words are left out too.
+Elements of the template that stand once in each of their pages cut a page into slots. The slot of the article is the deepest
+one that holds MOST of the host's free text, which is what is neither in links nor in words of the template. Slots nested in
+it that hold less than PART of its free text are menus, adverts, notices, footers and the like, and are left out. So are
+blocks made of nothing but the template's words, but not in a slot that is an article or main as a whole, and not where they
+are most of a page's text, as in copies of one page. Of an element that is not the template's, HTML's own meaning decides: nav, aside, form, menu, dialog, and the header and footer of
+a whole page are left out.
+
+Hosts of fewer than LEAST_PAGES pages share the template of all such hosts' elements. A page without a slot is judged alone,
+by the meaning of its elements: its longest article or main, or else all of it. Of equally rich slots the deepest is taken,
+of equally deep ones the one with the smallest token.
 
 Vectors are compared by a 64-bit hash over (page, count), combined without order, so that they aggregate before the
 shuffle; tokens are 64-bit hashes too. Orders are checked on each page's sequence of tokens, reduced to what a bit field of
-fixed size holds of all hosts' candidates. A host's template is small and joins its pages. A page without its host's slot,
-and every page of a host without one, is judged by its own structure with the same rules.
+fixed size holds of all hosts' candidates. A host's template is small and joins its pages.
 
+Pages are read in linear time, however long, deep or broken: an unfinished tag ends at the page's end, a quote that is never
+closed is an ordinary character, and of unclosed elements only raw text (scripts, styles, titles, text areas) takes the rest.
 Character references are decoded; white space inside a block becomes one space; blocks are joined by one newline. A null
 or empty html gives an empty text; a page without a URL belongs to the host ''. Repeated rows give repeated results; extra
 columns are ignored; an empty table gives an empty result.
@@ -24,6 +32,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -41,98 +50,148 @@ SUPPORT = 0.5
 LARGE, LEAST_PAGES = 3, 3
 #: Bits of the field that tells which words may be candidates; more candidates only let more words through.
 FIELD = 1 << 22
-#: Share of the text that the article's slot holds where nothing marks it.
-MOST = 0.6
+#: Share of the host's free text that the article's slot holds, and share of the slot's that a slot nested in it needs to stay.
+MOST, PART = 0.6, 0.2
 
 # Element names of HTML by the part they play.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_UNSEEN = "script|style|noscript|template|textarea|select|button|svg|math|iframe|object|canvas|title"
-_BOILER_TAGS = frozenset("nav header footer aside form menu head dialog".split())
-_BOILER_NAME = re.compile(
-    r"(?:^|[-_])(?:nav\w*|menu\w*|header|footer|side(?:bar)?|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alerts?|popup|modal|comments?|replies|disqus|respond|"
-    r"share|sharing|social|related|recommend\w*|breadcrumbs?|newsletter|subscribe|signup|login|search|toolbar|pagination|pager|skip)(?:$|[-_])",
-    re.I,
-)
+_RAW = frozenset("script style title textarea".split())
+_UNSEEN = _RAW | frozenset("noscript template select button svg math iframe object canvas".split())
+_ASIDE = frozenset("nav aside form menu dialog".split())
+_HOLDERS = frozenset("html body div section main article td center header footer".split()) | _ASIDE
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_HOLDERS = frozenset("html body div section main article td center".split())
 _LISTS = frozenset("ul ol dl table".split())
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_UNSEEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-_CLASS = re.compile(r"""\bclass\s*=\s*(?:"\s*([^"\s]+)|'\s*([^'\s]+)|([^\s"'>]+))""", re.I)
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)|!--|[!?])")
+_MARK = re.compile(r"""[>"']""")
 _SPACE = re.compile(r"\s+")
 
 
-def text_nodes(page: str) -> Iterator[tuple[str | None, int, str, bool]]:
+class Paths:
+    """Elements by their place, numbered as they are met; an element's parent has a smaller number. Number 0 is the page."""
+
+    def __init__(self):
+        self.number: dict[tuple[int, str, int], int] = {}
+        self.parent, self.tag, self.code, self.depth = [0], [""], [0], [0]
+        # within article, main or section; how many elements around, itself included, are asides, and headers or footers of the page
+        self.in_section, self.asides, self.edges = [False], [0], [0]
+
+    def child(self, parent: int, tag: str, turn: int) -> int:
+        key = (parent, tag, turn)
+        n = self.number.get(key)
+        if n is None:
+            n = self.number[key] = len(self.code)
+            self.parent.append(parent)
+            self.tag.append(tag)
+            self.depth.append(self.depth[parent] + 1)
+            section = self.in_section[parent]
+            self.in_section.append(section or tag in ("article", "main", "section"))
+            self.asides.append(self.asides[parent] + (tag in _ASIDE))
+            self.edges.append(self.edges[parent] + (tag in ("header", "footer") and not section))
+            digest = hashlib.blake2b(f"{self.code[parent]} {tag} {turn}".encode(), digest_size=8).digest()
+            self.code.append(int.from_bytes(digest, "little", signed=True))
+        return n
+
+
+def _tag_end(page: str, at: int, dead: set[str]) -> int:
+    """Place of the > that ends a tag, outside of quoted values; -1 if there is none. dead: what need not be looked for again."""
+    end = page.find(">", at)
+    if end < 0 or "=" in dead or (page.find('"', at, end) < 0 and page.find("'", at, end) < 0):
+        return end
+    pos = at
+    while m := _MARK.search(page, pos):
+        c, start, pos = m[0], m.start(), m.end()
+        if c == ">":
+            return start
+        if c not in dead and page[max(at, start - 64) : start].rstrip()[-1:] == "=":
+            close = page.find(c, pos)
+            if close < 0:
+                dead.add(c)
+            else:
+                pos = close + 1
+    dead.add("=")  # quotes swallowed all that is left: from here on they are ordinary characters
+    return end
+
+
+def nodes(page: str, paths: Paths) -> list[tuple[int, int, str, bool]]:
     """(path, block, text, in a link) of every text, and (path, block, '', False) where an element begins, in page order."""
-    stack: list[str] = []
-    names: list[str] = []
-    block = at = links = 0
-    path = ""
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            yield path, block, page[at : m.start()], links > 0
-        at = m.end()
-        tag = m[3].lower() if m[3] else None
+    out: list[tuple[int, int, str, bool]] = []
+    stack: list[tuple[int, str, dict[str, int]]] = []
+    opened: dict[str, int] = {}
+    top: dict[str, int] = {}
+    here, turns = 0, top
+    block = at = 0
+    link = False
+    dead: set[str] = set()
+    child, search, size = paths.child, _OPEN.search, len(page)
+
+    def close(keep: int) -> None:
+        nonlocal here, turns
+        while len(stack) > keep:
+            opened[stack.pop()[1]] -= 1
+        here, turns = (stack[-1][0], stack[-1][2]) if stack else (0, top)
+
+    while m := search(page, at):
+        start = m.start()
+        if start > at:
+            out.append((here, block, page[at:start], link))
+        tag = m[2]
         if tag is None:
+            end = page.find("-->", start + 4) if m[0] == "<!--" else page.find(">", start)
+            at = size if end < 0 else end + (3 if m[0] == "<!--" else 1)
             continue
+        at = m.end()
+        end = at if page[at : at + 1] == ">" else _tag_end(page, at, dead)
+        if end < 0:
+            at = size
+            break
+        at, tag, closing = end + 1, tag.lower(), m[1] == "/"
         if tag == "br":
-            yield path, block, " ", False
+            out.append((here, block, " ", False))
         elif tag in _VOID:
             block += tag == "hr"
         elif tag in _INLINE:
             if tag == "a":
-                links = 0 if m[2] else 1
-        elif m[2]:
+                link = not closing
+        elif tag in _UNSEEN:
+            if not closing and page[end - 1] != "/" and tag not in dead:
+                finish = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if finish:
+                    at = finish.end()
+                elif tag in _RAW:
+                    at = size
+                else:
+                    dead.add(tag)
+        elif closing:
             block += 1
-            if tag in names:
-                cut = len(names) - 1 - names[::-1].index(tag)
-                del stack[cut:], names[cut:]
-                path, links = "/".join(stack), 0
+            if opened.get(tag):
+                link = False
+                k = len(stack) - 1
+                while stack[k][1] != tag:
+                    k -= 1
+                close(k)
         else:
             block += 1
-            if "p" in names[-1:]:
-                del stack[-1:], names[-1:]
-            ends = _CLOSED_BY.get(tag)
-            if ends:
-                for k in range(len(names) - 1, -1, -1):
-                    if names[k] in _LISTS:
+            link = False
+            if stack and stack[-1][1] == "p":
+                close(len(stack) - 1)
+            if (ends := _CLOSED_BY.get(tag)) and any(opened.get(e) for e in ends):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][1] in _LISTS:
                         break
-                    if names[k] in ends:
-                        del stack[k:], names[k:]
+                    if stack[k][1] in ends:
+                        close(k)
                         break
-            c = _CLASS.search(m[4]) if m[4] and "lass" in m[4].lower() else None
-            names.append(tag)
-            stack.append(f"{tag}.{(c[1] or c[2] or c[3]).replace('/', '')}" if c else tag)
-            path, links = "/".join(stack), 0
-            yield path, block, "", False
-    if at < len(page):
-        yield path, block, page[at:], links > 0
-
-
-def boilerplate(part: str) -> bool:
-    tag, _, name = part.partition(".")
-    return tag in _BOILER_TAGS or bool(name and _BOILER_NAME.search(name))
-
-
-def tokens(page: str) -> dict[str, list[int]]:
-    """path -> [times, characters below it, of which in links]."""
-    out: dict[str, list[int]] = {"": [1, 0, 0]}
-    for path, _, text, link in text_nodes(page):
-        if text:
-            n = len(text) - text.count(" ")
-            if n and path:
-                for i in [*(k for k, c in enumerate(path) if c == "/"), len(path)]:
-                    row = out[path[:i]]
-                    row[1] += n
-                    row[2] += n if link else 0
-            out[""][1] += n
-            out[""][2] += n if link else 0
-        else:
-            out.setdefault(path, [0, 0, 0])[0] += 1
+            turn = 0
+            if tag in _HOLDERS:
+                turn = turns[tag] = turns.get(tag, 0) + 1
+            here, turns = child(here, tag, turn), {}
+            stack.append((here, tag, turns))
+            opened[tag] = opened.get(tag, 0) + 1
+            out.append((here, block, "", False))
+    if at < size:
+        out.append((here, block, page[at:], link))
     return out
 
 
@@ -145,98 +204,127 @@ def word_tokens(path: np.ndarray, word: np.ndarray) -> np.ndarray:
     return C.mix(word.view(C.U64) * C.U64(0x9E3779B97F4A7C15) + path.view(C.U64)).view(np.int64)
 
 
-def deduced(rows: list[tuple[str, int, int, int, int, int]], words: list[tuple[int, str, int, int, int, int, int]], bad: frozenset[tuple[int, int, int]] = frozenset()) -> tuple[str | None, set[int]]:
-    """(path of the article's slot if there is one, words of the template) of a host. rows: (path, pages, times, vector,
-    characters, in links); words: (token, path, pages, times, vector, characters, in links); bad: classes out of order."""
-    pages = next(n for path, n, *_ in rows if path == "")
-    classes: dict[tuple[int, int, int], tuple[list[str], list[int]]] = {}
-    for path, n, times, vector, *_ in rows:
-        classes.setdefault((n, times, vector), ([], []))[0].append(path)
-    for i, (_, _, n, times, vector, *_) in enumerate(words):
-        classes.setdefault((n, times, vector), ([], []))[1].append(i)
-    by_path = {r[0]: r for r in rows}
-    valid = [v for k, v in classes.items() if k[0] >= SUPPORT * pages and k not in bad and (v[0] or len(v[1]) >= LARGE)]
+# ---------------------------------------------------------------- deduction for one host
+def valid_classes(rows: list[dict], pages: int, bad: frozenset[tuple[int, int, int]] = frozenset()) -> list[list[dict]]:
+    """The classes of a host's tokens that are valid. rows: token, at (the element around it), tag (None: a word), pages,
+    times, vector, chars, links; bad: classes out of order."""
+    classes: dict[tuple[int, int, int], list[dict]] = {}
+    for r in rows:
+        classes.setdefault((r["pages"], r["times"], r["vector"]), []).append(r)
+    valid = [v for k, v in classes.items() if k[0] >= SUPPORT * pages and k not in bad and (len(v) >= LARGE or any(r["tag"] is not None for r in v))]
     count = -1
     while len(valid) != count:  # a class stands only if all of its members are nested in what stands
         count = len(valid)
-        template = {""}.union(*(v[0] for v in valid))
-        valid = [v for v in valid if all(p.rpartition("/")[0] in template for p in v[0]) and all(words[i][1] in template for i in v[1])]
-    held = [i for v in valid for i in v[1]]
-    slots = [p for p in template if p and by_path[p][1] == by_path[p][2] and not any(map(boilerplate, p.split("/")))]
-    slots.sort(key=lambda p: (p.count("/"), p))
-    tokens_of = {words[i][0] for i in held}
-    for mark in ("article", "main"):
-        marked = [p for p in slots if p.rpartition("/")[2].partition(".")[0] == mark]
-        if marked:
-            return max(marked, key=lambda p: by_path[p][4]), tokens_of
-    free = {p: by_path[p][4] - by_path[p][5] for p in slots}
-    for i in held:
-        at = words[i][1]
+        template = {0, *(r["token"] for v in valid for r in v if r["tag"] is not None)}
+        valid = [v for v in valid if all(r["at"] in template for r in v)]
+    return valid
+
+
+def template(rows: list[dict], bad: frozenset[tuple[int, int, int]] = frozenset()) -> tuple[int | None, list[int], list[int]]:
+    """(slot of the article, slots in it that are left out, words of the template) of a host; see valid_classes."""
+    whole = next(r for r in rows if r["token"] == 0)
+    held = [r for v in valid_classes([r for r in rows if r["token"] != 0], whole["pages"], bad) for r in v]
+    above = {r["token"]: r["at"] for r in held if r["tag"] is not None}
+    once = {r["token"]: r for r in held if r["tag"] in _HOLDERS and r["pages"] == r["times"]}
+    free = {t: r["chars"] - r["links"] for t, r in once.items()}
+    words = [r for r in held if r["tag"] is None]
+    for r in words:
+        at = r["at"]
         while at:
             if at in free:
-                free[at] -= words[i][5] - words[i][6]
-            at = at.rpartition("/")[0]
-    body = max(free.values(), default=0)
-    rich = [p for p in slots if body > 0 and free[p] >= MOST * body and p.rpartition("/")[2].partition(".")[0] in _HOLDERS]
-    return (rich[-1] if rich else None), tokens_of
-
-
-def article_slot(rows: list[tuple[str, int, int, int, int, int]]) -> str | None:
-    """The slot by elements alone, as for a single page."""
-    return deduced(rows, [])[0]
+                free[at] -= r["chars"] - r["links"]
+            at = above[at]
 
+    def depth(t: int) -> int:
+        n = 0
+        while t:
+            t, n = above[t], n + 1
+        return n
 
-def marked(slot: str) -> bool:
-    return slot.rpartition("/")[2].partition(".")[0] in ("article", "main")
-
-
-def main_text(page: str, slot: str | None, template: frozenset[int] = frozenset()) -> str:
-    own = list(text_nodes(page))
-    if slot is None or not any(p == slot for p, _, t, _ in own if not t):
-        seen = tokens(page)
-        slot, template = article_slot([(p, 1, n, n, c, k) for p, (n, c, k) in seen.items()]) or "", frozenset()
+    body = max(free.values(), default=0)
+    rich = [t for t in once if body > 0 and free[t] >= MOST * body and once[t]["tag"] not in _ASIDE]
+    if not rich:
+        return None, [], []
+    slot = max(rich, key=lambda t: (depth(t), -t))
+    out = []
+    for t, r in once.items():
+        at = above[t]
+        while at and at != slot:
+            at = above[at]
+        of_article = r["tag"] == "header" and once[slot]["tag"] not in ("html", "body")  # an article's own heading
+        if at == slot and not of_article and free[t] < PART * free[slot]:
+            out.append(t)
+    marked = once[slot]["tag"] in ("article", "main")  # all of it is the article's
+    return slot, sorted(out), [] if marked else sorted(r["token"] for r in words)
+
+
+# ---------------------------------------------------------------- one page
+def _alone(own: list[tuple[int, int, str, bool]], paths: Paths) -> int:
+    """The longest article or main of a page, or 0 for all of it."""
+    sizes = [0] * len(paths.code)
+    for path, _, text, _ in own:
+        sizes[path] += len(text)
+    for n in range(len(sizes) - 1, 0, -1):
+        sizes[paths.parent[n]] += sizes[n]
+    return max((n for n in range(1, len(sizes)) if paths.tag[n] in ("article", "main")), key=lambda n: (sizes[n], -n), default=0)
+
+
+Template = tuple[int | None, frozenset[int], frozenset[int]]
+NONE: Template = (None, frozenset(), frozenset())
+
+
+def main_text(page: str, host: Template = NONE, spare: Template = NONE) -> str:
+    """The article of a page, given the template (slot, slots left out, words) of its host and the one that small hosts share."""
+    paths = Paths()
+    own = nodes(page, paths)
+    place = {c: n for n, c in enumerate(paths.code)}
+    slot, out, words = next((t for t in (host, spare) if t[0] in place), NONE)
+    root = place[slot] if slot is not None else _alone(own, paths)
+    whole = paths.tag[root] in ("", "html", "body")
+    inside = {0: root == 0, root: True} | {place[c]: False for c in out if c in place}
     blocks: dict[int, list[str]] = {}
-    known: dict[str, bool] = {}
     fresh: set[int] = set()
-    inside = slot + "/" if slot else ""
     for path, block, text, _ in own:
-        if not text or not (path == slot or path.startswith(inside)):
+        if not text or paths.asides[path] > paths.asides[root] or (whole and paths.edges[path]):
             continue
-        if path not in known:
-            known[path] = not any(map(boilerplate, path[len(inside) :].split("/")))
-        if known[path]:
+        n, chain = path, []
+        while n not in inside:
+            chain.append(n)
+            n = paths.parent[n]
+        for c in chain:
+            inside[c] = inside[n]
+        if inside[path]:
             blocks.setdefault(block, []).append(text)
-            if template and block not in fresh and (own_words := text.split()):
-                if not template.issuperset(word_tokens(np.repeat(hashed([path]), len(own_words)), hashed(own_words)).tolist()):
+            if words and block not in fresh and (mine := text.split()):
+                if not words.issuperset(word_tokens(np.full(len(mine), paths.code[path]), hashed(mine)).tolist()):
                     fresh.add(block)
-    lines = (_SPACE.sub(" ", entities.unescape("".join(b))).strip() for k, b in blocks.items() if k in fresh or not template)
-    return "\n".join(x for x in lines if x)
+    lines = {k: _SPACE.sub(" ", entities.unescape("".join(b))).strip() for k, b in blocks.items()}
+    if words:
+        kept = {k: x for k, x in lines.items() if k in fresh}
+        if 2 * sum(map(len, kept.values())) >= sum(map(len, lines.values())):
+            lines = kept
+    return "\n".join(x for x in lines.values() if x)
 
 
 # ---------------------------------------------------------------- Spark
-def _sequences(pages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, str]]:
-    """(page, token, path, characters, in links) of all tokens in page order, and the paths by hash; an element's characters
-    are not counted here."""
+def _sequences(pages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Paths]:
+    """(page, path, token, characters, in links, is a word) of all tokens in page order; an element's characters are 0 here."""
+    paths = Paths()
     texts: list[str] = []
-    nodes: list[tuple[int, int, int, bool]] = []  # page, path, words (0: an element), in a link
-    number: dict[str, int] = {}
+    rows: list[tuple[int, int, int, bool]] = []  # page, path, words (0: an element), in a link
     for i, page in enumerate(pages):
-        for path, _, text, link in text_nodes(page):
-            k = number.setdefault(path, len(number))
+        for path, _, text, link in nodes(page, paths):
             if not text:
-                nodes.append((i, k, 0, False))
+                rows.append((i, path, 0, False))
             elif got := text.split():
                 texts += got
-                nodes.append((i, k, len(got), link))
-    codes = hashed(list(number))
-    node = np.array(nodes, np.int64).reshape(-1, 4)
-    spread = np.maximum(node[:, 2], 1)
-    page, path, many, link = (np.repeat(node[:, k], spread) for k in range(4))
-    path, is_word = codes[path] if len(codes) else path, many > 0
-    token, size = path.copy(), np.zeros(len(path), np.int64)
-    token[is_word] = word_tokens(path[is_word], hashed(texts))
+                rows.append((i, path, len(got), link))
+    node = np.array(rows, np.int64).reshape(-1, 4)
+    page, path, many, link = (np.repeat(node[:, k], np.maximum(node[:, 2], 1)) for k in range(4))
+    is_word, token, size = many > 0, np.array(paths.code, np.int64)[path], np.zeros(len(path), np.int64)
+    token[is_word] = word_tokens(token[is_word], hashed(texts))
     size[is_word] = np.fromiter(map(len, texts), np.int64, len(texts))
-    return page, token, path, size, size * link, dict(zip(codes.tolist(), number, strict=True))
+    return page, path, token, size, size * link, is_word, paths
 
 
 def _sums(first: list[np.ndarray], values: list[np.ndarray], how: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -249,21 +337,41 @@ def _sums(first: list[np.ndarray], values: list[np.ndarray], how: list) -> tuple
     return [k[at] for k in first], [f.reduceat(v[order], at) for f, v in zip(how, values, strict=True)] if len(at) else values
 
 
+def _elements(page: np.ndarray, path: np.ndarray, size: np.ndarray, link: np.ndarray, is_word: np.ndarray, paths: Paths, pages: int) -> tuple[np.ndarray, ...]:
+    """(page, path, times, characters below, in links below) of every element of every page, the page itself included."""
+    wide = len(paths.code)
+    start = np.arange(pages) * wide
+    key, times = np.unique(np.concatenate([start, page[~is_word] * wide + path[~is_word]]), return_counts=True)
+    chars, links = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+    at = np.searchsorted(key, page[is_word] * wide + path[is_word])
+    np.add.at(chars, at, size[is_word])
+    np.add.at(links, at, link[is_word])
+    own_page, own_path = key // wide, key % wide
+    parent, depth = np.array(paths.parent), np.array(paths.depth)[own_path]
+    up = np.searchsorted(key, own_page * wide + parent[own_path])
+    order = np.argsort(depth, kind="stable")
+    cuts = np.searchsorted(depth[order], np.arange(depth.max(initial=0) + 2))
+    for d in range(len(cuts) - 2, 0, -1):
+        these = order[cuts[d] : cuts[d + 1]]
+        np.add.at(chars, up[these], chars[these])
+        np.add.at(links, up[these], links[these])
+    return own_page, own_path, times, chars, links
+
+
 _SLICE = 256
-_SEEN = "host string, token long, path string, at long, pages long, times long, vector long, chars long, links long"
+_SEEN = "host string, token long, at long, tag string, pages long, times long, vector long, chars long, links long"
+_ADD = [np.maximum, np.maximum, np.add, np.add, np.bitwise_xor, np.add, np.add]
 
 
 def _often_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bits of the words that SUPPORT of a host's pages in the batch hold: what so many of all its pages hold is among
     them in one batch at least."""
     for batch in batches:
-        hosts = batch.column(0).to_pylist()
-        code, parts = hashed(hosts), []
-        for k in range(0, len(hosts), _SLICE):
-            page, token, _, size, *_ = _sequences(batch.column(1).slice(k, _SLICE).to_pylist())
-            pick = size > 0
-            one = np.ones(int(pick.sum()), np.int64)
-            (page, token), _ = _sums([page[pick], token[pick]], [one], [np.add])
+        code, parts = hashed(batch.column(0).to_pylist()), []
+        for k in range(0, len(code), _SLICE):
+            page, _, token, _, _, is_word, _ = _sequences(batch.column(1).slice(k, _SLICE).to_pylist())
+            one = np.ones(int(is_word.sum()), np.int64)
+            (page, token), _ = _sums([page[is_word], token[is_word]], [one], [np.add])
             parts.append(_sums([code[k:][page], token], [np.ones(len(page), np.int64)], [np.add]))
         host, token, n = (np.concatenate(c) for c in zip(*((*k, *v) for k, v in parts), strict=True)) if parts else [np.zeros(0, np.int64)] * 3
         (host, token), (n,) = _sums([host, token], [n], [np.add])
@@ -286,47 +394,36 @@ def _bits(field) -> np.ndarray:
 
 def _occurrences(field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _counted(batches, _bits(field))
+        """Tokens of each host, words if in the field, summed over a batch."""
+        have = _bits(field)
+        for batch in batches:
+            hosts, ids = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            number = {h: i for i, h in enumerate(dict.fromkeys(hosts))}
+            own, host_code = np.array([number[h] for h in hosts], np.int64), hashed(hosts)
+            tags: dict[str, int] = {"": 0}
+            parts: list[list[np.ndarray]] = []
+            for k in range(0, len(hosts), _SLICE):
+                texts = batch.column(2).slice(k, _SLICE).to_pylist()
+                page, path, token, size, link, is_word, paths = _sequences(texts)
+                codes, kinds = np.array(paths.code), np.array([tags.setdefault(t, len(tags)) for t in paths.tag])
+                at, row, times, chars, links = _elements(page, path, size, link, is_word, paths, len(texts))
+                rows = [own[k:][at], codes[row], codes[np.array(paths.parent)[row]], kinds[row], np.ones(len(at), np.int64), times, _vector(ids[k:][at], times), chars, links]
+                pick = is_word.copy()
+                pick[is_word] = have[_field_bits(host_code[k:][page[is_word]], token[is_word])]
+                (page, token), (times, at, size, link) = _sums([page[pick], token[pick]], [np.ones(int(pick.sum()), np.int64), codes[path[pick]], size[pick], link[pick]], [np.add, np.maximum, np.add, np.add])
+                one = np.ones(len(page), np.int64)
+                more = [own[k:][page], token, at, -one, one, times, _vector(ids[k:][page], times), size, link]
+                keys, values = _sums([np.concatenate([a, b]) for a, b in zip(rows[:2], more[:2], strict=True)], [np.concatenate([a, b]) for a, b in zip(rows[2:], more[2:], strict=True)], _ADD)
+                parts.append([*keys, *values])
+            if parts:
+                cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                (host, token), (at, kind, *sums) = _sums(cols[:2], cols[2:], _ADD)
+                tag = pa.array(list(tags), pa.string()).take(pa.array(np.where(kind < 0, 0, kind), mask=kind < 0))
+                yield pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()).take(pa.array(host)), pa.array(token), pa.array(at), tag, *map(pa.array, sums)], ["host", "token", "at", "tag", "pages", "times", "vector", "chars", "links"])
 
     return run
 
 
-def _counted(batches: Iterator[pa.RecordBatch], have: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Tokens of each host, words if in the field, summed over a batch. path is an element's own; `at` is the hash of a word's path."""
-    for batch in batches:
-        hosts, ids = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
-        number = {h: i for i, h in enumerate(dict.fromkeys(hosts))}
-        code, host_code = np.array([number[h] for h in hosts], np.int64), hashed(hosts)
-        words: list[list[np.ndarray]] = []
-        sums: dict[tuple[str, str], list[int]] = {}
-        for k in range(0, len(hosts), _SLICE):
-            texts = batch.column(2).slice(k, _SLICE).to_pylist()
-            for i, text in enumerate(texts, k):
-                for path, (times, chars, links) in tokens(text).items():
-                    row = sums.setdefault((hosts[i], path), [0, 0, 0, 0, 0])
-                    row[0] += 1
-                    row[1] += times
-                    row[2] ^= int(_vector(ids[i : i + 1], np.array([times]))[0])
-                    row[3] += chars
-                    row[4] += links
-            page, token, path, size, link, _ = _sequences(texts)
-            pick = size > 0
-            pick[pick] = have[_field_bits(host_code[k:][page[pick]], token[pick])]
-            (page, token), (times, at, size, link) = _sums([page[pick], token[pick]], [pick[pick].astype(np.int64), path[pick], size[pick], link[pick]], [np.add, np.maximum, np.add, np.add])
-            one = np.ones(len(page), np.int64)
-            vector = _vector(ids[k:][page], times) if len(page) else one
-            (host, token), got = _sums([code[k:][page], token], [at, one, times, vector, size, link], [np.maximum, np.add, np.add, np.bitwise_xor, np.add, np.add])
-            words.append([host, token, *got])
-        if words:
-            all_words = [np.concatenate(c) for c in zip(*words, strict=True)]
-            (host, token), got = _sums(all_words[:2], all_words[2:], [np.maximum, np.add, np.add, np.bitwise_xor, np.add, np.add])
-            names = pa.array(list(number), pa.string()).take(pa.array(host))
-            yield pa.RecordBatch.from_arrays([names, pa.array(token), pa.nulls(len(token), pa.string()), *map(pa.array, got)], ["host", "token", "path", "at", "pages", "times", "vector", "chars", "links"])
-        cols = [[k[0] for k in sums], hashed([k[1] for k in sums]), [k[1] for k in sums], [0] * len(sums), *([v[i] for v in sums.values()] for i in range(5))]
-        kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 6]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["host", "token", "path", "at", "pages", "times", "vector", "chars", "links"])
-
-
 def _vector(page: np.ndarray, times: np.ndarray) -> np.ndarray:
     return C.mix(page.view(C.U64) * C.U64(0xD6E8FEB86659FD93) + times.astype(np.int64).view(C.U64)).view(np.int64)
 
@@ -335,26 +432,25 @@ def _field_bits(host: np.ndarray, token: np.ndarray) -> np.ndarray:
     return (C.mix(host.view(C.U64) * C.U64(0x9E3779B97F4A7C15) + token.view(C.U64)) % C.U64(FIELD)).astype(np.int64)
 
 
-def _classes(rows: list[dict]) -> dict[tuple[int, int, int], list[int]]:
-    """Tokens by class, of classes large enough to be a template's; none where the host has too few pages."""
+def _large(rows: list[dict]) -> list[tuple[tuple[int, int, int], list[int]]]:
+    """Classes that are large enough to be a template's, with their tokens; those with more pages come first."""
     out: dict[tuple[int, int, int], list[int]] = {}
     elements = set()
-    if next(r["pages"] for r in rows if r["path"] == "") >= LEAST_PAGES:
-        for r in rows:
-            if r["path"] != "":
-                key = r["pages"], r["times"], r["vector"]
-                out.setdefault(key, []).append(r["token"])
-                if r["path"] is not None:
-                    elements.add(key)
-    return {k: v for k, v in out.items() if k in elements or len(v) >= LARGE}
+    for r in rows:
+        if r["token"] != 0:
+            key = r["pages"], r["times"], r["vector"]
+            out.setdefault(key, []).append(r["token"])
+            if r["tag"] is not None:
+                elements.add(key)
+    return sorted(((k, v) for k, v in out.items() if k in elements or len(v) >= LARGE), key=lambda x: (-x[0][0], x[0]))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, sorted tokens, the number of each one's class, bits in the field); classes with more pages come first."""
+    """(host, sorted tokens, the number of each one's class, bits in the field)."""
     for batch in batches:
         toks, nums, bits = [], [], []
         for host, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = sorted((t, i) for i, (_, ts) in enumerate(sorted(_classes(rows).items(), key=lambda x: (-x[0][0], x[0]))) for t in ts)
+            found = sorted((t, i) for i, (_, ts) in enumerate(_large(rows)) for t in ts)
             toks.append([t for t, _ in found])
             nums.append([i for _, i in found])
             bits.append(np.unique(_field_bits(np.repeat(hashed([host]), len(found)), np.array(toks[-1], np.int64))).tolist())
@@ -368,7 +464,7 @@ def _reduced(field):
         for batch in batches:
             hosts, seen = batch.column(0).to_pylist(), set()
             for k in range(0, len(hosts), _SLICE):
-                page, token, *_ = _sequences(batch.column(2).slice(k, _SLICE).to_pylist())
+                page, _, token, *_ = _sequences(batch.column(2).slice(k, _SLICE).to_pylist())
                 code = hashed(hosts[k : k + _SLICE])
                 pick = have[_field_bits(code[page], token)]
                 page, token = page[pick], token[pick]
@@ -422,42 +518,49 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        slots, words = [], []
+        out: list[tuple] = []
         for rows, wrong in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            large = sorted(_classes(rows), key=lambda k: (-k[0], k))
-            bad = frozenset(large[i] for i in wrong or ())
-            paths = {r["token"]: r["path"] for r in rows if r["path"] is not None}
-            figures = lambda r: (r["pages"], r["times"], r["vector"], r["chars"], r["links"])
-            tags = sorted((r["path"], *figures(r)) for r in rows if r["path"] is not None)
-            found = sorted((r["token"], paths[r["at"]], *figures(r)) for r in rows if r["path"] is None and r["at"] in paths) if large else []
-            slot, template = deduced(tags, found, bad)
-            slots.append(slot)
-            words.append(sorted(template) if slot is not None and not marked(slot) else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.string()), pa.array(words, pa.list_(pa.int64()))], ["host", "slot", "words"])
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(t.as_py(), s, frozenset(w.as_py() or ())) for t, s, w in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
+            large = _large(rows)
+            out.append(template(rows, frozenset(large[i][0] for i in wrong or ())))
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in cols[1:])], ["host", "slot", "out", "words"])
 
 
-def article_slots(pages: DataFrame) -> DataFrame:
-    """(host, slot, words of the template if the slot is not marked) from pages (host, page, html)."""
+def _extract(spare: Template):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for html, slot, out, words in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                texts.append(main_text(html.as_py(), (slot, frozenset(out.as_py() or ()), frozenset(words.as_py() or ())), spare))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
+
+    return run
+
+
+def templates(pages: DataFrame) -> tuple[DataFrame, Template]:
+    """(host, slot, out, words) from pages (host, page, html), and the template that hosts of few pages share."""
     spark = pages.sparkSession
     here = spark.sparkContext.broadcast(_field(pages.select("host", "html").mapInArrow(_often_here, "b long")))
     seen = pages.mapInArrow(_occurrences(here), _SEEN).groupBy("host", "token")
-    seen = seen.agg(F.max("path").alias("path"), F.max("at").alias("at"), *(F.sum(c).alias(c) for c in ("pages", "times", "chars", "links")), F.bit_xor("vector").alias("vector"))
+    sums = [F.max("at").alias("at"), F.max("tag").alias("tag"), *(F.sum(c).alias(c) for c in ("pages", "times", "chars", "links")), F.expr("bit_xor(vector)").alias("vector")]
     most = pages.groupBy("host").agg(F.count("*").alias("all"))
-    often = seen.join(most, "host").where(F.col("pages") >= SUPPORT * F.col("all"))  # rarer tokens are in no valid class
-    hosts = C.written(often.groupBy("host").agg(F.collect_list(F.struct("token", "path", "at", "pages", "times", "vector", "chars", "links")).alias("rows")), "hosts")
+    often = C.written(seen.agg(*sums).join(most, "host").where((F.col("pages") >= SUPPORT * F.col("all")) | (F.col("all") < LEAST_PAGES)), "often")  # rarer tokens are in no valid class
+    row = F.struct("token", "at", "tag", "pages", "times", "vector", "chars", "links")
+    hosts = C.written(often.where(F.col("all") >= LEAST_PAGES).groupBy("host").agg(F.collect_list(row).alias("rows")), "hosts")
+
+    few = often.where((F.col("all") < LEAST_PAGES) & F.col("tag").isNotNull()).groupBy("token").agg(*sums)
+    total = few.where("token = 0").agg(F.sum("pages")).first()[0] or 0
+    pool = [r.asDict() for r in few.where(F.col("pages") >= SUPPORT * total).collect()] if total >= LEAST_PAGES else []  # at most the elements of two average pages
+    slot, out, _ = template(pool) if pool else (None, [], [])
+
     found = C.written(hosts.mapInArrow(_candidates, "host string, tokens array<long>, numbers array<long>, bits array<long>"), "candidates")
     field = _field(found.select(F.explode("bits").alias("b")))
     reduced = pages.mapInArrow(_reduced(spark.sparkContext.broadcast(field)), "host string, sequence array<long>")
     orders = reduced.join(found.select("host", "tokens", "numbers"), "host").mapInArrow(_orders, "host string, number long, low long, high long, good boolean")
     wrong = orders.groupBy("host", "number").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("good").alias("good")).where("low <> high or not good")
     wrong = wrong.groupBy("host").agg(F.collect_list("number").alias("wrong"))
-    return hosts.join(wrong, "host", "left").select("host", "rows", "wrong").mapInArrow(_slots, "host string, slot string, words array<long>")
+    slots = hosts.join(wrong, "host", "left").select("host", "rows", "wrong").mapInArrow(_slots, "host string, slot long, out array<long>, words array<long>")
+    return slots, (slot, frozenset(out), frozenset())
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -465,6 +568,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url = F.col(url_col).cast("string")
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(host.alias("host"), F.col(id_col).cast("long").alias("id"), url.alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    slots = article_slots(rows.select("host", F.xxhash64("id", "url", "html").alias("page"), "html"))
-    out = rows.join(slots, "host", "left").select("id", "url", "html", "slot", "words").mapInArrow(_extract, "id long, url string, text string, n_chars long")
+    slots, spare = templates(rows.select("host", F.xxhash64("id", "url", "html").alias("page"), "html"))
+    out = rows.join(slots, "host", "left").select("id", "url", "html", "slot", "out", "words").mapInArrow(_extract(spare), "id long, url string, text string, n_chars long")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

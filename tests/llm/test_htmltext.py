@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from pixelloom.llm import htmltext as H
 
@@ -15,40 +16,98 @@ def page(title, paras, nav=("a", "b"), foot="x"):
 def test_plain_pages(spark):
     rows = []
     for i in range(30):
-        rows.append((i, f"http://{'hot' if i % 3 else f'h{i}'}.org/p{i}", page(f"T {i} &amp; &am", f"<p>One\n {i} <b>bold.<br><p>Two&nbsp;&lt;x&gt;\t y</p><p> </p>", nav=[f"n{k}" for k in range(i % 4)], foot=f"f{i}")))
+        rows.append((i, f"http://{'hot' if i % 3 else f'h{i}'}.org/p{i}", page(f"T {i} &amp; &am", f"<p>One\n {i} <b>bold{i} thing{i}.<br><p>Two{i}&nbsp;&lt;x&gt;\t y</p><p> </p>", nav=[f"n{k}" for k in range(i % 4)], foot=f"f{i}")))
     rows += [(100, None, None), (101, "", ""), (102, "http://hot.org/x", "just text"), (103, "http://hot.org/y", "<p>a<p>b"), (103, "http://hot.org/y", "<p>a<p>b"), (None, "http://hot.org/z", rows[1][2])]
     df = spark.createDataFrame([(p, u, h, "s") for p, u, h in rows], "page_id long, url string, html string, host string").repartition(3)
     got = {r.page_id: r for r in H.extract(df).collect()}
     for i in range(30):
-        assert got[i].text == f"T {i} & &am\nOne {i} bold.\nTwo <x> y" and got[i].n_chars == len(got[i].text)
+        assert got[i].text == f"T {i} & &am\nOne {i} bold{i} thing{i}.\nTwo{i} <x> y" and got[i].n_chars == len(got[i].text)
     assert (got[100].text, got[100].url, got[101].text, got[102].text, got[103].text) == ("", None, "", "just text", "a\nb")
     assert got[None].text == got[1].text
     assert H.extract(df).count() == len(rows) and H.extract(df.limit(0)).count() == 0
 
 
+def brute_rows(pages):
+    """The occurrence table of a host's elements, counted page by page from the nodes."""
+    paths, sums = H.Paths(), {}
+    for i, page in enumerate(pages):
+        nodes = H.nodes(page, paths)
+        here = [0, *(n for n, _, t, _ in nodes if not t)]
+        for n in set(here):
+            below = [(len("".join(t.split())), link) for k, _, t, link in nodes if t and n in ancestry(paths, k)]
+            r = sums.setdefault(n, [0, 0, (), 0, 0])
+            r[:] = [r[0] + 1, r[1] + here.count(n), (*r[2], (i, here.count(n))), r[3] + sum(c for c, _ in below), r[4] + sum(c for c, k in below if k)]
+    keys = ("pages", "times", "vector", "chars", "links")
+    return [{"token": paths.code[n], "at": paths.code[paths.parent[n]], "tag": paths.tag[n], **dict(zip(keys, v, strict=True))} for n, v in sums.items()], paths
+
+
+def ancestry(paths, n):
+    out = [n]
+    while n:
+        n = paths.parent[n]
+        out.append(n)
+    return out
+
+
 def test_slot_without_marks_and_nested_boilerplate():
-    body = "<div class=top>Site</div><div class=menu><a href=/>Home</a><a href=/x>Other</a></div><div class=content><h2>{t}</h2><p>{p}</p><div class='share-box'>Share</div><section class=comments><p>first!</p></section><form>mail <input></form></div><div class=sidebar>{p}</div>"
-    pages = [body.format(t=f"t{i}", p=f"words {i} " * 40) for i in range(5)]
-    sums = {}
-    for i, h in enumerate(pages):
-        for path, (n, c, k) in H.tokens(h).items():
-            r = sums.setdefault(path, [0, 0, 0, 0, 0])
-            for j, v in enumerate((1, n, hash((i, n)), c, k)):
-                r[j] += v
-    slot = H.article_slot([(p, *v) for p, v in sums.items()])
-    assert slot == "div.content"
-    assert H.main_text(pages[2], slot) == "t2\n" + ("words 2 " * 40).strip()
+    body = "<div class=top>Site</div><div><a href=/>Home</a><a href=/x>Other</a></div><div id='c{i}'><header><h2>{t}</h2></header><p>{p}</p><div>Share</div><section><p>first!</p></section><form>mail <input></form></div><div>aside text</div>"
+    pages = [body.format(t=f"t{i}", p=f"words {i} " * 40, i=i) for i in range(5)]
+    rows, paths = brute_rows(pages)
+    slot, out, words = H.template(rows)
+    assert slot == paths.code[paths.number[0, "div", 3]] and words == []
+    assert H.main_text(pages[2], (slot, frozenset(out), frozenset())) == "t2\n" + ("words 2 " * 40).strip()
+    assert "Share" in H.main_text(pages[2])
+
+
+def test_names_do_not_decide():
+    kept = "<div class='main-header-content'><p class='notice-period'>One month.</p></div>"
+    assert H.main_text(kept) == "One month."
+    assert H.main_text("<article><header><h2>Title</h2></header><p>x</p></article><footer>f</footer>") == "Title\nx"
+
+
+def wanted(page):
+    inner = re.search(r"<article>(.*?)(?:</article>|$)", page, re.S)[1]
+    blocks = [re.sub(r"<[^>]*>", " " if "<br" in b else "", b.replace("<br>", " ")) for b in re.split(r"</?(?:p|h1)>", inner)]
+    blocks = [re.sub(r"\s+", " ", html.unescape(b)).strip() for b in blocks]
+    return re.sub(" +", " ", "\n".join(b for b in blocks if b))
 
 
 def test_whole_table_against_the_generator(spark):
+    """As given; and without article, and with another class and id on every element, where only the template can tell."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    got = {r.page_id: r.text for r in H.extract(pages).collect()}
-    for r in pages.collect():
-        inner = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
-        blocks = [re.sub(r"<[^>]*>", " " if "<br" in b else "", b.replace("<br>", " ")) for b in re.split(r"</?(?:p|h1)>", inner)]
-        want = [re.sub(r"\s+", " ", html.unescape(b)).strip() for b in blocks]
-        want = "\n".join(b for b in want if b)
-        assert re.sub(" +", " ", got[r.page_id]) == re.sub(" +", " ", want), r.page_id
+    truth = {r.page_id: wanted(r.html) for r in pages.collect()}
+    turn = iter(range(10**9))
+    bare = [(r.page_id, r.url, re.sub(r"<(div|nav|p|h1|footer|ul)[^>]*>", lambda m: f"<{m[1]} class='c{next(turn)}' id=i{next(turn)}>", re.sub("</?article>", "", r.html))) for r in pages.collect()]
+    bare = spark.createDataFrame(bare, "page_id long, url string, html string").repartition(3)
+    for df in (pages, bare):
+        for r in H.extract(df).collect():
+            assert re.sub(" +", " ", r.text) == truth[r.page_id], r.page_id
+    alone = sum(re.sub(" +", " ", H.main_text(r.html)) == truth[r.page_id] for r in bare.collect())
+    assert alone == 0  # without the template no page's article is found
+
+
+def test_broken_long_and_deep_pages_take_linear_time():
+    for piece in ("<p title='x ", "<p title='x >", "<div>", "<header>", "<li><ul><div>", "<button>", '<p a="', "<script>", "<!--", "<", "<td><table>", "</div>"):
+        began = time.perf_counter()
+        H.main_text(piece * (500_000 // len(piece)))
+        assert time.perf_counter() - began < 5, piece
+    assert H.main_text("<p>a<p title='open>b</p><p>c</p>") == "a\nb\nc"
+    assert H.main_text("""<p title="x > y" data='a"b'>a <b>b</b></p><p don't>c</p><p class=x""") == "a b\nc"
+    assert H.main_text("<p>1 < 2 <SCRIPT>var x='<p>';</SCRIPT ><p>b<svg>") == "1 < 2\nb"
+    long = "<article>" + "<p>é word</p>" * 50_000 + "</article>"
+    assert H.main_text(long) == "\n".join(["é word"] * 50_000)
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    one = page("T", "".join(f"<p>same words number {k} again</p>" for k in range(6)))
+    df = spark.createDataFrame([(i, "http://copy.org/a", one) for i in range(8)], "page_id long, url string, html string")
+    want = "\n".join(["T", *(f"same words number {k} again" for k in range(6))])
+    assert {r.text for r in H.extract(df).collect()} == {want}
+
+
+def test_ties_take_the_deepest_slot():
+    rows, paths = brute_rows([f"<main><div><section><p>{'w ' * (9 + i)}</p></section></div></main>" for i in range(4)])
+    assert H.template(rows)[0] == paths.code[3] and paths.tag[3] == "section"
 
 
 def test_template_text_is_found_without_marks_or_names(spark):

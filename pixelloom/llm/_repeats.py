@@ -1,17 +1,17 @@
-"""Passages that repeat anywhere in a corpus: the distributed part that word and byte deduplication share.
-
-1. Anchors. Every window of `window` units is keyed by the smallest hash of its `gram`-unit substrings, so that equal
-   windows have equal keys wherever they stand. Neighbouring windows with one key form a run (key, document, starts).
-   Runs go to buckets by key in packed records; what repeats inside one Arrow batch is sent once.
-2. Runs whose key occurs once in the corpus cannot hold a repeated window and end here. Runs with equal content
-   repeat as a whole. What remains, runs that share a key but not their content, is ambiguous.
-3. Ambiguous runs fetch their units (a join with the texts) and meet again by key; `resolve` finds which of their
-   windows repeat. A key with very many different runs is dealt out by window instead of by run, so that no task
-   gets an unbounded group.
-
-No step keeps more than one bucket, or one group of a bounded number of runs, in memory.
-"""
+"""Passages that repeat anywhere in a corpus: what word and byte deduplication share.
+
+Every window of `window` units is represented by the smallest hash of the `gram`-unit strings in it, its anchor, so that
+equal windows have equal anchors wherever they stand. Neighbouring windows with one anchor form a run (anchor, document,
+starts), which is the anchor with all that its windows add to it on both sides.
+
+1. Anchors are counted over the corpus. A run whose anchor occurs once cannot hold a repeated window and ends here.
+2. Runs are counted over the corpus by anchor and content. Where both are equal in all 128 bits, each window of the run
+   repeats.
+3. What remains shares an anchor with runs of other content. substring counts its windows, suffix sorts its suffixes.
 
+Both counts are partial before their shuffles, and joins on them have a side that is unique by key, so a key of very many
+runs is never gathered: it is split by adaptive execution. Within an Arrow batch, runs of one content are sent once.
+"""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
@@ -24,16 +24,8 @@ from pyspark.sql import functions as F
 from pixelloom.llm import _common as C
 from pixelloom.llm._common import U64
 
-RECORD = np.dtype([("h", "u8"), ("c", "u8"), ("rid", "i8"), ("j0", "i4"), ("n", "i4"), ("twice", "i1")])
 _PLACE = U64((1 << 20) - 1)
 _PIECE = 1 << 20
-#: Different runs of one key from which they are dealt out by window.
-HOT_RUNS = 20_000
-#: Bytes of units that one call of resolve works on, more only if a single group has more.
-CHUNK_BYTES = 1 << 19
-
-#: (payload units concatenated, offsets of the runs, number of starts of each run) -> list of (start, end) arrays for each run
-Resolve = Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]
 
 
 def units_of(unit: str, data: np.ndarray, bounds: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +36,11 @@ def units_of(unit: str, data: np.ndarray, bounds: np.ndarray, which: int = 0) ->
     return C.word_units(data, starts, ends, which), first
 
 
+def second_units(units: np.ndarray) -> np.ndarray:
+    """Other hashes of the same units, for a second hash of what they make up."""
+    return units * U64(0x9FB21C651E98DF25) ^ (units >> U64(29))
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     done = 1
     while done < width:
@@ -82,241 +79,108 @@ def _runs(units: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple
     if not out:
         return empty
     h, j0, n = (np.concatenate(x) for x in zip(*out, strict=True))
-    pre = C.prefix(units * U64(0x9FB21C651E98DF25) ^ (units >> U64(29)), 1)
+    pre = C.prefix(second_units(units), 1)
     c = C.span_hash(pre, j0, j0 + n - 1 + window, 1)
     doc = np.searchsorted(first, j0, "right") - 1
     return h, c ^ n.astype(U64), doc, j0 - first[doc], n
 
 
-def _groups(h: np.ndarray, c: np.ndarray, n_of: np.ndarray | None = None):
-    """Order by (h, c) with, for each row in that order: index of its (h, c) and of its h."""
-    order = np.lexsort((c, h))
-    h, c = h[order], c[order]
-    new_h = np.empty(len(h), bool)
-    new_h[:1] = True
-    new_h[1:] = h[1:] != h[:-1]
-    new_c = new_h.copy()
-    new_c[1:] |= c[1:] != c[:-1]
-    return order, np.cumsum(new_c) - 1, np.cumsum(new_h) - 1, new_c
-
+RUNS = "h long, c long, rid long, j0 int, n int, times int"
 
-def _scan(unit: str, window: int, gram: int, buckets: int) -> Callable:
-    shift = U64(64 - 16)
 
+def _runs_out(h: np.ndarray, c: np.ndarray, rid: np.ndarray, j0: np.ndarray, n: np.ndarray, weight: np.ndarray | None = None, keys: bool = False) -> pa.RecordBatch:
+    """RUNS of a batch: the first of each content says how often (1, or 2 for more) the batch holds it; the others, which are
+    thereby known to repeat, have 0, and no key unless keys are asked for."""
+    order = np.lexsort((c, h))
+    lead = np.ones(len(h), bool)
+    lead[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
+    content = np.cumsum(lead) - 1
+    times, first = np.empty(len(h), np.int32), np.empty(len(h), bool)
+    first[order] = lead
+    times[order] = np.minimum(np.bincount(content, None if weight is None else weight[order])[content], 2) * lead
+    hide = None if keys else ~first
+    cols = [pa.array(h.view(np.int64), mask=hide), pa.array(c.view(np.int64), mask=hide), *map(pa.array, (rid, j0.astype(np.int32), n.astype(np.int32), times))]
+    return pa.RecordBatch.from_arrays(cols, ["h", "c", "rid", "j0", "n", "times"])
+
+
+def _scan(unit: str, window: int, gram: int, keys: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
         for batch in batches:
             data, off = C.utf8_parts(batch.column(1))
             rid = batch.column(0).to_numpy(zero_copy_only=False)
             found = []
             for a, b in C.slices(off):
-                part = data[off[a] : off[b]]
-                units, first = units_of(unit, part, off[a : b + 1] - off[a])
+                units, first = units_of(unit, data[off[a] : off[b]], off[a : b + 1] - off[a])
                 h, c, doc, j0, n = _runs(units, first, window, gram)
-                rec = np.zeros(len(h), RECORD)
-                rec["h"], rec["c"], rec["rid"], rec["j0"], rec["n"] = h, c, rid[a:b][doc], j0, n
-                found.append(rec)
-            rec = np.concatenate(found) if found else np.zeros(0, RECORD)
-            if not len(rec):
-                continue
-            order, content, _, lead = _groups(rec["h"], rec["c"])
-            rec = rec[order]
-            again = np.bincount(content)[content] > 1
-            rec["twice"] = again
-            whole, sent = rec[again & ~lead], rec[lead]  # the others of a content already known to repeat need no second look
-            bucket = ((sent["h"] >> shift) % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            sent, bucket = sent[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            marks, blobs, kinds = [], [], []
-            for piece, k in zip(np.split(sent, cuts), bucket[np.append(0, cuts)] if len(bucket) else [], strict=True):
-                marks.append(int(k))
-                blobs.append(piece.tobytes())
-                kinds.append(False)
-            for i in range(0, len(whole), 4096):
-                turn += 1
-                marks.append((int(whole["rid"][i]) + turn * 7919) % buckets)
-                blobs.append(whole[i : i + 4096].tobytes())
-                kinds.append(True)
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int32()), pa.array(kinds, pa.bool_()), pa.array(blobs, pa.binary())], ["bucket", "whole", "records"])
+                found.append((h, c, rid[a:b][doc], j0, n))
+            if found:
+                yield _runs_out(*(np.concatenate(x) for x in zip(*found, strict=True)), keys=keys)
 
     return run
 
 
-RUNS = "rid long, j0 int, n int, kind int, h long, hot boolean"
-WHOLE, ALONE, PARTNER = 0, 1, 2
-
-
-def _runs_out(rec: np.ndarray, kind: int, hot: np.ndarray | None = None) -> pa.RecordBatch:
-    cols = [rec["rid"], rec["j0"], rec["n"], np.full(len(rec), kind, np.int32), rec["h"].view(np.int64), np.zeros(len(rec), bool) if hot is None else hot]
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], ["rid", "j0", "n", "kind", "h", "hot"])
-
-
-def _meet(hot_runs: int) -> Callable:
-    def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        rec = np.frombuffer(b"".join(blobs), RECORD)
-        order, content, key, lead = _groups(rec["h"], rec["c"])
-        rec = rec[order]
-        times = np.bincount(content)[content] + 0
-        twice = (times > 1) | (np.bincount(content, rec["twice"])[content] > 0)
-        different = np.bincount(key, lead)[key]
-        yield _runs_out(rec[twice], WHOLE)
-        hot = different > hot_runs
-        for kind, which in ((ALONE, (different > 1) & ~twice), (PARTNER, (different > 1) & twice & lead)):
-            yield _runs_out(rec[which], kind, hot[which])
+def _again(unit: str, window: int, gram: int, keys: bool) -> Callable:
+    """Runs with longer anchors, of the windows of given runs only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, blobs = None, []
         for batch in batches:
-            for k, whole, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if whole:
-                    yield _runs_out(np.frombuffer(blob, RECORD), WHOLE)
-                    continue
-                if k != bucket and blobs:
-                    yield from settle(blobs)
-                    blobs = []
-                bucket = k
-                blobs.append(blob)
-        if blobs:
-            yield from settle(blobs)
+            found = [tuple(np.zeros(0, k) for k in ("u8", "u8", "i8", "i8", "i8", "i8"))]
+            for rid, units, runs in with_units(unit, batch):
+                begin, weight = (np.array([r[k] for r in runs], np.int64) for k in ("j0", "weight"))
+                parts = [units[r["j0"] : r["j0"] + r["n"] - 1 + window] for r in runs]
+                h, c, part, j0, n = _runs(np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts])), window, gram)
+                found.append((h, c, np.full(len(h), rid, np.int64), j0 + begin[part], n, weight[part]))
+            yield _runs_out(*(np.concatenate(x) for x in zip(*found, strict=True)), keys=keys)
 
     return run
 
 
-FETCHED = "h long, rid long, j0 int, n int, kind int, payload binary"
+def with_units(unit: str, batch: pa.RecordBatch, raw: bool = False) -> Iterator[tuple[int, np.ndarray, list[dict]]]:
+    """(rid, units, runs) of a batch (rid, text, runs: array of structs). raw: bytes as they are, not hashed."""
+    data, off = C.utf8_parts(batch.column(1))
+    for i, (rid, runs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
+        part = data[off[i] : off[i + 1]]
+        yield rid, part if raw else units_of(unit, part, np.array([0, len(part)]))[0], runs.as_py()
 
 
-def _fetch(unit: str, window: int) -> Callable:
-    """Payloads of the ambiguous runs: unit hashes for words, bytes themselves for bytes."""
+def scanned(keyed: DataFrame, unit: str, window: int, gram: int, keys: bool = False) -> DataFrame:
+    """RUNS of keyed (rid, text), as a table."""
+    return C.written(keyed.select("rid", "text").mapInArrow(_scan(unit, window, gram, keys), RUNS), "runs")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = C.utf8_parts(batch.column(1))
-            rid = batch.column(0).to_pylist()
-            runs = batch.column(2)
-            at = runs.offsets.to_numpy().astype(np.int64)
-            flat = runs.flatten()
-            h, j0, n, kind, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
-            at = at - at[0]
-            out = []
-            for i in range(len(rid)):
-                part = data[off[i] : off[i + 1]]
-                units = part if unit == "byte" else units_of("word", part, np.array([0, len(part)]))[0]
-                pre = None
-                for k in range(at[i], at[i + 1]):
-                    a, m = int(j0[k]), int(n[k])
-                    if not hot[k]:
-                        out.append((int(h[k]), rid[i], a, m, int(kind[k]), units[a : a + m - 1 + window].tobytes()))
-                        continue
-                    if pre is None:
-                        pre = C.prefix(C.byte_units(part) if unit == "byte" else units)
-                    starts = np.arange(a, a + m)
-                    for s, key in zip(starts.tolist(), C.span_hash(pre, starts, starts + window).view(np.int64).tolist(), strict=True):
-                        out.append((key, rid[i], s, 1, int(kind[k]), units[s : s + window].tobytes()))
-            seen: dict[tuple, int] = {}
-            for r in out:  # of one content, a batch sends two at most; the others are known to repeat
-                seen[r[0], r[5]] = seen.get((r[0], r[5]), 0) + 1
-            sent: dict[tuple, int] = {}
-            cols: list[list] = [[] for _ in range(6)]
-            for r in out:
-                k = (r[0], r[5])
-                if seen[k] > 1:
-                    sent[k] = sent.get(k, 0) + 1
-                    if sent[k] > 1:
-                        if r[4] == ALONE:
-                            for c, v in zip(cols, (r[1], r[1], r[2], r[3], WHOLE, None), strict=True):
-                                c.append(v)
-                        continue
-                for c, v in zip(cols, r if seen[k] == 1 else (*r[:4], r[4] + 2, r[5]), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["h", "rid", "j0", "n", "kind", "payload"])
 
-    return run
+def anchored_again(keyed: DataFrame, runs: DataFrame, unit: str, window: int, gram: int, keys: bool = False) -> DataFrame:
+    """RUNS, as a table, of the windows of runs (rid, j0, n, weight) by other anchors."""
+    return C.written(with_text(keyed, runs).mapInArrow(_again(unit, window, gram, keys), RUNS), "runs")
 
 
-def _resolved(unit: str, window: int, resolve: Resolve) -> Callable:
-    kind_of = np.uint8 if unit == "byte" else np.uint64
-
-    def settle(rows: list[tuple]) -> pa.RecordBatch:
-        """rows: (h, rid, j0, n, kind, payload) of whole groups. Equal payloads are one weighted entry."""
-        entry: dict[tuple, int] = {}
-        members: list[list[int]] = []
-        weight: list[int] = []
-        for i, r in enumerate(rows):
-            k = entry.setdefault((r[0], r[5]), len(members))
-            if k == len(members):
-                members.append([])
-                weight.append(0)
-            members[k].append(i)
-            weight[k] += 1 if r[4] == ALONE else 2
-        payloads = [rows[m[0]][5] for m in members]
-        units = np.frombuffer(b"".join(payloads), kind_of)
-        size = np.array([len(p) for p in payloads], np.int64) // kind_of().itemsize
-        off = np.append(0, np.cumsum(size))
-        starts = np.array([rows[m[0]][3] for m in members], np.int64)
-        rid, lo, hi = [], [], []
-        for k, (s, e) in enumerate(resolve(units, off, starts)):
-            if weight[k] > 1:
-                s, e = np.array([0]), np.array([int(size[k])])
-            if not len(s):
-                continue
-            for i in members[k]:
-                r = rows[i]
-                if r[4] in (ALONE, ALONE + 2):
-                    rid.append(np.full(len(s), r[1], np.int64))
-                    lo.append(s + r[2])
-                    hi.append(e + r[2])
-        cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(cat(x)) for x in (rid, lo, hi)], ["rid", "s", "e"])
+def counted(runs: DataFrame) -> DataFrame:
+    """(h, c, times, rep, different) of the contents that may hold a repeated window, as a table: how often the content
+    occurs, one of its runs (rid, j0, n), and how many contents the anchor has."""
+    contents = runs.where("times > 0").groupBy("h", "c").agg(F.sum("times").alias("times"), F.min(F.struct("rid", "j0", "n")).alias("rep"))
+    anchors = contents.groupBy("h").agg(F.count("*").alias("different"), F.sum("times").alias("all")).where("all > 1").select("h", "different")
+    return C.written(contents.join(anchors, "h"), "contents")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size, last = 0, None
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            done = [(r[1], r[2], r[2] + r[3] - 1 + window) for r in zip(*cols, strict=True) if r[5] is None]
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*done, strict=True)], ["rid", "s", "e"])
-            for r in zip(*cols, strict=True):
-                if r[5] is None:
-                    continue
-                if r[0] != last and size >= CHUNK_BYTES:
-                    yield settle(rows)
-                    rows, size = [], 0
-                last = r[0]
-                rows.append(r)
-                size += len(r[5])
-        if rows:
-            yield settle(rows)
 
-    return run
+def whole_spans(runs: DataFrame, contents: DataFrame, window: int) -> DataFrame:
+    """(rid, s, e) of the runs whose content repeats."""
+    again = contents.where("times > 1").select("h", "c")
+    members = runs.where("times > 0").join(again.hint("merge"), ["h", "c"], "left_semi").unionByName(runs.where("times = 0"))
+    return members.select("rid", F.col("j0").cast("long").alias("s"), (F.col("j0") + F.col("n") - 1 + window).cast("long").alias("e"))
+
+
+def unclear(contents: DataFrame, all_repeated: bool = False) -> DataFrame:
+    """(rid, j0, n, weight, h, c, different) of one run of each content whose anchor has others too, or of all contents that
+    repeat as well. weight: 1 for a content that occurs once, else 2: its windows are known to repeat and only meet those
+    of the others."""
+    rows = contents.where("different > 1 or times > 1" if all_repeated else "different > 1")
+    return rows.select("rep.rid", "rep.j0", "rep.n", F.least("times", F.lit(2)).cast("int").alias("weight"), "h", "c", "different")
 
 
-def repeated_spans(keyed: DataFrame, unit: str, window: int, gram: int, resolve: Resolve, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """(rid, s, e): unit ranges of keyed (rid, text) covered by windows whose units also start anywhere else."""
-    spark = keyed.sparkSession
-    parts = C.partitions(spark)
-    buckets = 4 * parts
-    runs = (
-        keyed.select("rid", "text")
-        .mapInArrow(_scan(unit, window, gram, buckets), "bucket int, whole boolean, records binary")
-        .repartition(parts, "bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(_meet(hot_runs), RUNS)
-    )
-    runs = C.written(runs, "runs")
-    whole = runs.where(F.col("kind") == WHOLE).select("rid", F.col("j0").cast("long").alias("s"), (F.col("j0") + F.col("n") - 1 + window).cast("long").alias("e"))
-    unclear = runs.where(F.col("kind") != WHOLE).groupBy("rid").agg(F.collect_list(F.struct("h", "j0", "n", "kind", "hot")).alias("runs"))
-    found = (
-        keyed.select("rid", "text")
-        .join(unclear, "rid")
-        .select("rid", "text", "runs")
-        .mapInArrow(_fetch(unit, window), FETCHED)
-        .repartition(parts, "h")
-        .sortWithinPartitions("h")
-        .mapInArrow(_resolved(unit, window, resolve), "rid long, s long, e long")
-    )
-    return whole.unionByName(found)
+def with_text(keyed: DataFrame, runs: DataFrame) -> DataFrame:
+    """(rid, text, runs: array of the other columns) of the documents that have runs; a document's runs are bounded by it."""
+    others = [c for c in runs.columns if c != "rid"]
+    per = runs.groupBy("rid").agg(F.collect_list(F.struct(*others)).alias("runs"))
+    return keyed.select("rid", "text").join(per.hint("merge"), "rid").select("rid", "text", "runs")
 
 
 def with_spans(keyed: DataFrame, spans: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Substring deduplication over words by level-wise doubling.
 
-Level 1 looks at half-length windows: each 35-word window is represented by one content-chosen 18-word window inside it
-(see _repeats); a window that is alone at that length is alone at every greater one and is dropped, corpus-wide. What
-repeats is extended to twice the length, again and again, each level looking only at the candidates that the one before
-left, until the asked length is reached or no candidates survive.
-
-Words are maximal runs of characters other than space and \\t \\n \\v \\f \\r, compared unchanged by 64-bit word hashes.
-A null text has no words. Repeated rows are separate documents, so each covers the other. Extra columns are ignored. An
-empty table gives an empty result.
+A level counts windows of one length over the corpus. The first takes half the asked length: each 35-word window is
+represented by one content-chosen 18-word window in it (see _repeats), and where that occurs once, so do all that hold it.
+Only what repeats is extended to twice the length: first as a whole, all 35-word windows around an occurrence at once, as
+long repeats agree in all of them; where they do not, window by window. Both are counted over the corpus, and what does not
+repeat at the asked length is no candidate any more.
+
+Words are maximal runs of characters other than space and \\t \\n \\v \\f \\r, compared unchanged by 64-bit word hashes,
+windows by 128 bits. A null text has no words. Repeated rows are separate documents, so each covers the other. Extra columns
+are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,62 +25,30 @@ from pixelloom.llm import _common as C
 from pixelloom.llm import _repeats as R
 
 
-def level_lengths(window: int) -> list[int]:
-    """Doubling from the shortest length of at least 4 to window, which ends the last step: 35 gives 5, 9, 18, 35."""
-    out = [window]
-    while (out[-1] + 1) // 2 >= 4:
-        out.append((out[-1] + 1) // 2)
-    return out[::-1]
-
-
-def doubled(units: np.ndarray, starts: np.ndarray, stops: np.ndarray, lengths: list[int]) -> np.ndarray:
-    """Which of starts begin a window of lengths[-1] units that begins elsewhere too; windows end before stops.
-
-    The name of a window at one level is the pair of names of its two halves at the level before.
-    """
-    at = np.arange(len(units))
-    limit = np.full(len(units), -1, np.int64)
-    limit[starts] = stops
-    for i in range(len(starts)):  # places inside a run's window may begin halves
-        limit[starts[i] : stops[i]] = stops[i]
-    short = lengths[0]
-    name = np.full(len(units), -1, np.int64)
-    fits = np.flatnonzero(limit - at >= short)
-    if not len(fits):
-        return np.zeros(0, np.int64)
-    name[fits] = np.unique(C.span_hash(C.prefix(units), fits, fits + short), return_inverse=True)[1]
-    alive = fits[np.bincount(name[fits])[name[fits]] > 1]
-    for length in lengths[1:]:
-        mask = np.zeros(len(units), bool)
-        mask[alive] = True
-        step = length - short
-        alive = alive[limit[alive] - alive >= length]
-        alive = alive[mask[alive + step]]
-        if not len(alive):
-            return alive
-        both = name[alive] << 32 | name[alive + step]
-        name = np.full(len(units), -1, np.int64)
-        name[alive] = np.unique(both, return_inverse=True)[1]
-        alive = alive[np.bincount(name[alive])[name[alive]] > 1]
-        short = length
-    return alive
-
-
-def _resolver(window: int):
-    lengths = level_lengths(window)
-
-    def resolve(units: np.ndarray, off: np.ndarray, starts: np.ndarray):
-        alive = doubled(units, off[:-1], off[1:], lengths)
-        run = np.searchsorted(off, alive, "right") - 1
-        cuts = np.searchsorted(run, np.arange(len(starts) + 1))
-        return [((s := alive[cuts[i] : cuts[i + 1]] - off[i]), s + window) for i in range(len(starts))]
-
-    return resolve
-
-
-def repeated_word_spans(keyed: DataFrame, window: int = 35, hot_runs: int = R.HOT_RUNS) -> DataFrame:
+def _windows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [tuple(np.zeros(0, k) for k in ("u8", "u8", "i8", "i8", "i8"))]
+            for rid, units, runs in R.with_units("word", batch):
+                begin, many, weight = (np.array([r[k] for r in runs], np.int64) for k in ("j0", "n", "weight"))
+                at = np.repeat(begin - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+                keys = [C.span_hash(C.prefix(u, k), at, at + window, k) for k, u in enumerate((units, R.second_units(units)))]
+                out.append((*keys, np.full(len(at), rid, np.int64), at, np.repeat(weight, many)))
+            k1, k2, rid, at, weight = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1.view(np.int64), k2.view(np.int64), rid, at.astype(np.int32), weight.astype(np.int32))], ["k1", "k2", "rid", "at", "weight"])
+
+    return run
+
+
+def repeated_word_spans(keyed: DataFrame, window: int = 35) -> DataFrame:
     """(rid, s, e): word ranges covered by windows that occur again."""
-    return R.repeated_spans(keyed, "word", window, (window + 1) // 2, _resolver(window), hot_runs)
+    runs = R.scanned(keyed, "word", window, (window + 1) // 2)
+    contents = R.counted(runs)
+    windows = R.with_text(keyed, R.unclear(contents)).mapInArrow(_windows(window), "k1 long, k2 long, rid long, at int, weight int")
+    windows = C.written(windows, "windows")
+    again = windows.groupBy("k1", "k2").agg(F.sum("weight").alias("times")).where("times > 1")
+    found = windows.where("weight = 1").join(again.hint("merge"), ["k1", "k2"], "left_semi")
+    return R.whole_spans(runs, contents, window).unionByName(found.select("rid", F.col("at").cast("long").alias("s"), (F.col("at") + window).cast("long").alias("e")))
 
 
 def _kept(with_text: bool):
@@ -103,10 +72,10 @@ def _kept(with_text: bool):
     return run
 
 
-def dedup_word_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, with_text: bool = True, hot_runs: int = R.HOT_RUNS) -> DataFrame:
+def dedup_word_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, with_text: bool = True) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 and, if asked for, kept_text without every repeated window's words."""
     keyed = C.with_row_key(docs, id_col, text_col).select("rid", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    spans = repeated_word_spans(keyed, window, hot_runs)
+    spans = repeated_word_spans(keyed, window)
     out = R.with_spans(keyed, spans).select("id", "text", "s", "e")
     out = out.mapInArrow(_kept(with_text), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     out = out.withColumnRenamed("id", id_col)

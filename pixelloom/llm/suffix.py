@@ -1,11 +1,15 @@
 """Substring deduplication over bytes with a common-prefix interval tree.
 
-Candidate runs (passages whose content-chosen anchor occurs more than once in the corpus, see _repeats) meet by anchor.
-There an enhanced suffix array is built over them: suffixes in order, and the common prefix of each with the one before.
-One scan with a stack yields every interval of suffixes with a common prefix of at least `window` bytes; an interval
-whose members are preceded by different bytes is a maximal repeat, and all its members are its occurrences. Passages
-that are equal as a whole are one weighted entry. Runs are cut where their anchor ends, so a longer repeat is found as
-overlapping groups, and the union of their occurrences is what is removed.
+Passages whose content-chosen anchor occurs more than once in the corpus (see _repeats) are dealt out by anchor, so that all
+suffixes with a common prefix of `window` bytes meet, whichever passages they stand in. There an enhanced suffix array is
+built over them: suffixes in order, and the common prefix of each with the one before, in bytes. One scan with a stack
+yields every interval of suffixes with a common prefix of at least `window` bytes; an interval whose members are preceded by
+different bytes is a maximal repeat, and all its members are its occurrences. Passages that are equal as a whole are one
+weighted entry of the array. An anchor with more than GROUP different passages is dealt out by anchors of twice the length
+instead, again and again up to `window` bytes, so that no array has more entries at any size of the corpus.
+
+repeat_groups gives the groups with all their occurrences; dedup_byte_strings removes their union. A passage ends where its
+anchor does, so a longer repeat is several groups that overlap.
 
 Bytes are UTF-8; a null text is empty; matches stay inside one row; repeated rows are separate documents. Extra columns
 are ignored. An empty table gives an empty result. Removing bytes can cut a character, so the kept part is binary.
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +30,10 @@ from pixelloom.llm import _common as C
 from pixelloom.llm import _repeats as R
 
 GRAM = 40
+#: Different passages of one anchor that one suffix array takes.
+GROUP = 512
+#: Bytes of passages that one suffix array takes, more only if a single anchor has more.
+CHUNK_BYTES = 1 << 19
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -69,27 +78,46 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in order; 0 if below least."""
-    out = np.zeros(len(order), np.int64)
-    a, b = order[:-1], order[1:]
-    most = np.minimum(ends[a] - a, ends[b] - b)
-    at = np.flatnonzero(most >= least)
-    if not len(at):
+def common_prefixes(text: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Common prefix, in bytes, of each suffix with the one before it in order.
+
+    Only pairs of suffixes that different bytes precede are compared byte by byte; where the bytes before are equal, the
+    prefix is one shorter than that of the suffixes a place to the left.
+    """
+    n = len(text)
+    out = np.zeros(n, np.int64)
+    if n < 2:
         return out
-    pre, inv = C.prefix(C.byte_units(text)), C.powers(len(text) + 1)[1]
-
-    def equal(i: np.ndarray, size: np.ndarray) -> np.ndarray:
-        x, y = a[i], b[i]
-        return (pre[x + size] - pre[x]) * inv[x] == (pre[y + size] - pre[y]) * inv[y]
-
-    at = at[equal(at, np.full(len(at), least))]
-    lo, hi = np.full(len(at), least), most[at]
-    while (lo < hi).any():
-        mid = (lo + hi + 1) // 2
-        same = equal(at, mid)
-        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-    out[at + 1] = lo
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    at = np.arange(n)
+    first = np.ones(n, bool)
+    first[1:] = ends[1:] != ends[:-1]
+    other = np.maximum(before, 0)
+    carried = (before >= 0) & ~first & ~first[other] & (text[at - 1] == text[other - 1])
+    compare = np.flatnonzero((before >= 0) & ~carried)
+    most = np.minimum(ends[compare] - compare, ends[before[compare]] - before[compare])
+    padded = np.append(text, np.zeros(8, np.uint8))
+    words = np.zeros(n, np.uint64)
+    for k in range(8):
+        words = words << np.uint64(8) | padded[k : n + k]
+    same, live = np.zeros(len(compare), np.int64), np.arange(len(compare))
+    while len(live):
+        x, y = compare[live] + same[live], before[compare[live]] + same[live]
+        differ = words[np.minimum(x, n - 1)] ^ words[np.minimum(y, n - 1)]
+        full = (differ == 0) & (same[live] + 8 < most[live])
+        rest, part = live[~full], differ[~full]
+        equal = np.full(len(rest), 8)
+        for k in range(8):  # the first byte that differs, from the left
+            equal = np.minimum(equal, np.where((part >> np.uint64(56 - 8 * k)) & np.uint64(255) != 0, k, 8))
+        same[rest] = np.minimum(same[rest] + equal, most[rest])
+        live = live[full]
+        same[live] += 8
+    prefix = np.zeros(n, np.int64)
+    prefix[compare] = same
+    known = np.maximum.accumulate(np.where(carried, 0, at))
+    prefix = np.where(before >= 0, prefix[known] - (at - known), 0)
+    out[1:] = prefix[order[1:]]
     return out
 
 
@@ -145,11 +173,11 @@ def maximal_repeats(order: np.ndarray, lcp: np.ndarray, before: np.ndarray, leas
     return out
 
 
-def repeat_groups(text: np.ndarray, off: np.ndarray, least: int) -> list[tuple[int, np.ndarray]]:
+def passage_repeats(text: np.ndarray, off: np.ndarray, least: int) -> list[tuple[int, np.ndarray]]:
     """(length, starts) of the maximal repeats of the passages text[off[i]:off[i+1]], with all occurrences."""
     ends = np.repeat(off[1:], np.diff(off))
     order = suffix_array(text, ends)
-    lcp = common_prefixes(text, order, ends, least)
+    lcp = common_prefixes(text, order, ends)
     before = np.empty(len(text), np.int64)
     before[1:] = text[:-1]
     begin = off[:-1][np.diff(off) > 0]
@@ -157,25 +185,101 @@ def repeat_groups(text: np.ndarray, off: np.ndarray, least: int) -> list[tuple[i
     return [(length, np.sort(order[a : b + 1])) for length, a, b in maximal_repeats(order, lcp, before, least)]
 
 
-def _resolver(window: int):
-    def resolve(text: np.ndarray, off: np.ndarray, starts: np.ndarray):
-        s, e = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for length, at in repeat_groups(text, off, window):
-            s.append(at)
-            e.append(at + length)
-        s, e = np.concatenate(s), np.concatenate(e)
-        run = np.searchsorted(off, s, "right") - 1
-        by = np.argsort(run, kind="stable")
-        s, e, run = s[by], e[by], run[by]
-        cuts = np.searchsorted(run, np.arange(len(starts) + 1))
-        return [C.merged(s[a:b] - off[i], e[a:b] - off[i]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+# ---------------------------------------------------------------- Spark
+PASSAGES = "h long, rid long, j0 int, weight int, c long, payload binary"
+
+
+def _passages(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(6)]
+            for rid, text, runs in R.with_units("byte", batch, raw=True):
+                for r in runs:
+                    for col, v in zip(cols, (r["h"], rid, r["j0"], r["weight"], r["c"], text[r["j0"] : r["j0"] + r["n"] - 1 + window].tobytes()), strict=True):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["h", "rid", "j0", "weight", "c", "payload"])
+
+    return run
+
 
-    return resolve
+def _arrays(window: int, groups: bool):
+    """The maximal repeats of whole anchors: with groups, each one's occurrences in the passages; else what they cover."""
 
+    def settle(rows: list[tuple]) -> pa.RecordBatch:
+        if groups:  # a passage that repeats as a whole stands twice, so that the array has an interval for it
+            rows = [r for r in rows for _ in range(r[3])]
+        text = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+        off = np.append(0, np.cumsum([len(r[5]) for r in rows]))
+        found = passage_repeats(text, off, window)
+        at = np.concatenate([np.zeros(0, np.int64), *(x for _, x in found)])
+        length = np.repeat(np.array([n for n, _ in found], np.int64), [len(x) for _, x in found])
+        row = np.searchsorted(off, at, "right") - 1
+        if groups:
+            key = C.span_hash(C.prefix(C.byte_units(text)), at, at + length).view(np.int64)
+            h, c = (np.array([r[k] for r in rows], np.int64)[row] for k in (0, 4))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, length, h, c, at - off[row])], ["repeat", "length", "h", "c", "at"])
+        out = [(np.zeros(0, np.int64),) * 3]
+        by = np.argsort(row, kind="stable")
+        cuts = np.searchsorted(row[by], np.arange(len(rows) + 1))
+        for k, r in enumerate(rows):
+            mine = by[cuts[k] : cuts[k + 1]]
+            if r[3] == 1 and len(mine):
+                s, e = C.merged(at[mine], at[mine] + length[mine])
+                out.append((np.full(len(s), r[1], np.int64), s - off[k] + r[2], e - off[k] + r[2]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["rid", "s", "e"])
 
-def repeated_byte_spans(keyed: DataFrame, window: int = 200, hot_runs: int = R.HOT_RUNS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size, last = 0, None
+        for batch in batches:
+            for r in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if r[0] != last and size >= CHUNK_BYTES:
+                    yield settle(rows)
+                    rows, size = [], 0
+                last = r[0]
+                rows.append(r)
+                size += len(r[5])
+        if rows:
+            yield settle(rows)
+
+    return run
+
+
+def _levels(keyed: DataFrame, window: int, group: int, groups: bool) -> Iterator[tuple[DataFrame, DataFrame, DataFrame]]:
+    """(runs, contents, what the suffix arrays give) for each length of anchors; all but the first only if an anchor is hot."""
+    gram = min(GRAM, window)
+    runs = R.scanned(keyed, "byte", window, gram, keys=groups)
+    while True:
+        contents = R.counted(runs)
+        unclear = R.unclear(contents, all_repeated=groups)
+        last = gram == window
+        rows = R.with_text(keyed, unclear if last else unclear.where(F.col("different") <= group)).mapInArrow(_passages(window), PASSAGES)
+        rows = rows.repartition(C.partitions(keyed.sparkSession), "h").sortWithinPartitions("h")
+        yield runs, contents, rows.mapInArrow(_arrays(window, groups), "repeat long, length long, h long, c long, at long" if groups else "rid long, s long, e long")
+        hot = unclear.where(F.col("different") > group)
+        if last or not hot.limit(1).count():
+            return
+        if groups:  # every occurrence, not one of each content
+            hot = runs.join(hot.select("h", "c"), ["h", "c"], "left_semi").select("rid", "j0", "n", F.lit(1).alias("weight"))
+        gram = min(2 * gram, window)
+        runs = R.anchored_again(keyed, hot, "byte", window, gram, keys=groups)
+
+
+def repeated_byte_spans(keyed: DataFrame, window: int = 200, group: int = GROUP) -> DataFrame:
     """(rid, s, e): byte ranges covered by strings of window bytes that occur again."""
-    return R.repeated_spans(keyed, "byte", window, min(GRAM, window), _resolver(window), hot_runs)
+    parts = [x for runs, contents, found in _levels(keyed, window, group, False) for x in (R.whole_spans(runs, contents, window), found)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, group: int = GROUP) -> DataFrame:
+    """(repeat, length, id, start): the maximal repeats of at least window bytes with all their occurrences; see the module."""
+    keyed = C.with_row_key(docs, id_col, text_col).select("rid", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    parts = []
+    for runs, _, found in _levels(keyed, window, group, True):
+        members = found.join(runs.select("h", "c", "rid", "j0"), ["h", "c"])
+        parts.append(members.select("repeat", "length", "rid", (F.col("j0") + F.col("at")).alias("start")))
+    out = reduce(DataFrame.unionByName, parts).distinct()
+    return out.join(keyed.select("rid", "id"), "rid").select("repeat", "length", F.col("id").alias(id_col), "start")
 
 
 def _kept(with_bytes: bool):
@@ -202,9 +306,9 @@ def _kept(with_bytes: bool):
     return run
 
 
-def dedup_byte_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, with_bytes: bool = True, hot_runs: int = R.HOT_RUNS) -> DataFrame:
+def dedup_byte_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, with_bytes: bool = True, group: int = GROUP) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     keyed = C.with_row_key(docs, id_col, text_col).select("rid", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = R.with_spans(keyed, repeated_byte_spans(keyed, window, hot_runs)).select("id", "text", "s", "e")
+    out = R.with_spans(keyed, repeated_byte_spans(keyed, window, group)).select("id", "text", "s", "e")
     out = out.mapInArrow(_kept(with_bytes), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
     return out if with_bytes else out.drop("kept")

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 
 from pixelloom.llm import suffix
-from pixelloom.llm.substring import dedup_word_windows, doubled, level_lengths
-from pixelloom.llm.suffix import dedup_byte_strings
+from pixelloom.llm.substring import dedup_word_windows
+from pixelloom.llm.suffix import dedup_byte_strings, repeat_groups
 
 
 def corpus(seed=1, sep=" "):
@@ -43,22 +43,23 @@ def words(t):
     return re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_word_windows_match_brute_force(spark, hot):
+def test_word_windows_match_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, rid string").repartition(3)
-    got = {r.doc_id: r for r in dedup_word_windows(df, window=9, hot_runs=hot).collect()}
+    got = {r.doc_id: r for r in dedup_word_windows(df, window=9).collect()}
     for (i, _), (units, mask) in zip(rows, brute(rows, 9, words), strict=True):
         kept = b" ".join(u for u, m in zip(units, mask, strict=True) if not m)
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(units), sum(mask), hashlib.sha256(kept).hexdigest()), i
     assert sum(r.n_removed for r in got.values()) > 100
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_byte_strings_match_brute_force(spark, hot):
+@pytest.mark.parametrize(("gram", "group"), [(40, 512), (6, 512), (6, 1)])
+def test_byte_strings_match_brute_force(spark, gram, group, monkeypatch):
+    """Also with anchors so short that many passages share them, and with every such anchor dealt out by longer ones."""
+    monkeypatch.setattr(suffix, "GRAM", gram)
     rows = corpus(2)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in dedup_byte_strings(df, window=45, hot_runs=hot).collect()}
+    got = {r.doc_id: r for r in dedup_byte_strings(df, window=45, group=group).collect()}
     for (i, _), (units, mask) in zip(rows, brute(rows, 45, lambda t: list((t or "").encode())), strict=True):
         kept = bytes(u for u, m in zip(units, mask, strict=True) if not m)
         spans = sum(1 for k, m in enumerate(mask) if m and not (k and mask[k - 1]))
@@ -74,14 +75,38 @@ def test_repeated_and_null_ids_are_separate_rows(spark):
     assert dedup_byte_strings(df.limit(0)).count() == 0
 
 
-def test_doubling_levels():
-    assert level_lengths(35) == [5, 9, 18, 35]
-    rnd = np.random.default_rng(3)
-    units = rnd.integers(0, 2, 400).astype(np.uint64)
-    units[300:340] = units[20:60]
-    alive = doubled(units, np.array([0]), np.array([400]), level_lengths(35))
-    seen = Counter(units[i : i + 35].tobytes() for i in range(366))
-    assert alive.tolist() == [i for i in range(366) if seen[units[i : i + 35].tobytes()] > 1]
+@pytest.mark.parametrize("group", [512, 1])
+def test_groups_hold_all_occurrences(spark, group, monkeypatch):
+    monkeypatch.setattr(suffix, "GRAM", 6)
+    rows = [(i, t) for i, t in corpus(3) if i < 40]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, length int").repartition(3)
+    data = {i: (t or "").encode() for i, t in rows}
+    groups = {}
+    for r in repeat_groups(df, window=45, group=group).collect():
+        groups.setdefault((r.repeat, r.length), set()).add((r.doc_id, r.start))
+    covered_bytes = set()
+    for (_, n), places in groups.items():
+        strings = {data[d][s : s + n] for d, s in places}
+        assert len(strings) == 1 and len(places) > 1
+        (string,) = strings
+        assert places == {(d, s) for d, x in data.items() for s in range(len(x) - n + 1) if x[s : s + n] == string}
+        covered_bytes |= {(d, k) for d, s in places for k in range(s, s + n)}
+    want = {(i, k) for (i, _), (_, mask) in zip(rows, brute(rows, 45, lambda t: list((t or "").encode())), strict=True) for k, m in enumerate(mask) if m}
+    assert groups and covered_bytes == want
+
+
+def test_common_prefixes_in_bytes():
+    rnd = random.Random(4)
+    for _ in range(40):
+        texts = ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 60))) for _ in range(4)] + ["a" * 30, "a" * 33]
+        flat = np.frombuffer("".join(texts).encode(), np.uint8)
+        off = np.append(0, np.cumsum([len(t) for t in texts]))
+        ends = np.repeat(off[1:], np.diff(off))
+        order = suffix.suffix_array(flat, ends)
+        tails = [flat[i : ends[i]].tobytes() for i in order]
+        assert tails == sorted(tails)
+        want = [0] + [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(tails, tails[1:], strict=False)]
+        assert suffix.common_prefixes(flat, order, ends).tolist() == want
 
 
 def test_interval_tree_gives_maximal_repeats():
@@ -90,7 +115,7 @@ def test_interval_tree_gives_maximal_repeats():
         texts = ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 25))) for _ in range(3)]
         flat = np.frombuffer("".join(texts).encode(), np.uint8)
         off = np.append(0, np.cumsum([len(t) for t in texts]))
-        got = {(n, tuple(s.tolist())) for n, s in suffix.repeat_groups(flat, off, 3)}
+        got = {(n, tuple(s.tolist())) for n, s in suffix.passage_repeats(flat, off, 3)}
         occ = {}
         for k, t in enumerate(texts):
             for i in range(len(t)):

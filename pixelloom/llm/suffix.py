@@ -31,7 +31,7 @@ from pixelloom.llm import _repeats as R
 
 GRAM = 40
 #: Different passages of one anchor that one suffix array takes.
-GROUP = 512
+GROUP = 2048
 #: Bytes of passages that one suffix array takes, more only if a single anchor has more.
 CHUNK_BYTES = 1 << 19
 

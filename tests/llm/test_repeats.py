@@ -53,7 +53,7 @@ def test_word_windows_match_brute_force(spark):
     assert sum(r.n_removed for r in got.values()) > 100
 
 
-@pytest.mark.parametrize(("gram", "group"), [(40, 512), (6, 512), (6, 1)])
+@pytest.mark.parametrize(("gram", "group"), [(40, 2048), (6, 2048), (6, 1)])
 def test_byte_strings_match_brute_force(spark, gram, group, monkeypatch):
     """Also with anchors so short that many passages share them, and with every such anchor dealt out by longer ones."""
     monkeypatch.setattr(suffix, "GRAM", gram)
@@ -75,7 +75,7 @@ def test_repeated_and_null_ids_are_separate_rows(spark):
     assert dedup_byte_strings(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("group", [512, 1])
+@pytest.mark.parametrize("group", [2048, 1])
 def test_groups_hold_all_occurrences(spark, group, monkeypatch):
     monkeypatch.setattr(suffix, "GRAM", 6)
     rows = [(i, t) for i, t in corpus(3) if i < 40]

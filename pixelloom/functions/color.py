@@ -65,15 +65,20 @@ def from_oklab(lab: list[Column]) -> Column:
 
 def balanced(r: Column, g: Column, b: Column, light_shift: float = 0.0) -> Column:
     """Lightness and chroma kept in bounds at the same hue; chroma shrinks until the colour is in gamut."""
-    lab = oklab(r, g, b)
-    light = clamp(lab[0] + light_shift, LIGHT_LOW, LIGHT_HIGH)
-    most, angle = F.least(F.hypot(lab[1], lab[2]), F.lit(CHROMA_LIMIT)), F.atan2(lab[2], lab[1])
-    first = F.aggregate(
-        F.sequence(F.lit(0), F.lit(CHROMA_TRIES - 1)),
-        F.lit(None).cast("struct<r:int,g:int,b:int>"),
-        lambda found, i: F.coalesce(found, from_oklab([light, most * F.pow(F.lit(CHROMA_STEP), i) * F.cos(angle), most * F.pow(F.lit(CHROMA_STEP), i) * F.sin(angle)])),
-    )
-    return F.coalesce(first, F.struct(*(clamp(c, 0, 255).cast("int").alias(n) for c, n in zip((r, g, b), "rgb", strict=True))))
+
+    def in_gamut(lab: Column) -> Column:
+        most, angle = F.least(F.hypot(lab[1], lab[2]), F.lit(CHROMA_LIMIT)), F.atan2(lab[2], lab[1])
+        seed = F.array(clamp(lab[0] + light_shift, LIGHT_LOW, LIGHT_HIGH), most * F.cos(angle), most * F.sin(angle))
+        return _bound(seed, lambda s: F.aggregate(tries, none, lambda found, i: F.coalesce(found, from_oklab([s[0], *(s[k] * F.pow(F.lit(CHROMA_STEP), i) for k in (1, 2))]))))
+
+    tries, none = F.sequence(F.lit(0), F.lit(CHROMA_TRIES - 1)), F.lit(None).cast("struct<r:int,g:int,b:int>")
+    own = F.struct(*(clamp(c, 0, 255).cast("int").alias(n) for c, n in zip((r, g, b), "rgb", strict=True)))
+    return F.coalesce(_bound(F.array(*oklab(r, g, b)), in_gamut), own)
+
+
+def _bound(value: Column, body) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def output_color(r: Column, g: Column, b: Column, mode: str, role: Column | None = None, light_shift: float = 0.0) -> Column:

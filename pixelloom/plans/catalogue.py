@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions import color, scalars
-from pixelloom.operators import aggregates, document, geometry, joins, masks, palette, regions, stencils, validate
+from pixelloom.operators import aggregates, detect, document, geometry, joins, masks, palette, regions, stencils, validate
 from pixelloom.operators import components as K
 from pixelloom.operators.masks import PIXEL
+from pixelloom.plans.abstraction import abstraction
+from pixelloom.plans.options import Options
 from pixelloom.sources import raster
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,14 +68,22 @@ def _round(c: Column | str, places: int = 6) -> Column:
     return F.round(c, places) + 0.0
 
 
-def query(sql: str | None = None):
-    def register(f):
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
+def registrar(queries: dict[str, Callable], sqls: dict[str, str]):
+    """A decorator that registers a query, with the SQL that defines its result."""
 
-    return register
+    def query(sql: str | None = None):
+        def register(f):
+            queries[f.__name__] = f
+            if sql is not None:
+                sqls[f.__name__] = sql
+            return f
+
+        return register
+
+    return query
+
+
+query = registrar(_QUERIES, _SQL)
 
 
 # ---------------------------------------------------------------- colour
@@ -99,10 +109,15 @@ def _sql_dot(row, cols) -> str:
     return "(" + " + ".join(f"({w}::DOUBLE) * {c}" for w, c in zip(row, cols, strict=True)) + ")"
 
 
+# The CSS Color 4 matrices, written again for the SQL.
+_TO_LMS = ((0.4122214708, 0.5363325363, 0.0514459929), (0.2119034982, 0.6806995451, 0.1073969566), (0.0883024619, 0.2817188376, 0.6299787005))
+_TO_LAB = ((0.2104542553, 0.7936177850, -0.0040720468), (1.9779984951, -2.4285922050, 0.4505937099), (0.0259040371, 0.7827717662, -0.8086757660))
+_BACK_TO_LMS = ((1.0, 0.3963377774, 0.2158037573), (1.0, -0.1055613458, -0.0638541728), (1.0, -0.0894841775, -1.2914855480))
+_BACK_TO_RGB = ((4.0767416621, -3.3077115913, 0.2309699292), (-1.2684380046, 2.6097574011, -0.3413193965), (-0.0041960863, -0.7034186147, 1.7076147010))
 _LAB = (
     _RGB
-    + f", lin AS (SELECT *, {', '.join(_sql_linear(c) + f' AS l{c}' for c in 'rgb')} FROM rgb), root AS (SELECT *, {', '.join(f'cbrt({_sql_dot(row, ["lr", "lg", "lb"])}) AS k{i}' for i, row in enumerate(color.RGB_TO_LMS))} FROM lin), "
-    + f"lab AS (SELECT image_id, y, x, r, g, b, {', '.join(f'{_sql_dot(row, ["k0", "k1", "k2"])} AS {n}' for n, row in zip(('L', 'a', 'bb'), color.LMS_TO_LAB, strict=True))} FROM root)"
+    + f", lin AS (SELECT *, {', '.join(_sql_linear(c) + f' AS l{c}' for c in 'rgb')} FROM rgb), root AS (SELECT *, {', '.join(f'cbrt({_sql_dot(row, ["lr", "lg", "lb"])}) AS k{i}' for i, row in enumerate(_TO_LMS))} FROM lin), "
+    + f"lab AS (SELECT image_id, y, x, r, g, b, {', '.join(f'{_sql_dot(row, ["k0", "k1", "k2"])} AS {n}' for n, row in zip(('L', 'a', 'bb'), _TO_LAB, strict=True))} FROM root)"
 )
 
 
@@ -118,8 +133,8 @@ def oklab_projection(spark, sf_dir):
 
 
 _SQL_BACK = (
-    f"c AS (SELECT *, {', '.join(f'pow({_sql_dot(row, ["L", "a2", "b2"])}, 3) AS c{i}' for i, row in enumerate(color.LAB_TO_LMS))} FROM s), "
-    f"o AS (SELECT *, {', '.join(f'{_sql_dot(row, ["c0", "c1", "c2"])} AS o{i}' for i, row in enumerate(color.LMS_TO_RGB))} FROM c)"
+    f"c AS (SELECT *, {', '.join(f'pow({_sql_dot(row, ["L", "a2", "b2"])}, 3) AS c{i}' for i, row in enumerate(_BACK_TO_LMS))} FROM s), "
+    f"o AS (SELECT *, {', '.join(f'{_sql_dot(row, ["c0", "c1", "c2"])} AS o{i}' for i, row in enumerate(_BACK_TO_RGB))} FROM c)"
 )
 
 
@@ -142,13 +157,7 @@ s AS (SELECT image_id, avg(lum) FILTER (y < height * 0.58) AS top, quantile_cont
 SELECT image_id, round(top, 6) AS top_luminance, round(low_warm, 6) AS low_warmth, round(top_warm, 6) AS top_warmth, top < 82 AND low_warm > top_warm + 13 AS night FROM s""")
 def luminance_warmth_gate(spark, sf_dir):
     rows = _rgb(spark, sf_dir)
-    return night_gate(rows).select("image_id", F.round("top", 6).alias("top_luminance"), F.round("low_warm", 6).alias("low_warmth"), F.round("top_warm", 6).alias("top_warmth"), "night")
-
-
-def night_gate(pixels: DataFrame) -> DataFrame:
-    from pixelloom.operators.detect import night_gate as gate
-
-    return gate(pixels)
+    return detect.night_gate(rows).select("image_id", F.round("top", 6).alias("top_luminance"), F.round("low_warm", 6).alias("low_warmth"), F.round("top_warm", 6).alias("top_warmth"), "night")
 
 
 @query(f"WITH {_RGB} SELECT image_id, y, round(sum(sqrt(pow((r-100)*0.30::DOUBLE, 2) + pow((g-100)*0.59::DOUBLE, 2) + pow((b-100)*0.11::DOUBLE, 2)) / 255.0), 6) AS distance FROM rgb GROUP BY 1, 2")
@@ -238,19 +247,22 @@ def box_mean_contrast(spark, sf_dir):
     return gray.join(means, PIXEL).select(*PIXEL, _round(F.col("v") - F.col("mean")).alias("contrast"))
 
 
-def _sql_convolve(table: str, axis: str, kernel: list[float]) -> str:
+def _sql_convolve(table: str, axis: str, radius: float) -> str:
+    """A Gaussian of a radius, cut at three of them, that sums to one; ends extended."""
     part, order = ("image_id, y", "x") if axis == "x" else ("image_id, x", "y")
+    reach = -int(-3 * radius // 1)
     first, last = (f"{f}(v) OVER (PARTITION BY {part} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)" for f in ("first_value", "last_value"))
-    terms = [f"v * {kernel[0]!r}::DOUBLE"] + [f"(coalesce(lag(v, {d}) OVER w, {first}) + coalesce(lead(v, {d}) OVER w, {last})) * {w!r}::DOUBLE" for d, w in enumerate(kernel[1:], 1)]
-    return f"SELECT image_id, y, x, {' + '.join(terms)} AS v FROM {table} WINDOW w AS (PARTITION BY {part} ORDER BY {order})"
+    bell = [f"exp(-0.5::DOUBLE * pow({d} / {radius}::DOUBLE, 2))" for d in range(reach + 1)]
+    terms = ["v"] + [f"(coalesce(lag(v, {d}) OVER w, {first}) + coalesce(lead(v, {d}) OVER w, {last})) * {bell[d]}" for d in range(1, reach + 1)]
+    return f"SELECT image_id, y, x, ({' + '.join(terms)}) / (1 + 2 * ({' + '.join(bell[1:])})) AS v FROM {table} WINDOW w AS (PARTITION BY {part} ORDER BY {order})"
 
 
-@query(f"WITH {_GRAY}, a AS ({_sql_convolve('gray', 'x', stencils.weights(1.4))}), b AS ({_sql_convolve('a', 'y', stencils.weights(1.4))}) SELECT image_id, y, x, round(v, 6) AS soft FROM b")
+@query(f"WITH {_GRAY}, a AS ({_sql_convolve('gray', 'x', 1.4)}), b AS ({_sql_convolve('a', 'y', 1.4)}) SELECT image_id, y, x, round(v, 6) AS soft FROM b")
 def gaussian_separable(spark, sf_dir):
     return stencils.gaussian(_gray(spark, sf_dir), "v", 1.4, "soft").select(*PIXEL, F.round("soft", 6).alias("soft"))
 
 
-@query(f"WITH {_GRAY}, a AS ({_sql_convolve('gray', 'x', stencils.weights(2.3))}), b AS ({_sql_convolve('a', 'y', stencils.weights(2.3))}) SELECT g.image_id, y, x, round(g.v - b.v, 6) + 0.0 AS detail FROM gray g JOIN b USING (image_id, y, x)")
+@query(f"WITH {_GRAY}, a AS ({_sql_convolve('gray', 'x', 2.3)}), b AS ({_sql_convolve('a', 'y', 2.3)}) SELECT g.image_id, y, x, round(g.v - b.v, 6) + 0.0 AS detail FROM gray g JOIN b USING (image_id, y, x)")
 def high_pass_detail(spark, sf_dir):
     return stencils.high_pass(_gray(spark, sf_dir), "v").select(*PIXEL, _round("detail").alias("detail"))
 
@@ -662,9 +674,6 @@ def point_highlights(spark, sf_dir):
 
 @query()
 def svg_documents(spark, sf_dir):
-    from pixelloom.plans.abstraction import abstraction
-    from pixelloom.plans.options import Options
-
     return abstraction(_rgb(spark, sf_dir), Options(palette_size=4, max_shapes=6)).select("image_id", "svg", "plan")
 
 

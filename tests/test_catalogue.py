@@ -1,10 +1,10 @@
 import pytest
 
-from pixelloom.plans import catalogue
+from pixelloom.plans import catalogue, details
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
+QUERIES, SQL = catalogue.queries() | details.queries(), catalogue.oracle_sql() | details.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.operators.masks import PIXEL, complement
@@ -110,12 +110,12 @@ def holes(mask: DataFrame, frames: DataFrame) -> DataFrame:
     return parts.join(edge, ["image_id", "component"], "left_anti").select(*PIXEL, "component")
 
 
-def filled(mask: DataFrame, frames: DataFrame, most: int | None = None) -> DataFrame:
-    """A mask with its holes filled, those of at most `most` pixels if given."""
+def filled(mask: DataFrame, frames: DataFrame, most: int | Column | None = None) -> DataFrame:
+    """A mask with its holes filled, those of at most `most` pixels if given: a number, or a column of frames."""
     inner = holes(mask, frames)
     if most is not None:
         inner = stored(inner)
-        small = inner.groupBy("image_id", "component").count().where(F.col("count") <= most)
+        small = inner.groupBy("image_id", "component").agg(F.count("*").alias("area")).join(frames, "image_id").where(F.col("area") <= most)
         inner = inner.join(small, ["image_id", "component"], "left_semi")
     return mask.select(PIXEL).unionByName(inner.select(PIXEL))
 

@@ -77,64 +77,107 @@ def quadrant_confidence(labelled: DataFrame, frames: DataFrame, margin: str = "m
     return s.select(*keys, (base - F.when(collapsed | fragmented, 0.16).otherwise(0.0)).alias("confidence"))
 
 
-def perspective_corridor(pixels: DataFrame, frames: DataFrame, grid: int = 7) -> DataFrame:
-    """(image_id, vx, vy, score): the vanishing point whose two edges to the lower corners follow strong gradients. The
-    candidates are a fixed grid, so the pairing of left and right edges is bounded for an image."""
+def _grid(low: float, high: float, size: str, step: float, least: int) -> Column:
+    """Places from a share of the size up to but without another, a share of it apart."""
+    at = lambda share: F.rint(F.col(size) * share).cast("int")
+    return F.sequence(at(low), at(high) - 1, F.greatest(F.lit(least), at(step)))
+
+
+def perspective_corridor(pixels: DataFrame, frames: DataFrame) -> DataFrame:
+    """(image_id, vx, vy, lx, rx, score): the vanishing point whose edges to two feet on the lowest row follow strong
+    gradients best, if it lies high enough, spans enough of the row, both edges are strong and the field between is dark.
+
+    Points and feet stand on grids that are shares of the frame, so an image has a bounded number of candidates; what the
+    best one lacks is not sought in others.
+    """
     rows = K.stored(stencils.gradient_magnitude(with_oklab(pixels), "L", "gradient").select(*PIXEL, "L", "gradient"))
-    step = lambda lo, hi, i: F.lit(lo) + (F.lit(hi) - lo) * i / (grid - 1)
-    spots = frames.select("image_id", "width", "height", F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1))).alias("k"))
-    spots = spots.withColumn("vx", F.rint(step(0.38, 0.63, F.col("k") % grid) * F.col("width")).cast("int")).withColumn("vy", F.rint(step(0.42, 0.63, F.floor(F.col("k") / grid)) * F.col("height")).cast("int"))
-    spots = spots.where(F.col("vy") <= F.col("height") * 0.56)
-    ends = spots.select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("e"), F.explode(F.array(F.lit("left"), F.lit("right"))).alias("side"))
-    foot = F.when(F.col("side") == "left", F.col("e") / 5 * 0.30).otherwise(F.lit(1.0) - F.col("e") / 5 * 0.30)
-    lines = ends.select("image_id", (F.col("k") * 12 + F.col("e") * 2 + (F.col("side") == "right").cast("int")).cast("long").alias("line"), F.col("vx").alias("x0"), F.col("vy").alias("y0"), F.rint(foot * (F.col("width") - 1)).cast("int").alias("x1"), (F.col("height") - 1).alias("y1"))
-    power = joins.along(lines, rows, "gradient").join(lines, ["image_id", "line"])
-    power = power.withColumn("right", F.col("line") % 2 == 1)
-    side = lambda r, n: power.where(F.col("right") == r).groupBy("image_id", "x0", "y0").agg(F.max_by(F.struct("mean", "x1"), F.struct("mean", -F.col("line"))).alias(n))
-    both = side(False, "l").join(side(True, "r"), ["image_id", "x0", "y0"]).join(frames, "image_id")
-    span = (F.col("r.x1") - F.col("l.x1")) / F.col("width")
-    score = F.least("l.mean", "r.mean") * scalars.symmetry(F.col("x0") - F.col("l.x1"), F.col("r.x1") - F.col("x0")) * scalars.centre_prior(F.col("x0"), F.col("width"))
-    both = both.withColumn("score", score).where((span >= 0.72) & (F.col("score") >= 0.015))
-    light = rows.groupBy("image_id").agg(F.median("L").alias("light")).where("light >= 0.42")
-    best = aggregates.best(both.withColumnRenamed("x0", "vx").withColumnRenamed("y0", "vy"), ["image_id"], "score", F.col("vy") * 100_000 + F.col("vx"), ["vx", "vy", "score"])
-    return best.join(light.select("image_id"), "image_id", "left_semi")
+    spots = frames.select("image_id", "width", "height", F.explode(_grid(0.42, 0.63, "height", 0.025, 2)).alias("vy")).withColumn("vx", F.explode(_grid(0.38, 0.63, "width", 0.025, 4)))
+    feet = F.concat(_grid(0.02, 0.39, "width", 0.035, 5), _grid(0.61, 0.99, "width", 0.035, 5))
+    lines = spots.withColumn("foot", F.explode(feet)).withColumn("line", F.struct("vx", "vy", "foot"))
+    lines = lines.select("image_id", "line", F.col("vx").alias("x0"), F.col("vy").alias("y0"), F.col("foot").alias("x1"), (F.col("height") - 1).alias("y1"))
+    power = K.stored(joins.along(lines, rows, "gradient").select("image_id", "line.vx", "line.vy", "line.foot", "mean").join(frames, "image_id"))
+    left, right = power.where("foot < width * 0.5").withColumnsRenamed({"foot": "lx", "mean": "l"}), power.where("foot > width * 0.5").select("image_id", "vx", "vy", F.col("foot").alias("rx"), F.col("mean").alias("r"))
+    pairs = left.join(right, ["image_id", "vx", "vy"])
+    score = F.sqrt(F.greatest(F.lit(0.0), F.col("l") * F.col("r"))) * (scalars.symmetry(F.col("vx") - F.col("lx"), F.col("rx") - F.col("vx")) * 0.22 + 0.78) * scalars.centre_prior(F.col("vx"), F.col("width"))
+    order = F.struct(score.alias("score"), "l", "r", "vx", "vy", "lx", "rx")
+    best = pairs.groupBy("image_id", "width", "height").agg(F.max(order).alias("b")).select("image_id", "width", "height", "b.*")
+    best = K.stored(best.where("vy <= height * 0.56 and rx - lx >= width * 0.72 and least(l, r) >= 0.015").select("image_id", "vx", "vy", "lx", "rx", "score"))
+    inset = F.greatest(F.lit(2), F.rint(F.col("width") * 0.035).cast("int"))
+    core = corridor_mask(best, frames).join(frames, "image_id").where((F.col("x") >= inset) & (F.col("x") < F.col("width") - inset))
+    dark = core.join(rows, PIXEL).groupBy("image_id").agg(F.median("L").alias("light")).where("light < 0.42")
+    return best.join(dark.select("image_id"), "image_id", "left_semi")
 
 
 def corridor_mask(found: DataFrame, frames: DataFrame) -> DataFrame:
-    """Rows below the vanishing point, widening toward the bottom edge."""
+    """Rows below the vanishing point, widening toward the two feet on the lowest row."""
     rows = found.join(frames, "image_id").withColumn("y", F.explode(F.sequence("vy", F.col("height") - 1)))
     t = F.pow((F.col("y") - F.col("vy")) / F.greatest(F.lit(1), F.col("height") - 1 - F.col("vy")), F.lit(0.88))
-    low, high = F.rint(F.col("vx") * (F.lit(1.0) - t)).cast("int"), F.rint(F.col("vx") + (F.col("width") - 1 - F.col("vx")) * t).cast("int")
-    return rows.select("image_id", "y", F.explode(F.sequence(low, high)).alias("x"))
+    half = F.greatest(F.lit(3), F.rint(F.col("width") * 0.018).cast("int"))
+    edge = lambda begin, end: F.rint(begin + (F.col(end) - begin) * t).cast("int")
+    low, high = F.greatest(F.lit(0), edge(F.col("vx") - half, "lx")), F.least(F.col("width") - 1, edge(F.col("vx") + half, "rx"))
+    return rows.where(low <= high).select("image_id", "y", F.explode(F.sequence(low, high)).alias("x"))
 
 
 def silhouette(pixels: DataFrame, frames: DataFrame) -> DataFrame:
-    """Pixels of the most salient component that differs from its row's surroundings: neither too small nor too large, within
-    the middle rows."""
+    """Pixels of the most salient component that is darker than its rows' surroundings: neither too small nor too large, about
+    the middle rows. A subject that runs on into its reflection is cut below the horizon, see tapered."""
     rows = with_oklab(pixels)
-    radius = F.greatest(F.lit(4), F.floor(F.count("*") * 0.12).cast("int"))
-    gap = rows.join(stencils.reflected_mean(rows, "L", radius, "around"), PIXEL).withColumn("gap", F.abs(F.col("L") - F.col("around")))
-    strong = masks.zone(masks.above_percentile(gap, "gap", 0.88, 0.045), frames, y=(0.28, 0.92))
-    parts = K.stored(K.components(stencils.closed(strong, 5, frames)))
-    size = K.measures(parts).join(frames, "image_id").withColumn("share", F.col("area") / (F.col("width") * F.col("height"))).where("share between 0.003 and 0.15 and x1 - x0 + 1 <= width * 0.6 and y1 - y0 + 1 <= height * 0.7")
+    radius = F.greatest(F.lit(4), F.rint(F.count("*") * 0.12).cast("int"))
+    gap = K.stored(rows.join(stencils.reflected_mean(rows, "L", radius, "around"), PIXEL).withColumn("gap", F.col("around") - F.col("L")).select(*PIXEL, "L", "bb", "gap").join(frames, "image_id"))
+    row = lambda share: F.rint(F.col("height") * share)
+    limit = gap.where((F.col("y") >= row(0.28)) & (F.col("y") < row(0.90))).groupBy("image_id").agg(F.greatest(F.lit(0.045), F.percentile("gap", F.lit(0.88))).alias("limit"))
+    strong = gap.join(limit, "image_id").where((F.col("gap") > F.col("limit")) & (F.col("y") >= row(0.28)) & (F.col("y") < row(0.92))).select(PIXEL)
+    parts = K.stored(K.components(stencils.closed(strong, 7, frames)))
+    size = K.measures(parts).join(frames, "image_id").withColumn("w", F.col("x1") - F.col("x0") + 1).withColumn("h", F.col("y1") - F.col("y0") + 1)
+    size = size.where("area between width * height * 0.003 and width * height * 0.15 and w between width * 0.04 and width * 0.38 and h between height * 0.10 and height * 0.55 and y0 < height * 0.68 and y1 > height * 0.48")
     power = parts.join(gap.select(*PIXEL, "gap"), PIXEL).groupBy("image_id", "component").agg(F.avg("gap").alias("gap")).join(size, ["image_id", "component"])
-    best = aggregates.best(power.withColumn("score", F.col("gap") * F.sqrt("area")), ["image_id"], "score", "component", ["component", "score"])
-    return parts.join(best, ["image_id", "component"], "left_semi").select(PIXEL)
+    best = aggregates.best(power.withColumn("score", F.col("gap") * F.sqrt("area") * F.col("h") / F.col("height")), ["image_id"], "score", "component", ["component", "score", "x0", "x1", "y1"]).where("score >= 2.0")
+    best = K.stored(best)
+    subject = tapered(K.stored(parts.join(best, ["image_id", "component"], "left_semi").select(PIXEL)), best, gap, frames)
+    clearance = F.greatest(F.lit(1), F.rint(F.least("width", "height") * 0.040).cast("int"))
+    return stencils.smoothed_boundary(K.filled(K.stored(subject), frames, clearance * clearance), 1.2, frames)
+
+
+def tapered(subject: DataFrame, boxes: DataFrame, pixels: DataFrame, frames: DataFrame) -> DataFrame:
+    """A subject without its reflection. The horizon is the row where tint and lightness to the right of the subject change
+    most; a subject that reaches far below it ends a little lower, narrowing to a trunk about its dark middle.
+
+    boxes (image_id, x1, y1) of the subject; pixels with L and bb. Images without room to the right stay as they are.
+    """
+    right = F.least(F.col("width") - 2, F.col("x1") + F.greatest(F.lit(3), F.rint(F.col("width") * 0.05).cast("int")))
+    beside = pixels.drop("width", "height").join(boxes.join(frames, "image_id").withColumn("right", right), "image_id").where((F.col("x") >= F.col("right")) & (F.col("width") - F.col("right") >= F.greatest(F.lit(8.0), F.rint(F.col("width") * 0.12))))
+    lines = beside.groupBy("image_id", "height", "y").agg(F.median("bb").alias("tint"), F.median("L").alias("light")).withColumn("x", F.lit(0))
+    change = F.abs(stencils.central_gradient("tint", "y")) + F.abs(stencils.central_gradient("light", "y")) * 0.5
+    lines = lines.withColumn("change", change).where((F.col("y") >= F.rint(F.col("height") * 0.50)) & (F.col("y") < F.rint(F.col("height") * 0.72)))
+    horizon = aggregates.best(lines, ["image_id"], "change", "y", ["y"]).withColumnRenamed("y", "horizon").join(frames, "image_id").join(boxes.select("image_id", "y1"), "image_id")
+    horizon = horizon.withColumn("bottom", F.least(F.col("height") - 1, F.col("horizon") + F.rint(F.col("height") * 0.09).cast("int"))).where("y1 - bottom > height * 0.10")
+    lower = K.stored(subject.join(horizon, "image_id").where(F.col("y") >= F.col("horizon") - F.rint(F.col("height") * 0.03)).join(pixels.select(*PIXEL, "L"), PIXEL))
+    dark = lower.join(lower.groupBy("image_id").agg(F.percentile("L", F.lit(0.45)).alias("limit")), "image_id").where("L <= limit")
+    trunk = horizon.join(dark.groupBy("image_id").agg(F.rint(F.median("x")).alias("middle")), "image_id").select("image_id", "horizon", "bottom", "middle", "width")
+    rows = subject.join(trunk, "image_id", "left")
+    t = (F.col("y") - F.col("horizon")) / F.greatest(F.lit(1), F.col("bottom") - F.col("horizon"))
+    half = F.rint(F.col("width") * (F.lit(0.12) * (F.lit(1.0) - t) + t * 0.03))
+    keep = F.col("horizon").isNull() | (F.col("y") < F.col("horizon")) | ((F.col("y") <= F.col("bottom")) & (F.abs(F.col("x") - F.col("middle")) <= half))
+    return rows.where(keep).select(PIXEL)
 
 
 def cool_shore(pixels: DataFrame, frames: DataFrame) -> DataFrame:
-    """Cool pixels below the horizon of an image that is warm above and cool below, in a component that reaches the right and
-    the lower part."""
-    rows = with_oklab(pixels).join(frames, "image_id")
-    lines = rows.groupBy("image_id", "y", "height").agg(F.median("bb").alias("tint"))
-    jump = lines.withColumn("jump", F.lag("tint", 2).over(Window.partitionBy("image_id").orderBy("y")) - F.lead("tint", 2).over(Window.partitionBy("image_id").orderBy("y"))).where("y between height * 0.35 and height * 0.58 and jump is not null")
-    horizon = aggregates.best(jump, ["image_id"], "jump", "y", ["y"]).withColumnRenamed("y", "horizon")
-    cut = lines.join(horizon, "image_id").groupBy("image_id", "horizon").agg(F.avg(F.when(F.col("y") < F.col("horizon"), F.col("tint"))).alias("warm"), F.avg(F.when(F.col("y") >= F.col("horizon"), F.col("tint"))).alias("cool"))
-    cut = cut.where("warm > 0.015 and cool < 0 and warm - cool > 0.035")
-    cold = rows.join(cut, "image_id").where("y >= horizon and bb < 0").select(PIXEL)
-    parts = K.stored(K.components(stencils.closed(cold, 5, frames)))
-    good = K.measures(parts).join(frames, "image_id").where("area >= width * height * 0.04 and x1 = width - 1 and x1 - x0 + 1 >= width * 0.45 and y1 >= height * 0.85")
-    return parts.join(good, ["image_id", "component"], "left_semi").select(PIXEL)
+    """A cool field below the horizon that enters from the right and reaches down, where the lower left is warm and the middle
+    right is cool; the largest one of an image, its boundary smoothed and its holes filled."""
+    rows = K.stored(with_oklab(pixels).join(frames, "image_id").select(*PIXEL, "bb", "width", "height"))
+    at = lambda size, share: F.rint(F.col(size) * share)
+    near = (F.col("y") >= at("height", 0.65)) & (F.col("x") < at("width", 0.45))
+    far = F.col("x") >= at("width", 0.55)
+    middle = far & (F.col("y") >= at("height", 0.43)) & (F.col("y") < at("height", 0.64))
+    tint = rows.groupBy("image_id").agg(F.median(F.when(near, F.col("bb"))).alias("warm"), F.median(F.when(middle, F.col("bb"))).alias("cool")).where("warm > 0.015 and cool < 0 and warm - cool > 0.035")
+    lines = rows.where(far).groupBy("image_id", "height", "y").agg(F.median("bb").alias("tint")).withColumn("x", F.lit(0))
+    lines = lines.withColumn("change", F.abs(stencils.central_gradient("tint", "y"))).where((F.col("y") >= at("height", 0.35)) & (F.col("y") < at("height", 0.58)))
+    horizon = aggregates.best(lines, ["image_id"], "change", "y", ["y"]).withColumnRenamed("y", "horizon")
+    cold = rows.join(tint.join(horizon, "image_id"), "image_id").where((F.col("y") >= F.col("horizon")) & (F.col("bb") < (F.col("warm") + F.col("cool")) * 0.5)).select(PIXEL)
+    parts = K.stored(K.components(stencils.closed(cold, 9, frames)))
+    good = K.measures(parts).join(frames, "image_id").where("area >= width * height * 0.04 and x1 >= width - 3 and x1 - x0 >= width * 0.45 and y1 >= height * 0.85")
+    best = aggregates.best(good, ["image_id"], "area", "component", ["component"])
+    return K.filled(K.stored(stencils.smoothed_boundary(parts.join(best, ["image_id", "component"], "left_semi"), 1.2, frames)), frames)
 
 
 def compact_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:

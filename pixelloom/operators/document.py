@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelloom.functions import color
 from pixelloom.functions.color import rgb_hex
 from pixelloom.functions.scalars import fixed, xml_escape
 from pixelloom.operators import stencils
@@ -56,30 +57,32 @@ def particle_element(kind: Column, x: Column, y: Column, length: Column, angle:
 
 
 def highlights(pixels: DataFrame, frames: DataFrame, seed: int = 17, allowed: DataFrame | None = None) -> DataFrame:
-    """(image_id, n, x, y, r, score): bright points of dark images, no two close together, the brightest 32.
+    """(image_id, n, x, y, r, score): bright points of dark images, no two close together, the best 32.
 
-    A point stands out from its surroundings by more than nearly all others, is bright, and its surroundings are not.
+    A point stands out from its surroundings by more than nearly all others, is bright, and its surroundings are not. Its
+    score is by how much it stands out and a share of its brightness; the distance kept follows the frame.
     """
-    rows = pixels.join(frames, "image_id").withColumn("grey", F.floor(F.col("r") * 0.299 + F.col("g") * 0.587 + F.col("b") * 0.114 + 0.5).cast("double"))
-    rows = stencils.gaussian(rows.withColumn("soft", F.col("grey")), "soft", 2.3).withColumn("score", F.col("grey") - F.col("soft"))
-    upper = rows.where(F.col("y") < F.col("height") * SKY_SHARE)
-    lim = upper.groupBy("image_id").agg(F.avg("grey").alias("mean"), F.greatest(F.lit(9.0), F.percentile("score", F.lit(0.9915))).alias("most"), F.greatest(F.lit(80.0), F.percentile("grey", F.lit(0.82))).alias("bright"))
-    found = upper.join(lim.where(F.col("mean") <= DARK_ENOUGH), "image_id").where("score >= most and grey >= bright and soft <= 145 and x > 0 and x < width - 1 and y > 0")
+    rows = pixels.join(frames, "image_id").withColumn("grey", color.grey(F.col("r"), F.col("g"), F.col("b")).cast("double"))
+    rows = stencils.gaussian(rows.withColumn("soft", F.col("grey")), "soft", 2.3).withColumn("detail", F.col("grey") - F.col("soft"))
+    upper = rows.where(F.col("y") < F.greatest(F.lit(2.0), F.rint(F.col("height") * SKY_SHARE)))
+    lim = upper.groupBy("image_id").agg(F.avg("grey").alias("mean"), F.greatest(F.lit(9.0), F.percentile("detail", F.lit(0.9915))).alias("most"), F.greatest(F.lit(80.0), F.percentile("grey", F.lit(0.82))).alias("bright"))
+    found = upper.join(lim.where(F.col("mean") <= DARK_ENOUGH), "image_id").where("detail >= most and grey >= bright and soft <= 145")
     if allowed is not None:
         found = found.join(allowed.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi")
     enough = found.groupBy("image_id").agg(F.count("*").alias("n")).where("n >= 24").select("image_id")
-    found = found.join(enough, "image_id", "left_semi").select("image_id", "x", "y", "score", "most")
-    kept = spaced(found, 4.0, "score")
+    apart = F.greatest(F.lit(4.0), F.least("width", "height") * 0.022)
+    found = found.join(enough, "image_id", "left_semi").select("image_id", "x", "y", (F.col("detail") + F.col("grey") * 0.18).alias("score"), apart.alias("apart"))
+    kept = spaced(found, "apart", "score")
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "y", "x"))
     draw = F.pmod(F.xxhash64(F.lit(seed), "image_id", "x", "y"), F.lit(1000)) / 1000.0 * 0.24 - 0.12
-    strength = F.least(F.lit(1.0), (F.col("score") - F.col("most")) / F.greatest(F.lit(1.0), F.col("most")))
+    strength = color.clamp(F.col("score") / 170.0, 0.25, 1.0)
     return kept.withColumn("n", rank).where(F.col("n") <= MOST_HIGHLIGHTS).select("image_id", "n", "x", "y", (strength * 1.2 + 0.7 + draw).alias("r"), "score")
 
 
 def documents(frames: DataFrame, layers: DataFrame, ground: DataFrame, points: DataFrame | None = None, particles: DataFrame | None = None, title: str = "Abstraction") -> DataFrame:
     """(image_id, svg): defs, ground, fields in paint order, highlights, and the texture on top.
 
-    layers (image_id, paint, name, path, fill, opacity, gradient); gradient is a definition or null. ground (image_id, fill).
+    layers (image_id, paint, name, path, fill, opacity, gradient); gradient is a definition or null. ground (image_id, fill). points (image_id, n, x, y, r, fill).
     Layers without a path are left out.
     """
 
@@ -95,7 +98,7 @@ def documents(frames: DataFrame, layers: DataFrame, ground: DataFrame, points: D
     empty = F.lit("")
     dots = specks = empty
     if points is not None:
-        out = out.join(ordered(points, circle_element(F.col("x"), F.col("y"), F.col("r"), F.lit("#E8D7CF")), ["n"], "dots"), "image_id", "left")
+        out = out.join(ordered(points, circle_element(F.col("x"), F.col("y"), F.col("r"), F.col("fill")), ["n"], "dots"), "image_id", "left")
         dots = F.coalesce(F.concat(F.lit('<g id="point-highlights">'), F.col("dots"), F.lit("</g>")), empty)
     if particles is not None:
         out = out.join(ordered(particles, particle_element(*(F.col(c) for c in ("kind", "x", "y", "length", "angle", "opacity"))), ["kind", "i"], "specks"), "image_id", "left")

@@ -95,13 +95,14 @@ def along(lines: DataFrame, pixels: DataFrame, value: str, least: int = 8) -> Da
     return spots.join(pixels.select(*PIXEL, value), PIXEL).groupBy("image_id", "line").agg(F.avg(value).alias("mean"))
 
 
-def spaced(points: DataFrame, distance: float, score: str) -> DataFrame:
+def spaced(points: DataFrame, distance: float | str, score: str) -> DataFrame:
     """Points (image_id, x, y, score) of which no two kept ones are closer than a distance, greedily by score: in each round
     a point is kept if nothing left within the distance beats it, and what it covers goes. Cells as wide as the distance
     make the comparison an equi-join of a point with nine cells. Each round decides the best of every neighbourhood, so the
     rounds end when no point is left."""
     from pixelloom.operators.components import stored
 
+    distance = F.col(distance) if isinstance(distance, str) else F.lit(float(distance))  # a column holds one value an image
     rank = F.struct(F.col(score), -F.col("y"), -F.col("x"))
     left = stored(points.withColumn("_r", rank).withColumn("_cx", F.floor(F.col("x") / distance)).withColumn("_cy", F.floor(F.col("y") / distance)))
     kept = None

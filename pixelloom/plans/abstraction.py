@@ -73,8 +73,9 @@ def abstraction(pixels: DataFrame, options: Options = Options()) -> DataFrame:
     canvas = frames.join(scales, "image_id").select("image_id", F.lit(options.width).alias("width"), F.rint(F.col("height") * F.col("scale")).cast("int").alias("height"))
     points = None
     if options.points:
-        found_points = document.highlights(pixels, frames, options.seed).join(scales, "image_id")
-        points = found_points.select("image_id", "n", *(((F.col(c) + 0.5) * F.col("scale")).alias(c) for c in "xy"), (F.col("r") * F.col("scale")).alias("r"))
+        found_points = document.highlights(pixels, frames, options.seed).withColumnRenamed("r", "radius").join(pixels.select(*PIXEL, "r", "g", "b"), PIXEL).join(scales, "image_id")
+        star = color.rgb_hex(*(color.star_color(F.col(c)) for c in "rgb"))
+        points = found_points.select("image_id", "n", *(((F.col(c) + 0.5) * F.col("scale")).alias(c) for c in "xy"), (F.col("radius") * F.col("scale")).alias("r"), star.alias("fill"))
     specks = document.texture(canvas, options.paper, options.paper_density, options.seed) if options.paper_style == "rough" else None
     svg = document.documents(canvas, layers, ground, points, specks)
     plans = layers.groupBy("image_id").agg(

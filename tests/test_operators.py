@@ -274,9 +274,71 @@ def test_focal_detectors_run_on_plain_and_marked_images(spark):
     f = raster.frames(px)
     got = detect.compact_island(px, f).first()
     assert got.kind == "local-contrast"
-    assert detect.silhouette(px.select("image_id", "y", "x", "r", "g", "b"), f).count() > 0
-    assert detect.cool_shore(px.select("image_id", "y", "x", "r", "g", "b"), f).count() == 0
-    assert detect.perspective_corridor(px.select("image_id", "y", "x", "r", "g", "b"), f).count() <= 1
+    for found in (detect.silhouette, detect.cool_shore, detect.perspective_corridor):
+        assert found(px.select("image_id", "y", "x", "r", "g", "b"), f).count() == 0
+
+
+def test_corridor_is_dark_and_between_its_edges(spark):
+    def road(ground, verge):
+        a = np.full((80, 80, 3), 200)
+        a[40:] = verge
+        for y in range(40, 80):
+            t = ((y - 40) / 39) ** 0.88
+            a[y, round(38 - 36 * t) : round(41 + 36 * t)] = ground
+        return a
+
+    for ground, verge, n in ((40, 150, 1), (200, 90, 0)):  # a light road between dark verges is none
+        px = pixels_of(spark, road(ground, verge))
+        f = raster.frames(px)
+        found = detect.perspective_corridor(px, f)
+        assert found.count() == n
+        if n:
+            r = found.first()
+            assert 34 <= r.vx <= 46 and 33 <= r.vy <= 45 and r.lx < 16 and r.rx > 60
+            mask = {(m.y, m.x) for m in detect.corridor_mask(found, f).collect()}
+            assert (79, 40) in mask and (79, r.lx) in mask and (79, r.lx - 1) not in mask and min(y for y, _ in mask) == r.vy
+
+
+def test_silhouette_is_dark_only_and_ends_below_the_horizon(spark):
+    def scene_of(subject):
+        a = np.full((100, 100, 3), 190)
+        a[60:] = (120, 140, 170)  # horizon to the right of the subject at row 60
+        a[35:88, 38:58] = subject
+        return a
+
+    px = pixels_of(spark, scene_of(20))
+    f = raster.frames(px)
+    got = {(r.y, r.x) for r in detect.silhouette(px, f).collect()}
+    rows = [y for y, _ in got]
+    assert (45, 48) in got and min(rows) <= 37 and 60 < max(rows) <= 72
+    assert detect.silhouette(pixels_of(spark, scene_of(250)), f).count() == 0
+
+
+def test_cool_shore_is_below_a_warm_foreground(spark):
+    a = np.full((100, 100, 3), 150)
+    a[46:64, 20:] = (90, 120, 210)
+    a[64:, 40:] = (90, 120, 210)
+    a[60:, :40] = (210, 150, 70)
+    px = pixels_of(spark, a)
+    f = raster.frames(px)
+    got = {(r.y, r.x) for r in detect.cool_shore(px, f).collect()}
+    assert (55, 90) in got and (90, 70) in got and (80, 10) not in got and (20, 90) not in got
+    assert detect.cool_shore(pixels_of(spark, a[:, ::-1]), f).count() == 0  # cool left and warm right
+
+
+def test_highlights_score_space_and_size(spark):
+    rnd = np.random.default_rng(0)
+    a = np.full((100, 300, 3), 30)
+    spots = [(y, x) for y in range(5, 80, 12) for x in range(5, 295, 12)]
+    for y, x in spots[:60]:
+        a[y, x] = int(rnd.integers(150, 250))
+        a[y, x + 1] = 140
+    px = pixels_of(spark, a)
+    got = document.highlights(px, raster.frames(px)).orderBy("n").collect()
+    assert len(got) == 32 and [r.score for r in got] == sorted((r.score for r in got), reverse=True)
+    assert all(0.70 + 1.2 * 0.25 - 0.13 <= r.r <= 0.70 + 1.2 + 0.13 for r in got)
+    assert all((p.x - q.x) ** 2 + (p.y - q.y) ** 2 >= 16 for p in got for q in got if p is not q)
+    assert all(a[r.y, r.x].max() >= 150 for r in got)
 
 
 # ---------------------------------------------------------------- documents, validation, sources

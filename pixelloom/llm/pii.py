@@ -1,7 +1,8 @@
 """Personal data and secrets, replaced by keyed surrogates.
 
-1. Detection: spans (kind, text) of each document, by format. Names are a title with capitalised words, or a known given
-   name with what follows it; each part of a name is an entity of its own, so that a later mention by surname follows.
+1. Detection: spans (kind, text) of each document, by format. Names are capitalised words after a title or words that
+   introduce a name, two of them before a verb of saying, or a known given name with what follows it; each part of a name
+   is an entity of its own, so that a later mention by surname follows. Names without any of these are not found.
 2. Surrogates: every distinct (kind, value) of the corpus gets one draw from a stream keyed by (key, kind, value, attempt).
    A draw keeps the type's own rules (checksum, octets, country code), every separator, and the script and case of each
    letter. Given names keep their gender: after two draws from the listed names they are made of syllables with an ending
@@ -11,14 +12,16 @@
    attempt; of several values with one draw the smallest keeps it. So distinct values stay distinct, and equal ones equal.
 4. Replacement: the surrogates join the documents' entities and are put in place.
 
-A null text stays null, has no entities and is left alone, as is every text without entities. Repeated rows are replaced
-alike. Extra columns are ignored; an empty table gives an empty result.
+A null text stays null, has no entities and is left alone, as is every text without entities. Texts are read whole, in time
+linear in their length. Of overlapping entities the kind that is looked for first stays, in the order secret, e-mail, other
+formats, names. Repeated rows are replaced alike. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -55,30 +58,51 @@ _PATTERNS = [
 _DIGIT = re.compile(r"[0-9]")
 _MAIL_RIGHT = re.compile(r"@((?:[\w-]+\.)+[^\W\d_]{2,})")
 _MAIL_LEFT = re.compile(r"[\w.%+'-]+")
-_TITLED = re.compile(r"(?<!\w)(" + "|".join(sorted(_TITLE, key=len, reverse=True)) + r")\.?[ \t]+((?:" + _CAP + r"[ \t]+){0,2}" + _CAP + ")")
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]*::)[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7})(?![\w:])")
+_FULL = "((?:" + _CAP + r"[ \t]+){0,2}" + _CAP + ")"
+_TITLED = re.compile(r"(?<!\w)(" + "|".join(sorted(_TITLE, key=len, reverse=True)) + r")\.?[ \t]+" + _FULL)
+# Words that introduce a name, by the gender they tell; words of saying; capitalised words that are no names.
+_CUES = {
+    "n": ("[Mm]y name is", "[Nn]ame:", "[Ii]ch heiße", "[Mm]ein Name ist", "[Jj]e m['’]appelle", "[Mm]on nom est", "[Mm]e llamo", "[Mm]i nombre es", "[Мм]еня зовут", "Dear", "[Rr]egards,", "[Ss]incerely,"),
+    "f": ("Liebe", "Chère", "Estimada"),
+    "m": ("Lieber", "Cher", "Estimado"),
+}
+_SAYING = "called wrote said asked told replied dijo escribió".split()
+_NO_NAMES = frozenset("The A An My His Her Our Their This That It He She We They You I In On At And But Or If When El La Los Las Un Una Le Les Der Die Das Sir Madam All Friend Friends Team Customer".split())
+_CUED = [(g, re.compile(r"(?<!\w)(?:" + "|".join(cues) + r")\s+" + _FULL)) for g, cues in _CUES.items()]
+_SAID = re.compile(r"(?<!\w)(" + _CAP + r"[ \t]+" + _CAP + r")(?=[ \t]+(?:" + "|".join(_SAYING) + r")(?!\w))")
+_SAID_AT = re.compile(r"[ \t](?:" + "|".join(_SAYING) + r")(?!\w)")
+_CAPS = re.compile(r"(?<!\w)" + _CAP + r"(?!\w)")
 _AFTER = re.compile(r"[ \t]+(" + _CAP + ")")
-_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def _parts(at: int, full: str, gender: str) -> Iterator[tuple[int, int, str]]:
+    """The parts of a full name; the last of several is the surname, a single one a given name if it is listed."""
+    parts = list(re.finditer(_CAP, full))
+    for i, p in enumerate(parts):
+        given = i < len(parts) - 1 or (len(parts) == 1 and p[0] in _GENDER)
+        yield at + p.start(), at + p.end(), f"given_{_GENDER.get(p[0], gender)}" if given else "surname"
 
 
 def _names(text: str) -> Iterator[tuple[int, int, str]]:
-    if any(t in text for t in _TITLE):
-        for m in _TITLED.finditer(text):
-            gender, at = _TITLE[m[1]], m.start(2)
-            parts = list(re.finditer(_CAP, m[2]))
-            for i, p in enumerate(parts):
-                given = i < len(parts) - 1
-                yield at + p.start(), at + p.end(), f"given_{_GENDER.get(p[0], gender)}" if given else "surname"
-    for name in _present(text):
-        for m in re.finditer(rf"(?<!\w){name}(?!\w)", text):
-            yield m.start(), m.end(), f"given_{_GENDER[name]}"
+    for m in _TITLED.finditer(text):
+        yield from _parts(m.start(2), m[2], _TITLE[m[1]])
+    for gender, pattern in _CUED:
+        for m in pattern.finditer(text):
+            if m[1].split()[0] not in _NO_NAMES:
+                yield from _parts(m.start(1), m[1], gender)
+    if _SAID_AT.search(text):
+        for m in _SAID.finditer(text):
+            if _NO_NAMES.isdisjoint(m[1].split()):
+                yield from _parts(m.start(1), m[1], "n")
+    for m in _CAPS.finditer(text):
+        first = re.split("[-'’]", m[0])[0]
+        if first in _GENDER:
+            yield m.start(), m.end(), f"given_{_GENDER[first]}"
             if (after := _AFTER.match(text, m.end())) and after[1] not in _GENDER:
                 yield after.start(1), after.end(1), "surname"
 
 
-def _present(text: str) -> list[str]:
-    return [n for n in _GENDER if n in text]
-
-
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order, without overlaps; of overlapping ones the first found stays."""
     found: list[tuple[int, int, str]] = []
@@ -91,19 +115,28 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         at, last = text.find("@", at + 1), at + 1
     if _DIGIT.search(text):
         found += [(m.start(), m.end(), kind) for kind, p in _PATTERNS for m in p.finditer(text)]
+    if "::" in text or text.count(":") >= 7:
+        found += [(m.start(), m.end(), "ip6") for m in _IP6.finditer(text) if _is_ip6(m[0])]
     found += _names(text)
     values = {text[a:b] for a, b, k in found if k == "surname"}
-    for v in values:  # later mentions by surname alone
-        found += [(m.start(), m.end(), "surname") for m in re.finditer(rf"(?<!\w){re.escape(v)}(?!\w)", text)]
+    if values:  # later mentions by surname alone
+        found += [(m.start(), m.end(), "surname") for m in _CAPS.finditer(text) if m[0] in values]
     out: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))
     for a, b, k in found:
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\x01" * (b - a)
             out.append((a, b, k))
     return sorted(out)
 
 
+def _is_ip6(value: str) -> bool:
+    try:
+        return sum(map(bool, ipaddress.IPv6Address(value).exploded.replace("0", "").split(":"))) > 1
+    except ValueError:
+        return False
+
+
 # ---------------------------------------------------------------- surrogates
 class _Stream:
     """Numbers drawn from HMAC-SHA256 of what is replaced."""
@@ -206,6 +239,13 @@ def _octet(o: str, draw: _Stream) -> str:
     return str(low + draw.below(high - low + 1))
 
 
+def _group(g: str, attempt: int, draw: _Stream) -> str:
+    """Hexadecimal digits for others, of one case; a short group grows once its own digits are used up."""
+    letters = "ABCDEF" if g.isupper() else "abcdef"
+    digits = "".join(letters[draw.below(6)] if c.isalpha() else "123456789"[draw.below(9)] for c in g)
+    return digits if attempt < 4 else digits + "".join("0123456789"[draw.below(10)] for _ in range(4 - len(g)))
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     draw = _Stream(key, kind, value, str(attempt))
     if kind == "email":
@@ -215,6 +255,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return f"{shaped(local, draw)}@{'.'.join([*host, labels[-1]])}"
     if kind == "ip":
         return ".".join(_octet(o, draw) for o in value.split("."))
+    if kind == "ip6":
+        return ":".join(_group(g, attempt, draw) if g else "" for g in value.split(":"))
     if kind == "card":
         digits = "".join(c for c in value if c.isdigit())
         new = digits[0] + shaped("0" * (len(digits) - 1), draw)

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -92,3 +93,57 @@ def test_long_local_parts_are_taken_whole():
     tail = "b" * 150 + "@mail.example.com"
     text = f"x {'a' * 60}{tail} y {'c' * 60}{tail}, z@host.org@"
     assert kinds(text) == [("a" * 60 + tail, "email"), ("c" * 60 + tail, "email"), ("z@host.org", "email")]
+
+
+def test_names_by_what_introduces_them():
+    found = dict(kinds("Hello, my name is Heinrich Vogel. Wolfgang Schmidt called; Vogel replied. Je m'appelle Zoé. Dear Ümit Öz, Lieber Jörg Klein,"))
+    assert found == {"Heinrich": "given_n", "Vogel": "surname", "Wolfgang": "given_n", "Schmidt": "surname", "Zoé": "surname", "Ümit": "given_n", "Öz": "surname", "Jörg": "given_m", "Klein": "surname"}
+    assert dict(kinds("Меня зовут Пётр Котов.")) == {"Пётр": "given_n", "Котов": "surname"}
+    for clean in ("The Company said so.", "Dear Sir", "He Himself wrote it", "Berlin and Paris called back", "my name is short"):
+        assert kinds(clean) == [], clean
+
+
+def test_internet_addresses_of_both_kinds():
+    text = "at 2001:db8::8a2e:370:7334 and FE80:0:0:0:0:0:0:1A or 1:2:3:4:5:6:7:8, not 12:30:45, ::, a::b::c or std::vector"
+    assert dict(kinds(text)) == {"2001:db8::8a2e:370:7334": "ip6", "FE80:0:0:0:0:0:0:1A": "ip6", "1:2:3:4:5:6:7:8": "ip6"}
+    for value in dict(kinds(text)):
+        seen = {pii.surrogate(KEY, "ip6", value, a) for a in range(40)}
+        assert len(seen) > 30 and all(dict(kinds(x)) == {x: "ip6"} for x in seen)
+
+
+def test_long_lists_take_linear_time():
+    many = " ".join(f"u{i}@h{i}.org Mr Abc{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]}" for i in range(30_000))
+    began = time.perf_counter()
+    assert len(pii.spans(many)) == 60_000
+    assert time.perf_counter() - began < 10
+
+
+def brute(texts, key):
+    """Surrogates drawn one value at a time on one machine: of equal draws the smallest value keeps it."""
+    values = sorted({(k, t[a:b]) for t in texts for a, b, k in pii.spans(t)})
+    taken, out, left, attempt = {v for _, v in values}, {}, values, 0
+    while left:
+        draws = {}
+        for kv in left:
+            draws.setdefault(pii.surrogate(key, *kv, attempt), []).append(kv)
+        for new, kvs in draws.items():
+            if new not in taken:
+                out[min(kvs)] = new
+                taken.add(new)
+        left, attempt = [kv for kv in left if kv not in out], attempt + 1
+    done = []
+    for t in texts:
+        at, parts = 0, []
+        for a, b, k in pii.spans(t):
+            parts += [t[at:a], out[k, t[a:b]]]
+            at = b
+        done.append("".join([*parts, t[at:]]))
+    return done
+
+
+def test_whole_texts_against_brute_force(spark):
+    names = [n for ns in pii.GIVEN.values() for n in ns]
+    texts = [f"{n} Berg{'abcdefgh'[i % 8]} at 1.1.1.{i % 9 + 1}, Mrs {n}, {n.lower()}{i}@host.org, my name is Xu Li" for i, n in enumerate(names)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in pii.pseudonymised(df, KEY).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, KEY)

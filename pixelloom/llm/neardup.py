@@ -10,8 +10,10 @@ removes chance meetings, and what remains is joined to a forest, so a bucket giv
 Estimates lie ESTIMATE_SLACK (over five standard deviations) below the threshold.
 
 Verification. Candidate groups, the components of those forests, fetch their documents' full shingle sets and are linked
-exactly. Components of exact links are final. No pair list is ever written: groups beyond BLOCK members are compared
-block by block in tasks of their own.
+exactly. Components of exact links are final. No pair list is ever written. In a group of more than BLOCK members, of a band
+or of candidates, each member is first compared with one pivot, in tasks that share no state; only those that are not linked
+to it are then compared with the others, block by block. A group of near copies of one text thus costs a comparison for
+each member, and only what differs from its pivot costs more.
 
 Missing a link needs all bands to differ: below 1e-5 at similarity 0.8 with the default 64 bands of 8.
 
@@ -208,20 +210,37 @@ class _Forest:
 
 
 def _estimated(threshold: float):
-    """Links between members of a band whose sketches agree well enough, as a forest."""
+    """Links between members of a cell (id, cell, side, small) whose sketches agree well enough, as a forest."""
 
-    def settle(ids: list[int], small: list[bytes]) -> list[tuple[int, int]]:
-        table = np.frombuffer(b"".join(small), np.uint8).reshape(len(ids), -1)
+    def settle(rows: list[tuple]) -> list[tuple[int, int]]:
+        rows, across = _sided(rows)
+        table = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
         need = threshold * table.shape[1]
-        forest = _Forest(len(ids))
-        for i in range(1, len(ids)):
-            near = np.flatnonzero((table[:i] == table[i]).sum(1) >= need)
+        forest = _Forest(len(rows))
+        for i in range(1, len(rows)):
+            near = np.flatnonzero((table[: min(i, across)] == table[i]).sum(1) >= need)
             if len(near):
                 forest.join(i, near)
-        return [(ids[i], ids[j]) for i, j in forest.links]
+        return [(rows[i][0], rows[j][0]) for i, j in forest.links]
+
+    return _by_cell(settle)
+
+
+def _sided(rows: list[tuple]) -> tuple[list[tuple], int]:
+    """Rows by id, side 0 first, and their number on side 0: pairs with neither on side 0 are not compared in this cell."""
+    best: dict[int, tuple] = {}
+    for r in rows:
+        if r[0] not in best or r[2] < best[r[0]][2]:
+            best[r[0]] = r
+    out = sorted(best.values(), key=lambda r: r[2])
+    return out, sum(r[2] == 0 for r in out)
+
+
+def _by_cell(settle):
+    """Links (a, b) of whole cells; rows (id, cell, side, payload) come sorted by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, small = None, [], []
+        cell, rows = None, []
         links: set[tuple[int, int]] = set()
 
         def out() -> pa.RecordBatch:
@@ -230,22 +249,71 @@ def _estimated(threshold: float):
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for k, i, s in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if k != key:
-                    if len(ids) > 1:
-                        links.update(settle(ids, small))
-                    key, ids, small = k, [], []
-                ids.append(i)
-                small.append(s)
+            for r in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if r[1] != cell:
+                    if len(rows) > 1:
+                        links.update(settle(rows))
+                    cell, rows = r[1], []
+                rows.append(r)
             if len(links) > 50_000:
                 yield out()
-        if len(ids) > 1:
-            links.update(settle(ids, small))
+        if len(rows) > 1:
+            links.update(settle(rows))
         yield out()
 
     return run
 
 
+def _agree(threshold: float):
+    return lambda a, b: (np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).sum() >= threshold * len(a)
+
+
+def _similar(num: int, den: int):
+    def test(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        common = int((y[at] == x).sum())
+        return den * common >= num * (len(x) + len(y) - common)
+
+    return test
+
+
+def _with_pivot(test):
+    """(key, id, pivot, hit) of rows (key, id, payload, pivot, its payload)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [bool(test(a, b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(hit, pa.bool_())], ["key", "id", "pivot", "hit"])
+
+    return run
+
+
+def _links(members: DataFrame, payloads: DataFrame, settle, test, block: int) -> DataFrame:
+    """Links (a, b) that connect what is linked among the members (key, id) of each key. payloads (id, payload) of all;
+    settle: of a cell; test: of two payloads."""
+    spark = members.sparkSession
+    sizes = C.written(members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")), "sizes")
+    small = members.join(sizes.where(F.col("size") <= block).select("key"), "key", "left_semi").select("id", F.col("key").alias("cell"), F.lit(0).alias("side"))
+    found = None
+    if sizes.where(F.col("size") > block).limit(1).count():
+        large = members.join(sizes.where(F.col("size") > block), "key")
+        pivots = sizes.where(F.col("size") > block).join(payloads.select(F.col("id").alias("pivot"), F.col("payload").alias("pivot_payload")), "pivot").select("key", "pivot_payload")
+        rows = large.join(payloads, "id").join(pivots.hint("merge"), "key").where("id <> pivot")
+        tested = C.written(rows.select("key", "id", "payload", "pivot", "pivot_payload").mapInArrow(_with_pivot(test), "key long, id long, pivot long, hit boolean"), "pivots")
+        found = tested.where("hit").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+        rest = tested.where("not hit").select("key", "id")
+        left = rest.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("rest_blocks")).join(sizes.select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "key")
+        own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one = rest.join(left, "key").select("id", "key", own("rest_blocks").alias("i"), spread("blocks").alias("j"), F.lit(0).alias("side"))
+        two = members.join(left, "key").select("id", "key", spread("rest_blocks").alias("i"), own("blocks").alias("j"), F.lit(1).alias("side"))
+        small = small.unionByName(one.unionByName(two).select("id", F.xxhash64("key", "i", "j").alias("cell"), "side"))
+    cells = small.join(payloads.hint("merge"), "id").select("id", "cell", "side", "payload")
+    links = cells.repartition(C.partitions(spark), "cell").sortWithinPartitions("cell", "id").mapInArrow(settle, "a long, b long")
+    return links if found is None else links.unionByName(found)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable over links (a, b); ids without links are left out.
 
@@ -276,13 +344,13 @@ def _sets(shingle: int):
             for a, b in C.slices(off):
                 hashes, first = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], shingle)
                 blobs += [hashes[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(blobs, pa.binary())], ["id", "cell", "side", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["id", "payload"])
 
     return run
 
 
 def exact_links(sets: list[np.ndarray], num: int, den: int, across: int | None = None) -> list[tuple[int, int]]:
-    """A forest of the pairs with den * intersection >= num * union. across: only pairs of one before and one from it on."""
+    """A forest of the pairs with den * intersection >= num * union. across: only pairs with at least one before it."""
     sizes = np.array([len(s) for s in sets], np.int64)
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -317,8 +385,6 @@ def exact_links(sets: list[np.ndarray], num: int, den: int, across: int | None =
 def _join(forest: _Forest, common: np.ndarray, sizes: np.ndarray, i: int, num: int, den: int, across: int | None) -> None:
     ok = den * common >= num * (sizes[:i] + sizes[i] - common)
     if across is not None:
-        if i < across:
-            return
         ok[across:] = False
     near = np.flatnonzero(ok)
     if len(near):
@@ -327,38 +393,11 @@ def _join(forest: _Forest, common: np.ndarray, sizes: np.ndarray, i: int, num: i
 
 def _verified(num: int, den: int):
     def settle(rows: list[tuple]) -> list[tuple[int, int]]:
-        rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[2])
-        across = sum(1 for r in rows if r[2] == 0)
-        ids = [r[0] for r in rows]
-        links = exact_links([np.frombuffer(r[3], U64) for r in rows], num, den, across if 0 < across < len(rows) else None)
-        return [(ids[i], ids[j]) for i, j in links]
+        rows, across = _sided(rows)
+        links = exact_links([np.frombuffer(r[3], U64) for r in rows], num, den, across)
+        return [(rows[i][0], rows[j][0]) for i, j in links]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, rows = None, []
-        links: list[tuple[int, int]] = []
-        for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if r[1] != cell:
-                    if len(rows) > 1:
-                        links += settle(rows)
-                    cell, rows = r[1], []
-                rows.append(r)
-        if len(rows) > 1:
-            links += settle(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    return run
-
-
-def _cells(members: DataFrame, key: str, block: int) -> DataFrame:
-    """members (key, id) with (cell, side): a group of at most block members is one cell; a larger one is cut into blocks
-    by id hash, and every pair of blocks is a cell, so that any two members share one. side tells the two blocks apart."""
-    sizes = members.groupBy(key).agg(F.count("*").alias("size"))
-    n = F.ceil(F.col("size") / block).cast("int")
-    out = members.join(sizes, key).withColumn("n", n).withColumn("own", F.when(F.col("n") > 1, F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).otherwise(0))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    return out.select(key, "id", F.xxhash64(key, low, high).alias("cell"), F.when(low == high, 0).otherwise((F.col("own") == high).cast("int")).alias("side"))
+    return _by_cell(settle)
 
 
 def near_duplicates(
@@ -385,24 +424,12 @@ def near_duplicates(
         .mapInArrow(_band_members, "key long, id long")
     )
     shared = C.written(shared, "bands")
-    cells = _cells(shared, "key", block).select("cell", "id")
-    candidates = (
-        cells.join(heads.select("id", "small"), "id")
-        .select("cell", "id", "small")
-        .repartition(parts, "cell")
-        .sortWithinPartitions("cell", "id")
-        .mapInArrow(_estimated(max(0.0, percent / 100 - ESTIMATE_SLACK)), "a long, b long")
-    )
-    groups = components(candidates)
-    members = _cells(groups.select(F.col("component").alias("group"), "id"), "group", block)
-    links = (
-        source.join(members.select("id", "cell", "side").hint("merge"), "id")  # grows with the corpus: the same plan at every size
-        .select("id", "text", "cell", "side")
-        .mapInArrow(_sets(shingle), "id long, cell long, side int, set binary")
-        .repartition(parts, "cell")
-        .sortWithinPartitions("cell", "id")
-        .mapInArrow(_verified(percent, 100), "a long, b long")
-    )
+    near = max(0.0, percent / 100 - ESTIMATE_SLACK)
+    candidates = _links(shared, heads.select("id", F.col("small").alias("payload")), _estimated(near), _agree(near), block)
+    groups = components(candidates).select(F.col("component").alias("key"), "id")
+    # grows with the corpus: the same plan at every size
+    sets = C.written(source.join(groups.select("id").hint("merge"), "id", "left_semi").select("id", "text").mapInArrow(_sets(shingle), "id long, payload binary"), "sets")
+    links = _links(groups, sets, _verified(percent, 100), _similar(percent, 100), block)
     found = components(links)
     linked = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("head", F.coalesce("component", "rep"))
     lowest = linked.where("component is not null").groupBy("head").agg(F.min("low").alias("lowest"))

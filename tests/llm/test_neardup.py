@@ -79,3 +79,41 @@ def test_sketch_is_a_function_of_the_set_and_estimates_similarity():
     small = [np.sort(pool[:10]), np.sort(pool[1:11])]
     t = N.sketches(np.concatenate(small), np.array([0, 10, 20]), 512)
     assert abs((t[0] == t[1]).mean() - 9 / 11) < 0.08
+
+
+def test_recall_on_twelve_thousand_documents(spark):
+    """Against all linked pairs, found by an inverted index: edited copies about the threshold, and one group of very many."""
+    rnd = np.random.default_rng(7)
+    vocabulary = np.array([f"w{i}" for i in range(5000)])
+    texts = []
+    for i in range(3000):
+        base = rnd.choice(vocabulary, int(rnd.integers(30, 60)))
+        for _ in range(3 if i else 2500):
+            copy = base.copy()
+            for _ in range(int(rnd.integers(0, 4))):
+                copy[rnd.integers(0, len(copy))] = rnd.choice(vocabulary)
+            texts.append(" ".join(copy))
+    rows = [(int(d), t) for d, t in zip(rnd.permutation(len(texts)), texts, strict=True)]
+    sets = {d: shingles(t, 2) for d, t in rows}
+    posts = {}
+    for d, s in sets.items():
+        for x in s:
+            posts.setdefault(x, []).append(d)
+    linked = set()
+    for d, s in sets.items():
+        common = {}
+        for x in s:
+            if len(posts[x]) < 300:  # the great group is judged below
+                for o in posts[x]:
+                    if o < d:
+                        common[o] = common.get(o, 0) + 1
+        linked |= {(o, d) for o, n in common.items() if 100 * n >= 80 * (len(s) + len(sets[o]) - n)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = N.near_duplicates(df, shingle=2, block=512).collect()
+    got = {r.doc_id: r.component_id for r in out}
+    assert len(rows) > 11_000 and len(linked) > 3000
+    assert sum(got[a] == got[b] for a, b in linked) >= 0.999 * len(linked)
+    great = [d for d, _ in rows[:2500]]
+    first = sets[great[0]]
+    near = [d for d in great if 100 * len(sets[d] & first) >= 80 * len(sets[d] | first)]
+    assert len(near) > 500 and len({got[d] for d in near}) == 1

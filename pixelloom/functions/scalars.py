@@ -86,7 +86,9 @@ def fixed(v: Column, places: int = 2) -> Column:
 
 
 def padded_id(n: Column, width: int = 3) -> Column:
-    return F.lpad(n.cast("string"), width, "0")
+    """A number with leading zeros; one that is longer stays whole."""
+    text = n.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
 
 
 def safe_name(n: Column, *parts: Column) -> Column:

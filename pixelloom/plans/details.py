@@ -92,12 +92,11 @@ def edge_bleeds(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", past("left", "bottom").alias("left_bottom"), past("top", "right").alias("top_right"), past().alias("none"))
 
 
-@query("""SELECT o_orderkey, printf('%.2f', o_totalprice) AS price, lpad(o_orderkey::VARCHAR, 6, '0') AS padded, lpad((o_custkey % 1000)::VARCHAR, 3, '0') || '-' || o_orderstatus || '-' || o_orderpriority AS name,
+@query("""SELECT o_orderkey, printf('%.2f', o_totalprice) AS price, lpad(o_orderkey::VARCHAR, greatest(3, length(o_orderkey::VARCHAR))::INT, '0') AS padded, lpad((o_custkey % 1000)::VARCHAR, 3, '0') || '-' || o_orderstatus || '-' || o_orderpriority AS name,
 strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS stamp FROM orders""")
 def text_scalars(spark, sf_dir):
-    # lpad cuts what is longer, in both engines
     return _table(spark, sf_dir, "orders").select(
-        "o_orderkey", scalars.fixed(F.col("o_totalprice")).alias("price"), scalars.padded_id(F.col("o_orderkey"), 6).alias("padded"), scalars.safe_name(F.col("o_custkey") % 1000, F.col("o_orderstatus"), F.col("o_orderpriority")).alias("name"), scalars.iso_seconds(F.col("o_orderdate")).alias("stamp")
+        "o_orderkey", scalars.fixed(F.col("o_totalprice")).alias("price"), scalars.padded_id(F.col("o_orderkey")).alias("padded"), scalars.safe_name(F.col("o_custkey") % 1000, F.col("o_orderstatus"), F.col("o_orderpriority")).alias("name"), scalars.iso_seconds(F.col("o_orderdate")).alias("stamp")
     )
 
 

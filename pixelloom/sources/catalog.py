@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.operators.joins import first_of_content
+from pixelloom.functions.scalars import padded_id
+from pixelloom.operators.components import stored
+from pixelloom.sources.raster import numbered
 
 RUN_MANIFEST = (
     "id string, dataset string, source string, svg string, analysis string, preview string, comparison string, validation string, failed_checks string, archetype string, shape_count int, elapsed_seconds double"
@@ -45,6 +47,9 @@ def checksums(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def review(files: DataFrame) -> DataFrame:
-    """files (path, group, modified, content) numbered by (group, modified, path), with digests and first copies."""
-    rows = files.withColumn("id", F.row_number().over(Window.orderBy("group", "modified", "path")))
-    return first_of_content(rows, F.col("content"), "id").select(F.lpad(F.col("id").cast("string"), 3, "0").alias("id"), "group", "path", F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss").alias("modified_at"), F.octet_length("content").alias("bytes"), F.col("digest").alias("sha256"), F.lpad(F.col("duplicate_of").cast("string"), 3, "0").alias("duplicate_of"))
+    """files (path, group, modified, content) numbered by (group, modified, path), with digests and first copies. The contents
+    are digested where they are read and travel no further."""
+    rows = files.select("path", "group", "modified", F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    rows = stored(numbered(rows, "group", "modified", "path"))
+    first = rows.groupBy("sha256").agg(F.min("id").alias("_first"))
+    return rows.join(first, "sha256").select(padded_id(F.col("id")).alias("id"), "group", "path", F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss").alias("modified_at"), "bytes", "sha256", padded_id(F.when(F.col("_first") != F.col("id"), F.col("_first"))).alias("duplicate_of"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pixelloom.operators.components import stored
+
 #: Rows of an image built from vectors: so the number of images grows with the table.
 ROWS_PER_IMAGE = 64
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "gif", "bmp")
@@ -110,5 +112,10 @@ def frames(pixels: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Row numbers from 1 in a stated order, for reports of bounded size."""
-    return df.withColumn("id", F.row_number().over(Window.orderBy(*order)))
+    """Row numbers from 1 in a stated order. Rows are dealt out by range, numbered within their range, and shifted by the
+    sizes of the ranges before, so no task sees more than its range; ranges are few and stand in one table."""
+    ranged = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_own", own).join(before, "_range").withColumn("id", F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")

@@ -459,3 +459,11 @@ def test_low_pass_of_tables_holds_a_fixed_number_of_values_a_row(spark):
         want = geometry.low_pass(np.array([r[2:] for r in rows if r[0] == g]), 0.82)
         assert np.allclose([got[g, i] for i in range(n)], want)
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_numbers_in_order_over_many_ranges(spark):
+    rows = [(f"k{i * 7919 % 1200:05d}",) for i in range(1200)]
+    got = raster.numbered(spark.createDataFrame(rows, "k string").repartition(5), "k").collect()
+    assert sorted((r.id, r.k) for r in got) == [(i + 1, k) for i, (k,) in enumerate(sorted(rows))]
+    ids = spark.createDataFrame([(7,), (1234,), (None,)], "n int").select(scalars.padded_id(F.col("n")).alias("id"))
+    assert [r.id for r in ids.collect()] == ["007", "1234", None]

@@ -94,7 +94,7 @@ def touching(parts: DataFrame, where) -> DataFrame:
     return parts.join(parts.where(where).select("image_id", "component").distinct(), ["image_id", "component"], "left_semi")
 
 
-def bottom_connected(mask: DataFrame, frames: DataFrame, band: int = 1) -> DataFrame:
+def bottom_connected(mask: DataFrame, frames: DataFrame, band: int | Column = 1) -> DataFrame:
     """Pixels connected to the lowest rows, which count as part of the mask."""
     from pixelloom.operators.masks import frame_grid, union
 

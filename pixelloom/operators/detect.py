@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions import color, scalars
-from pixelloom.operators import aggregates, joins, masks, stencils
+from pixelloom.operators import aggregates, geometry, joins, masks, stencils
 from pixelloom.operators import components as K
 from pixelloom.operators.masks import PIXEL
 
+_LAB = ["L", "a", "bb"]
+
 
 def with_oklab(pixels: DataFrame) -> DataFrame:
     return pixels.select("*", *(c.alias(n) for c, n in zip(color.oklab(F.col("r"), F.col("g"), F.col("b")), ("L", "a", "bb"), strict=True)))
@@ -35,9 +39,11 @@ def reflection(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     """
     wide = frames.where("width >= height * 1.35")
     rows = with_oklab(pixels.join(wide, "image_id"))
+    radius = F.greatest(F.lit(3.0), F.col("width") / 70.0)
+    soft = rows.select(PIXEL)
     for c in ("L", "a", "bb"):
-        rows = stencils.gaussian(rows, c, 3.0)
-    rows = K.stored(stencils.gradient_magnitude(rows, "L", "edge"))
+        soft = soft.join(stencils.blurred(rows, c, radius), PIXEL)
+    rows = K.stored(stencils.gradient_magnitude(soft, "L", "edge"))
     axes = wide.select("image_id", "height", F.explode(F.sequence(F.ceil(F.col("height") * 0.38).cast("int"), F.floor(F.col("height") * 0.64).cast("int"))).alias("axis"))
     depth = F.least(F.col("axis"), F.col("height") - F.col("axis"), F.floor(F.col("height") * 0.34).cast("int"))
     axes = axes.withColumn("depth", depth).where(F.col("depth") >= F.col("height") * 0.15)
@@ -58,6 +64,45 @@ def reflection(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     return best.select("image_id", "axis", F.col("L").alias("light"), F.col("tint").alias("chroma"), "edge", "score", yes.alias("reflective"))
 
 
+def outer_contour(pixels: DataFrame, axes: DataFrame) -> DataFrame:
+    """(image_id, x, top): the upper outline of the terrain above each image's axis (image_id, axis).
+
+    A path from left to right follows a change of colour and the start of texture; it is smoothed, and narrow valleys are
+    closed for the most part. Images with no room between the top and the axis have none.
+    """
+    keys = ["image_id", "height", "axis"]
+    rows = pixels.select(*PIXEL, "r", "g", "b").join(axes.select("image_id", "axis"), "image_id")
+    size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    fine = broad = rows.select(*PIXEL, *(F.col(c).cast("double").alias(c) for c in "rgb"))
+    for c in "rgb":
+        fine, broad = stencils.gaussian(fine, c, 1.2), stencils.gaussian(broad, c, 5.5)
+    fine, broad = with_oklab(fine).select(*PIXEL, *(F.col(c).alias(f"f{c}") for c in _LAB)), with_oklab(broad).select(*PIXEL, *_LAB)
+    rows = K.stored(broad.join(fine, PIXEL).withColumn("texture", _gap("", "f")).select(*PIXEL, *_LAB, "texture"))
+    column = stencils.column_window()
+    mean = lambda c, low, high: F.avg(c).over(column.rowsBetween(low, high))
+    jump = F.sqrt(sum((F.pow(mean(c, 2, 7) - mean(c, -7, -3), F.lit(2)) for c in _LAB[1:]), F.pow(mean("L", 2, 7) - mean("L", -7, -3), F.lit(2))))
+    edge = F.sqrt(sum((F.pow(F.lead(c).over(column) - F.lag(c).over(column), F.lit(2)) for c in _LAB[1:]), F.pow(F.lead("L").over(column) - F.lag("L").over(column), F.lit(2))))
+    score = jump * 1.25 + edge * 1.8 + (mean("texture", 2, 8) - mean("texture", -8, -3)) * 3.0 - F.col("y") * 0.0011
+    low = F.greatest(F.lit(4), F.rint(F.col("height") * 0.015).cast("int"))
+    scores = rows.withColumn("score", score).join(size, "image_id").join(axes.select("image_id", "axis"), "image_id").where((F.col("y") >= low) & (F.col("y") <= F.col("axis") - 7))
+    border = (F.col("x") < 3) | (F.col("x") >= F.col("width") - 3)
+    line = K.stored(geometry.contours(scores.withColumn("score", F.when(border, F.col("score") * 1.12).otherwise(F.col("score"))), "score", "height").select("image_id", "x", F.lit(0).alias("y"), F.col("y").cast("double").alias("top")))
+    bell = [math.exp(-0.5 * (d / 4.0) ** 2) for d in range(13)]
+    total = bell[0] + 2 * sum(bell[1:])
+    line = stencils.convolved(line, "top", [w / total for w in bell], "x").select("image_id", "x", F.rint("top").alias("top")).join(size.join(axes.select("image_id", "axis"), "image_id"), "image_id")
+    reach = F.greatest(F.lit(9), F.rint(F.col("width") * 0.085).cast("int"))
+    line = K.stored(line.withColumn("low", low).withColumn("reach", reach))
+
+    def running(series: DataFrame, value: str, how, out: str) -> DataFrame:
+        near = F.explode(F.sequence(F.greatest(F.lit(0), F.col("x") - F.col("reach")), F.least(F.col("width") - 1, F.col("x") + F.col("reach")))).alias("x")
+        return series.select("image_id", near, value).groupBy("image_id", "x").agg(how(value).alias(out))
+
+    opened = running(line.select("image_id", "x", "width", "reach").join(running(line, "top", F.min, "least"), ["image_id", "x"]), "least", F.max, "opened")
+    rows = line.join(opened, ["image_id", "x"])
+    top = F.rint(F.col("top") * 0.35 + F.least("top", "opened") * 0.65)
+    return rows.select("image_id", "x", F.greatest(F.col("low"), F.least(F.col("axis") - 7, top)).cast("int").alias("top"))
+
+
 def quadrant_confidence(labelled: DataFrame, frames: DataFrame, margin: str = "margin") -> DataFrame:
     """(image_id, quadrant, confidence): how far labels follow the image. Weighs edge recall, label coherence and the mean
     margin between the two nearest roles; collapsed and fragmented quadrants lose."""
@@ -181,7 +226,12 @@ def cool_shore(pixels: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def compact_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:
-    """(image_id, component, kind, score) of at most one focal island an image: compact, in contrast with a pure ring.
+    """(image_id, component, kind, score) of at most one focal island an image: compact, in contrast with a pure ring."""
+    return _compact(labelled, frames)[0]
+
+
+def _compact(labelled: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """compact_island and the pixels of its islands, grown into what differs from their rings as they do.
 
     Local contrast is judged against the blurred surroundings; the ring around a component must be of one label, even and far
     in colour.
@@ -201,10 +251,16 @@ def compact_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:
     pure = aggregates.purity(ring, "label", keys).where("purity >= 0.82")
     even = aggregates.spread(ring, keys, ["L", "a", "bb"]).where("spread <= 0.065")
     mid = lambda df, p: df.groupBy(*keys).agg(*(F.median(c).alias(f"{p}{c}") for c in ("L", "a", "bb")))
-    both = mid(parts.join(rows, PIXEL), "i").join(mid(ring, "o"), keys).join(pure, keys).join(even, keys).join(size.select(*keys, "area", "w", "h"), keys)
+    outer = K.stored(mid(ring, "o"))
+    both = mid(parts.join(rows, PIXEL), "i").join(outer, keys).join(pure, keys).join(even, keys).join(size.select(*keys, "area", "w", "h"), keys)
     contrast = color.oklab_distance([F.col(f"i{c}") for c in ("L", "a", "bb")], [F.col(f"o{c}") for c in ("L", "a", "bb")])
     both = both.withColumn("contrast", contrast).where("contrast >= 0.095").withColumn("score", F.col("contrast") * F.sqrt("area") * scalars.compactness(F.col("area"), F.col("w"), F.col("h")))
-    return aggregates.best(both, ["image_id"], "score", "component", ["component", "score"]).withColumn("kind", F.lit("local-contrast"))
+    best = K.stored(aggregates.best(both, ["image_id"], "score", "component", ["component", "score", "contrast"]))
+    core = K.stored(parts.join(best, keys, "left_semi").select(PIXEL))
+    far = rows.join(best.join(outer, keys), "image_id").where(_gap("", "o") >= F.greatest(F.lit(0.045), F.col("contrast") * 0.33)).select(PIXEL)
+    whole = K.grown(core, masks.intersection(far, stencils.dilated(core, 13, frames)), frames)
+    whole = K.stored(masks.union(stencils.cleaned(whole, 5, 3, frames), core))
+    return best.select("image_id", "component", "score", F.lit("local-contrast").alias("kind")), K.filled(whole, frames)
 
 
 def accent_line(pixels: DataFrame, frames: DataFrame) -> DataFrame:
@@ -248,7 +304,6 @@ def luminous_support(pixels: DataFrame, frames: DataFrame, focal: DataFrame) ->
 # Bounds of the two weaker kinds of focal island, as shares of the frame or distances in Oklab.
 _RARE = {"low": 0.030, "high": 0.055, "calm": 0.035, "area": (0.001, 0.025), "compact": 0.25, "aspect": 0.18, "purity": 0.80, "strength": 0.82, "spread": 0.035, "ring": 0.016}
 _CROSS = {"top": 0.82, "share": 0.10, "cover": 0.88, "distance": 0.075, "area": (0.0007, 0.022), "compact": 0.25, "aspect": 0.16, "lowest": 0.80, "spread": 0.10, "rarity": 0.045}
-_LAB = ["L", "a", "bb"]
 
 
 def _boxes(parts: DataFrame, frames: DataFrame, area: tuple[float, float], compact: float, aspect: float) -> DataFrame:
@@ -268,6 +323,11 @@ def _gap(one: str, two: str):
 def rare_chromatic_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:
     """(image_id, component, kind, score, satellites): a small patch whose hue is rare in an otherwise calm image, and the
     patches above it that share its hue."""
+    return _rare(labelled, frames)[0]
+
+
+def _rare(labelled: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rare_chromatic_island and the pixels of its patches with their satellites."""
     t, keys = _RARE, ["image_id", "component"]
     rows = labelled
     for c in ("a", "bb"):
@@ -291,11 +351,18 @@ def rare_chromatic_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:
     hues = _medians(parts.join(rows, PIXEL), keys, "s")
     near = near.join(hues.withColumnRenamed("component", "satellite"), ["image_id", "satellite"]).join(mid.withColumnRenamed("component", "main"), ["image_id", "main"])
     near = near.where(color.hue_cosine([F.col(f"s{c}") for c in _LAB], [F.col(f"i{c}") for c in _LAB]) >= 0.82).groupBy("image_id").agg(F.array_sort(F.collect_set("satellite")).alias("satellites"))
-    return best.join(near, "image_id", "left").select("image_id", "component", F.lit("rare-chromatic").alias("kind"), "score", F.coalesce("satellites", F.array().cast("array<long>")).alias("satellites"))
+    found = K.stored(best.join(near, "image_id", "left").select("image_id", "component", F.lit("rare-chromatic").alias("kind"), "score", F.coalesce("satellites", F.array().cast("array<long>")).alias("satellites")))
+    every = found.select("image_id", F.explode(F.array_union(F.array("component"), "satellites")).alias("component"))
+    return found, parts.join(every, keys, "left_semi").select(PIXEL)
 
 
 def cross_field_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:
     """(image_id, component, kind, score): a patch at the meeting of two or three fields that has the colour of none."""
+    return _cross(labelled, frames)[0]
+
+
+def _cross(labelled: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """cross_field_island and the pixels of its patches."""
     t, keys = _CROSS, ["image_id", "component"]
     rows = K.stored(labelled.select(*PIXEL, "label", *_LAB))
     roles = K.stored(_medians(rows, ["image_id", "label"], "r"))
@@ -314,14 +381,22 @@ def cross_field_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:
     rare = aggregates.rarity(rows, mid.select(*keys, *(F.col(f"i{c}").alias(c) for c in _LAB)), _LAB).where(F.col("rarity") <= t["rarity"]).select(*keys)
     good = meets.join(apart, keys).join(even, keys).join(rare, keys).join(size.select(*keys, "area", "w", "h"), keys)
     good = good.withColumn("score", F.col("contrast") * F.sqrt("area") * scalars.compactness(F.col("area"), F.col("w"), F.col("h")))
-    return aggregates.best(good, ["image_id"], "score", "component", ["component", "score"]).select("image_id", "component", F.lit("cross-field").alias("kind"), "score")
+    found = K.stored(aggregates.best(good, ["image_id"], "score", "component", ["component", "score"]).select("image_id", "component", F.lit("cross-field").alias("kind"), "score"))
+    return found, parts.join(found, keys, "left_semi").select(PIXEL)
 
 
 def focal_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:
     """(image_id, component, kind, score): at most one island an image, by local contrast before rare hue before junction."""
-    kinds = [compact_island(labelled, frames).select("image_id", "component", "kind", "score"), rare_chromatic_island(labelled, frames).drop("satellites"), cross_field_island(labelled, frames)]
-    rows = None
-    for i, k in enumerate(kinds):
-        k = k.withColumn("_turn", F.lit(i))
-        rows = k if rows is None else rows.unionByName(k)
-    return masks.first_claim(rows, ["image_id"], "_turn", F.desc("score")).drop("_turn")
+    return focal_masks(labelled, frames)[0]
+
+
+def focal_masks(labelled: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """focal_island and the pixels of its islands. A weaker kind is sought only in images where no stronger one was found."""
+    names = ["image_id", "component", "kind", "score"]
+    found, mask = _compact(labelled, frames)
+    found = K.stored(found.select(*names))
+    for weaker in (_rare, _cross):
+        rest = frames.join(found, "image_id", "left_anti")
+        more, pixels = weaker(labelled.join(rest.select("image_id"), "image_id", "left_semi"), rest)
+        found, mask = K.stored(found.unionByName(more.select(*names))), mask.unionByName(pixels)
+    return found, mask

@@ -13,6 +13,7 @@ from pixelloom.operators.joins import spaced
 
 #: At most so many highlights; band of rows they may stand in; limits of brightness.
 MOST_HIGHLIGHTS, SKY_SHARE, DARK_ENOUGH = 32, 0.82, 105
+GRAIN_FILTER = '<filter id="surface-grain-filter"><feTurbulence type="fractalNoise" baseFrequency="0.8" numOctaves="2"/><feColorMatrix type="saturate" values="0"/></filter>'
 
 
 def gradient_def(name: Column, axis: Column, stops: Column) -> Column:
@@ -79,11 +80,11 @@ def highlights(pixels: DataFrame, frames: DataFrame, seed: int = 17, allowed: Da
     return kept.withColumn("n", rank).where(F.col("n") <= MOST_HIGHLIGHTS).select("image_id", "n", "x", "y", (strength * 1.2 + 0.7 + draw).alias("r"), "score")
 
 
-def documents(frames: DataFrame, layers: DataFrame, ground: DataFrame, points: DataFrame | None = None, particles: DataFrame | None = None, title: str = "Abstraction") -> DataFrame:
+def documents(frames: DataFrame, layers: DataFrame, ground: DataFrame, points: DataFrame | None = None, particles: DataFrame | None = None, title: str = "Abstraction", grain: float = 0.0) -> DataFrame:
     """(image_id, svg): defs, ground, fields in paint order, highlights, and the texture on top.
 
     layers (image_id, paint, name, path, fill, opacity, gradient); gradient is a definition or null. ground (image_id, fill). points (image_id, n, x, y, r, fill).
-    Layers without a path are left out.
+    Layers without a path are left out. grain above 0 lays turbulence of that strength over everything.
     """
 
     def ordered(df: DataFrame, text: Column, order: list[str], name: str) -> DataFrame:
@@ -106,8 +107,8 @@ def documents(frames: DataFrame, layers: DataFrame, ground: DataFrame, points: D
     w, h = F.col("width").cast("string"), F.col("height").cast("string")
     svg = F.concat(
         F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="'), w, F.lit('" height="'), h, F.lit('" viewBox="0 0 '), w, F.lit(" "), h, F.lit('" overflow="hidden"><title>'), xml_escape(F.lit(title)),
-        F.lit("</title><desc>Fields derived from one source</desc><defs>"), F.coalesce("defs", empty), F.lit('</defs><rect width="100%" height="100%" fill="'), F.col("ground"),
-        F.lit('"/><g id="source-derived-fields">'), F.coalesce("fields", empty), F.lit("</g>"), dots, specks, F.lit("</svg>"),
+        F.lit("</title><desc>Fields derived from one source</desc><defs>"), F.coalesce("defs", empty), F.lit(GRAIN_FILTER if grain else ""), F.lit('</defs><rect width="100%" height="100%" fill="'), F.col("ground"),
+        F.lit('"/><g id="source-derived-fields">'), F.coalesce("fields", empty), F.lit("</g>"), dots, F.lit(f'<rect id="{"surface-grain" if particles is not None else "surface-noise-layer"}" width="100%" height="100%" filter="url(#surface-grain-filter)" opacity="{0.32 * grain:.3f}"/>' if grain else ""), specks, F.lit("</svg>"),
     )
     return out.select("image_id", svg.alias("svg"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions import color
@@ -57,9 +57,10 @@ def merged_owners(dropped: DataFrame, owners: DataFrame, frames: DataFrame, drop
     return joins.best_owner(rows, gap).select("image_id", "component", "owner", "contacts")
 
 
-def negative_space(fields: DataFrame, frames: DataFrame, kernel: int) -> DataFrame:
+def negative_space(fields: DataFrame, frames: DataFrame, kernel: int | Column) -> DataFrame:
     """(pixel, owner): slivers between fields (pixel, owner) that are too narrow or small to stand, given to the field they
-    touch most. Narrow means closed by the kernel, small means a hole of at most kernel squared pixels."""
+    touch most. Narrow means closed by the kernel, a number or a column of frames; small means a hole of at most kernel
+    squared pixels."""
     every = K.stored(masks.union(fields))
     wide = K.stored(stencils.gap_closed(every, kernel, frames).select(PIXEL))
     added = K.stored(masks.difference(K.filled(wide, frames, kernel * kernel), every))
@@ -72,9 +73,10 @@ def negative_space(fields: DataFrame, frames: DataFrame, kernel: int) -> DataFra
     return parts.join(best, ["image_id", "component"]).select(*PIXEL, "owner")
 
 
-def unclaimed_holes(field: DataFrame, others: DataFrame, background: DataFrame, frames: DataFrame, most_background: float = 0.5) -> DataFrame:
-    """Pixels of a field's holes that touch no other field and are mostly not background: they join the field."""
-    inner = K.stored(K.holes(field, frames))
+def unclaimed_holes(field: DataFrame, others: DataFrame, background: DataFrame, frames: DataFrame, most_background: float = 0.5, inner: DataFrame | None = None) -> DataFrame:
+    """Pixels of a field's holes that touch no other field and are mostly not background: they join the field. inner are the
+    holes if they are known."""
+    inner = K.stored(K.holes(field, frames)) if inner is None else inner
     reached = joins.contacts(inner, others.select(*PIXEL, F.lit(0).alias("owner"))).select("image_id", "component")
     covered = inner.join(others.select(PIXEL), PIXEL, "left_semi").select("image_id", "component")
     back = inner.join(background.select(*PIXEL, F.lit(1).alias("_b")), PIXEL, "left").groupBy("image_id", "component").agg(F.avg(F.coalesce("_b", F.lit(0))).alias("share"))
@@ -83,7 +85,7 @@ def unclaimed_holes(field: DataFrame, others: DataFrame, background: DataFrame,
 
 
 def chromatic_false_background(holes: DataFrame, pixels: DataFrame, background: DataFrame, frames: DataFrame, field_color: DataFrame, back_color: DataFrame) -> DataFrame:
-    """Holes that look like background by label but by hue belong to the enclosing field: small, mostly background-labelled,
+    """(image_id, component): holes that look like background by label but by hue belong to the enclosing field: small, mostly background-labelled,
     chromatic like the field and opposite to the background. Colours are (image_id, a, bb) in Oklab."""
     size = K.measures(holes).join(frames, "image_id")
     back = holes.join(background.select(*PIXEL, F.lit(1).alias("_b")), PIXEL, "left").groupBy("image_id", "component").agg(F.avg(F.coalesce("_b", F.lit(0))).alias("share"))
@@ -97,11 +99,13 @@ def chromatic_false_background(holes: DataFrame, pixels: DataFrame, background:
     return rows.where((F.col("share") >= 0.80) & small & strong & hue).select("image_id", "component")
 
 
-def bled(mask: DataFrame, frames: DataFrame, margin: int) -> DataFrame:
-    """A mask continued beyond the frame's edges that it touches, by margin pixels and into the corners."""
-    rows = mask.join(frames, "image_id")
-    spread = lambda at_low, at_high, c: F.explode(F.when(at_low & at_high, F.sequence(F.col(c) - margin, F.col(c) + margin)).when(at_low, F.sequence(F.col(c) - margin, F.col(c))).when(at_high, F.sequence(F.col(c), F.col(c) + margin)).otherwise(F.array(F.col(c)))).alias(c)
-    rows = rows.select("image_id", "y", "height", spread(F.col("x") == 0, F.col("x") == F.col("width") - 1, "x"))
+def bled(mask: DataFrame, frames: DataFrame, margin: int | Column) -> DataFrame:
+    """A mask continued beyond the frame's edges that it touches, by margin pixels and into the corners; the margin may be a
+    column of frames."""
+    rows = mask.select(PIXEL).join(frames, "image_id").withColumn("_m", margin if isinstance(margin, Column) else F.lit(margin))
+    far = lambda c, sign: F.col(c) + F.col("_m") * sign
+    spread = lambda at_low, at_high, c: F.explode(F.when(at_low & at_high, F.sequence(far(c, -1), far(c, 1))).when(at_low, F.sequence(far(c, -1), F.col(c))).when(at_high, F.sequence(F.col(c), far(c, 1))).otherwise(F.array(F.col(c)))).alias(c)
+    rows = rows.select("image_id", "y", "height", "_m", spread(F.col("x") == 0, F.col("x") == F.col("width") - 1, "x"))
     return rows.select("image_id", "x", spread(F.col("y") == 0, F.col("y") == F.col("height") - 1, "y")).select(PIXEL).distinct()
 
 

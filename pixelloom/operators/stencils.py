@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelloom.operators.masks import PIXEL
+from pixelloom.operators.masks import PIXEL, complement, frame_grid
 
 
 def row_window(image: str = "image_id"):
@@ -49,6 +49,21 @@ def gaussian(df: DataFrame, value: str, radius: float, out: str | None = None) -
     return convolved(convolved(df, value, k, "x", out), out or value, k, "y")
 
 
+def blurred(df: DataFrame, value: str, radius: Column) -> DataFrame:
+    """(pixel, value): as gaussian, with a radius that follows the frame: a column of width and height. A task holds lines of
+    pixels, edges extended."""
+    rows = df.select(*PIXEL, F.col(value).cast("double").alias("v"), radius.cast("double").alias("radius"))
+    for line, place in (("y", "x"), ("x", "y")):
+        rows = rows.groupBy("image_id", line).agg(F.transform(F.array_sort(F.collect_list(F.struct(place, "v"))), lambda c: c["v"]).alias("line"), F.first("radius").alias("radius"))
+        reach = F.greatest(F.lit(1), F.ceil(F.col("radius") * 3).cast("int"))
+        rows = rows.withColumn("taps", F.transform(F.sequence(-reach, reach), lambda d: F.struct(d.alias("d"), F.exp(-0.5 * F.pow(d / F.col("radius"), F.lit(2))).alias("w"))))
+        rows = rows.withColumn("total", F.aggregate("taps", F.lit(0.0), lambda s, t: s + t["w"]))
+        last = F.size("line") - 1
+        cell = lambda i: F.aggregate("taps", F.lit(0.0), lambda s, t: s + t["w"] * F.element_at("line", F.greatest(F.lit(0), F.least(last, i + t["d"])) + 1)) / F.col("total")  # noqa: E731, B023
+        rows = rows.select("image_id", line, "radius", F.posexplode(F.transform("line", lambda _, i: cell(i))).alias(place, "v"))  # noqa: B023
+    return rows.select(*PIXEL, F.col("v").alias(value))
+
+
 def extreme(df: DataFrame, value: str, size: int, how: str) -> DataFrame:
     """Maximum or minimum over a square of odd size; absent neighbours are ignored."""
     k, f = size // 2, {"max": F.max, "min": F.min}[how]
@@ -57,8 +72,14 @@ def extreme(df: DataFrame, value: str, size: int, how: str) -> DataFrame:
     return df
 
 
-def dilated(mask: DataFrame, size: int, frames: DataFrame | None = None) -> DataFrame:
-    """A mask grown by a square of odd size, inside the frame if one is given."""
+def dilated(mask: DataFrame, size: int | Column, frames: DataFrame | None = None) -> DataFrame:
+    """A mask grown by a square of odd size, inside the frame if one is given. A size that follows the frame is a column of
+    its width and height."""
+    if isinstance(size, Column):
+        reach = frames.select("image_id", "width", "height", F.floor(size / 2).cast("int").alias("_k"))
+        along = lambda c, limit: F.explode(F.sequence(F.greatest(F.lit(0), F.col(c) - F.col("_k")), F.least(F.col(limit) - 1, F.col(c) + F.col("_k")))).alias(c)
+        out = mask.select(PIXEL).join(reach, "image_id").select("image_id", "y", along("x", "width"), "height", "_k").distinct()
+        return out.select("image_id", along("y", "height"), "x").distinct()
     k = size // 2
     around = lambda c: F.explode(F.sequence(F.col(c) - k, F.col(c) + k)).alias(c)
     out = mask.select("image_id", "y", around("x")).distinct().select("image_id", around("y"), "x").distinct()
@@ -67,8 +88,10 @@ def dilated(mask: DataFrame, size: int, frames: DataFrame | None = None) -> Data
     return out.join(frames, "image_id").where("x >= 0 and y >= 0 and x < width and y < height").select(PIXEL)
 
 
-def eroded(mask: DataFrame, size: int, frames: DataFrame) -> DataFrame:
+def eroded(mask: DataFrame, size: int | Column, frames: DataFrame) -> DataFrame:
     """A mask shrunk by a square of odd size; what is outside the frame does not count against it."""
+    if isinstance(size, Column):
+        return mask.select(PIXEL).join(dilated(complement(mask, frames), size, frames), PIXEL, "left_anti")
     k = size // 2
     out = mask.join(frames, "image_id")
     for c, limit, w in (("x", "width", row_window()), ("y", "height", column_window())):
@@ -77,11 +100,11 @@ def eroded(mask: DataFrame, size: int, frames: DataFrame) -> DataFrame:
     return out.select(PIXEL)
 
 
-def closed(mask: DataFrame, size: int, frames: DataFrame, shrink: int | None = None) -> DataFrame:
+def closed(mask: DataFrame, size: int | Column, frames: DataFrame, shrink: int | None = None) -> DataFrame:
     return eroded(dilated(mask, size, frames), shrink or size, frames)
 
 
-def opened(mask: DataFrame, size: int, frames: DataFrame) -> DataFrame:
+def opened(mask: DataFrame, size: int | Column, frames: DataFrame) -> DataFrame:
     return dilated(eroded(mask, size, frames), size, frames)
 
 
@@ -105,15 +128,14 @@ def cleaned(mask: DataFrame, closing: int, mode_size: int, frames: DataFrame) ->
     return both.join(frames, "image_id").where("x >= 0 and y >= 0 and x < width and y < height").where(F.col("n") * 2 > cells).select(PIXEL)
 
 
-def smoothed_boundary(mask: DataFrame, radius: float, frames: DataFrame) -> DataFrame:
+def smoothed_boundary(mask: DataFrame, radius: float | Column, frames: DataFrame) -> DataFrame:
     """A mask blurred and cut at one half."""
-    from pixelloom.operators.masks import frame_grid
-
     dense = frame_grid(frames).join(mask.select(*PIXEL, F.lit(1.0).alias("v")), PIXEL, "left").na.fill(0.0, ["v"])
-    return gaussian(dense, "v", radius).where("v >= 0.5").select(PIXEL)
+    soft = blurred(dense.join(frames, "image_id"), "v", radius) if isinstance(radius, Column) else gaussian(dense, "v", radius)
+    return soft.where("v >= 0.5").select(PIXEL)
 
 
-def rounded_tips(mask: DataFrame, size: int, frames: DataFrame, least: int = 64, share: float = 0.72) -> DataFrame:
+def rounded_tips(mask: DataFrame, size: int | Column, frames: DataFrame, least: int = 64, share: float = 0.72) -> DataFrame:
     """Opening within the mask, kept only for images where enough of the mask is left."""
     new = opened(mask, size, frames).join(mask.select(PIXEL), PIXEL, "left_semi")
     counts = mask.groupBy("image_id").agg(F.count("*").alias("n")).join(new.groupBy("image_id").agg(F.count("*").alias("m")), "image_id", "left")
@@ -121,15 +143,15 @@ def rounded_tips(mask: DataFrame, size: int, frames: DataFrame, least: int = 64,
     return new.join(good, "image_id", "left_semi").unionByName(mask.select(PIXEL).join(good, "image_id", "left_anti"))
 
 
-def gap_closed(mask: DataFrame, size: int, frames: DataFrame) -> DataFrame:
+def gap_closed(mask: DataFrame, size: int | Column, frames: DataFrame) -> DataFrame:
     """(pixel, added): closing that only ever adds; added marks the new pixels."""
     whole = closed(mask, size, frames).select(*PIXEL, F.lit(True).alias("added")).unionByName(mask.select(*PIXEL, F.lit(False).alias("added")))
     return whole.groupBy(PIXEL).agg(F.min("added").alias("added"))
 
 
-def seam_overlap(field: DataFrame, occluder: DataFrame, clearance: int, margin: int, frames: DataFrame) -> DataFrame:
+def seam_overlap(field: DataFrame, occluder: DataFrame, clearance: int | Column, margin: int | Column, frames: DataFrame) -> DataFrame:
     """Pixels by which a field is extended under an occluder it nearly touches."""
-    near = dilated(field, 2 * (clearance + margin) + 1, frames).join(dilated(occluder, 2 * clearance + 1, frames), PIXEL, "left_semi")
+    near = dilated(field, (clearance + margin) * 2 + 1, frames).join(dilated(occluder, clearance * 2 + 1, frames), PIXEL, "left_semi")
     return near.join(field.select(PIXEL), PIXEL, "left_anti")
 
 

@@ -29,7 +29,7 @@ def measured(docs: DataFrame, svg: str = "svg") -> DataFrame:
     """docs with what the rules look at; a text that is no XML has root null."""
     s = F.col(svg)
     local = lambda n: f"*[local-name()='{n}']"
-    fields, noise = f"//{local('g')}[@id='source-derived-fields']/{local('path')}", f"//{local('g')}[@id='surface-noise-layer']"
+    fields, noise = f"//{local('g')}[@id='source-derived-fields']/{local('path')}", "//*[@id='surface-noise-layer']"
     return docs.select(
         "*",
         F.xpath_string(s, F.lit("local-name(/*)")).alias("root"),

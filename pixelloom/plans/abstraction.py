@@ -1,4 +1,4 @@
-"""From pixels to vector documents: palette, labels, regions, merged fields, outlines, gradients, texture, plan.
+"""From pixels to vector documents: each image composed by its archetype, then outlines, gradients, texture and plan.
 
 Everything runs for all images of a table at once; an image is a key, never a loop on the driver.
 """
@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions import color, scalars
-from pixelloom.operators import aggregates, detect, document, geometry, joins, masks, palette, regions, stencils
+from pixelloom.operators import detect, document, geometry, masks, regions
 from pixelloom.operators import components as K
 from pixelloom.operators.masks import PIXEL
+from pixelloom.plans import scenes
 from pixelloom.plans.options import Options
 from pixelloom.sources.raster import frames as frames_of
+from pixelloom.sources.raster import resized
+
+#: How images of an archetype are composed.
+COMPOSITIONS = {"night-landscape": scenes.night, "reflective-horizontal-landscape": scenes.reflective, "general": scenes.general}
 
 
 def archetypes(pixels: DataFrame, frames: DataFrame, options: Options) -> DataFrame:
@@ -26,116 +31,85 @@ def archetypes(pixels: DataFrame, frames: DataFrame, options: Options) -> DataFr
     return frames.join(night, "image_id", "left").join(mirror, "image_id", "left").select("image_id", kind.alias("archetype"))
 
 
-def fields(labelled: DataFrame, roles: DataFrame, frames: DataFrame, options: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(fields (pixel, owner), regions, backgrounds): selected regions with what was merged into them."""
-    background = K.stored(aggregates.edge_mode(labelled, frames))
-    parts = K.stored(K.components(labelled, "label"))
-    chosen = K.stored(regions.within_budget(regions.scored(parts, frames, roles, background, options.detail), options.max_shapes))
-    keys = ["image_id", "component"]
-    owned = parts.join(chosen.select(*keys), keys, "left_semi").select(*PIXEL, "label", F.col("component").alias("owner"))
-    lost = parts.join(chosen.select(*keys), keys, "left_anti").join(background, "image_id").where("label <> background").select(*PIXEL, "label", "component")
-    shade = roles.select("image_id", "label", "r", "g", "b")
-    lost_color = lost.select("image_id", "component", "label").distinct().join(shade, ["image_id", "label"]).drop("label")
-    owner_color = chosen.select("image_id", F.col("component").alias("owner"), "label").join(shade, ["image_id", "label"])
-    owner = regions.merged_owners(lost, owned.select(*PIXEL, "owner"), frames, lost_color, owner_color)
-    merged = lost.join(owner, keys).select(*PIXEL, "owner")
-    whole = K.stored(owned.select(*PIXEL, "owner").unionByName(merged))
-    kernel = 3
-    slivers = regions.negative_space(whole, frames, kernel)
-    return K.stored(whole.unionByName(slivers)), chosen, background
+def composed(pixels: DataFrame, frames: DataFrame, kinds: DataFrame, options: Options) -> scenes.Scene:
+    """One Scene of all images. Archetypes that no image has are not planned; at most three names reach the driver."""
+    out = None
+    for (kind,) in sorted(kinds.select("archetype").distinct().collect()):
+        own = kinds.where(F.col("archetype") == kind).select("image_id")
+        scene = COMPOSITIONS[kind](K.stored(pixels.join(own, "image_id", "left_semi")), K.stored(frames.join(own, "image_id", "left_semi")), options)
+        scene = [getattr(scene, part) for part in scenes.Scene.__dataclass_fields__]
+        out = scene if out is None else [a.unionByName(b, allowMissingColumns=True) for a, b in zip(out, scene, strict=True)]
+    return scenes.Scene(*out)
+
+
+def outlines(scene: scenes.Scene, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges (image_id, owner, ax, ay, bx, by), touched (image_id, owner, edges)) of fields, which bleed past the frame."""
+    sheet = K.stored(scene.layers.join(frames, "image_id").select((F.col("image_id") * 32 + F.col("paint")).alias("layer"), "image_id", "owner", "width", "height", F.coalesce("margin", scalars.bleed_margin(F.col("width"), F.col("height"))).alias("margin")))
+    sheets = sheet.select(F.col("layer").alias("image_id"), "width", "height", "margin")
+    fields = K.stored(scene.fields.join(sheet.select("image_id", "owner", "layer"), ["image_id", "owner"]).select(F.col("layer").alias("image_id"), "y", "x"))
+    own = sheet.select("layer", "image_id", "owner")
+    named = lambda df, *cols: df.withColumnRenamed("image_id", "layer").join(own, "layer").select("image_id", "owner", *cols)
+    wide = named(regions.bled(fields, sheets, F.col("margin")), "y", "x")
+    return regions.boundary_edges(wide, "owner"), named(masks.touched_edges(fields, sheets.drop("margin")), "edges")
 
 
 def abstraction(pixels: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """(image_id, svg, plan) for each image of pixels (image_id, y, x, r, g, b)."""
-    pixels = K.stored(pixels.select(*PIXEL, "r", "g", "b"))
+    """(image_id, svg, plan) for each image of pixels (image_id, y, x, r, g, b), analysed at options.analysis_size.
+
+    Image ids are whole numbers below 2^58. Images without pixels do not occur; other columns are ignored. An image none of
+    whose fields stands is its ground alone.
+    """
+    pixels = K.stored(resized(pixels.select(*PIXEL, "r", "g", "b"), options.analysis_size).select(*PIXEL, "r", "g", "b"))
     frames = K.stored(frames_of(pixels))
-    kinds = archetypes(pixels, frames, options)
-    labelled, roles = palette.quantised(pixels, options.palette_size)
-    labelled = K.stored(stencils.mode(labelled.select(*PIXEL, "label"), "label", 3, frames))
-    found, chosen, background = fields(labelled, roles, frames, options)
-    margin = 3
-    touched = found.join(frames, "image_id").groupBy("image_id", "owner").agg(*(F.bool_or(c).alias(n) for n, c in (("left", F.col("x") == 0), ("right", F.col("x") == F.col("width") - 1), ("top", F.col("y") == 0), ("bottom", F.col("y") == F.col("height") - 1))))
-    edges = touched.select("image_id", "owner", F.filter(F.array(*(F.when(F.col(e), e) for e in ("left", "right", "top", "bottom"))), lambda e: e.isNotNull()).alias("edges"))
-    many = found.select(F.xxhash64("image_id", "owner").alias("image_id"), "y", "x", F.col("image_id").alias("image"), "owner")
-    wide = many.select("image_id", "y", "x").join(many.select("image_id", "image", "owner").distinct().join(frames.withColumnRenamed("image_id", "image"), "image"), "image_id")
-    bled = regions.bled(wide.select("image_id", "y", "x"), wide.select("image_id", "width", "height").distinct(), margin).join(many.select("image_id", "image", "owner").distinct(), "image_id")
-    outline = regions.boundary_edges(bled.select(F.col("image").alias("image_id"), "owner", "y", "x"), "owner")
+    kinds = K.stored(archetypes(pixels, frames, options))
+    empty = not kinds.limit(1).count()
+    if empty:
+        return kinds.select("image_id", F.lit("").alias("svg"), F.lit("").alias("plan"))
+    scene = composed(pixels, frames, kinds, options)
+    edges, touched = outlines(scene, frames)
     scales = frames.select("image_id", (F.lit(float(options.width)) / F.col("width")).alias("scale"))
-    paths = geometry.path_table(outline.join(scales, "image_id"), "owner", 0.9, smoothing=options.curve_smoothing)
-    inks = pixels.join(found, PIXEL).groupBy("image_id", "owner").agg(*(F.rint(F.median(c)).cast("int").alias(c) for c in "rgb"), F.count("*").alias("area"))
-    tint = geometry.source_gradients(pixels.join(found, PIXEL), ["image_id", "owner"], frames, options.gradient_strength).select("image_id", "owner", "axis", "stops")
-    layers = paths.join(inks, ["image_id", "owner"]).join(tint, ["image_id", "owner"], "left").join(edges, ["image_id", "owner"]).join(chosen.select("image_id", F.col("component").alias("owner"), "paint", "label"), ["image_id", "owner"])
-    name = F.concat(F.lit("field-"), scalars.padded_id(F.col("paint")))
-    out = color.output_color(F.col("r"), F.col("g"), F.col("b"), options.color_mode)
-    layers = layers.withColumn("name", name).withColumn("c", out).withColumn("fill", color.rgb_hex(F.col("c.r"), F.col("c.g"), F.col("c.b"))).withColumn("opacity", F.lit(1.0))
-    layers = K.stored(layers.withColumn("gradient", F.when(F.col("axis").isNotNull(), document.gradient_def(F.concat(F.lit("g-"), name), F.col("axis"), F.col("stops")))).where("path <> ''"))
-    ground = roles.join(background, (roles["image_id"] == background["image_id"]) & (roles["label"] == background["background"])).select(roles["image_id"], color.rgb_hex(F.col("r"), F.col("g"), F.col("b")).alias("fill"))
-    canvas = frames.join(scales, "image_id").select("image_id", F.lit(options.width).alias("width"), F.rint(F.col("height") * F.col("scale")).cast("int").alias("height"))
-    points = None
-    if options.points:
-        found_points = document.highlights(pixels, frames, options.seed).withColumnRenamed("r", "radius").join(pixels.select(*PIXEL, "r", "g", "b"), PIXEL).join(scales, "image_id")
-        star = color.rgb_hex(*(color.star_color(F.col(c)) for c in "rgb"))
-        points = found_points.select("image_id", "n", *(((F.col(c) + 0.5) * F.col("scale")).alias(c) for c in "xy"), (F.col("radius") * F.col("scale")).alias("r"), star.alias("fill"))
-    specks = document.texture(canvas, options.paper, options.paper_density, options.seed) if options.paper_style == "rough" else None
-    svg = document.documents(canvas, layers, ground, points, specks)
-    plans = layers.groupBy("image_id").agg(
-        F.count("*").cast("int").alias("shape_count"), F.count("gradient").cast("int").alias("gradient_count"), F.array_sort(F.collect_set("fill")).alias("palette"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "edges")))).alias("frame_edges"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "area")))).alias("field_pixels"),
-    )
-    plans = plans.join(kinds, "image_id").join(canvas, "image_id")
+    layers = K.stored(scene.layers)
+    paths = geometry.path_table(edges, "owner", styles=layers.join(scales, "image_id"))
+    graded = scene.samples.join(layers.where("graded").select("image_id", "owner"), ["image_id", "owner"], "left_semi")
+    tint = geometry.source_gradients(pixels.join(graded, PIXEL), ["image_id", "owner"], frames, options.gradient_strength).select("image_id", "owner", "axis", "stops")
+    area = scene.fields.groupBy("image_id", "owner").agg(F.count("*").alias("area"))
+    for part in (paths, tint, touched, area):
+        layers = layers.join(part, ["image_id", "owner"], "left")
+    inked = lambda: color.output_color(F.col("r"), F.col("g"), F.col("b"), options.color_mode, F.col("role"))
+    hexed = lambda c: color.rgb_hex(F.col(f"{c}.r"), F.col(f"{c}.g"), F.col(f"{c}.b"))
+    layers = layers.withColumn("c", inked()).withColumn("fill", hexed("c")).withColumn("source", color.rgb_hex(F.col("r"), F.col("g"), F.col("b")))
+    gradient = document.gradient_def(F.concat(F.lit("g-"), "name"), F.col("axis"), F.col("stops"))
+    layers = K.stored(layers.where("path <> ''").withColumn("gradient", F.when(F.col("axis").isNotNull(), gradient)))
+    ground = scene.ground.withColumn("c", inked()).select("image_id", hexed("c").alias("fill"))
+    canvas = K.stored(frames.join(scales, "image_id").select("image_id", F.lit(options.width).alias("width"), F.rint(F.col("height") * F.col("scale")).cast("int").alias("height")))
+    points, specks = _points(pixels, frames, scene, scales, options), None
+    if options.paper_style == "rough":
+        specks = K.stored(document.texture(canvas, options.paper, options.paper_density, options.seed))
+    grain = options.paper if options.paper_style == "grain" else options.grain_overlay
+    svg = document.documents(canvas, layers, ground, points, specks, grain=grain)
+    plans = canvas.join(kinds, "image_id").join(scene.notes, "image_id", "left").join(_counts(layers, points, specks), "image_id", "left")
+    plans = plans.na.fill(0, ["shape_count", "gradient_count", "point_count", "particle_count"])
     fixed = {"renderer": "native SVG paths", "frame_edge_policy": "fields bleed past the frame and the root clips them", "color_mode": options.color_mode, "paper_style": options.paper_style, "paper": options.paper, "paper_density": options.paper_density, "grain_overlay": options.grain_overlay, "curve_smoothing": options.curve_smoothing, "gradient_strength": options.gradient_strength, "min_negative_gap": options.min_negative_gap, "seed": options.seed}
     plans = document.plan_json(plans.select("*", *(F.lit(v).alias(k) for k, v in fixed.items())))
     return svg.join(plans, "image_id", "left")
 
 
-def repaired_roles(pixels: DataFrame, frames: DataFrame) -> DataFrame:
-    """(pixel, priority): spatial roles in order of claim: corridor 0, silhouette 1, shore 2."""
-    corridor = detect.corridor_mask(detect.perspective_corridor(pixels, frames), frames)
-    layers = [corridor.select(PIXEL), detect.silhouette(pixels, frames), detect.cool_shore(pixels, frames)]
-    stack = None
-    for i, m in enumerate(layers):
-        m = m.withColumn("priority", F.lit(i))
-        stack = m if stack is None else stack.unionByName(m)
-    return masks.claimed(stack, frames)
-
-
-def night_layers(pixels: DataFrame, frames: DataFrame) -> DataFrame:
-    """(pixel, role) of night scenes: the ground that the lower edge reaches, its lit part, and two levels of the lit sky."""
-    rows = K.stored(pixels.withColumn("lum", color.luminance(F.col("r"), F.col("g"), F.col("b"))).withColumn("warm", color.warmth(F.col("r"), F.col("b"))).join(frames, "image_id"))
-    base = rows.groupBy("image_id").agg(F.median(F.when(F.col("y") < F.col("height") * 0.58, F.col("warm"))).alias("sky_warm"))
-    warm = rows.join(base, "image_id").where((F.col("warm") > F.col("sky_warm") + 8) & (F.col("y") >= F.col("height") * 0.45)).select(PIXEL)
-    ground = K.stored(K.bottom_connected(stencils.cleaned(warm, 3, 3, frames), frames))
-    land = K.stored(K.below_sky(ground, frames))
-    lit = masks.intersection(masks.above_percentile(rows.join(land, PIXEL, "left_semi"), "lum", 0.84, 0.0), land)
-    sky = rows.join(land, PIXEL, "left_anti")
-    outer, inner = masks.above_percentile(sky, "lum", 0.72, 0.0), masks.above_percentile(sky, "lum", 0.84, 0.0)
-    tag = lambda m, role: m.select(PIXEL).withColumn("role", F.lit(role))
-    return tag(land, "foreground").unionByName(tag(lit, "light")).unionByName(tag(outer, "luminous-outer")).unionByName(tag(inner, "luminous-inner"))
-
-
-def reflective_layers(pixels: DataFrame, frames: DataFrame) -> DataFrame:
-    """(pixel, role) of reflective scenes: terrain above the axis by its contour, its mirror image, sky, water and shore."""
-    axis = detect.reflection(pixels, frames).where("reflective").select("image_id", "axis")
-    rows = K.stored(detect.with_oklab(pixels.join(axis, "image_id")))
-    jump = stencils.band_contrast(rows, "L", out="jump").where("y < axis").withColumn("score", F.coalesce(F.abs("jump"), F.lit(0.0)) * 1.25 - F.col("y") * 0.0011)
-    line = geometry.contours(jump, "score").withColumnRenamed("y", "top")
-    terrain = K.stored(rows.join(line, ["image_id", "x"]).where("y >= top and y < axis").select(*PIXEL, "axis"))
-    mirror = masks.mirrored(terrain, F.col("axis")).join(frames, "image_id").where("y < height").select(PIXEL)
-    shore = rows.where("y between axis - 2 and axis + 4").select(PIXEL)
-    sky = masks.difference(rows.where("y < axis"), terrain)
-    water = masks.difference(rows.where("y >= axis"), mirror)
-    tag = lambda m, role: m.select(PIXEL).withColumn("role", F.lit(role))
-    return tag(sky, "sky").unionByName(tag(water, "water")).unionByName(tag(terrain, "terrain")).unionByName(tag(mirror, "reflection")).unionByName(tag(shore, "shore"))
-
-
-def similar_roles(labelled: DataFrame, roles: DataFrame) -> DataFrame:
-    """labelled with the margin between its two nearest roles, as a share of the farther distance."""
-    packed = roles.groupBy("image_id").agg(F.collect_list(F.struct("L", "a", "bb")).alias("_c"))
-    gaps = F.array_sort(F.transform("_c", lambda c: color.oklab_distance([F.col(k) for k in ("L", "a", "bb")], [c[k] for k in ("L", "a", "bb")])))
-    out = labelled.join(packed, "image_id").withColumn("_g", gaps)
-    first, second = F.get("_g", F.lit(0)), F.coalesce(F.get("_g", F.lit(1)), F.lit(1.0))
-    return out.withColumn("margin", (second - first) / F.greatest(F.lit(1e-9), second)).drop("_c", "_g")
-
-
-def nearest_roles(pixels: DataFrame, roles: DataFrame) -> DataFrame:
-    return joins.nearest_centre_of_image(pixels, ["L", "a", "bb"], roles.select("image_id", "label", "L", "a", "bb"))
+def _points(pixels: DataFrame, frames: DataFrame, scene: scenes.Scene, scales: DataFrame, options: Options) -> DataFrame | None:
+    if not options.points:
+        return None
+    found = document.highlights(pixels, frames, options.seed, scene.points).withColumnRenamed("r", "radius").join(pixels.select(*PIXEL, "r", "g", "b"), PIXEL).join(scales, "image_id")
+    star = color.rgb_hex(*(color.star_color(F.col(c)) for c in "rgb"))
+    return K.stored(found.select("image_id", "n", *(((F.col(c) + 0.5) * F.col("scale")).alias(c) for c in "xy"), (F.col("radius") * F.col("scale")).alias("r"), star.alias("fill")))
+
+
+def _counts(layers: DataFrame, points: DataFrame | None, specks: DataFrame | None) -> DataFrame:
+    """What a plan says about its document, one row an image with fields."""
+    by_name = lambda value: F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", value))))
+    out = layers.groupBy("image_id").agg(
+        F.count("*").cast("int").alias("shape_count"), F.count("gradient").cast("int").alias("gradient_count"), F.array_sort(F.collect_set("fill")).alias("palette"), F.array_sort(F.collect_set("source")).alias("sampled_palette"),
+        by_name("edges").alias("frame_edges"), by_name("area").alias("field_pixels"),
+    )
+    for rows, name in ((points, "point_count"), (specks, "particle_count")):
+        own = layers.select("image_id", F.lit(0).alias(name)).where(F.lit(False)) if rows is None else rows.groupBy("image_id").agg(F.count("*").cast("int").alias(name))
+        out = out.join(own, "image_id", "full")
+    return out

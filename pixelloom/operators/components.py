@@ -10,6 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from pixelloom.operators.masks import PIXEL, complement
 ROUNDS = 60
 #: Bits of x in a linear pixel number.
 WIDE = 1 << 20
+#: Rows of an image that one task joins.
+BAND = 256
 
 
 def shared_folder(spark) -> str:
@@ -47,29 +51,60 @@ def runs(mask: DataFrame, label: str | None = None) -> DataFrame:
     return out.select("image_id", "y", "x0", "x1", "label", (F.col("y").cast("long") * WIDE + F.col("x0")).alias("node"))
 
 
-def run_components(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """nodes with root, the smallest node of their component."""
-    nodes = stored(nodes)
-    a, b = nodes.alias("a"), nodes.select("image_id", F.col("y").alias("y2"), F.col("x0").alias("o0"), F.col("x1").alias("o1"), F.col("label").alias("label2"), F.col("node").alias("other")).alias("b")
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Runs of a band with local, the first node of their component within it: hooks to smaller roots and pointer jumps."""
+    pdf = pdf.sort_values("node", ignore_index=True)
+    y, x0, x1, label = (pdf[c].to_numpy() for c in ("y", "x0", "x1", "label"))
+    below = (y.astype(np.int64) + 1) * WIDE
+    low, high = np.searchsorted(y.astype(np.int64) * WIDE + x1, below + x0), np.searchsorted(pdf["node"].to_numpy(), below + x1, side="right")
+    count = np.maximum(high - low, 0)
+    one = np.repeat(np.arange(len(pdf)), count)
+    other = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+    same = label[one] == label[other]
+    one, other = one[same], other[same]
+    root = np.arange(len(pdf))
+    while (root[one] != root[other]).any():
+        p, q = root[one], root[other]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+    return pdf.assign(local=pdf["node"].to_numpy()[root])
+
+
+def run_components(nodes: DataFrame, rounds: int = ROUNDS, band: int = BAND) -> DataFrame:
+    """nodes with root, the smallest node of their component.
+
+    Bands of rows are joined within a task, which holds the runs of one band; the components of bands that meet at a border
+    are then joined by rounds over their numbers alone. Images of one band need no round.
+    """
+    kind = nodes.schema["label"].dataType.simpleString()
+    rows = nodes.select("image_id", "y", "x0", "x1", "label", "node")
+    local = rows.groupBy("image_id", F.floor(F.col("y") / band)).applyInPandas(_joined, f"image_id long, y int, x0 int, x1 int, label {kind}, node long, local long")
+    nodes = stored(local)
+    upper, lower = (nodes.where(F.pmod("y", F.lit(band)) == at) for at in (band - 1, 0))
+    a, b = upper.alias("a"), lower.select("image_id", F.col("y").alias("y2"), F.col("x0").alias("o0"), F.col("x1").alias("o1"), F.col("label").alias("label2"), F.col("local").alias("other")).alias("b")
     touch = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.y") + 1 == F.col("b.y2")) & (F.col("a.label") == F.col("b.label2")) & (F.col("a.x0") <= F.col("b.o1")) & (F.col("b.o0") <= F.col("a.x1"))
-    down = a.join(b, touch).select("a.image_id", F.col("a.node").alias("node"), F.col("b.other").alias("other"))
-    edges = stored(down.unionByName(down.select("image_id", F.col("other").alias("node"), F.col("node").alias("other"))))
-    label = nodes.select("image_id", "node", F.col("node").alias("root"))
+    down = a.join(b, touch).select("a.image_id", F.col("a.local").alias("node"), F.col("b.other").alias("other"))
+    edges = stored(down.unionByName(down.select("image_id", F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    if not edges.limit(1).count():
+        return nodes.withColumnRenamed("local", "root")
+    label = edges.select("image_id", "node", F.col("node").alias("root")).distinct()
     for _ in range(rounds):
         near = edges.join(label.select("image_id", F.col("node").alias("other"), "root"), ["image_id", "other"]).groupBy("image_id", "node").agg(F.min("root").alias("least"))
-        step = label.join(near, ["image_id", "node"], "left").select("image_id", "node", "root", F.least("root", F.coalesce("least", "root")).alias("least"))
+        step = label.join(near, ["image_id", "node"]).select("image_id", "node", "root", F.least("root", "least").alias("least"))
         jump = step.join(label.select("image_id", F.col("node").alias("least"), F.col("root").alias("further")), ["image_id", "least"])
         label = stored(jump.select("image_id", "node", F.col("root").alias("before"), F.least("least", "further").alias("root")))
         if not label.where("before <> root").limit(1).count():
-            return nodes.join(label.select("image_id", "node", "root"), ["image_id", "node"])
+            found = label.select("image_id", F.col("node").alias("local"), "root")
+            return nodes.join(found, ["image_id", "local"], "left").withColumn("root", F.coalesce("root", "local")).drop("local")
         label = label.select("image_id", "node", "root")
     raise RuntimeError(f"components are not complete after {rounds} rounds")
 
 
-def components(mask: DataFrame, label: str | None = None) -> DataFrame:
+def components(mask: DataFrame, label: str | None = None, band: int = BAND) -> DataFrame:
     """(image_id, y, x, component) of 4-connected pixels, of one label if one is named; component is y * WIDE + x of its
     first pixel in reading order."""
-    found = run_components(runs(mask, label))
+    found = run_components(runs(mask, label), band=band)
     cols = [*PIXEL, F.col("root").alias("component"), *([F.col("label").alias(label)] if label else [])]
     return found.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "root", "label").select(cols)
 

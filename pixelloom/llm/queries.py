@@ -1,13 +1,14 @@
-"""The thin queries op1 to op10: each applies its operator, with production parameters, to its whole table."""
+"""The thin queries op1 to op13: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pixelloom.llm import _common as C
-from pixelloom.llm import decontam, exactdup, htmltext, langid, neardup, oracles, packing, pii, substring, suffix, warc
+from pixelloom.llm import decontam, exactdup, fim, htmltext, langid, neardup, oracles, packing, pii, substring, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +67,15 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(_table(spark, sf_dir, "documents"), SURROGATE_KEY)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restored(fim.transformed(_table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_warc, op2_substring_dedup, op3_language_id, op4_html_text, op5_minhash_near_dedup, op6_suffix_dedup, op7_decontamination, op8_exact_dedup, op9_best_fit_packing, op10_pii_surrogates,
+        op13_fill_in_middle,
     )
     return {f.__name__: f for f in ops}
 

@@ -38,6 +38,44 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 
 OP8 = """SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size, doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256 FROM documents"""
 
+_STEP = "{{'c': {cost} + {v}.c, 'e': '{edit}' || {v}.e, 'r': {line} || CASE WHEN {v}.r = '' THEN '' ELSE chr(10) || {v}.r END}}"
+_NEXT = ((2, "user"), (2, "user"), (3, "assistant"), (2, "user"))  # what follows nothing, s, u and a
+
+
+def _row_edits(q: int) -> str:
+    """The least of the edits of a row in state q; v holds what follows it."""
+    t, role = _NEXT[q]
+    drop = f"{{'c': 4 + v[{q + 1}].c, 'e': 'D' || v[{q + 1}].e, 'r': v[{q + 1}].r}}"
+    name = _STEP.format(cost="3 + m", edit="R", line=f"'{role}:' || text", v=f"v[{t + 1}]")
+    keep = _STEP.format(cost="m", edit="K", line="role || ':' || text", v=f"v[{t + 1}]")
+    out = f"[{drop}] || CASE WHEN fault IN (1, 2) THEN [] ELSE [{name}] END || CASE WHEN fault IN (1, 2) OR left(role, 1) <> '{role[0]}' THEN [] ELSE [{keep}] END"
+    if q == 0:
+        out += f" || CASE WHEN fault IN (1, 2) OR left(role, 1) <> 's' THEN [] ELSE [{_STEP.format(cost='m', edit='K', line=chr(39).join(['role || ', ':', ' || text']), v='v[2]')}] END"
+    return f"list_min({out})"
+
+
+def _inserts(q: int) -> str:
+    """The least of none, one and two inserts in state q before the edits b of a row."""
+    t, role = _NEXT[q]
+    u, other = _NEXT[t]
+    one = _STEP.format(cost=3, edit="I", line=f"'{role}:'", v=f"b[{t + 1}]")
+    two = _STEP.format(cost=6, edit="II", line=f"'{role}:' || chr(10) || '{other}:'", v=f"b[{u + 1}]")
+    return f"list_min([b[{q + 1}], {one}, {two}])"
+
+
+_END = "[{'c': 0, 'e': '', 'r': ''}, {'c': 6, 'e': 'II', 'r': 'user:' || chr(10) || 'assistant:'}, {'c': 3, 'e': 'I', 'r': 'assistant:'}, {'c': 0, 'e': '', 'r': ''}]"
+OP12 = f"""WITH RECURSIVE tab AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+c AS (SELECT conv_id, coalesce('v' || conv_id, 'n') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+k AS (SELECT c.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(s, ''), lambda ch: ord(ch)::BIGINT)), lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1])), 4294967295) % 20 AS k FROM c, tab),
+r AS (SELECT conv, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS tail FROM r),
+f AS (SELECT conv, i, turn, role, text, CASE WHEN tail = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 2 WHEN tail NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) || left(role, 1) AS pair FROM o),
+w AS (SELECT conv, max(i) AS i, {_END} AS v FROM f GROUP BY conv UNION ALL
+SELECT conv, i - 1, [{", ".join(_inserts(q) for q in range(4))}] FROM (SELECT conv, i, [{", ".join(_row_edits(q) for q in range(4))}] AS b FROM (SELECT f.*, v, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS m FROM w JOIN f USING (conv, i)))),
+g AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(v[1].c, 0)::BIGINT AS cost, coalesce(v[1].e, '') AS audit, sha256(coalesce(v[1].r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM c) n LEFT JOIN g USING (conv) LEFT JOIN (SELECT conv, v FROM w WHERE i = 0) USING (conv)"""
+
 OP13 = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 k AS (SELECT doc_id, t, u, len(u) AS n, list_transform(range(0, 4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::UBIGINT) AS h FROM d),
 c AS (SELECT doc_id, t, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
@@ -46,4 +84,4 @@ p AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS pre, array_to_st
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
 sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
-SQL = {"op1_warc": OP1, "op2_substring_dedup": OP2, "op5_minhash_near_dedup": OP5, "op6_suffix_dedup": OP6, "op7_decontamination": OP7, "op8_exact_dedup": OP8, "op13_fill_in_middle": OP13}
+SQL = {"op1_warc": OP1, "op2_substring_dedup": OP2, "op5_minhash_near_dedup": OP5, "op6_suffix_dedup": OP6, "op7_decontamination": OP7, "op8_exact_dedup": OP8, "op12_conversation_repair": OP12, "op13_fill_in_middle": OP13}

@@ -38,6 +38,11 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 
 OP8 = """SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size, doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256 FROM documents"""
 
+OP11 = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM r JOIN link l ON l.a = r.vec_id), least AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN n USING (vec_id)"""
+
 _STEP = "{{'c': {cost} + {v}.c, 'e': '{edit}' || {v}.e, 'r': {line} || CASE WHEN {v}.r = '' THEN '' ELSE chr(10) || {v}.r END}}"
 _NEXT = ((2, "user"), (2, "user"), (3, "assistant"), (2, "user"))  # what follows nothing, s, u and a
 
@@ -84,4 +89,4 @@ p AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS pre, array_to_st
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
 sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
-SQL = {"op1_warc": OP1, "op2_substring_dedup": OP2, "op5_minhash_near_dedup": OP5, "op6_suffix_dedup": OP6, "op7_decontamination": OP7, "op8_exact_dedup": OP8, "op12_conversation_repair": OP12, "op13_fill_in_middle": OP13}
+SQL = {"op1_warc": OP1, "op2_substring_dedup": OP2, "op5_minhash_near_dedup": OP5, "op6_suffix_dedup": OP6, "op7_decontamination": OP7, "op8_exact_dedup": OP8, "op11_embedding_near_dedup": OP11, "op12_conversation_repair": OP12, "op13_fill_in_middle": OP13}

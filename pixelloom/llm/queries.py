@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.llm import _common as C
-from pixelloom.llm import convrepair, decontam, exactdup, fim, htmltext, langid, neardup, oracles, packing, pii, substring, suffix, warc
+from pixelloom.llm import convrepair, decontam, exactdup, fim, htmltext, langid, neardup, oracles, packing, pii, substring, suffix, vectordup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(_table(spark, sf_dir, "documents"), SURROGATE_KEY)
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordup.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "conversations")
     return convrepair.repaired(table, convrepair.damaged(table))
@@ -80,7 +84,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_warc, op2_substring_dedup, op3_language_id, op4_html_text, op5_minhash_near_dedup, op6_suffix_dedup, op7_decontamination, op8_exact_dedup, op9_best_fit_packing, op10_pii_surrogates,
-        op12_conversation_repair, op13_fill_in_middle,
+        op11_embedding_near_dedup, op12_conversation_repair, op13_fill_in_middle,
     )
     return {f.__name__: f for f in ops}
 

@@ -5,8 +5,8 @@ equal windows have equal anchors wherever they stand. Neighbouring windows with
 starts), which is the anchor with all that its windows add to it on both sides.
 
 1. Anchors are counted over the corpus. A run whose anchor occurs once cannot hold a repeated window and ends here.
-2. Runs are counted over the corpus by anchor and content. Where both are equal in all 128 bits, each window of the run
-   repeats.
+2. Runs are counted over the corpus by anchor and content, which is a 64-bit BLAKE2b of the run's bytes, or of the second
+   hashes of its words: only runs of one anchor are told apart by it. Where it is equal, each window of the run repeats.
 3. What remains shares an anchor with runs of other content. substring counts its windows, suffix sorts its suffixes.
 
 Both counts are partial before their shuffles, and joins on them have a side that is unique by key, so a key of very many
@@ -28,17 +28,13 @@ _PLACE = U64((1 << 20) - 1)
 _PIECE = 1 << 20
 
 
-def units_of(unit: str, data: np.ndarray, bounds: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(unit hashes, first unit of each document) of a slice of documents."""
+def units_of(unit: str, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit hashes, what tells units apart by other means, first unit of each document) of a slice of documents: bytes are told
+    apart by themselves, words by a second hash of their bytes."""
     if unit == "byte":
-        return C.byte_units(data, which), bounds
+        return C.byte_units(data), data, bounds
     starts, ends, first = C.word_spans(data, bounds)
-    return C.word_units(data, starts, ends, which), first
-
-
-def second_units(units: np.ndarray) -> np.ndarray:
-    """Other hashes of the same units, for a second hash of what they make up."""
-    return units * U64(0x9FB21C651E98DF25) ^ (units >> U64(29))
+    return C.word_units(data, starts, ends), C.word_units(data, starts, ends, 1), first
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -50,8 +46,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def _runs(units: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(key, content hash, document, first start, number of starts) of every run; starts count from the document's first unit."""
+def _runs(units: np.ndarray, others: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(key, content digest, document, first start, number of starts) of every run; starts count from the document's first unit."""
     empty = tuple(np.zeros(0, k) for k in ("u8", "u8", "i8", "i8", "i8"))
     if len(units) < window:
         return empty
@@ -79,10 +75,8 @@ def _runs(units: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple
     if not out:
         return empty
     h, j0, n = (np.concatenate(x) for x in zip(*out, strict=True))
-    pre = C.prefix(second_units(units), 1)
-    c = C.span_hash(pre, j0, j0 + n - 1 + window, 1)
     doc = np.searchsorted(first, j0, "right") - 1
-    return h, c ^ n.astype(U64), doc, j0 - first[doc], n
+    return h, C.digests(others, j0, j0 + n - 1 + window), doc, j0 - first[doc], n
 
 
 RUNS = "h long, c long, rid long, j0 int, n int, times int"
@@ -110,8 +104,8 @@ def _scan(unit: str, window: int, gram: int, keys: bool) -> Callable:
             rid = batch.column(0).to_numpy(zero_copy_only=False)
             found = []
             for a, b in C.slices(off):
-                units, first = units_of(unit, data[off[a] : off[b]], off[a : b + 1] - off[a])
-                h, c, doc, j0, n = _runs(units, first, window, gram)
+                units, others, first = units_of(unit, data[off[a] : off[b]], off[a : b + 1] - off[a])
+                h, c, doc, j0, n = _runs(units, others, first, window, gram)
                 found.append((h, c, rid[a:b][doc], j0, n))
             if found:
                 yield _runs_out(*(np.concatenate(x) for x in zip(*found, strict=True)), keys=keys)
@@ -125,22 +119,22 @@ def _again(unit: str, window: int, gram: int, keys: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [tuple(np.zeros(0, k) for k in ("u8", "u8", "i8", "i8", "i8", "i8"))]
-            for rid, units, runs in with_units(unit, batch):
+            for rid, units, others, runs in with_units(unit, batch):
                 begin, weight = (np.array([r[k] for r in runs], np.int64) for k in ("j0", "weight"))
-                parts = [units[r["j0"] : r["j0"] + r["n"] - 1 + window] for r in runs]
-                h, c, part, j0, n = _runs(np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts])), window, gram)
+                one, two = ([x[r["j0"] : r["j0"] + r["n"] - 1 + window] for r in runs] for x in (units, others))
+                h, c, part, j0, n = _runs(np.concatenate(one), np.concatenate(two), np.append(0, np.cumsum([len(p) for p in one])), window, gram)
                 found.append((h, c, np.full(len(h), rid, np.int64), j0 + begin[part], n, weight[part]))
             yield _runs_out(*(np.concatenate(x) for x in zip(*found, strict=True)), keys=keys)
 
     return run
 
 
-def with_units(unit: str, batch: pa.RecordBatch, raw: bool = False) -> Iterator[tuple[int, np.ndarray, list[dict]]]:
-    """(rid, units, runs) of a batch (rid, text, runs: array of structs). raw: bytes as they are, not hashed."""
+def with_units(unit: str, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[dict]]]:
+    """(rid, unit hashes, what else tells units apart, runs) of a batch (rid, text, runs: array of structs)."""
     data, off = C.utf8_parts(batch.column(1))
     for i, (rid, runs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
         part = data[off[i] : off[i + 1]]
-        yield rid, part if raw else units_of(unit, part, np.array([0, len(part)]))[0], runs.as_py()
+        yield rid, *units_of(unit, part, np.array([0, len(part)]))[:2], runs.as_py()
 
 
 def scanned(keyed: DataFrame, unit: str, window: int, gram: int, keys: bool = False) -> DataFrame:

@@ -6,8 +6,9 @@ Only what repeats is extended to twice the length: first as a whole, all 35-word
 long repeats agree in all of them; where they do not, window by window. Both are counted over the corpus, and what does not
 repeat at the asked length is no candidate any more.
 
-Words are maximal runs of characters other than space and \\t \\n \\v \\f \\r, compared unchanged by 64-bit word hashes,
-windows by 128 bits. A null text has no words. Repeated rows are separate documents, so each covers the other. Extra columns
+Words are maximal runs of characters other than space and \\t \\n \\v \\f \\r, compared unchanged by two independent 64-bit
+hashes of all their bytes. Windows are compared by 64 bits over each of them; a whole run has a BLAKE2b digest over the
+second beside its anchor's hash over the first. A null text has no words. Repeated rows are separate documents, so each covers the other. Extra columns
 are ignored. An empty table gives an empty result.
 """
 
@@ -29,10 +30,10 @@ def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [tuple(np.zeros(0, k) for k in ("u8", "u8", "i8", "i8", "i8"))]
-            for rid, units, runs in R.with_units("word", batch):
+            for rid, *units, runs in R.with_units("word", batch):
                 begin, many, weight = (np.array([r[k] for r in runs], np.int64) for k in ("j0", "n", "weight"))
                 at = np.repeat(begin - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
-                keys = [C.span_hash(C.prefix(u, k), at, at + window, k) for k, u in enumerate((units, R.second_units(units)))]
+                keys = [C.span_hash(C.prefix(u, k), at, at + window, k) for k, u in enumerate(units)]
                 out.append((*keys, np.full(len(at), rid, np.int64), at, np.repeat(weight, many)))
             k1, k2, rid, at, weight = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1.view(np.int64), k2.view(np.int64), rid, at.astype(np.int32), weight.astype(np.int32))], ["k1", "k2", "rid", "at", "weight"])

@@ -193,7 +193,7 @@ def _passages(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for rid, text, runs in R.with_units("byte", batch, raw=True):
+            for rid, _, text, runs in R.with_units("byte", batch):
                 for r in runs:
                     for col, v in zip(cols, (r["h"], rid, r["j0"], r["weight"], r["c"], text[r["j0"] : r["j0"] + r["n"] - 1 + window].tobytes()), strict=True):
                         col.append(v)
@@ -215,7 +215,8 @@ def _arrays(window: int, groups: bool):
         length = np.repeat(np.array([n for n, _ in found], np.int64), [len(x) for _, x in found])
         row = np.searchsorted(off, at, "right") - 1
         if groups:
-            key = C.span_hash(C.prefix(C.byte_units(text)), at, at + length).view(np.int64)
+            heads = np.array([x[0] for _, x in found], np.int64)
+            key = np.repeat(C.digests(text, heads, heads + np.array([n for n, _ in found], np.int64)), [len(x) for _, x in found]).view(np.int64)
             h, c = (np.array([r[k] for r in rows], np.int64)[row] for k in (0, 4))
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, length, h, c, at - off[row])], ["repeat", "length", "h", "c", "at"])
         out = [(np.zeros(0, np.int64),) * 3]

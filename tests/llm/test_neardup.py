@@ -117,3 +117,16 @@ def test_recall_on_twelve_thousand_documents(spark):
     first = sets[great[0]]
     near = [d for d in great if 100 * len(sets[d] & first) >= 80 * len(sets[d] | first)]
     assert len(near) > 500 and len({got[d] for d in near}) == 1
+
+
+def test_words_that_defeat_polynomial_hashes(spark):
+    """Two texts of different words throughout, which polynomial hashes modulo 2^64 cannot tell apart, are not linked."""
+    from tests.llm.test_repeats import thue_morse
+
+    rows = []
+    for k, size in enumerate((512, 1024, 4096)):
+        one, two = thue_morse(size)
+        rows += [(10 * k, f"{one} {k}x {one}"), (10 * k + 1, f"{two} {k}y {two}"), (10 * k + 2, f"{one} {k}x {one}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(df, shingle=2).collect()}
+    assert got == {i: i - 2 if i % 10 == 2 else i for i, _ in rows}

@@ -133,9 +133,41 @@ def test_runs_are_the_same_in_pieces(monkeypatch):
     units, first = rnd.integers(0, 5, 1000).astype(np.uint64), np.array([0, 3, 3, 700, 1000])
 
     def windows():
-        h, _, doc, j0, n = R._runs(units, first, 20, 6)
+        h, _, doc, j0, n = R._runs(units, units, first, 20, 6)
         return [(int(d), int(s), int(k)) for k, d, a, m in zip(h, doc, j0, n, strict=True) for s in range(a, a + m)]
 
     whole = windows()
     monkeypatch.setattr(R, "_PIECE", 64)
     assert sorted(windows()) == sorted(whole) and len(whole) == (697 - 19) + (300 - 19)
+
+
+def thue_morse(size, a="a", b="b"):
+    """A word over two letters and its mirror: polynomial hashes modulo 2^64 cannot tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(size)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
+@pytest.mark.parametrize("size", [256, 512, 1024, 4096])
+def test_words_that_defeat_polynomial_hashes(spark, size):
+    one, two = thue_morse(size)
+    same = " ".join(f"w{i}" for i in range(34))
+    rows = [(0, f"{same} {one}"), (1, f"{same} {two}"), (2, one), (3, two), (4, " ".join(one[:300])), (5, " ".join(two[:300]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.n_removed for r in dedup_word_windows(df).collect()}
+    assert got == {i: sum(m) for (i, _), (_, m) in zip(rows, brute(rows, 35, words), strict=True)}
+    got = {r.doc_id: r.n_removed for r in dedup_byte_strings(df).collect()}
+    assert got == {i: sum(m) for (i, _), (_, m) in zip(rows, brute(rows, 200, lambda t: list(t.encode())), strict=True)}
+
+
+def test_word_hashes_tell_words_apart():
+    from pixelloom.llm import _common as C
+
+    rnd = random.Random(3)
+    text = ["x" * n for n in range(1, 600)] + [w for n in (256, 512, 1024, 4096) for w in thue_morse(n)]
+    text += ["".join(rnd.choice("ab\0") for _ in range(rnd.randint(1, 20))) for _ in range(3000)] + ["a", "a\0", "a" * 8, "a" * 8 + "\0"]
+    data = np.frombuffer(" ".join(text).encode(), np.uint8)
+    starts, ends, _ = C.word_spans(data, np.array([0, len(data)]))
+    for which in (0, 1):
+        units = C.word_units(data, starts, ends, which)
+        assert len({(t, u) for t, u in zip(text, units.tolist(), strict=True)}) == len(set(text)) == len(set(units.tolist()))
+    assert not (C.word_units(data, starts, ends) == units).any()

@@ -347,7 +347,7 @@ def _rare(labelled: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]
     good = mid.join(around, keys).where(_gap("i", "o") >= t["ring"]).join(mixed, keys).join(strong, keys).join(even, keys).join(size.select(*keys, "area"), keys)
     best = K.stored(aggregates.best(good.withColumn("score", F.col("mean") * F.sqrt("area")), ["image_id"], "score", "component", ["component", "score"]))
     boxes = K.measures(parts).join(frames.select("image_id", "height"), "image_id")
-    near = joins.satellites(boxes.select(*keys, "x0", "x1", "y0", "y1"), F.lit(520.0)).join(best.select("image_id", F.col("component").alias("main")), ["image_id", "main"])
+    near = joins.satellites(boxes.select(*keys, "x0", "x1", "y0", "y1", "height"), F.col("m.height")).join(best.select("image_id", F.col("component").alias("main")), ["image_id", "main"])
     hues = _medians(parts.join(rows, PIXEL), keys, "s")
     near = near.join(hues.withColumnRenamed("component", "satellite"), ["image_id", "satellite"]).join(mid.withColumnRenamed("component", "main"), ["image_id", "main"])
     near = near.where(color.hue_cosine([F.col(f"s{c}") for c in _LAB], [F.col(f"i{c}") for c in _LAB]) >= 0.82).groupBy("image_id").agg(F.array_sort(F.collect_set("satellite")).alias("satellites"))

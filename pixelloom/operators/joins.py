@@ -131,6 +131,37 @@ def missing(wanted: DataFrame, have: DataFrame, key: str) -> DataFrame:
     return wanted.select(key).distinct().join(have.select(key), key, "left_anti")
 
 
+def paired(one: DataFrame, two: DataFrame, key: str, path: str = "path", names: tuple[str, str] = ("source", "preview")) -> DataFrame:
+    """(key, a path of each side, how many candidates each side has, status): files of two listings paired by id.
+
+    Of several candidates the shortest path is taken, of equally long ones the first. status: paired, ambiguous if a side had
+    several candidates, or <name>-only; a null id pairs with nothing and stands once for each row. Each side is aggregated
+    before the join, so that very many candidates of one id never meet.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.col(key).alias("_k"), F.col(path).cast("string").alias("_p"))
+        best = F.min(F.struct(F.length("_p").alias("n"), F.col("_p").alias("p")))["p"]
+        named = rows.where("_k is not null").groupBy("_k").agg(best.alias(name), F.count("*").alias(f"{name}_candidates"))
+        return named, rows.where("_k is null").select(F.col("_k"), F.col("_p").alias(name), F.lit(1).cast("long").alias(f"{name}_candidates"))
+
+    (left, stray), (right, other) = (side(df, name) for df, name in zip((one, two), names, strict=True))
+    rows = left.join(right, "_k", "full").unionByName(stray, allowMissingColumns=True).unionByName(other, allowMissingColumns=True)
+    many = [F.coalesce(F.col(f"{n}_candidates"), F.lit(0)).alias(f"{n}_candidates") for n in names]
+    status = F.when(F.col(f"{names[0]}_candidates").isNull(), f"{names[1]}-only").when(F.col(f"{names[1]}_candidates").isNull(), f"{names[0]}-only")
+    status = status.when((F.col(f"{names[0]}_candidates") > 1) | (F.col(f"{names[1]}_candidates") > 1), "ambiguous").otherwise("paired")
+    return rows.select(F.col("_k").alias(key), *names, *many, status.alias("status"))
+
+
+def same_ids(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """(key, times, problem): what keeps rows from having each wanted id exactly once: missing, unknown or repeated."""
+    have = rows.groupBy(key).agg(F.count("*").alias("times"))
+    both = have.alias("h").join(wanted.select(key).distinct().withColumn("_w", F.lit(True)).alias("w"), F.col(f"h.{key}").eqNullSafe(F.col(f"w.{key}")), "full")
+    problem = F.when(F.col("times").isNull(), "missing").when(F.col("_w").isNull(), "unknown").when(F.col("times") > 1, "repeated")
+    out = both.select(F.when(F.col("times").isNull(), F.col(f"w.{key}")).otherwise(F.col(f"h.{key}")).alias(key), F.coalesce("times", F.lit(0)).alias("times"), problem.alias("problem"))
+    return out.where("problem is not null")
+
+
 def assigned_twice(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("times")).where("times > 1")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,71 @@ def merged_owners(dropped: DataFrame, owners: DataFrame, frames: DataFrame, drop
     return joins.best_owner(rows, gap).select("image_id", "component", "owner", "contacts")
 
 
+def _in_order(protected: frozenset[int]):
+    """Merges of one image: components in reading order, each with the owners as they are by then."""
+
+    def kernel(edges: pd.DataFrame, inks: pd.DataFrame) -> pd.DataFrame:
+        ink = {(bool(k), int(n)): (int(lab), np.array([r, g, b], float)) for k, n, lab, r, g, b in inks[["is_owner", "node", "label", "r", "g", "b"]].itertuples(index=False)}
+        belongs: dict[int, int] = {}
+        rows = []
+        for component, own in edges.groupby("component"):
+            label, color_of = ink[False, int(component)]
+            found: dict[int, list[int]] = {}
+            for is_owner, target, side, near in own[["is_owner", "target", "contacts", "near"]].itertuples(index=False):
+                owner = int(target) if is_owner else belongs.get(int(target))
+                if owner is not None:
+                    sums = found.setdefault(owner, [0, 0])
+                    sums[0] += int(side)
+                    sums[1] += int(near)
+            touched = {o: c for o, (c, _) in found.items() if c} or {o: n for o, (_, n) in found.items() if n}
+            scores = []
+            for owner, n in touched.items():
+                owner_label, owner_ink = ink[True, owner]
+                if owner_label not in protected or owner_label == label:
+                    gap = float(np.sqrt((((color_of - owner_ink) * (0.30, 0.59, 0.11)) ** 2).sum())) / 255.0
+                    scores.append((n / (1 + 2 * gap), n, -owner))
+            if scores:
+                _, n, owner = max(scores)
+                belongs[int(component)] = -owner
+                rows.append((edges["image_id"].iloc[0], int(component), -owner, n))
+        return pd.DataFrame(rows, columns=["image_id", "component", "owner", "contacts"])
+
+    return kernel
+
+
+def merged_in_order(dropped: DataFrame, owners: DataFrame, frames: DataFrame, dropped_color: DataFrame, owner_color: DataFrame, protected: list[int] | None = None) -> DataFrame:
+    """(image_id, component, owner, contacts): like merged_owners, but one after the other in reading order of the components'
+    first pixels, so that what was merged before counts as its owner's. `components` numbers them in that order.
+
+    Contacts between components and owners, and of components with each other, are counted over all pixels by joins; a kernel
+    then contracts the graph of one image, which has a row for each pair that touches. A component that touches no owner at its
+    turn looks at owned pixels in the square of 7 around it. Components without any owner near are left out.
+    """
+    known = K.stored(dropped.select(*PIXEL, "component", "label"))
+    targets = owners.select(*PIXEL, (F.col("owner") * 2 + 1).alias("owner")).unionByName(known.select(*PIXEL, (F.col("component") * 2).alias("owner")))
+    targets = K.stored(targets)
+    others = F.col("owner") != F.col("component") * 2
+    touch = K.stored(joins.contacts(known, targets).where(others))
+    met = touch.where(F.col("owner") % 2 == 1).select("image_id", "component").distinct()
+    lonely = K.stored(known.join(met, ["image_id", "component"], "left_anti"))
+    around = joins.dilated_by(lonely, "component", 7, frames)
+    near = around.join(targets, PIXEL).where(others).groupBy("image_id", "component", "owner").agg(F.count("*").alias("near"))
+    edges = touch.select("image_id", "component", "owner", "contacts", F.lit(0).cast("long").alias("near")).unionByName(near.select("image_id", "component", "owner", F.lit(0).cast("long").alias("contacts"), "near"))
+    edges = edges.groupBy("image_id", "component", "owner").agg(F.sum("contacts").alias("contacts"), F.sum("near").alias("near"))
+    edges = edges.select("image_id", "component", (F.col("owner") % 2 == 1).alias("is_owner"), F.shiftright("owner", 1).alias("target"), "contacts", "near")
+    ink = [F.col(c).cast("double").alias(c) for c in "rgb"]
+    inks = dropped_color.join(known.select("image_id", "component", "label").distinct(), ["image_id", "component"]).select("image_id", F.lit(False).alias("is_owner"), F.col("component").alias("node"), "label", *ink)
+    inks = inks.unionByName(owner_color.select("image_id", F.lit(True).alias("is_owner"), F.col("owner").cast("long").alias("node"), "label", *ink))
+    return edges.groupBy("image_id").cogroup(inks.groupBy("image_id")).applyInPandas(lambda a, b: _in_order(frozenset(protected or ()))(a, b), "image_id long, component long, owner long, contacts long")
+
+
+def merge_counts(merges: DataFrame, dropped: DataFrame, owners: DataFrame) -> DataFrame:
+    """(image_id, owner, components, pixels) that each owner took in; owners that took nothing have zeros."""
+    size = dropped.groupBy("image_id", "component").agg(F.count("*").alias("area"))
+    took = merges.join(size, ["image_id", "component"]).groupBy("image_id", "owner").agg(F.count("*").alias("components"), F.sum("area").alias("pixels"))
+    return owners.select("image_id", "owner").distinct().join(took, ["image_id", "owner"], "left").na.fill(0, ["components", "pixels"])
+
+
 def negative_space(fields: DataFrame, frames: DataFrame, kernel: int | Column) -> DataFrame:
     """(pixel, owner): slivers between fields (pixel, owner) that are too narrow or small to stand, given to the field they
     touch most. Narrow means closed by the kernel, a number or a column of frames; small means a hole of at most kernel

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions import scalars
+from pixelloom.operators import components as K
 
 # What may not stand in a document, and the values that enumerations have.
 FORBIDDEN = ("image", "canvas", "foreignObject")
@@ -151,14 +152,37 @@ def reports(checks: DataFrame, key: str) -> DataFrame:
     return checks.groupBy(key).agg(F.when(F.bool_and("passed"), "PASS").otherwise("FAIL").alias("result"), F.array_join(F.transform(failed, lambda c: c["check"]), ";").alias("failed_checks"))
 
 
-def nested_keys(rows: DataFrame, key: str, document: str, depth: int = 8) -> DataFrame:
-    """(key, name): lower-cased keys of a JSON text on all levels, by one generator a level."""
-    level = rows.select(key, F.try_parse_json(F.col(document)).alias("v"))
+def path_pairs(docs: DataFrame, entries: str, svg: str = "svg", plan: str = "plan", key: str = "image_id") -> DataFrame:
+    """(key, path_id, in_svg, in_plan, bounds, edges, bleeds): the paths of documents beside the entries of their plans.
+
+    docs (key, svg, plan: a VARIANT, width, height). The paths are the elements named path with an id; `entries` names the plan's
+    map of path ids to the frame edges that a field touches. Both are exploded and joined in full, so that what stands on one
+    side only is kept. bleeds: whether the path reaches past all of its edges; null where either side lacks it.
+    A path id that occurs twice in a document stands twice; a text that is no XML has no paths, a plan without the map no entries.
+    """
+    local = "//*[local-name()='path'][@id]"
+    s = F.col(svg)
+    rows = docs.select(key, "width", "height", F.xpath(s, F.lit(f"{local}/@id")).alias("ids"), F.xpath(s, F.lit(f"{local}/@d")).alias("ds"), F.try_variant_get(F.col(plan), f"$.{entries}", "map<string,array<string>>").alias("entries"))
+    drawn = rows.select(key, F.explode(F.arrays_zip("ids", "ds")).alias("e")).select(key, F.col("e.ids").alias("path_id"), scalars.path_bounds(F.col("e.ds")).alias("bounds"), F.lit(True).alias("_s"))
+    planned = rows.select(key, F.explode("entries").alias("path_id", "edges")).withColumn("_p", F.lit(True))
+    both = drawn.join(planned, [key, "path_id"], "full").join(rows.select(key, "width", "height"), key)
+    has = [F.coalesce(F.col(c), F.lit(False)).alias(n) for c, n in (("_s", "in_svg"), ("_p", "in_plan"))]
+    bleeds = F.when(F.col("_s") & F.col("_p"), scalars.bleeds(F.col("bounds"), F.col("edges"), F.col("width"), F.col("height")))
+    return both.select(key, "path_id", *has, "bounds", "edges", bleeds.alias("bleeds"))
+
+
+def nested_keys(rows: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, name): lower-cased keys of a JSON text on all levels. Each round opens what the last one found, until nothing is
+    left to open, so that no depth is lost; a text that is no JSON has no keys."""
+    level = K.stored(rows.select(F.col(key).alias("_key"), F.try_parse_json(F.col(document)).alias("v")).where("v is not null"))
     out = None
-    for _ in range(depth):
-        objects = level.select(key, F.explode_outer(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))).alias("e")).where("e is not null")
-        items = level.select(key, F.explode_outer(F.try_variant_get("v", "$", "array<variant>")).alias("v")).where("v is not null")
-        names = objects.select(key, F.lower("e.key").alias("name"))
+    while True:
+        objects = level.select("_key", F.explode(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))).alias("e"))
+        items = level.select("_key", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v"))
+        names = objects.select("_key", F.lower("e.key").alias("name"))
         out = names if out is None else out.unionByName(names)
-        level = objects.select(key, F.col("e.value").alias("v")).unionByName(items)
-    return out.distinct()
+        below = objects.select("_key", F.col("e.value").alias("v")).unionByName(items)
+        inner = F.schema_of_variant("v")
+        level = K.stored(below.where(inner.startswith("OBJECT") | inner.startswith("ARRAY")))
+        if not level.limit(1).count():
+            return out.distinct().withColumnRenamed("_key", key)

@@ -615,7 +615,7 @@ def numeric_token_bounds(spark, sf_dir):
 
 @query("SELECT event_id, lower(k) AS name FROM (SELECT event_id, unnest(json_keys(props)) AS k FROM events)")
 def json_keys(spark, sf_dir):
-    return validate.nested_keys(_table(spark, sf_dir, "events"), "event_id", "props", depth=2)
+    return validate.nested_keys(_table(spark, sf_dir, "events"), "event_id", "props")
 
 
 @query("SELECT conv_id, turn, replace(replace(replace(text, 'the', '<the>'), 'and', '&'), '<the>', 'THE') AS text FROM conversations")

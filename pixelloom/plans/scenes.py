@@ -122,7 +122,7 @@ def _selected(rows: DataFrame, inks: DataFrame, frames: DataFrame, options: Opti
     lost = K.stored(parts.join(chosen.select(*keys), keys, "left_anti").join(background, "image_id").where("label <> background").select(*PIXEL, "label", "component"))
     lost_ink = lost.select(*keys, "label").distinct().join(inks, ["image_id", "label"]).drop("label")
     owner_ink = chosen.select("image_id", F.col("component").alias("owner"), "label").join(inks, ["image_id", "label"])
-    owner = regions.merged_owners(lost, owned.select(*PIXEL, "owner"), frames, lost_ink, owner_ink, PROTECTED)
+    owner = regions.merged_in_order(lost, owned.select(*PIXEL, "owner"), frames, lost_ink, owner_ink, PROTECTED)
     whole = K.stored(owned.select(*PIXEL, "owner").unionByName(lost.join(owner, keys).select(*PIXEL, "owner")))
     if options.min_negative_gap > 0:
         whole = K.stored(whole.unionByName(regions.negative_space(whole, frames, _kernel(options.min_negative_gap))))

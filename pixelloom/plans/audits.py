@@ -4,6 +4,7 @@ against listings, and merges in reading order. They read whole tables and have S
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pixelloom.operators import coverage, geometry, joins, regions, validate
 from pixelloom.operators import components as K
 from pixelloom.operators.masks import PIXEL
 from pixelloom.plans.catalogue import _GRAY, _LEVELS, _frames, _gray, _labels, _mask, _sql_reach, _table, registrar
+from pixelloom.sources import runs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -101,6 +103,22 @@ def assignment_problems(spark, sf_dir):
     return joins.same_ids(_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), wanted, "id")
 
 
+@query("""WITH a AS (SELECT o_orderpriority AS run, o_orderkey AS image_id, 1 AS attempt, 'done' AS status, CASE WHEN o_orderstatus = 'F' THEN 'FAIL' ELSE 'PASS' END AS validation, o_custkey % 30 AS shapes FROM orders
+UNION ALL SELECT o_orderpriority, o_orderkey, 2, CASE WHEN o_custkey % 5 = 0 THEN 'failed' ELSE 'done' END, 'PASS', o_custkey % 7 FROM orders WHERE o_totalprice > 200000), c AS (SELECT *, row_number() OVER (PARTITION BY run, image_id ORDER BY attempt DESC, status DESC, shapes DESC, validation DESC) AS k FROM a)
+SELECT run, count(*) AS images, count(*) FILTER (validation = 'PASS') AS passed, count(*) FILTER (status <> 'done') AS failed, sum(shapes)::BIGINT AS shapes FROM c WHERE k = 1 GROUP BY 1""")
+def batch_run_summary(spark, sf_dir):
+    """Two attempts of a run for each priority, the second first and one of them twice; what counts is the later one."""
+    orders = _table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_custkey") % 5 == 0, "failed").otherwise("done")
+    first = orders.select("o_orderpriority", F.col("o_orderkey").alias("image_id"), F.lit("done").alias("status"), F.when(F.col("o_orderstatus") == "F", "FAIL").otherwise("PASS").alias("validation"), (F.col("o_custkey") % 30).alias("shape_count"))
+    second = orders.where("o_totalprice > 200000").select("o_orderpriority", F.col("o_orderkey").alias("image_id"), status.alias("status"), F.lit("PASS").alias("validation"), (F.col("o_custkey") % 7).alias("shape_count"))
+    folder = f"{K.shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    for (run,) in orders.select("o_orderpriority").distinct().collect():  # the runs' names, five of them
+        for attempt, rows in ((2, second), (1, first), (2, second)):
+            runs.append(rows.where(F.col("o_orderpriority") == run), folder, run, attempt)
+    return runs.summary(runs.log(spark, folder)).drop("seconds")
+
+
 # ---------------------------------------------------------------- merges
 def _merge_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     gray = _gray(spark, sf_dir)

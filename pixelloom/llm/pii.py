@@ -2,12 +2,16 @@
 
 1. Detection: spans (kind, text) of each document, by format. Names are capitalised words after a title or words that
    introduce a name, two of them before a verb of saying, or a known given name with what follows it; each part of a name
-   is an entity of its own, so that a later mention by surname follows. Names without any of these are not found.
-2. Surrogates: every distinct (kind, value) of the corpus gets one draw from a stream keyed by (key, kind, value, attempt).
+   is an entity of its own, and every later mention of a part in the text is found. Names without any of these are not.
+2. Surrogates: every distinct value of a family gets one draw from a stream keyed by (key, kind, value, attempt). All parts of
+   names are one family, so that a value has one surrogate in the whole corpus, whatever it was found as; its kinds are folded:
+   a given name if it is one anywhere, of the gender found, or of none if both were. The domains of e-mail addresses are a
+   family beside the addresses: equal domains stay equal, distinct ones distinct.
    A draw keeps the type's own rules (checksum, octets, country code), every separator, and the script and case of each
    letter. Given names keep their gender: after two draws from the listed names they are made of syllables with an ending
-   of their gender, one more syllable every fourth attempt, so that they never run out. That holds for Latin, Cyrillic,
-   Greek, Hebrew and Arabic letters; in other scripts letters are drawn without gender.
+   of their gender, one more syllable every fourth attempt. That holds for Latin, Cyrillic, Greek, Hebrew and Arabic letters;
+   in other scripts letters are drawn without gender. From attempt GROWS on surnames, secrets, local parts and domains grow by
+   a character every fourth attempt, and octets take any length, so that short values do not run out.
 3. Collisions: a draw that equals any value found in the corpus, or that another value drew, is drawn again with the next
    attempt; of several values with one draw the smallest keeps it. So distinct values stay distinct, and equal ones equal.
 4. Replacement: the surrogates join the documents' entities and are put in place.
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm import _common as C
@@ -69,6 +73,9 @@ _CUES = {
 }
 _SAYING = "called wrote said asked told replied dijo escribió".split()
 _NO_NAMES = frozenset("The A An My His Her Our Their This That It He She We They You I In On At And But Or If When El La Los Las Un Una Le Les Der Die Das Sir Madam All Friend Friends Team Customer".split())
+_NO_NAMES |= frozenset("Later Then Now Today Yesterday Tomorrow Soon Finally Meanwhile However Once After Before While Here There What Who Why How Where Since Because Although Perhaps Maybe Yes No Not New San Santa Saint Los Las North South East West Central Great Mount Lake Fort Port United Dann Heute Gestern Später Alors Puis Hier Demain Luego Ayer Hoy Nuevo Nueva Sankt Bad".split())
+_OFFICES = frozenset("President Minister Chancellor Senator Governor Mayor Chairman Director Captain General Professor Doctor Judge King Queen Prince Princess Pope Präsident Präsidentin Kanzler Kanzlerin Bürgermeister Président Présidente Ministre Presidente Presidenta Ministro Ministra".split())
+_NOT_SAID = _NO_NAMES | _OFFICES | frozenset(_TITLE)
 _CUED = [(g, re.compile(r"(?<!\w)(?:" + "|".join(cues) + r")\s+" + _FULL)) for g, cues in _CUES.items()]
 _SAID = re.compile(r"(?<!\w)(" + _CAP + r"[ \t]+" + _CAP + r")(?=[ \t]+(?:" + "|".join(_SAYING) + r")(?!\w))")
 _SAID_AT = re.compile(r"[ \t](?:" + "|".join(_SAYING) + r")(?!\w)")
@@ -93,7 +100,11 @@ def _names(text: str) -> Iterator[tuple[int, int, str]]:
                 yield from _parts(m.start(1), m[1], gender)
     if _SAID_AT.search(text):
         for m in _SAID.finditer(text):
-            if _NO_NAMES.isdisjoint(m[1].split()):
+            office, _, rest = m[1].partition(" ")
+            if office in _OFFICES:
+                if rest.strip() not in _NO_NAMES | _OFFICES:
+                    yield m.end(1) - len(rest.strip()), m.end(1), "surname"
+            elif _NOT_SAID.isdisjoint(m[1].split()):
                 yield from _parts(m.start(1), m[1], "n")
     for m in _CAPS.finditer(text):
         first = re.split("[-'’]", m[0])[0]
@@ -117,10 +128,13 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), kind) for kind, p in _PATTERNS for m in p.finditer(text)]
     if "::" in text or text.count(":") >= 7:
         found += [(m.start(), m.end(), "ip6") for m in _IP6.finditer(text) if _is_ip6(m[0])]
-    found += _names(text)
-    values = {text[a:b] for a, b, k in found if k == "surname"}
-    if values:  # later mentions by surname alone
-        found += [(m.start(), m.end(), "surname") for m in _CAPS.finditer(text) if m[0] in values]
+    named = list(_names(text))
+    found += named
+    values: dict[str, str] = {}
+    for a, b, k in named:
+        values.setdefault(text[a:b], k)
+    if values:  # later mentions of any part alone
+        found += [(m.start(), m.end(), values[m[0]]) for m in _CAPS.finditer(text) if m[0] in values]
     out: list[tuple[int, int, str]] = []
     taken = bytearray(len(text))
     for a, b, k in found:
@@ -169,6 +183,32 @@ def _alphabet(c: str) -> str:
     return "".join(near) or c
 
 
+def family(kind: str) -> str:
+    """What values are told apart within: all kinds of names are one family."""
+    return "name" if kind == "surname" or kind.startswith("given_") else kind
+
+
+def folded(kinds: set[str]) -> str:
+    """The kind of a value that was found as several."""
+    given = sorted(k for k in kinds if k.startswith("given_"))
+    sure = [k for k in given if k != "given_n"]
+    return sure[0] if len(sure) == 1 else "given_n" if given else min(kinds)
+
+
+#: Attempt from which values are drawn longer: by then those of their own length are scarce.
+GROWS = 12
+
+
+def _grown(value: str, attempt: int, draw: _Stream) -> str:
+    """value with a character more, like its last, for every fourth attempt from GROWS on."""
+    more = ""
+    for _ in range((attempt - GROWS) // 4 + 1 if attempt >= GROWS else 0):
+        c = value[-1:]
+        letters = _alphabet(c.lower() if len(value) > 1 and not value.isupper() else c) if c.isalpha() else "0123456789"
+        more += letters[draw.below(len(letters))]
+    return value + more
+
+
 def shaped(value: str, draw: _Stream, hexadecimal: bool = False) -> str:
     """Each digit by a digit, each letter by one of its script and case; everything else stays."""
     out = []
@@ -234,8 +274,8 @@ def _with_digits(value: str, digits: str) -> str:
     return "".join(next(it) if "0" <= c <= "9" else c for c in value)
 
 
-def _octet(o: str, draw: _Stream) -> str:
-    low, high = {1: (1, 9), 2: (10, 99)}.get(len(o), (100, 254))
+def _octet(o: str, attempt: int, draw: _Stream) -> str:
+    low, high = {1: (1, 9), 2: (10, 99)}.get(len(o), (100, 254)) if attempt < GROWS else (1, 254)
     return str(low + draw.below(high - low + 1))
 
 
@@ -248,13 +288,15 @@ def _group(g: str, attempt: int, draw: _Stream) -> str:
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     draw = _Stream(key, kind, value, str(attempt))
-    if kind == "email":
+    if kind == "domain":
+        *labels, top = value.split(".")
+        host = [shaped(x, _Stream(key, kind, x, f"{attempt}" if attempt else "")) for x in labels]
+        return ".".join([*host[:-1], _grown(host[-1], attempt, draw), top])
+    if kind == "email":  # its domain is drawn again on its own where that meets another
         local, _, domain = value.rpartition("@")
-        labels = domain.split(".")
-        host = [shaped(x, _Stream(key, "domain", x, ""), False) for x in labels[:-1]]  # equal domains stay equal
-        return f"{shaped(local, draw)}@{'.'.join([*host, labels[-1]])}"
+        return f"{_grown(shaped(local, draw), attempt, draw)}@{surrogate(key, 'domain', domain, 0)}"
     if kind == "ip":
-        return ".".join(_octet(o, draw) for o in value.split("."))
+        return ".".join(_octet(o, attempt, draw) for o in value.split("."))
     if kind == "ip6":
         return ":".join(_group(g, attempt, draw) if g else "" for g in value.split(":"))
     if kind == "card":
@@ -276,7 +318,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind == "secret":
         if value.startswith("AKIA"):
             return "AKIA" + shaped(value[4:], draw)
-        return shaped(value, draw, hexadecimal=re.fullmatch(r"[0-9a-f]+", value) is not None)
+        plain = re.fullmatch(r"[0-9a-f]+", value) is not None
+        return shaped(value, draw, hexadecimal=plain) if plain else _grown(shaped(value, draw), attempt, draw)
     if kind.startswith("given_"):
         if value.isascii() and attempt < 2 and not _JOINS.search(value):
             pool = GIVEN.get(kind[6:]) or GIVEN["f"] + GIVEN["m"]
@@ -284,6 +327,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
             return name.upper() if value.isupper() else name
         if name := made_name(kind[6:], value, attempt, draw):
             return name
+    if family(kind) == "name":
+        return _grown(shaped(value, draw), attempt, draw)
     return shaped(value, draw)
 
 
@@ -294,7 +339,9 @@ def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             t = t.as_py()
             if t:
-                for kind, value in dict.fromkeys((k, t[a:b]) for a, b, k in spans(t)):
+                found = dict.fromkeys((k, t[a:b]) for a, b, k in spans(t))
+                found |= dict.fromkeys(("domain", v.rpartition("@")[2]) for k, v in found if k == "email")
+                for kind, value in found:
                     rid.append(r)
                     kinds.append(kind)
                     values.append(value)
@@ -317,10 +364,13 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t, pairs = t.as_py(), pairs.as_py()
             n, found = 0, set()
             if t and pairs:
-                new = {(p["kind"], p["value"]): p["surrogate"] for p in pairs}
+                new = {(p["family"], p["value"]): p["surrogate"] for p in pairs}
                 out, at = [], 0
                 for a, b, k in spans(t):
-                    out += [t[at:a], new[k, t[a:b]]]
+                    other = new[family(k), t[a:b]]
+                    if k == "email":
+                        other = other.rpartition("@")[0] + "@" + new["domain", t[a:b].rpartition("@")[2]]
+                    out += [t[at:a], other]
                     at, n = b, n + 1
                     found.add(k)
                 t = "".join([*out, t[at:]])
@@ -330,9 +380,23 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(kinds, pa.string())], ["id", "text", "n_entities", "kinds"])
 
 
-def surrogates(entities: DataFrame, key: bytes, attempts: int = 200) -> DataFrame:
-    """(kind, value, surrogate) of distinct entities (kind, value): one-to-one, and no surrogate is a value of the corpus."""
-    entities = C.written(entities.select("kind", "value").distinct(), "entities")
+def _family() -> Column:
+    return F.when(F.col("kind").startswith("given_") | (F.col("kind") == "surname"), "name").otherwise(F.col("kind"))
+
+
+def _one_kind(entities: DataFrame) -> DataFrame:
+    """(family, kind, value): the kinds that a value of a family was found as, folded into one (see `folded`)."""
+    has = lambda k: F.bool_or(F.col("kind") == k)
+    sums = entities.groupBy(_family().alias("family"), "value").agg(has("given_f").alias("f"), has("given_m").alias("m"), has("given_n").alias("n"), F.min("kind").alias("least"))
+    kind = F.when(F.col("f") & ~F.col("m"), "given_f").when(F.col("m") & ~F.col("f"), "given_m").when(F.col("f") | F.col("m") | F.col("n"), "given_n").otherwise(F.col("least"))
+    return sums.select("family", kind.alias("kind"), "value")
+
+
+def surrogates(entities: DataFrame, key: bytes, attempts: int = 1000) -> DataFrame:
+    """(family, kind, value, surrogate) of distinct entities (kind, value): one for each value of a family, one-to-one, and no
+    surrogate is a value of the corpus. Values that are left after an attempt are drawn again; what cannot grow (numbers of a
+    fixed form) has billions of draws."""
+    entities = C.written(_one_kind(entities.select("kind", "value")), "entities")
     originals = entities.select(F.col("value").alias("surrogate")).distinct()
     done: DataFrame | None = None
     todo = entities
@@ -341,20 +405,21 @@ def surrogates(entities: DataFrame, key: bytes, attempts: int = 200) -> DataFram
         free = drawn.join(originals, "surrogate", "left_anti")
         if done is not None:
             free = free.join(done.select("surrogate"), "surrogate", "left_anti")
-        won = free.groupBy("surrogate").agg(F.min(F.struct("kind", "value")).alias("w")).select("w.kind", "w.value", "surrogate")
+        won = free.groupBy("surrogate").agg(F.min(F.struct("kind", "value")).alias("w")).select("w.kind", "w.value", "surrogate").select(_family().alias("family"), "kind", "value", "surrogate")
         won = C.written(won, "surrogates")
         done = won if done is None else done.unionByName(won)
         todo = C.written(todo.join(won.select("kind", "value"), ["kind", "value"], "left_anti"), "again")
         if not todo.limit(1).count():
             return done
-    raise RuntimeError("the surrogates of some kind are exhausted; lengthen its alphabet")
+    raise RuntimeError("the surrogates of a kind of fixed form are exhausted")
 
 
 def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, text with surrogates, n_entities, kinds (comma-joined)."""
     keyed = C.with_row_key(docs, id_col, text_col).select("rid", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = C.written(keyed.select("rid", "text").mapInArrow(_detect, "rid long, kind string, value string"), "found")
-    named = surrogates(found, key)
-    per = found.join(named, ["kind", "value"]).groupBy("rid").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("pairs"))
+    named = surrogates(found, key).select("family", "value", "surrogate")
+    once = found.select("rid", _family().alias("family"), "value").distinct()
+    per = once.join(named, ["family", "value"]).groupBy("rid").agg(F.collect_list(F.struct("family", "value", "surrogate")).alias("pairs"))
     out = keyed.join(per, "rid", "left").select("id", "text", "pairs").mapInArrow(_replace, "id long, text string, n_entities long, kinds string")
     return out.withColumnsRenamed({"id": id_col, "text": text_col})

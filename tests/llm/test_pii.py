@@ -74,7 +74,7 @@ def test_distinct_coreferent_and_whole(spark):
 
 def test_given_names_keep_their_gender_where_every_listed_name_occurs(spark):
     made = [a + b for a in "Xab Xeb Xib Xob Xub".split() for b in "cor dor lor mor nor por".split()]  # more than are listed
-    names = {g: [*listed, *made, "José", "Мария" if g == "f" else "Иван", "Anne-Lou"] for g, listed in pii.GIVEN.items()}
+    names = {g: [*listed, *(n + g for n in made), "José" if g == "m" else "Renée", "Мария" if g == "f" else "Иван", f"Anne-Lou{g}"] for g, listed in pii.GIVEN.items()}
     rows = [(f"given_{g}", n) for g in names for n in names[g]]
     got = pii.surrogates(spark.createDataFrame(rows, "kind string, value string"), KEY).collect()
     assert len(got) == len(rows) and len({r.surrogate for r in got}) == len(rows)
@@ -147,3 +147,54 @@ def test_whole_texts_against_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.text for r in pii.pseudonymised(df, KEY).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, KEY)
+
+
+def replaced(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.text for r in pii.pseudonymised(df, KEY).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+#: Texts with their names and addresses marked by hand: [value|key]; equal keys are one value.
+MARKED = [
+    "Herr [Heinrich] [Vogel] wrote to us. Later [Heinrich] said yes.",
+    "My name is [Heinrich] [Vogel].",
+    "Frau [Petra] [Braun]. [Petra] is here, and [Braun] too.",
+    "President [Lincoln] said so. New York said nothing. Then Rain fell.",
+    "Write to [ann@a.co], [bob@f.co] or [ann@f.co], not to a.co.",
+    "Dear [Petra] [Lincoln], Mr [Vogel] called.",
+]
+
+
+def test_marked_texts(spark):
+    """What is marked is replaced, all the rest stays, and values and surrogates are one to one over the corpus."""
+    plain = [re.sub(r"[\[\]]", "", t) for t in MARKED]
+    pairs = {}
+    for marked, got in zip(MARKED, replaced(spark, plain), strict=True):
+        values = re.findall(r"\[(.*?)\]", marked)
+        pattern = "".join(re.escape(x) if i % 2 == 0 else r"(\S+?)" for i, x in enumerate(re.split(r"\[(.*?)\]", marked)))
+        m = re.fullmatch(pattern, got)
+        assert m, (marked, got)
+        for value, new in zip(values, m.groups(), strict=True):
+            assert pairs.setdefault(value, new) == new != value
+    assert len(set(pairs.values())) == len(pairs) and not set(pairs) & set(pairs.values())
+    assert pairs["ann@f.co"].split("@")[1] == pairs["bob@f.co"].split("@")[1] != pairs["ann@a.co"].split("@")[1]
+
+
+def test_short_values_do_not_run_out(spark):
+    """Every two-letter surname and every address of one-digit octets occurs; domains of one letter stay distinct."""
+    names = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [("surname", n) for n in names] + [("ip", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    rows += [("domain", f"{c}.co") for c in "abcdefghijklmnopqrstuvwxyz"]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, value string"), KEY).collect()
+    assert {(r.kind, r.value) for r in got} == set(rows) and len({r.surrogate for r in got}) == len(rows)
+    assert not {r.surrogate for r in got} & {v for _, v in rows}
+    assert all(r.surrogate.endswith(".co") for r in got if r.kind == "domain") and all(r.surrogate[:1].isupper() for r in got if r.kind == "surname")
+
+
+def test_kinds_of_a_value_are_folded(spark):
+    rows = [("surname", "Heinrich"), ("given_m", "Heinrich"), ("given_n", "Heinrich"), ("given_f", "Kim"), ("given_m", "Kim"), ("surname", "Vogel"), ("ip", "1.2.3.4")]
+    got = {r.value: (r.family, r.kind) for r in pii.surrogates(spark.createDataFrame(rows, "kind string, value string"), KEY).collect()}
+    assert got == {"Heinrich": ("name", "given_m"), "Kim": ("name", "given_n"), "Vogel": ("name", "surname"), "1.2.3.4": ("ip", "ip")}
+    for value in got:
+        assert pii.folded({k for k, v in rows if v == value}) == got[value][1]

@@ -3,10 +3,12 @@
 A page's tokens are its structural elements, told apart by the elements around them and, for those that hold others, by
 their turn among siblings of one kind, and the words of its text, told apart by the element they stand in. Names that a
 site gives to classes or ids play no part. For every host, each token has an occurrence vector over all pages of the host:
-how often each page holds it. Tokens with one vector form an equivalence class. A class is valid as a whole or not at all:
-at least SUPPORT of the host's pages hold it; it has an element or LARGE words; its members follow each other in one order,
-the same on all pages; no run of it straddles a member of a valid class with more pages; and the elements around its members
-lie in valid classes. The valid classes nest into the host's template.
+how often each page holds it. Tokens with one vector form an equivalence class. A class is valid if at least SUPPORT of the host's pages, and LEAST_PAGES,
+hold it; it has an element or LARGE words; its members follow each other in one order, the same on all pages; no run of it straddles a member of
+a valid class with more pages; and the elements around its members lie in valid classes. A class that is out of order holds
+tokens of several roles that only happen to be as frequent, such as a menu's items beside as many paragraphs: it is split by the
+element around its members, and the parts are held to the same rules. Of a part that is out of order still, elements stand
+alone and words belong to no class. The valid classes nest into the host's template.
 
 Elements of the template that stand once in each of their pages cut a page into slots. The slot of the article is the deepest
 one that holds MOST of the host's free text, which is what is neither in links nor in words of the template. Slots nested in
@@ -19,8 +21,8 @@ Hosts of fewer than LEAST_PAGES pages share the template of all such hosts' elem
 by the meaning of its elements: its longest article or main, or else all of it. Of equally rich slots the deepest is taken,
 of equally deep ones the one with the smallest token.
 
-Vectors are compared by a 64-bit hash over (page, count), combined without order, so that they aggregate before the
-shuffle; tokens are 64-bit hashes too. Orders are checked on each page's sequence of tokens, reduced to what a bit field of
+Vectors are compared by two 32-bit hashes over (page, count), summed over pages, so that they aggregate before the shuffle and
+repeated pages count; tokens are 64-bit hashes. Orders are checked on each page's sequence of tokens, reduced to what a bit field of
 fixed size holds of all hosts' candidates. A host's template is small and joins its pages.
 
 Pages are read in linear time, however long, deep or broken: an unfinished tag ends at the page's end, a quote that is never
@@ -101,10 +103,10 @@ def _tag_end(page: str, at: int, dead: set[str]) -> int:
         return end
     pos = at
     while m := _MARK.search(page, pos):
-        c, start, pos = m[0], m.start(), m.end()
+        before, c, start, pos = pos, m[0], m.start(), m.end()
         if c == ">":
             return start
-        if c not in dead and page[max(at, start - 64) : start].rstrip()[-1:] == "=":
+        if c not in dead and page[before:start].rstrip()[-1:] == "=":  # what stands between two marks is looked at once
             close = page.find(c, pos)
             if close < 0:
                 dead.add(c)
@@ -205,13 +207,42 @@ def word_tokens(path: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- deduction for one host
-def valid_classes(rows: list[dict], pages: int, bad: frozenset[tuple[int, int, int]] = frozenset()) -> list[list[dict]]:
+Key = tuple[int, int, int]
+
+
+def _class_key(r: dict) -> Key:
+    return r["pages"], r["times"], r["vector"]
+
+
+def _sized(v: list[dict]) -> bool:
+    return len(v) >= LARGE or any(r["tag"] is not None for r in v)
+
+
+def by_role(members: list[dict]) -> dict[int, list[dict]]:
+    """A class's members by the element around them, in order of that element."""
+    out: dict[int, list[dict]] = {}
+    for r in sorted(members, key=lambda r: (r["at"], r["token"])):
+        out.setdefault(r["at"], []).append(r)
+    return out
+
+
+def valid_classes(rows: list[dict], pages: int, bad: frozenset[Key] = frozenset(), worse: frozenset[tuple[Key, int]] = frozenset()) -> list[list[dict]]:
     """The classes of a host's tokens that are valid. rows: token, at (the element around it), tag (None: a word), pages,
-    times, vector, chars, links; bad: classes out of order."""
-    classes: dict[tuple[int, int, int], list[dict]] = {}
+    times, vector, chars, links; bad: classes out of order, which are split by the element around their members; worse: parts of
+    those, by that element, that are out of order still, whose elements stand alone and whose words belong to no class."""
+    classes: dict[Key, list[dict]] = {}
     for r in rows:
-        classes.setdefault((r["pages"], r["times"], r["vector"]), []).append(r)
-    valid = [v for k, v in classes.items() if k[0] >= SUPPORT * pages and k not in bad and (len(v) >= LARGE or any(r["tag"] is not None for r in v))]
+        classes.setdefault(_class_key(r), []).append(r)
+    valid = []
+    for k, v in classes.items():
+        if k[0] < max(SUPPORT * pages, min(LEAST_PAGES, pages)):
+            continue
+        parts = [(None, v)] if k not in bad else list(by_role(v).items())
+        for at, part in parts:
+            if (k, at) in worse:
+                valid += [[r] for r in part if r["tag"] is not None]
+            elif _sized(part):
+                valid.append(part)
     count = -1
     while len(valid) != count:  # a class stands only if all of its members are nested in what stands
         count = len(valid)
@@ -220,10 +251,10 @@ def valid_classes(rows: list[dict], pages: int, bad: frozenset[tuple[int, int, i
     return valid
 
 
-def template(rows: list[dict], bad: frozenset[tuple[int, int, int]] = frozenset()) -> tuple[int | None, list[int], list[int]]:
+def template(rows: list[dict], bad: frozenset[Key] = frozenset(), worse: frozenset[tuple[Key, int]] = frozenset()) -> tuple[int | None, list[int], list[int]]:
     """(slot of the article, slots in it that are left out, words of the template) of a host; see valid_classes."""
     whole = next(r for r in rows if r["token"] == 0)
-    held = [r for v in valid_classes([r for r in rows if r["token"] != 0], whole["pages"], bad) for r in v]
+    held = [r for v in valid_classes([r for r in rows if r["token"] != 0], whole["pages"], bad, worse) for r in v]
     above = {r["token"]: r["at"] for r in held if r["tag"] is not None}
     once = {r["token"]: r for r in held if r["tag"] in _HOLDERS and r["pages"] == r["times"]}
     free = {t: r["chars"] - r["links"] for t, r in once.items()}
@@ -359,8 +390,8 @@ def _elements(page: np.ndarray, path: np.ndarray, size: np.ndarray, link: np.nda
 
 
 _SLICE = 256
-_SEEN = "host string, token long, at long, tag string, pages long, times long, vector long, chars long, links long"
-_ADD = [np.maximum, np.maximum, np.add, np.add, np.bitwise_xor, np.add, np.add]
+_SEEN = "host string, token long, at long, tag string, pages long, times long, one long, two long, chars long, links long"
+_ADD = [np.maximum, np.maximum, np.add, np.add, np.add, np.add, np.add, np.add]
 
 
 def _often_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,54 +438,52 @@ def _occurrences(field):
                 page, path, token, size, link, is_word, paths = _sequences(texts)
                 codes, kinds = np.array(paths.code), np.array([tags.setdefault(t, len(tags)) for t in paths.tag])
                 at, row, times, chars, links = _elements(page, path, size, link, is_word, paths, len(texts))
-                rows = [own[k:][at], codes[row], codes[np.array(paths.parent)[row]], kinds[row], np.ones(len(at), np.int64), times, _vector(ids[k:][at], times), chars, links]
+                rows = [own[k:][at], codes[row], codes[np.array(paths.parent)[row]], kinds[row], np.ones(len(at), np.int64), times, *_vector(ids[k:][at], times), chars, links]
                 pick = is_word.copy()
                 pick[is_word] = have[_field_bits(host_code[k:][page[is_word]], token[is_word])]
                 (page, token), (times, at, size, link) = _sums([page[pick], token[pick]], [np.ones(int(pick.sum()), np.int64), codes[path[pick]], size[pick], link[pick]], [np.add, np.maximum, np.add, np.add])
                 one = np.ones(len(page), np.int64)
-                more = [own[k:][page], token, at, -one, one, times, _vector(ids[k:][page], times), size, link]
+                more = [own[k:][page], token, at, -one, one, times, *_vector(ids[k:][page], times), size, link]
                 keys, values = _sums([np.concatenate([a, b]) for a, b in zip(rows[:2], more[:2], strict=True)], [np.concatenate([a, b]) for a, b in zip(rows[2:], more[2:], strict=True)], _ADD)
                 parts.append([*keys, *values])
             if parts:
                 cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
                 (host, token), (at, kind, *sums) = _sums(cols[:2], cols[2:], _ADD)
                 tag = pa.array(list(tags), pa.string()).take(pa.array(np.where(kind < 0, 0, kind), mask=kind < 0))
-                yield pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()).take(pa.array(host)), pa.array(token), pa.array(at), tag, *map(pa.array, sums)], ["host", "token", "at", "tag", "pages", "times", "vector", "chars", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()).take(pa.array(host)), pa.array(token), pa.array(at), tag, *map(pa.array, sums)], ["host", "token", "at", "tag", "pages", "times", "one", "two", "chars", "links"])
 
     return run
 
 
-def _vector(page: np.ndarray, times: np.ndarray) -> np.ndarray:
-    return C.mix(page.view(C.U64) * C.U64(0xD6E8FEB86659FD93) + times.astype(np.int64).view(C.U64)).view(np.int64)
+def _vector(page: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of 32 bits of (page, count), whose sums over pages stand for the vector; a repeated page counts again."""
+    x = C.mix(page.view(C.U64) * C.U64(0xD6E8FEB86659FD93) + times.astype(np.int64).view(C.U64))
+    return (x >> C.U64(32)).view(np.int64), (x & C.U64(0xFFFFFFFF)).view(np.int64)
 
 
 def _field_bits(host: np.ndarray, token: np.ndarray) -> np.ndarray:
     return (C.mix(host.view(C.U64) * C.U64(0x9E3779B97F4A7C15) + token.view(C.U64)) % C.U64(FIELD)).astype(np.int64)
 
 
-def _large(rows: list[dict]) -> list[tuple[tuple[int, int, int], list[int]]]:
-    """Classes that are large enough to be a template's, with their tokens; those with more pages come first."""
-    out: dict[tuple[int, int, int], list[int]] = {}
-    elements = set()
+def _large(rows: list[dict]) -> list[tuple[Key, list[dict]]]:
+    """Classes that are large enough to be a template's, with their members; those with more pages come first."""
+    out: dict[Key, list[dict]] = {}
     for r in rows:
         if r["token"] != 0:
-            key = r["pages"], r["times"], r["vector"]
-            out.setdefault(key, []).append(r["token"])
-            if r["tag"] is not None:
-                elements.add(key)
-    return sorted(((k, v) for k, v in out.items() if k in elements or len(v) >= LARGE), key=lambda x: (-x[0][0], x[0]))
+            out.setdefault(_class_key(r), []).append(r)
+    return sorted(((k, v) for k, v in out.items() if _sized(v)), key=lambda x: (-x[0][0], x[0]))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, sorted tokens, the number of each one's class, bits in the field)."""
+    """(host, sorted tokens, the number of each one's class and of its role in it, bits in the field)."""
     for batch in batches:
-        toks, nums, bits = [], [], []
+        toks, nums, roles, bits = [], [], [], []
         for host, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = sorted((t, i) for i, (_, ts) in enumerate(_large(rows)) for t in ts)
-            toks.append([t for t, _ in found])
-            nums.append([i for _, i in found])
+            found = sorted((r["token"], i, j) for i, (_, v) in enumerate(_large(rows)) for j, part in enumerate(by_role(v).values()) for r in part)
+            for col, k in ((toks, 0), (nums, 1), (roles, 2)):
+                col.append([x[k] for x in found])
             bits.append(np.unique(_field_bits(np.repeat(hashed([host]), len(found)), np.array(toks[-1], np.int64))).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in (toks, nums, bits))], ["host", "tokens", "numbers", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in (toks, nums, roles, bits))], ["host", "tokens", "numbers", "roles", "bits"])
 
 
 def _reduced(field):
@@ -475,45 +504,69 @@ def _reduced(field):
     return run
 
 
-def class_orders(token: np.ndarray, number: np.ndarray) -> dict[int, tuple[int, bool]]:
-    """class number -> (hash of its members' order, well-formed) of a page's candidates in page order."""
-    out: dict[int, tuple[int, bool]] = {}
-    valid: list[np.ndarray] = []
+def _ordered(token: np.ndarray, at: np.ndarray, valid: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray | None, int]:
+    """(one run of the members at these places, its length), or None if they are out of order or straddle a valid class."""
+    mine = token[at]
+    size = len(np.unique(mine))
+    runs = mine.reshape(-1, size) if len(mine) % size == 0 else None
+    if runs is None or not (runs == runs[0]).all() or len(np.unique(runs[0])) != size:
+        return None, size
+    begin, end = at[::size], at[size - 1 :: size]
+    for other, width in valid:  # whole runs of one class lie in one gap of the other
+        a, b = np.searchsorted(other, begin), np.searchsorted(other, end)
+        inside = b - a
+        if (inside % width).any() or (a[inside > 0] % width).any():
+            return None, size
+        if (inside > 0).any():  # the other's runs within this one must not be cut by its members
+            x, y = np.searchsorted(at, other[::width]), np.searchsorted(at, other[width - 1 :: width])
+            if ((y - x) % size).any() or (x[y > x] % size).any():
+                return None, size
+    return runs[0], size
+
+
+def _order_code(run: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(np.ascontiguousarray(run).tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def class_orders(token: np.ndarray, number: np.ndarray, role: np.ndarray | None = None, known: set | None = None) -> dict[tuple[int, int], tuple[int, bool]]:
+    """(class number, -1) -> (hash of its members' order, well-formed) of a page's candidates in page order; and the same for
+    (class number, role), the parts that a class is split into if it is out of order anywhere. Parts of a class in order are
+    those of its run: known holds the (class, order) for which they need not be told again."""
+    out: dict[tuple[int, int], tuple[int, bool]] = {}
+    valid: list[tuple[np.ndarray, int]] = []
     for c in np.unique(number).tolist():
         at = np.flatnonzero(number == c)
-        mine = token[at]
-        size = len(np.unique(mine))
-        runs = mine.reshape(-1, size) if len(mine) % size == 0 else None
-        good = runs is not None and bool((runs == runs[0]).all()) and len(np.unique(runs[0])) == size
-        if good:
-            begin, end = at[::size], at[size - 1 :: size]
-            for other, width in valid:  # whole runs of one class lie in one gap of the other
-                a, b = np.searchsorted(other, begin), np.searchsorted(other, end)
-                inside = b - a
-                good &= bool((inside % width == 0).all() and (a[inside > 0] % width == 0).all())
-                if good and (inside > 0).any():  # the other's runs within this one must not be cut by its members
-                    x, y = np.searchsorted(at, other[::width]), np.searchsorted(at, other[width - 1 :: width])
-                    good &= bool(((y - x) % size == 0).all() and (x[y > x] % size == 0).all())
-        if good:
+        run, size = _ordered(token, at, valid)
+        out[c, -1] = (0, False) if run is None else (_order_code(run), True)
+        if role is not None and (run is None or known is None or (c, out[c, -1][0]) not in known):
+            of = role[at] if run is None else role[at][:size]
+            for j in np.unique(of).tolist():
+                part, wide = _ordered(token, at[of == j], valid) if run is None else (run[of == j], 0)
+                out[c, j] = (0, False) if part is None else (_order_code(part), True)
+                if run is None and part is not None:
+                    valid.append((at[of == j], wide))
+        if run is not None:
             valid.append((at, size))
-            order = int(C.mix(np.array([C.span_hash(C.prefix(C.mix(runs[0].view(C.U64).copy())), np.array([0]), np.array([size]))[0]], C.U64)).view(np.int64)[0])
-        out[c] = (order if good else 0, good)
+            if known is not None:
+                known.add((c, out[c, -1][0]))
     return out
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sums: dict[tuple[str, int], list] = {}
-        for host, seq, tok, num in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3)), strict=True):
-            seq, tok, num = (x.values.to_numpy(zero_copy_only=False) for x in (seq, tok, num))
+        sums: dict[tuple[str, int, int], list] = {}
+        known: dict[str, set] = {}
+        for host, seq, tok, num, role in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3, 4)), strict=True):
+            seq, tok, num, role = (x.values.to_numpy(zero_copy_only=False) for x in (seq, tok, num, role))
             if len(tok):
                 at = np.minimum(np.searchsorted(tok, seq), len(tok) - 1)
                 pick = tok[at] == seq
-                for c, (order, good) in class_orders(seq[pick], num[at[pick]]).items():
-                    row = sums.setdefault((host, c), [order, order, True])
+                for (c, j), (order, good) in class_orders(seq[pick], num[at[pick]], role[at[pick]], known.setdefault(host, set())).items():
+                    row = sums.setdefault((host, c, j), [order, order, True])
                     row[:] = [min(row[0], order), max(row[1], order), row[2] and good]
-        cols = [[k[0] for k in sums], [k[1] for k in sums], *([v[i] for v in sums.values()] for i in range(3))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["host", "number", "low", "high", "good"])
+        cols = [*([k[i] for k in sums] for i in range(3)), *([v[i] for v in sums.values()] for i in range(3))]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["host", "number", "role", "low", "high", "good"])
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -521,7 +574,9 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for rows, wrong in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             large = _large(rows)
-            out.append(template(rows, frozenset(large[i][0] for i in wrong or ())))
+            bad = frozenset(large[w["number"]][0] for w in wrong or () if w["role"] < 0)
+            parts = [(large[w["number"]], w["role"]) for w in wrong or () if w["role"] >= 0]
+            out.append(template(rows, bad, frozenset((k, list(by_role(v))[j]) for (k, v), j in parts if k in bad)))
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in cols[1:])], ["host", "slot", "out", "words"])
 
@@ -542,23 +597,23 @@ def templates(pages: DataFrame) -> tuple[DataFrame, Template]:
     spark = pages.sparkSession
     here = spark.sparkContext.broadcast(_field(pages.select("host", "html").mapInArrow(_often_here, "b long")))
     seen = pages.mapInArrow(_occurrences(here), _SEEN).groupBy("host", "token")
-    sums = [F.max("at").alias("at"), F.max("tag").alias("tag"), *(F.sum(c).alias(c) for c in ("pages", "times", "chars", "links")), F.expr("bit_xor(vector)").alias("vector")]
+    sums = [F.max("at").alias("at"), F.max("tag").alias("tag"), *(F.sum(c).alias(c) for c in ("pages", "times", "chars", "links", "one", "two"))]
     most = pages.groupBy("host").agg(F.count("*").alias("all"))
     often = C.written(seen.agg(*sums).join(most, "host").where((F.col("pages") >= SUPPORT * F.col("all")) | (F.col("all") < LEAST_PAGES)), "often")  # rarer tokens are in no valid class
-    row = F.struct("token", "at", "tag", "pages", "times", "vector", "chars", "links")
+    row = F.struct("token", "at", "tag", "pages", "times", F.xxhash64("one", "two").alias("vector"), "chars", "links")
     hosts = C.written(often.where(F.col("all") >= LEAST_PAGES).groupBy("host").agg(F.collect_list(row).alias("rows")), "hosts")
 
     few = often.where((F.col("all") < LEAST_PAGES) & F.col("tag").isNotNull()).groupBy("token").agg(*sums)
     total = few.where("token = 0").agg(F.sum("pages")).first()[0] or 0
-    pool = [r.asDict() for r in few.where(F.col("pages") >= SUPPORT * total).collect()] if total >= LEAST_PAGES else []  # at most the elements of two average pages
+    pool = [r.asDict() | {"vector": hash((r.one, r.two))} for r in few.where(F.col("pages") >= SUPPORT * total).collect()] if total >= LEAST_PAGES else []  # at most the elements of two average pages
     slot, out, _ = template(pool) if pool else (None, [], [])
 
-    found = C.written(hosts.mapInArrow(_candidates, "host string, tokens array<long>, numbers array<long>, bits array<long>"), "candidates")
+    found = C.written(hosts.mapInArrow(_candidates, "host string, tokens array<long>, numbers array<long>, roles array<long>, bits array<long>"), "candidates")
     field = _field(found.select(F.explode("bits").alias("b")))
     reduced = pages.mapInArrow(_reduced(spark.sparkContext.broadcast(field)), "host string, sequence array<long>")
-    orders = reduced.join(found.select("host", "tokens", "numbers"), "host").mapInArrow(_orders, "host string, number long, low long, high long, good boolean")
-    wrong = orders.groupBy("host", "number").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("good").alias("good")).where("low <> high or not good")
-    wrong = wrong.groupBy("host").agg(F.collect_list("number").alias("wrong"))
+    orders = reduced.join(found.select("host", "tokens", "numbers", "roles"), "host").mapInArrow(_orders, "host string, number long, role long, low long, high long, good boolean")
+    wrong = orders.groupBy("host", "number", "role").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("good").alias("good")).where("low <> high or not good")
+    wrong = wrong.groupBy("host").agg(F.collect_list(F.struct("number", "role")).alias("wrong"))
     slots = hosts.join(wrong, "host", "left").select("host", "rows", "wrong").mapInArrow(_slots, "host string, slot long, out array<long>, words array<long>")
     return slots, (slot, frozenset(out), frozenset())
 

@@ -128,9 +128,99 @@ def test_template_text_is_found_without_marks_or_names(spark):
 def test_orders_of_classes():
     import numpy as np
 
-    orders = lambda t, n: H.class_orders(np.array(t), np.array(n))
+    orders = lambda t, n: {c: v for (c, j), v in H.class_orders(np.array(t), np.array(n)).items() if j < 0}
     nested = orders([1, 7, 8, 7, 8, 2, 3], [0, 1, 1, 1, 1, 0, 0])
     assert nested[0][1] and nested[1][1] and nested[0][0] == orders([1, 2, 3], [0, 0, 0])[0][0] != orders([2, 1, 3], [0, 0, 0])[0][0]
     assert not orders([1, 2, 3, 1, 3, 2], [0] * 6)[0][1]
     straddling = orders([1, 7, 2, 8, 3], [0, 1, 0, 1, 0])
     assert straddling[0][1] and not straddling[1][1]
+    split = H.class_orders(np.array([1, 1, 2, 2]), np.array([0] * 4), np.array([0, 0, 1, 1]))
+    assert not split[0, -1][1] and split[0, 0][1] and split[0, 1][1]
+    whole = H.class_orders(np.array([1, 2, 1, 2]), np.array([0] * 4), np.array([0, 1, 0, 1]))
+    assert whole[0, -1][1] and whole[0, 0] == split[0, 0] and whole[0, 1] == split[0, 1]
+
+
+def shop(host, i, items, paragraphs, menu):
+    item = "".join(f"<{menu}>Item{k} menu{k}</{menu}>" for k in range(items))
+    text = "".join(f"<p>story{i}x{k} about thing{i}y{k} number{i}z{k}</p>" for k in range(paragraphs))
+    return f"<html><body><div><ul>{item}</ul></div><div><h2>Head{i} line{i}</h2>{text}</div><div><p>Copyright {host} all rights reserved</p></div></body></html>"
+
+
+def test_as_many_menu_items_as_paragraphs(spark):
+    """Classes that merge a menu with the article are split; the article comes alone for every number of items."""
+    rows, want = [], {}
+    for h, (k, menu) in enumerate((k, menu) for k in range(1, 9) for menu in ("li", "div")):
+        for i in range(6):
+            rows.append((len(rows), f"http://shop{h}.org/{i}", shop(f"shop{h}", i, k, k, menu)))
+            want[rows[-1][0]] = "\n".join([f"Head{i} line{i}", *(f"story{i}x{j} about thing{i}y{j} number{i}z{j}" for j in range(k))])
+    rows += [(r[0], r[1], r[2]) for r in rows[:3]]  # repeated rows
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = [(r.page_id, r.text) for r in H.extract(df).collect()]
+    assert len(got) == len(rows) and [(i, t, want[i]) for i, t in got if t != want[i]] == []
+
+
+def test_classes_out_of_order_are_split_as_brute_force_says():
+    """Occurrences and orders of elements and words, counted page by page on one machine, give the classes of `valid_classes`."""
+    pages = [shop("h", i, 4, 4, "li") for i in range(5)]
+    rows, seqs, names = token_rows(pages)
+    bad, worse = set(), set()
+    classes = {}
+    for r in rows:
+        classes.setdefault((r["pages"], r["times"], r["vector"]), []).append(r)
+
+    def steady(tokens):
+        runs = set()
+        for seq in seqs:
+            mine = [t for t in seq if t in tokens]
+            n = len(tokens)
+            runs |= {tuple(mine[a : a + n]) for a in range(0, len(mine), n)}
+        return len(runs) == 1 and len(set(*runs)) == len(tokens)
+
+    for k, v in classes.items():
+        if not steady({r["token"] for r in v}):
+            bad.add(k)
+            worse |= {(k, at) for at, part in H.by_role(v).items() if not steady({r["token"] for r in part})}
+    assert any({names[r["token"]] for r in classes[k]} >= {"li", "p"} for k in bad)
+    valid = H.valid_classes(rows, len(pages), frozenset(bad), frozenset(worse))
+    held = {names[r["token"]] for v in valid for r in v}
+    assert {"li", "p", "h2", "Copyright", "Item0", "menu3"} <= held and not any(x.startswith("story") for x in held)
+    slot, out, words = H.template([*rows, {"token": 0, "at": 0, "tag": "", "pages": 5, "times": 5, "vector": (), "chars": 1, "links": 0}], frozenset(bad), frozenset(worse))
+    assert slot is not None and names[slot] == "div"
+
+
+def token_rows(pages):
+    """Rows of elements and words of pages, their sequences, and names of tokens."""
+    import numpy as np
+
+    paths, sums, seqs, names = H.Paths(), {}, [], {}
+    for i, page in enumerate(pages):
+        nodes, seq = H.nodes(page, paths), []
+        below = {}
+        for n, _, text, _ in nodes:
+            if text:
+                for w in text.split():
+                    t = int(H.word_tokens(np.array([paths.code[n]]), H.hashed([w]))[0])
+                    names[t] = w
+                    seq.append((t, paths.code[n], None, len(w)))
+                    for m in ancestry(paths, n):
+                        below[paths.code[m]] = below.get(paths.code[m], 0) + len(w)
+            else:
+                names[paths.code[n]] = paths.tag[n]
+                seq.append((paths.code[n], paths.code[paths.parent[n]], paths.tag[n], 0))
+        seqs.append([t for t, *_ in seq])
+        for t in {x[0] for x in seq}:
+            mine = [x for x in seq if x[0] == t]
+            r = sums.setdefault(t, {"token": t, "at": mine[0][1], "tag": mine[0][2], "pages": 0, "times": 0, "vector": (), "chars": 0, "links": 0})
+            r["pages"] += 1
+            r["times"] += len(mine)
+            r["vector"] += ((i, len(mine)),)
+            r["chars"] += below.get(t, 0) if mine[0][2] is not None else sum(x[3] for x in mine)
+    return list(sums.values()), seqs, names
+
+
+def test_quotes_after_any_white_space_belong_to_their_value():
+    for n in (0, 3, 70, 500):
+        assert H.main_text(f"<p title={' ' * n}\"a > b\">text</p>") == "text"
+    began = time.perf_counter()
+    H.main_text("<p a=" + " " * 300_000 + "'x" + "\" '" * 100_000)
+    assert time.perf_counter() - began < 5

@@ -230,79 +230,185 @@ def compact_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:
     return _compact(labelled, frames)[0]
 
 
-def _compact(labelled: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _compact(labelled: DataFrame, frames: DataFrame, protected: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """compact_island and the pixels of its islands, grown into what differs from their rings as they do.
 
-    Local contrast is judged against the blurred surroundings; the ring around a component must be of one label, even and far
-    in colour.
+    Local contrast is a slight blur's distance from a broad one, both by the frame's size. An island keeps off the frame's edges
+    and lies on protected labels by at most 30 %. The ring around it, without the three pixels next to it, must be of one label,
+    even, and far in colour.
     """
-    rows = labelled
-    for c in ("L", "a", "bb"):
-        rows = stencils.gaussian(rows.withColumn(f"s_{c}", F.col(c)), f"s_{c}", 4.0)
-    gap = color.oklab_distance([F.col(c) for c in ("L", "a", "bb")], [F.col(f"s_{c}") for c in ("L", "a", "bb")])
-    rows = K.stored(rows.withColumn("gap", gap).select(*PIXEL, "label", "L", "a", "bb", "gap"))
-    seeds = masks.above_percentile(rows, "gap", 0.982, 0.085)
-    parts = K.stored(K.components(stencils.cleaned(seeds, 3, 3, frames)))
-    size = K.measures(parts).join(frames, "image_id").withColumn("w", F.col("x1") - F.col("x0") + 1).withColumn("h", F.col("y1") - F.col("y0") + 1)
-    size = size.where("area between width * height * 0.0008 and width * height * 0.025 and w <= width * 0.34 and h <= height * 0.30").where((scalars.compactness(F.col("area"), F.col("w"), F.col("h")) >= 0.18) & (scalars.aspect(F.col("w"), F.col("h")) >= 0.20))
-    parts = K.stored(parts.join(size.select("image_id", "component"), ["image_id", "component"], "left_semi"))
     keys = ["image_id", "component"]
-    ring = K.stored(joins.ring(parts, 9, frames).join(rows, PIXEL))
-    pure = aggregates.purity(ring, "label", keys).where("purity >= 0.82")
-    even = aggregates.spread(ring, keys, ["L", "a", "bb"]).where("spread <= 0.065")
-    mid = lambda df, p: df.groupBy(*keys).agg(*(F.median(c).alias(f"{p}{c}") for c in ("L", "a", "bb")))
+    side = frames.select("image_id", "width", "height")
+    rows = labelled.select(*PIXEL, "label", "r", "g", "b").join(side, "image_id")
+    fine = soft_oklab(rows, F.greatest(F.lit(1.0), F.greatest("width", "height") / 260.0))
+    fine = fine.join(soft_oklab(rows, F.greatest(F.lit(6.0), F.greatest("width", "height") / 42.0), "s_"), PIXEL)
+    gap = color.oklab_distance([F.col(c) for c in _LAB], [F.col(f"s_{c}") for c in _LAB])
+    rows = K.stored(fine.withColumn("gap", gap).select(*PIXEL, *_LAB, *"rgb", "gap").join(labelled.select(*PIXEL, "label"), PIXEL))
+    seeds = _inside(masks.above_percentile(rows, "gap", 0.982, 0.085), side)
+    parts = K.stored(K.components(stencils.cleaned(seeds, 5, 5, side)))
+    size = K.measures(parts).join(side, "image_id").withColumn("w", F.col("x1") - F.col("x0") + 1).withColumn("h", F.col("y1") - F.col("y0") + 1)
+    size = size.where("area between width * height * 0.0008 and width * height * 0.025").where(_FREE)
+    size = size.where((scalars.compactness(F.col("area"), F.col("w"), F.col("h")) >= 0.18) & (scalars.aspect(F.col("w"), F.col("h")) >= 0.20))
+    parts = K.stored(parts.join(size.select(*keys), keys, "left_semi"))
+    own = parts.join(rows, PIXEL)
+    claimed = own.groupBy(*keys).agg(F.avg(F.when(F.col("label").isin(protected or []), 1.0).otherwise(0.0)).alias("claimed")).where("claimed <= 0.30").select(*keys)
+    ring = K.stored(_ring(parts, side).join(rows, PIXEL))
+    pure = aggregates.purity(ring, "label", keys).where("purity >= 0.82").select(*keys)
+    even = aggregates.spread(ring, keys, _LAB).where("spread <= 0.065").select(*keys)
+    mid = lambda df, p: df.groupBy(*keys).agg(*(F.median(c).alias(f"{p}{c}") for c in (*_LAB, *"rgb")))
     outer = K.stored(mid(ring, "o"))
-    both = mid(parts.join(rows, PIXEL), "i").join(outer, keys).join(pure, keys).join(even, keys).join(size.select(*keys, "area", "w", "h"), keys)
-    contrast = color.oklab_distance([F.col(f"i{c}") for c in ("L", "a", "bb")], [F.col(f"o{c}") for c in ("L", "a", "bb")])
-    both = both.withColumn("contrast", contrast).where("contrast >= 0.095").withColumn("score", F.col("contrast") * F.sqrt("area") * scalars.compactness(F.col("area"), F.col("w"), F.col("h")))
+    both = mid(own, "i").join(outer, keys)
+    for gate in (claimed, pure, even, size.select(*keys, "area", "w", "h", "width", "height")):
+        both = both.join(gate, keys)
+    contrast = color.weighted_distance([F.rint(f"i{c}") for c in "rgb"], [F.rint(f"o{c}") for c in "rgb"])
+    share = F.sqrt(F.col("area") / (F.col("width") * F.col("height")))
+    both = both.withColumn("contrast", _gap("i", "o")).withColumn("seen", contrast).where("seen >= 0.095").withColumn("score", F.col("seen") * share * scalars.compactness(F.col("area"), F.col("w"), F.col("h")))
     best = K.stored(aggregates.best(both, ["image_id"], "score", "component", ["component", "score", "contrast"]))
     core = K.stored(parts.join(best, keys, "left_semi").select(PIXEL))
-    far = rows.join(best.join(outer, keys), "image_id").where(_gap("", "o") >= F.greatest(F.lit(0.045), F.col("contrast") * 0.33)).select(PIXEL)
-    whole = K.grown(core, masks.intersection(far, stencils.dilated(core, 13, frames)), frames)
-    whole = K.stored(masks.union(stencils.cleaned(whole, 5, 3, frames), core))
-    return best.select("image_id", "component", "score", F.lit("local-contrast").alias("kind")), K.filled(whole, frames)
+    far = rows.join(best.join(outer.select(*keys, *(f"o{c}" for c in _LAB)), keys), "image_id").where(_gap("", "o") >= F.greatest(F.lit(0.045), F.col("contrast") * 0.33)).select(PIXEL)
+    whole = K.grown(core, masks.intersection(far, stencils.dilated(core, 13, side)), side)
+    whole = K.stored(masks.union(stencils.cleaned(whole, 5, 3, side), core))
+    return best.select("image_id", "component", "score", F.lit("local-contrast").alias("kind")), K.filled(whole, side)
+
+
+#: An island's box: bounded, and off the frame's edges.
+_FREE = "w <= width * 0.34 and h <= height * 0.30 and x0 > 2 and y0 > 2 and x1 < width - 3 and y1 < height - 3"
+
+
+def _inside(mask: DataFrame, frames: DataFrame) -> DataFrame:
+    """A mask without the two pixels along the frame's edges."""
+    return mask.join(frames.select("image_id", "width", "height"), "image_id").where("x >= 2 and y >= 2 and x < width - 2 and y < height - 2").select(PIXEL)
+
+
+def _ring(parts: DataFrame, frames: DataFrame) -> DataFrame:
+    """(pixel, component): the surroundings of components, 3.5 % of the frame wide in all and 7 pixels at least, without the
+    band of three next to them."""
+    wide = F.greatest(F.lit(7), F.rint(F.least("width", "height") * 0.035).cast("int"))
+    rows = parts.select(*PIXEL, "component").join(frames, "image_id").withColumn("_k", F.floor((wide + F.when(wide % 2 == 0, 1).otherwise(0)) / 2).cast("int"))
+    across = rows.select("image_id", "component", "y", "height", "_k", F.explode(F.sequence(F.greatest(F.lit(0), F.col("x") - F.col("_k")), F.least(F.col("width").cast("int") - 1, F.col("x") + F.col("_k")))).alias("x")).distinct()
+    around = across.select("image_id", "component", F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - F.col("_k")), F.least(F.col("height").cast("int") - 1, F.col("y") + F.col("_k")))).alias("y"), "x").distinct()
+    return around.join(joins.dilated_by(parts, "component", 3, frames), [*PIXEL, "component"], "left_anti")
+
+
+def soft_oklab(pixels: DataFrame, radius: float | Column, prefix: str = "") -> DataFrame:
+    """(pixel, L, a, bb, and r, g, b as bytes) of the blurred image, names prefixed; the radius may be a column of width and
+    height."""
+    rows = pixels
+    if isinstance(radius, Column):
+        soft = pixels.select(PIXEL)
+        for c in "rgb":
+            soft = soft.join(stencils.blurred(rows, c, radius), PIXEL)
+    else:
+        for c in "rgb":
+            rows = stencils.gaussian(rows.withColumn(c, F.col(c).cast("double")), c, radius)
+        soft = rows
+    lab = color.oklab(*(F.rint(c) for c in "rgb"))
+    return soft.select(*PIXEL, *(c.alias(prefix + n) for c, n in zip(lab, _LAB, strict=True)), *(F.rint(c).alias(prefix + c) for c in "rgb"))
+
+
+# Least contrast, chroma and lightness above the surroundings of a line, and of fragments that extend it; top of
+# the rows that both may lie in, as a share of the height.
+_LINE, _FRAGMENT, _LINE_TOP = (0.055, 0.035, 0.018), (0.035, 0.025, 0.005), (0.52, 0.48)
 
 
 def accent_line(pixels: DataFrame, frames: DataFrame) -> DataFrame:
-    """(image_id, slope, intercept, y0, y1): a thin chromatic line that rises from the bottom edge near the middle."""
-    rows = with_oklab(pixels)
-    for c in ("L", "a", "bb"):
-        rows = stencils.gaussian(rows.withColumn(f"s_{c}", F.col(c)), f"s_{c}", 3.0)
-    gap = color.oklab_distance([F.col(c) for c in ("L", "a", "bb")], [F.col(f"s_{c}") for c in ("L", "a", "bb")])
-    lab = [F.col(c) for c in ("L", "a", "bb")]
-    found = masks.zone(rows.where((gap > 0.055) & (color.chroma(lab) > 0.035) & (F.col("L") - F.col("s_L") > 0.018)).select(PIXEL), frames, x=(0.30, 0.70), y=(0.52, 1.0))
-    parts = K.stored(K.components(stencils.closed(found, 3, frames)))
-    size = K.measures(parts).join(frames, "image_id").where("y1 = height - 1 and y1 - y0 + 1 >= height * 0.18 and x1 - x0 + 1 <= width * 0.07 and (y1 - y0 + 1) >= 4 * (x1 - x0 + 1)")
-    parts = parts.join(size.select("image_id", "component"), ["image_id", "component"], "left_semi")
-    fit = aggregates.line_fit(parts.groupBy("image_id", "component", "y").agg(F.avg("x").alias("cx")), ["image_id", "component"], "y", "cx").join(size.select("image_id", "component", "area", "y0", "y1", "width"), ["image_id", "component"])
-    fit = fit.where(F.abs(F.col("slope")) <= 0.5).where(F.col("error") <= F.greatest(F.lit(1.6), F.col("width") * 0.008))
-    return aggregates.best(fit, ["image_id"], "area", "component", ["component", "slope", "intercept", "y0", "y1"])
-
-
-def ribbon(lines: DataFrame, frames: DataFrame, top: float = 0.6, bottom: float = 2.4) -> DataFrame:
-    """Pixels of a line that widens toward the bottom."""
+    """(image_id, component, slope, intercept, y0, y1, half): a thin chromatic line that rises from the bottom edge near the
+    middle and aims at the central part; y0 is where it ends, half its half width at the bottom.
+
+    A line is a component narrow, tall and straight enough, by the medians of its rows. Weaker evidence within a tube about
+    it, in runs of at least three rows above it, extends it.
+    """
+    rows = pixels.select(*PIXEL, "r", "g", "b").join(frames.select("image_id", "width", "height"), "image_id")
+    broad = soft_oklab(rows, F.greatest(F.lit(6.0), F.greatest("width", "height") / 45.0), "s_")
+    fine = soft_oklab(rows, 0.7).join(broad, PIXEL)
+    lab = [F.col(c) for c in _LAB]
+    cues = {"gap": color.oklab_distance(lab, [F.col(f"s_{c}") for c in _LAB]), "chroma": color.chroma(lab), "lift": F.col("L") - F.col("s_L")}
+    fine = K.stored(fine.select(*PIXEL, *(v.alias(k) for k, v in cues.items())))
+    above = lambda least: (F.col("gap") > least[0]) & (F.col("chroma") > least[1]) & (F.col("lift") > least[2])
+    found = masks.zone(fine.where(above(_LINE)).select(PIXEL), frames, x=(0.30, 0.70), y=(_LINE_TOP[0], 1.0))
+    keys = ["image_id", "component"]
+    size = K.stored(K.components(stencils.closed(found, 3, frames)))
+    parts, size = size, K.measures(size).join(frames, "image_id").withColumn("h", F.col("y1") - F.col("y0") + 1).withColumn("w", F.col("x1") - F.col("x0") + 1)
+    size = K.stored(size.where("y1 >= height - 3 and h >= height * 0.18 and w <= width * 0.07 and h >= 4 * w").select(*keys, "h", "y0", "width", "height"))
+    own = K.stored(parts.join(size, keys).join(fine, PIXEL))
+    foot = own.where("y >= height - 12").groupBy(*keys, "width").agg(F.median("x").alias("foot")).where("foot between width * 0.35 and width * 0.65").select(*keys)
+    lines = K.stored(own.groupBy(*keys, "height", "y").agg(F.median("x").alias("cx"), (F.max("x") - F.min("x") + 1).alias("across")))
+    fit = aggregates.line_fit(lines, keys, "y", "cx").join(size, keys)
+    top = F.col("slope") * F.rint(F.col("height") * _LINE_TOP[1]) + F.col("intercept")
+    fit = fit.where((F.abs("slope") <= 0.5) & (F.col("error") <= F.greatest(F.lit(1.6), F.col("width") * 0.008)) & top.between(F.col("width") * 0.25, F.col("width") * 0.75))
+    strength = own.groupBy(*keys).agg((F.avg("gap") * F.avg("chroma")).alias("strength"))
+    fit = fit.join(foot, keys).join(strength, keys).withColumn("score", F.col("h") * F.col("strength"))
+    best = K.stored(aggregates.best(fit, ["image_id"], "score", "component", ["component", "slope", "intercept", "y0"]).join(frames.select("image_id", "width", "height"), "image_id"))
+    return best.join(_extended(fine.where(above(_FRAGMENT)), best), "image_id", "left").join(_half_width(lines, best), "image_id").select(*keys, "slope", "intercept", F.coalesce("top", "y0").cast("int").alias("y0"), (F.col("height") - 1).cast("int").alias("y1"), "half")
+
+
+def _extended(weak: DataFrame, best: DataFrame) -> DataFrame:
+    """(image_id, top): the first row of the runs of at least three rows above a line that have weak evidence in its tube."""
+    reach = F.greatest(F.lit(3), F.rint(F.col("width") * 0.012))
+    near = weak.join(best, "image_id").where((F.col("y") >= F.rint(F.col("height") * _LINE_TOP[1])) & (F.col("y") < F.col("y0")))
+    rows = near.where(F.abs(F.col("x") - F.rint(F.col("slope") * F.col("y") + F.col("intercept"))) <= reach).select("image_id", "y").distinct()
+    rows = rows.withColumn("_run", F.col("y") - F.row_number().over(Window.partitionBy("image_id").orderBy("y")))
+    return rows.groupBy("image_id", "_run").agg(F.count("*").alias("n"), F.min("y").alias("y")).where("n >= 3").groupBy("image_id").agg(F.min("y").alias("top"))
+
+
+def _half_width(lines: DataFrame, best: DataFrame) -> DataFrame:
+    """(image_id, half) of a line's lowest 20 rows, or of all its rows if none of them is so low."""
+    own = lines.join(best.select("image_id", "component"), ["image_id", "component"])
+    low = F.coalesce(F.median(F.when(F.col("y") >= F.col("height") - 20, F.col("across"))), F.median("across"))
+    return own.groupBy("image_id").agg(F.greatest(F.lit(1.3), low * 0.32).alias("half"))
+
+
+def ribbon(lines: DataFrame, frames: DataFrame, top: float = 0.55) -> DataFrame:
+    """Pixels of a line that widens from half a pixel to either side at its top to its half width at the bottom."""
     rows = lines.join(frames, "image_id").withColumn("y", F.explode(F.sequence("y0", "y1")))
     t = (F.col("y") - F.col("y0")) / F.greatest(F.lit(1), F.col("y1") - F.col("y0"))
-    mid, half = F.col("slope") * F.col("y") + F.col("intercept"), F.lit(top) + t * (bottom - top)
-    low, high = F.greatest(F.lit(0), F.rint(mid - half).cast("int")), F.least(F.col("width") - 1, F.rint(mid + half).cast("int"))
-    return rows.where(low <= high).select("image_id", "y", F.explode(F.sequence(low, high)).alias("x"))
+    mid, half = F.col("slope") * F.col("y") + F.col("intercept"), F.pow(t, F.lit(1.25)) * (F.col("half") - top) + top
+    low, high = F.greatest(F.lit(0), F.floor(mid - half).cast("int")), F.least(F.col("width").cast("int") - 1, F.ceil(mid + half).cast("int"))
+    return rows.withColumns({"_l": low, "_h": high}).where("_l <= _h").select("image_id", "y", F.explode(F.sequence("_l", "_h")).alias("x"))
 
 
 def luminous_support(pixels: DataFrame, frames: DataFrame, focal: DataFrame) -> DataFrame:
-    """Pixels of a broad area that is lighter than its rows' sides and touches a focal mask and one side of the frame."""
-    rows = with_oklab(pixels).join(frames, "image_id")
-    edge = (F.col("x") < F.col("width") * 0.22) | (F.col("x") >= F.col("width") * 0.78)
-    side = rows.where(edge).groupBy("image_id", "y").agg(F.median("L").alias("side"))
-    light = rows.join(side, ["image_id", "y"]).where(F.col("L") - F.col("side") >= 0.050).select(PIXEL)
-    parts = K.stored(K.components(stencils.closed(light, 7, frames, shrink=5)))
-    size = K.measures(parts).join(frames, "image_id").where("area between width * height * 0.045 and width * height * 0.32 and x1 - x0 + 1 >= width * 0.35 and y1 - y0 + 1 >= height * 0.12 and (x0 = 0 or x1 = width - 1)")
-    touch = joins.contacts(parts, focal.select(*PIXEL, F.lit(1).alias("owner"))).join(frames, "image_id").where(F.col("contacts") >= F.greatest(F.lit(8.0), F.col("width") * F.col("height") * 0.001))
-    best = aggregates.best(size.join(touch.select("image_id", "component", "contacts"), ["image_id", "component"]), ["image_id"], "area", "component", ["component"])
-    return parts.join(best, ["image_id", "component"], "left_semi").select(PIXEL)
+    """Pixels of a broad area that is lighter than one side of its rows, reaches the frame and lies about a focal mask.
+
+    Each side of the frame is a reference of its own: the components that stand out against the left or the right part of
+    their rows are candidates beside each other, each is closed, filled and smoothed alone, and the one with most pixels near
+    the focal mask for its size is taken; of equal ones that of the left side.
+    """
+    frames = frames.select("image_id", "width", "height")
+    seen = focal.groupBy("image_id").agg(F.min("y").alias("_a"), F.max("y").alias("_b")).join(frames, "image_id")
+    first, last = F.greatest(F.lit(2), F.col("_a") - F.rint(F.col("height") * 0.20)), F.least(F.col("height") - 2, F.col("_b") + F.rint(F.col("height") * 0.42))
+    seen = K.stored(seen.select("image_id", "width", "height", first.alias("first"), last.alias("last")))
+    rows = pixels.select(*PIXEL, "r", "g", "b").join(seen.select("image_id"), "image_id", "left_semi")
+    soft = K.stored(soft_oklab(rows, 2.0).join(seen, "image_id"))
+    left, right = F.col("x") < F.greatest(F.lit(3), F.rint(F.col("width") * 0.22)), F.col("x") >= F.least(F.col("width") - 3, F.rint(F.col("width") * 0.78))
+    sides = soft.groupBy("image_id", "y").agg(*(F.median(F.when(c, F.col("L"))).alias(f"_{i}") for i, c in enumerate((left, right))))
+    light = soft.where("y >= first and y < last").join(sides, ["image_id", "y"]).select("image_id", "y", "x", "L", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"_{i}").alias("ref")) for i in (0, 1)))).alias("s"))
+    sheets = K.stored(seen.select(F.explode(F.array(F.col("image_id") * 2, F.col("image_id") * 2 + 1)).alias("image_id"), "width", "height"))
+    light = light.where(F.col("L") - F.col("s.ref") >= 0.050).select((F.col("image_id") * 2 + F.col("s.i")).alias("image_id"), "y", "x")
+    parts = K.stored(K.components(stencils.cleaned(K.stored(stencils.closed(light, 9, sheets, shrink=7)), 1, 5, sheets)))
+    total = F.col("width") * F.col("height")
+    size = K.measures(parts).join(sheets, "image_id").where(F.col("area").between(total * 0.045, total * 0.32)).where("x1 - x0 + 1 >= width * 0.35 and y1 - y0 + 1 >= height * 0.12 and (x0 <= 2 or x1 >= width - 3)")
+    reach = F.greatest(F.lit(7), F.rint(F.least("width", "height") * 0.040).cast("int"))
+    near = stencils.dilated(focal.select(PIXEL), reach + F.when(reach % 2 == 0, 1).otherwise(0), frames)
+    near = near.select(F.explode(F.array(F.col("image_id") * 2, F.col("image_id") * 2 + 1)).alias("image_id"), "y", "x")
+    keys = ["image_id", "component"]
+    touch = parts.join(near, PIXEL, "left_semi").groupBy(*keys).agg(F.count("*").alias("adjacent"))
+    chosen = size.join(touch, keys).where(F.col("adjacent") >= F.greatest(F.lit(8.0), F.rint(total * 0.001)))
+    image = F.floor(F.col("image_id") / 2).cast("long")
+    turn = F.row_number().over(Window.partitionBy(image).orderBy("image_id", "component"))
+    chosen = K.stored(chosen.select(*keys, image.alias("image"), (image * 64 + turn).alias("sheet"), "width", "height", "adjacent"))  # under 64, as each covers 4.5 % of a side's reference
+    alone = chosen.select(F.col("sheet").alias("image_id"), "width", "height")
+    own = parts.join(chosen.select(*keys, "sheet"), keys).select(F.col("sheet").alias("image_id"), "y", "x")
+    own = K.stored(stencils.gap_closed(own, scalars.gap_kernel(F.col("width"), F.col("height"), 0.022), alone).select(PIXEL))
+    radius = F.greatest(F.lit(1.0), F.least("width", "height") * 0.0035)
+    own = K.stored(stencils.smoothed_boundary(K.stored(K.filled(own, alone)), radius, alone))
+    score = own.groupBy(F.col("image_id").alias("sheet")).agg(F.count("*").alias("n")).join(chosen, "sheet").select(F.col("image").alias("image_id"), "sheet", (F.col("adjacent") * F.sqrt(F.col("n") / total)).alias("score"))
+    best = aggregates.best(score, ["image_id"], "score", "sheet", ["sheet"])
+    return own.withColumnRenamed("image_id", "sheet").join(best, "sheet").select(PIXEL)
 
 
 # Bounds of the two weaker kinds of focal island, as shares of the frame or distances in Oklab.
-_RARE = {"low": 0.030, "high": 0.055, "calm": 0.035, "area": (0.001, 0.025), "compact": 0.25, "aspect": 0.18, "purity": 0.80, "strength": 0.82, "spread": 0.035, "ring": 0.016}
+_RARE = {"low": 0.030, "high": 0.055, "calm": 0.035, "area": (0.001, 0.025), "compact": 0.25, "aspect": 0.18, "purity": 0.80, "strength": 0.82, "spread": 0.035, "ring": 0.016, "cap": (0.00015, 0.004), "gap": 0.045, "agree": 0.82}
 _CROSS = {"top": 0.82, "share": 0.10, "cover": 0.88, "distance": 0.075, "area": (0.0007, 0.022), "compact": 0.25, "aspect": 0.16, "lowest": 0.80, "spread": 0.10, "rarity": 0.045}
 
 
@@ -312,8 +418,8 @@ def _boxes(parts: DataFrame, frames: DataFrame, area: tuple[float, float], compa
     return size.where(F.col("area").between(total * area[0], total * area[1]) & (scalars.compactness(F.col("area"), F.col("w"), F.col("h")) >= compact) & (scalars.aspect(F.col("w"), F.col("h")) >= aspect))
 
 
-def _medians(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(*(F.median(c).alias(f"{prefix}{c}") for c in _LAB))
+def _medians(rows: DataFrame, keys: list[str], prefix: str, columns: list[str] = _LAB) -> DataFrame:
+    return rows.groupBy(*keys).agg(*(F.median(c).alias(f"{prefix}{c}") for c in columns))
 
 
 def _gap(one: str, two: str):
@@ -327,33 +433,61 @@ def rare_chromatic_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def _rare(labelled: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rare_chromatic_island and the pixels of its patches with their satellites."""
-    t, keys = _RARE, ["image_id", "component"]
-    rows = labelled
-    for c in ("a", "bb"):
-        rows = stencils.gaussian(rows.withColumn(f"s_{c}", F.col(c)), f"s_{c}", 4.0)
-    gap = F.sqrt((F.col("a") - F.col("s_a")) * (F.col("a") - F.col("s_a")) + (F.col("bb") - F.col("s_bb")) * (F.col("bb") - F.col("s_bb")))
-    rows = K.stored(rows.withColumn("gap", gap).select(*PIXEL, "label", *_LAB, "gap"))
+    """rare_chromatic_island and the pixels of its patches with their satellites and the bridges between them.
+
+    Hue is rare by its distance from the median hue of the image; an image whose hues lie neither near nor far enough has no
+    island. A patch that one label represents already is none. A satellite is small, lies above with overlapping columns, and
+    departs from the median hue in the same direction.
+    """
+    t, keys, hue = _RARE, ["image_id", "component"], ["a", "bb"]
+    side = frames.select("image_id", "width", "height")
+    rows = soft_oklab(labelled.select(*PIXEL, "r", "g", "b").join(side, "image_id"), F.greatest(F.lit(1.0), F.greatest("width", "height") / 260.0))
+    mid = rows.groupBy("image_id").agg(*(F.median(c).alias(f"m{c}") for c in hue))
+    away = lambda p, q: F.sqrt(sum(((F.col(f"{p}{c}") - F.col(f"{q}{c}")) * (F.col(f"{p}{c}") - F.col(f"{q}{c}")) for c in hue), F.lit(0.0)))
+    rows = K.stored(rows.join(mid, "image_id").withColumn("gap", away("", "m")).select(*PIXEL, *hue, "gap").join(labelled.select(*PIXEL, "label"), PIXEL))
     lim = rows.groupBy("image_id").agg(F.percentile("gap", F.lit(0.982)).alias("p98"), F.percentile("gap", F.lit(0.90)).alias("p90")).where(F.col("p98").between(t["low"], t["high"]) & (F.col("p90") <= t["calm"]))
-    seeds = rows.join(lim, "image_id").where("gap >= p98").select(PIXEL)
-    parts = K.stored(K.components(stencils.closed(seeds, 7, frames, shrink=5)))
-    size = K.stored(_boxes(parts, frames, t["area"], t["compact"], t["aspect"]))
-    own = K.stored(parts.join(size.select(*keys), keys, "left_semi").join(rows, PIXEL))
+    lim = K.stored(lim.join(mid, "image_id").join(side, "image_id"))
+    seeds = _inside(rows.join(lim.select("image_id", "p98"), "image_id").where("gap >= p98"), side)
+    parts = K.stored(K.components(stencils.cleaned(K.stored(stencils.closed(seeds, 7, side, shrink=5)), 1, 3, side)))
+    boxes = K.stored(K.measures(parts).join(side, "image_id"))
+    size = _boxes(parts, side, t["area"], t["compact"], t["aspect"]).where(_FREE).select(*keys, "area", "w", "h", "x0", "x1", "y0")
+    hues = K.stored(_medians(parts.join(rows, PIXEL), keys, "i", hue).join(lim, "image_id"))
+    own = parts.join(size.select(*keys), keys, "left_semi").join(rows, PIXEL)
     mixed = aggregates.purity(own, "label", keys).where(F.col("purity") < t["purity"]).select(*keys)
-    strong = own.join(lim, "image_id").groupBy(*keys, "p98").agg(F.avg("gap").alias("mean")).where(F.col("mean") >= F.col("p98") * t["strength"]).select(*keys, "mean")
-    even = aggregates.spread(own, keys, ["a", "bb"]).where(F.col("spread") <= t["spread"]).select(*keys)
-    around = _medians(joins.ring(own.select(*PIXEL, "component"), 9, frames).join(rows, PIXEL), keys, "o")
-    mid = K.stored(_medians(own, keys, "i"))
-    good = mid.join(around, keys).where(_gap("i", "o") >= t["ring"]).join(mixed, keys).join(strong, keys).join(even, keys).join(size.select(*keys, "area"), keys)
-    best = K.stored(aggregates.best(good.withColumn("score", F.col("mean") * F.sqrt("area")), ["image_id"], "score", "component", ["component", "score"]))
-    boxes = K.measures(parts).join(frames.select("image_id", "height"), "image_id")
-    near = joins.satellites(boxes.select(*keys, "x0", "x1", "y0", "y1", "height"), F.col("m.height")).join(best.select("image_id", F.col("component").alias("main")), ["image_id", "main"])
-    hues = _medians(parts.join(rows, PIXEL), keys, "s")
-    near = near.join(hues.withColumnRenamed("component", "satellite"), ["image_id", "satellite"]).join(mid.withColumnRenamed("component", "main"), ["image_id", "main"])
-    near = near.where(color.hue_cosine([F.col(f"s{c}") for c in _LAB], [F.col(f"i{c}") for c in _LAB]) >= 0.82).groupBy("image_id").agg(F.array_sort(F.collect_set("satellite")).alias("satellites"))
-    found = K.stored(best.join(near, "image_id", "left").select("image_id", "component", F.lit("rare-chromatic").alias("kind"), "score", F.coalesce("satellites", F.array().cast("array<long>")).alias("satellites")))
+    even = aggregates.spread(own, keys, hue).where(F.col("spread") <= t["spread"]).select(*keys)
+    around = _medians(_ring(parts.join(size.select(*keys), keys, "left_semi"), side).join(rows, PIXEL), keys, "o", hue)
+    good = hues.where(away("i", "m") >= F.col("p98") * t["strength"])
+    for gate in (around, mixed, even, size):
+        good = good.join(gate, keys)
+    good = good.withColumn("contrast", away("i", "o")).where(F.col("contrast") >= t["ring"])
+    share = F.sqrt(F.col("area") / (F.col("width") * F.col("height")))
+    good = good.withColumn("score", F.col("contrast") * share * scalars.compactness(F.col("area"), F.col("w"), F.col("h")))
+    best = K.stored(aggregates.best(good, ["image_id"], "score", "component", ["component", "score", "w", "x0", "x1", "y0", "ia", "ibb", "ma", "mbb", "height"]))
+    caps = boxes.where(F.col("area").between(F.col("width") * F.col("height") * t["cap"][0], F.col("width") * F.col("height") * t["cap"][1])).select(*keys).unionByName(best.select(*keys)).distinct()
+    near = joins.satellites(boxes.join(caps, keys).select(*keys, "x0", "x1", "y0", "y1", "height"), F.col("m.height"), t["gap"]).join(best.select("image_id", F.col("component").alias("main"), "w", "x0", "x1", "y0", "ia", "ibb", "ma", "mbb"), ["image_id", "main"])
+    other = hues.select("image_id", F.col("component").alias("satellite"), F.col("ia").alias("sa"), F.col("ibb").alias("sbb"))
+    near = near.join(other, ["image_id", "satellite"])
+    vector = lambda p: [F.lit(0.0), F.col(f"{p}a") - F.col("ma"), F.col(f"{p}bb") - F.col("mbb")]
+    near = K.stored(near.where((away("i", "m") > 0) & (away("s", "m") > 0) & (color.hue_cosine(vector("s"), vector("i")) >= t["agree"])))
+    named = near.groupBy("image_id").agg(F.array_sort(F.collect_set("satellite")).alias("satellites"))
+    found = K.stored(best.join(named, "image_id", "left").select(*keys, F.lit("rare-chromatic").alias("kind"), "score", F.coalesce("satellites", F.array().cast("array<long>")).alias("satellites")))
     every = found.select("image_id", F.explode(F.array_union(F.array("component"), "satellites")).alias("component"))
-    return found, parts.join(every, keys, "left_semi").select(PIXEL)
+    whole = parts.join(every, keys, "left_semi").select(PIXEL).unionByName(_bridges(near, boxes, parts, side)).distinct()
+    radius = F.greatest(F.lit(0.45), F.least("width", "height") * 0.0018)
+    seen = side.join(found.select("image_id"), "image_id", "left_semi")
+    return found, stencils.smoothed_boundary(K.stored(K.filled(K.stored(whole), seen)), radius, seen)
+
+
+def _bridges(near: DataFrame, boxes: DataFrame, parts: DataFrame, frames: DataFrame) -> DataFrame:
+    """Pixels between an island and each satellite (near: image_id, satellite, w, x0, x1, y0 of the island), about the median
+    column of the satellite, as wide as 0.36 of the narrower of the two."""
+    box = boxes.select("image_id", F.col("component").alias("satellite"), (F.col("x1") - F.col("x0") + 1).alias("_sw"), F.col("y1").alias("_sy"))
+    centre = parts.join(near.select("image_id", F.col("satellite").alias("component")), ["image_id", "component"], "left_semi").groupBy("image_id", F.col("component").alias("satellite")).agg(F.median("x").alias("_c"))
+    rows = near.join(box, ["image_id", "satellite"]).join(centre, ["image_id", "satellite"]).join(frames.select("image_id", "width"), "image_id")
+    mid = F.least(F.col("x1"), F.greatest(F.col("x0"), F.rint("_c").cast("int")))
+    half = F.greatest(F.lit(1), F.rint(F.least("w", "_sw") * 0.18).cast("int"))
+    rows = rows.where(F.col("_sy") + 1 < F.col("y0")).select("image_id", F.explode(F.sequence(F.col("_sy") + 1, F.col("y0") - 1)).alias("y"), F.greatest(F.lit(0), mid - half).alias("_l"), F.least(F.col("width").cast("int") - 1, mid + half).alias("_h"))
+    return rows.where("_l <= _h").select("image_id", "y", F.explode(F.sequence("_l", "_h")).alias("x")).select(PIXEL)
 
 
 def cross_field_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:
@@ -390,10 +524,11 @@ def focal_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:
     return focal_masks(labelled, frames)[0]
 
 
-def focal_masks(labelled: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """focal_island and the pixels of its islands. A weaker kind is sought only in images where no stronger one was found."""
+def focal_masks(labelled: DataFrame, frames: DataFrame, protected: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """focal_island and the pixels of its islands. A weaker kind is sought only in images where no stronger one was found.
+    protected: labels that an island of local contrast may lie on by 30 % at most."""
     names = ["image_id", "component", "kind", "score"]
-    found, mask = _compact(labelled, frames)
+    found, mask = _compact(labelled, frames, protected)
     found = K.stored(found.select(*names))
     for weaker in (_rare, _cross):
         rest = frames.join(found, "image_id", "left_anti")

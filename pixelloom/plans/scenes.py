@@ -77,7 +77,7 @@ def labelled(pixels: DataFrame, frames: DataFrame, options: Options) -> tuple[Da
     weak = K.stored(sure.groupBy("image_id").agg(F.min("confidence").alias("least")).where(F.col("least") < SURE).select("image_id"))
     spatial = repaired_roles(pixels.join(weak, "image_id", "left_semi"), frames.join(weak, "image_id", "left_semi"))
     rows = K.stored(masks.overwritten(rows, spatial, offset=SPATIAL))
-    islands, island = detect.focal_masks(rows, frames)
+    islands, island = detect.focal_masks(rows, frames, [SPATIAL, SPATIAL + 1, SPATIAL + 2])
     island = K.stored(island)
     lit = islands.where("kind = 'rare-chromatic'").select("image_id")
     support = detect.luminous_support(pixels.join(lit, "image_id", "left_semi"), frames.join(lit, "image_id", "left_semi"), island)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pixelloom.operators import coverage, geometry, joins, regions, validate
 from pixelloom.operators import components as K
 from pixelloom.operators.masks import PIXEL
-from pixelloom.plans.catalogue import _GRAY, _LEVELS, _frames, _gray, _labels, _mask, _sql_reach, _table, registrar
+from pixelloom.plans.catalogue import _EV, _GRAY, _LEVELS, _frames, _gray, _labels, _mask, _round, _series, _sql_reach, _table, registrar
 from pixelloom.sources import runs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,23 @@ def curve_coverage(spark, sf_dir):
     return coverage.audit(parts, coverage.covered_pixels(coverage.scan_filled(lines, "component"), "component", _frames(gray)), "component")
 
 
+_BANDS = {"p": [1, 8, 28, 56, -186, 56, 28, 8, 1], "b": [1, 8, 12, -8, -26, -8, 12, 8, 1]}  # 256ths: broad mean less the point, and less the narrow mean
+
+
+def _sql_gated(table: str) -> str:
+    sums = ", ".join(f"sum(o.{c} * (CASE d {' '.join(f'WHEN {i - 4} THEN {w}' for i, w in enumerate(ws))} END)::DOUBLE / 256.0::DOUBLE) AS {k}_{c}" for k, ws in _BANDS.items() for c in "xy")
+    gate = "CASE WHEN n >= 12 THEN greatest(0, least(1, (sqrt(b_x * b_x + b_y * b_y) - 0.16) / 0.42)) * greatest(0, least(1, (4.893 - sqrt(p_x * p_x + p_y * p_y)) / 0.85)) * 0.8584 ELSE 0 END"
+    near = f"SELECT e.user_id, e.i, e.n, any_value(e.x) AS x, any_value(e.y) AS y, {sums} FROM {table} e, range(-4, 5) t(d) JOIN {table} o ON o.user_id = e.user_id AND o.i = ((e.i + d) % e.n + e.n) % e.n GROUP BY 1, 2, 3"
+    return f"SELECT user_id, i, n, x + p_x * g AS x, y + p_y * g AS y FROM (SELECT *, {gate} AS g FROM ({near}))"
+
+
+@query(f"WITH {_EV}, a AS ({_sql_gated('ev')}), b AS ({_sql_gated('a')}) SELECT user_id, i, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y FROM b")
+def micro_contour_gate(spark, sf_dir):
+    """Events of a user as a closed outline, without short and shallow fluctuations."""
+    rows = geometry.micro_gated(_series(spark, sf_dir).withColumnRenamed("i", "seq"), ["user_id"])
+    return rows.select("user_id", F.col("seq").alias("i"), _round("x", 3).alias("x"), _round("y", 3).alias("y"))
+
+
 # ---------------------------------------------------------------- documents and plans, listings
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, 'l' || l_linenumber AS path_id, max(l_quantity)::DOUBLE AS q, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2), s AS (SELECT * FROM l WHERE l_linenumber % 4 <> 0), p AS (SELECT * FROM l WHERE part % 7 <> 0)
 SELECT coalesce(s.l_orderkey, p.l_orderkey) AS order_id, coalesce(s.path_id, p.path_id) AS path_id, s.l_orderkey IS NOT NULL AS in_svg, p.l_orderkey IS NOT NULL AS in_plan, least(20.0 - s.q, s.q) AS x0, greatest(20.0 - s.q, s.q) AS x1,

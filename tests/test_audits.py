@@ -172,3 +172,17 @@ def test_keys_on_every_level(spark):
     got = {(r.id, r.name) for r in validate.nested_keys(rows, "id", "doc").collect()}
     assert got == {(1, k) for k in [*"abcd", *(f"k{i}" for i in range(15))]}
     assert validate.nested_keys(rows.limit(0), "id", "doc").count() == 0
+
+
+def test_micro_gate_of_tables_is_that_of_outlines(spark):
+    rng = np.random.default_rng(3)
+    rings = [np.stack([30 * np.cos(t), 30 * np.sin(t)], 1) + rng.normal(0, 0.6, (n, 2)) for n in (64, 11, 12, 9, 40) for t in [np.arange(n) * 2 * np.pi / n]]
+    rows = [(k, i, float(x), float(y)) for k, ring in enumerate(rings) for i, (x, y) in enumerate(ring)]
+    df = spark.createDataFrame(rows, "loop long, seq long, x double, y double").repartition(3)
+    got = {(r.loop, r.seq): (r.x, r.y) for r in geometry.micro_gated(df, ["loop"]).collect()}
+    moved = 0
+    for k, ring in enumerate(rings):
+        want = geometry.without_roughness(ring, 0.82)
+        moved += np.abs(want - ring).max() > 0.05
+        assert np.allclose([got[k, i] for i in range(len(ring))], want, atol=1e-9)
+    assert moved >= 2 and geometry.micro_gated(df.limit(0), ["loop"]).count() == 0

@@ -80,6 +80,10 @@ def highlights(pixels: DataFrame, frames: DataFrame, seed: int = 17, allowed: Da
     return kept.withColumn("n", rank).where(F.col("n") <= MOST_HIGHLIGHTS).select("image_id", "n", "x", "y", (strength * 1.2 + 0.7 + draw).alias("r"), "score")
 
 
+def _grain_rect(name: str, grain: float) -> str:
+    return f'<rect id="{name}" width="100%" height="100%" filter="url(#surface-grain-filter)" opacity="{0.32 * grain:.3f}"/>'
+
+
 def documents(frames: DataFrame, layers: DataFrame, ground: DataFrame, points: DataFrame | None = None, particles: DataFrame | None = None, title: str = "Abstraction", grain: float = 0.0) -> DataFrame:
     """(image_id, svg): defs, ground, fields in paint order, highlights, and the texture on top.
 
@@ -103,12 +107,13 @@ def documents(frames: DataFrame, layers: DataFrame, ground: DataFrame, points: D
         dots = F.coalesce(F.concat(F.lit('<g id="point-highlights">'), F.col("dots"), F.lit("</g>")), empty)
     if particles is not None:
         out = out.join(ordered(particles, particle_element(*(F.col(c) for c in ("kind", "x", "y", "length", "angle", "opacity"))), ["kind", "i"], "specks"), "image_id", "left")
-        specks = F.coalesce(F.concat(F.lit('<g id="surface-noise-layer">'), F.col("specks"), F.lit("</g>")), empty)
+        over = F.lit(_grain_rect("surface-grain", grain) if grain else "")
+        specks = F.coalesce(F.concat(F.lit('<g id="surface-noise-layer">'), F.col("specks"), over, F.lit("</g>")), empty)
     w, h = F.col("width").cast("string"), F.col("height").cast("string")
     svg = F.concat(
         F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="'), w, F.lit('" height="'), h, F.lit('" viewBox="0 0 '), w, F.lit(" "), h, F.lit('" overflow="hidden"><title>'), xml_escape(F.lit(title)),
         F.lit("</title><desc>Fields derived from one source</desc><defs>"), F.coalesce("defs", empty), F.lit(GRAIN_FILTER if grain else ""), F.lit('</defs><rect width="100%" height="100%" fill="'), F.col("ground"),
-        F.lit('"/><g id="source-derived-fields">'), F.coalesce("fields", empty), F.lit("</g>"), dots, F.lit(f'<rect id="{"surface-grain" if particles is not None else "surface-noise-layer"}" width="100%" height="100%" filter="url(#surface-grain-filter)" opacity="{0.32 * grain:.3f}"/>' if grain else ""), specks, F.lit("</svg>"),
+        F.lit('"/><g id="source-derived-fields">'), F.coalesce("fields", empty), F.lit("</g>"), dots, F.lit(_grain_rect("surface-noise-layer", grain) if grain and particles is None else ""), specks, F.lit("</svg>"),
     )
     return out.select("image_id", svg.alias("svg"))
 

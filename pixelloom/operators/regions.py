@@ -128,16 +128,26 @@ def negative_space(fields: DataFrame, frames: DataFrame, kernel: int | Column) -
     """(pixel, owner): slivers between fields (pixel, owner) that are too narrow or small to stand, given to the field they
     touch most. Narrow means closed by the kernel, a number or a column of frames; small means a hole of at most kernel
     squared pixels."""
+    return negative_space_parts(fields, frames, kernel)[0].select(*PIXEL, "owner")
+
+
+def negative_space_parts(fields: DataFrame, frames: DataFrame, kernel: int | Column) -> tuple[DataFrame, DataFrame]:
+    """negative_space with the component of each pixel; and (image_id, closed_pixels, holes_filled): pixels that the kernel
+    closed, and small holes that were filled besides, of images that have any."""
     every = K.stored(masks.union(fields))
     wide = K.stored(stencils.gap_closed(every, kernel, frames).select(PIXEL))
-    added = K.stored(masks.difference(K.filled(wide, frames, kernel * kernel), every))
+    whole = K.stored(K.filled(wide, frames, kernel * kernel))
+    added = K.stored(masks.difference(whole, every))
     parts = K.stored(K.components(added))
     touch = K.stored(joins.contacts(parts, fields))
     lonely = parts.join(touch.select("image_id", "component").distinct(), ["image_id", "component"], "left_anti")
     found = touch.unionByName(joins.near_contacts(lonely, fields, frames))
     w = Window.partitionBy("image_id", "component").orderBy(F.desc("contacts"), "owner")
     best = found.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("image_id", "component", "owner")
-    return parts.join(best, ["image_id", "component"]).select(*PIXEL, "owner")
+    closed = masks.difference(wide, every).groupBy("image_id").agg(F.count("*").alias("closed_pixels"))
+    holes = K.components(K.stored(masks.difference(whole, wide))).groupBy("image_id").agg(F.count_distinct("component").alias("holes_filled"))
+    totals = closed.join(holes, "image_id", "full").na.fill(0)
+    return parts.join(best, ["image_id", "component"]).select(*PIXEL, "owner", "component"), totals
 
 
 def unclaimed_holes(field: DataFrame, others: DataFrame, background: DataFrame, frames: DataFrame, most_background: float = 0.5, inner: DataFrame | None = None) -> DataFrame:

@@ -49,7 +49,10 @@ def measured(docs: DataFrame, svg: str = "svg") -> DataFrame:
         _count(s, f"//{local('linearGradient')}[count({local('stop')})=3]").alias("full_gradients"),
         _count(s, f"//{local('feTurbulence')}").alias("turbulence"),
         _count(s, noise).alias("noise_layers"),
-        _count(s, f"{noise}/*").alias("particles"),
+        _count(s, f"{noise}/*[not(@id)]").alias("particles"),
+        F.size(F.array_distinct(_list(s, f"{noise}/*[not(@id)]/@fill"))).alias("particle_scales"),
+        _count(s, "//*[@id='surface-grain'][@filter]").alias("overlays"),
+        F.xpath_string(s, F.lit(f"{noise}/*[last()]/@id")).alias("noise_last_id"),
         F.xpath_string(s, F.lit("/*/*[last()]/@id")).alias("last_id"),
         F.filter(F.array(*(F.when(_count(s, f"//{local(n)}") > 0, n) for n in FORBIDDEN)), lambda n: n.isNotNull()).alias("forbidden"),
     )
@@ -103,11 +106,37 @@ def _at_most_one(prefix: str, low: float, high: float) -> Column:
     return (_number(f"{prefix}_count") <= 1) & (F.size(shares) == _number(f"{prefix}_count")) & F.forall(shares, lambda v: v.between(low, high))
 
 
+def _counters(key: str, ids: Column, least: int = 0) -> Column:
+    """A map with a count of at least 0 for each field, and at least so many in all."""
+    m = F.try_variant_get(F.col("plan"), f"$.{key}", "map<string,bigint>")
+    return (F.array_sort(F.map_keys(m)) == ids) & F.forall(F.map_values(m), lambda v: v >= 0) & (F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, v: a + v) >= least)
+
+
+def _some_counts(*keys: str) -> Column:
+    """Maps that are there and hold no negative count."""
+    out = F.lit(True)
+    for key in keys:
+        out = out & F.forall(F.map_values(F.try_variant_get(F.col("plan"), f"$.{key}", "map<string,bigint>")), lambda v: v >= 0)
+    return out
+
+
+#: Most curve segments that a loop of a night field may have.
+NIGHT_SEGMENTS = {"luminous-sky-field": 48, "foreground-silhouette": 132, "foreground-light": 36}
+
+
+def _few_segments() -> Column:
+    most = F.create_map(*(F.lit(v) for kv in NIGHT_SEGMENTS.items() for v in kv))
+    times = lambda text, mark: F.size(F.split(text, mark)) - 1
+    return F.forall(F.arrays_zip("field_ids", "field_paths"), lambda f: times(f["field_paths"], "C ") <= F.coalesce(F.element_at(most, f["field_ids"]), F.lit(0)) * times(f["field_paths"], "M "))
+
+
 def plan_rules() -> dict[str, Column]:
     """Rules that compare a document with its plan, a VARIANT column."""
     general, night, reflective = (_text("archetype") == a for a in ARCHETYPES)
     on = lambda gate, rule: ~F.coalesce(gate, F.lit(False)) | rule
     ids = F.array_sort("field_ids")
+    paper = F.coalesce(_number("paper"), F.lit(0.0))
+    has = lambda key: F.try_variant_get(F.col("plan"), f"$.{key}", "variant").isNotNull()
     return {
         "analysis_dimensions_match": (_number("width") == F.col("svg_width")) & (_number("height") == F.col("svg_height")),
         "analysis_omits_private_quadrant_confidence": ~F.lower(F.to_json("plan")).rlike(r'"[^"]*(?:confidence|quadrant)[^"]*":'),
@@ -132,6 +161,23 @@ def plan_rules() -> dict[str, Column]:
         "general_fields_report_seam_underlap": on(general, F.array_sort(_keys("seam_underlap_added_pixels")) == ids),
         "general_fields_bleed_past_touched_frame_edges": on(general, F.array_sort(_keys("frame_edges")) == ids),
         "general_fields_report_micro_hole_cleanup": on(general, _number("micro_hole_limit") >= 0),
+        "traditional_grain_overlay_matches": ((F.coalesce(_number("grain_overlay"), F.lit(0.0)) > 0) & (_text("paper_style") == "rough")) == (F.col("overlays") == 1),
+        "traditional_grain_overlay_is_topmost": (F.col("overlays") == 0) | (F.col("noise_last_id") == "surface-grain"),
+        "analysis_paper_texture_model_is_valid": _text("paper_texture_model") == F.when(paper == 0, "none").when(_text("paper_style") == "grain", "grain").when(F.col("overlays") > 0, "vector particles with grain").otherwise("vector particles"),
+        "rough_paper_uses_three_vector_scales": on((_text("paper_style") == "rough") & (paper > 0), F.col("particle_scales") == 3),
+        "general_fields_use_light_contour_low_pass": on(general, (_number("contour_low_passes") == 4) & (_number("compact_contour_low_passes") == 2)),
+        "general_fields_report_discarded_region_merge": on(general, _counters("merged_components", ids) & _counters("merged_pixels", ids)),
+        "general_fields_report_negative_space_consolidation": on(
+            general,
+            (_number("negative_space_kernel") % 2 == 1) & (_number("negative_space_hole_limit") >= 0) & (_number("negative_space_closed_pixels") >= 0) & (_number("negative_space_holes_filled") >= 0)
+            & _counters("negative_space_components", ids) & _counters("negative_space_pixels", ids),
+        ),
+        "general_fields_report_unrepresented_hole_merge": on(general, _counters("unrepresented_holes", ids) & _counters("unrepresented_hole_pixels", ids)),
+        "general_fields_report_chromatic_false_background_merge": on(general, (has("false_background_holes") == has("false_background_pixels")) & on(has("false_background_holes"), _counters("false_background_holes", ids, 1) & _counters("false_background_pixels", ids, 1))),
+        "night_landscape_curve_segments_are_minimal": on(night, _few_segments()),
+        "night_landscape_reports_gap_closure": on(night, (_number("gap_closure_kernel") % 2 == 1) & (_number("gap_pixels_closed") >= 0)),
+        "night_landscape_reports_seam_overlap": on(night, _some_counts("seam_underlap_added_pixels")),
+        "night_landscape_regularizes_internal_contours": on(night, _text("internal_contour_policy").contains("rounded") & _some_counts("internal_rounding_kernels", "internal_edge_snap_pixels")),
         "night_landscape_has_reduced_shape_budget": on(night, F.col("fields") <= 3),
         "night_landscape_declares_spline_fitter": on(night, F.lower(_text("curve_model")).contains("spline")),
         "reflective_fields_report_measured_pairing": on(reflective, (F.col("points") == 0) & (_number("reflection_score") >= 0.72)),

@@ -87,13 +87,31 @@ def abstraction(pixels: DataFrame, options: Options = Options()) -> DataFrame:
         specks = K.stored(document.texture(canvas, options.paper, options.paper_density, options.seed))
     grain = options.paper if options.paper_style == "grain" else options.grain_overlay
     svg = document.documents(canvas, layers, ground, points, specks, grain=grain)
-    plans = canvas.join(kinds, "image_id").join(scene.notes, "image_id", "left").join(_counts(layers, points, specks), "image_id", "left")
+    plans = canvas.join(kinds, "image_id").join(scene.notes, "image_id", "left").join(_counts(layers, points, specks), "image_id", "left").join(_shares(layers, ground, frames), "image_id", "left")
+    for short in ("compact_salient_island", "focal_support_field", "perspective_accent_line"):  # scenes without them say so
+        for key, none in ((f"{short}_area_fractions", F.array().cast("array<double>")), (f"{short}_count", F.lit(0))):
+            plans = plans.withColumn(key, F.coalesce(F.col(key), none) if key in plans.columns else none)
+    if "palette_seed_colors" not in plans.columns:
+        plans = plans.withColumns({"palette_seed_colors": F.lit(None).cast("array<string>"), "palette_population_fractions": F.lit(None).cast("array<double>")})
+    seeds = F.col("palette_seed_colors").isNull()  # fixed compositions: their fields and the ground, by area
+    plans = plans.withColumn("palette_population_fractions", F.when(seeds, F.col("_shares")).otherwise(F.col("palette_population_fractions"))).withColumn("palette_seed_colors", F.when(seeds, F.col("_inks")).otherwise(F.col("palette_seed_colors"))).drop("_shares", "_inks")
     plans = plans.na.fill(0, ["shape_count", "gradient_count", "point_count", "particle_count"])
     fixed = {"renderer": "native SVG paths", "frame_edge_policy": "fields bleed past the frame and the root clips them", "color_mode": options.color_mode, "paper_style": options.paper_style, "paper": options.paper, "paper_density": options.paper_density, "grain_overlay": options.grain_overlay, "curve_smoothing": options.curve_smoothing, "gradient_strength": options.gradient_strength, "min_negative_gap": options.min_negative_gap, "seed": options.seed}
+    model = {"grain": "grain", "rough": "vector particles"}[options.paper_style] + (" with grain" if options.grain_overlay else "")
+    fixed["paper_texture_model"] = model if options.paper > 0 else "none"
     plans = document.plan_json(plans.select("*", *(F.lit(v).alias(k) for k, v in fixed.items())))
     return svg.join(plans, "image_id", "left")
 
 
+def _shares(layers: DataFrame, ground: DataFrame, frames: DataFrame) -> DataFrame:
+    """(image_id, _inks, _shares): colours of fields and ground by the area they were given, fields that lie over others too."""
+    rows = layers.select("image_id", "fill", "area").unionByName(ground.join(frames, "image_id").select("image_id", "fill", (F.col("width") * F.col("height")).cast("long").alias("area")))
+    rows = rows.groupBy("image_id", "fill").agg(F.sum("area").alias("area"))
+    cells = F.array_sort(F.collect_list(F.struct("fill", "area")))
+    total = F.sum("area")
+    return rows.groupBy("image_id").agg(F.transform(cells, lambda c: c["fill"]).alias("_inks"), cells.alias("_c"), total.alias("_t")).select("image_id", "_inks", F.transform("_c", lambda c: c["area"] / F.col("_t")).alias("_shares"))
+
+
 def _points(pixels: DataFrame, frames: DataFrame, scene: scenes.Scene, scales: DataFrame, options: Options) -> DataFrame | None:
     if not options.points:
         return None

@@ -680,7 +680,7 @@ def svg_documents(spark, sf_dir):
 @query()
 def svg_validation(spark, sf_dir):
     docs = validate.measured(svg_documents(spark, sf_dir).withColumn("plan", F.try_parse_json("plan")))
-    return validate.reports(validate.validated(docs, "image_id", validate.structural_rules()), "image_id")
+    return validate.reports(validate.validated(docs, "image_id", validate.structural_rules() | validate.plan_rules()), "image_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -112,8 +112,9 @@ def repaired_roles(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     return masks.claimed(stack, frames)
 
 
-def _selected(rows: DataFrame, inks: DataFrame, frames: DataFrame, options: Options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(samples, fields, regions, backgrounds): the regions chosen, and those with what was merged into them."""
+def _selected(rows: DataFrame, inks: DataFrame, frames: DataFrame, options: Options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(samples, fields, regions, backgrounds, counts, totals): the regions chosen, and those with what was merged into them;
+    counts (image_id, owner, ...) of what each took in, totals (image_id, closed_pixels, holes_filled)."""
     background = K.stored(aggregates.edge_mode(rows, frames))
     parts = K.stored(K.components(rows, "label"))
     chosen = K.stored(regions.within_budget(regions.scored(parts, frames, inks, background, options.detail, PROTECTED), options.max_shapes, [ISLAND, ACCENT]))
@@ -123,10 +124,26 @@ def _selected(rows: DataFrame, inks: DataFrame, frames: DataFrame, options: Opti
     lost_ink = lost.select(*keys, "label").distinct().join(inks, ["image_id", "label"]).drop("label")
     owner_ink = chosen.select("image_id", F.col("component").alias("owner"), "label").join(inks, ["image_id", "label"])
     owner = regions.merged_in_order(lost, owned.select(*PIXEL, "owner"), frames, lost_ink, owner_ink, PROTECTED)
+    owner = K.stored(owner)
+    counts = regions.merge_counts(owner, lost, owned).select("image_id", "owner", F.col("components").alias("merged_components"), F.col("pixels").alias("merged_pixels"))
+    totals = frames.select("image_id", F.lit(0).cast("long").alias("closed_pixels"), F.lit(0).cast("long").alias("holes_filled"))
     whole = K.stored(owned.select(*PIXEL, "owner").unionByName(lost.join(owner, keys).select(*PIXEL, "owner")))
     if options.min_negative_gap > 0:
-        whole = K.stored(whole.unionByName(regions.negative_space(whole, frames, _kernel(options.min_negative_gap))))
-    return owned.select(*PIXEL, "owner"), whole, chosen, background
+        given, totals = regions.negative_space_parts(whole, frames, _kernel(options.min_negative_gap))
+        given = K.stored(given)
+        whole = K.stored(whole.unionByName(given.select(*PIXEL, "owner")))
+        took = given.groupBy("image_id", "owner").agg(F.count_distinct("component").alias("reassigned_components"), F.count("*").alias("reassigned_pixels"))
+        counts = counts.join(took, ["image_id", "owner"], "left")
+    else:
+        counts = counts.withColumns({"reassigned_components": F.lit(0).cast("long"), "reassigned_pixels": F.lit(0).cast("long")})
+    return owned.select(*PIXEL, "owner"), whole, chosen, background, counts, totals
+
+
+#: What each field took in or gained on the way, and the plan's map of it.
+_COUNTERS = {
+    "added": "seam_underlap_added_pixels", "holes": "micro_hole_pixels", "merged_components": "merged_components", "merged_pixels": "merged_pixels", "reassigned_components": "negative_space_components",
+    "reassigned_pixels": "negative_space_pixels", "unrepresented_holes": "unrepresented_holes", "unrepresented_pixels": "unrepresented_hole_pixels", "false_background_holes": "false_background_holes", "false_background_pixels": "false_background_pixels",
+}
 
 
 def general(pixels: DataFrame, frames: DataFrame, options: Options) -> Scene:
@@ -134,7 +151,7 @@ def general(pixels: DataFrame, frames: DataFrame, options: Options) -> Scene:
     small holes and those that stand for nothing: discarded islands, and background of the field's own hue."""
     rows, inks, features = labelled(pixels, frames, options)
     features = K.stored(features)
-    samples, whole, chosen, background = _selected(rows, inks, frames, options)
+    samples, whole, chosen, background, took, totals = _selected(rows, inks, frames, options)
     chosen = K.stored(chosen.select("image_id", F.col("component").alias("owner"), "label", "paint").join(inks, ["image_id", "label"]))
     wide = K.stored(_layer_frames(chosen, frames))
     sheets = wide.select(F.col("layer").alias("image_id"), "width", "height")
@@ -157,8 +174,10 @@ def general(pixels: DataFrame, frames: DataFrame, options: Options) -> Scene:
     back_tint = tint(own.select("image_id", "layer").join(ground, "image_id").select(F.col("layer").alias("image_id"), "r", "g", "b"))
     layered = on_layer(inner.select(F.col("image_id").alias("layer"), "y", "x").join(own, "layer").join(pixels, PIXEL), "r", "g", "b")
     false = regions.chromatic_false_background(inner, layered, back, sheets, field_tint, back_tint)
-    false = inner.join(false, ["image_id", "component"], "left_semi").select(PIXEL)
-    final = K.stored(masks.union(full, unclaimed, false).withColumnRenamed("image_id", "layer").join(own, "layer").select(*PIXEL, "owner", "paint"))
+    false = K.stored(inner.join(false, ["image_id", "component"], "left_semi"))
+    merged = lambda df, what: df.groupBy(F.col("image_id").alias("layer")).agg(F.count_distinct("component").alias(f"{what}_holes"), F.count("*").alias(f"{what}_pixels"))
+    unclaimed = K.stored(inner.join(unclaimed, PIXEL, "left_semi"))
+    final = K.stored(masks.union(full, unclaimed.select(PIXEL), false.select(PIXEL)).withColumnRenamed("image_id", "layer").join(own, "layer").select(*PIXEL, "owner", "paint"))
     island, accent = F.col("label") == ISLAND, F.col("label") == ACCENT
     name = F.concat(F.lit("field-"), scalars.padded_id(F.col("paint")))
     styled = chosen.select(
@@ -169,8 +188,17 @@ def general(pixels: DataFrame, frames: DataFrame, options: Options) -> Scene:
     )
     gained = drawn.unionByName(field).groupBy(PIXEL).agg(F.count("*").alias("n")).where("n = 1").groupBy("image_id").agg(F.count("*").alias("added")).withColumnRenamed("image_id", "layer")
     holes = full.unionByName(drawn).groupBy(PIXEL).agg(F.count("*").alias("n")).where("n = 1").groupBy("image_id").agg(F.count("*").alias("holes")).withColumnRenamed("image_id", "layer")
-    counts = own.join(gained, "layer", "left").join(holes, "layer", "left").select("image_id", name.alias("name"), F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("holes", F.lit(0)).alias("holes"))
-    per = counts.groupBy("image_id").agg(*(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", c)))).alias(n) for c, n in (("added", "seam_underlap_added_pixels"), ("holes", "micro_hole_pixels"))))
+    counts = own.join(took, ["image_id", "owner"], "left")
+    for part in (gained, holes, merged(unclaimed, "unrepresented"), merged(false, "false_background")):
+        counts = counts.join(part, "layer", "left")
+    counts = counts.na.fill(0, list(_COUNTERS)).withColumn("name", name)
+    per = counts.groupBy("image_id").agg(*(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", c)))).alias(n) for c, n in _COUNTERS.items()), F.sum("false_background_holes").alias("_false"))
+    for c in ("false_background_holes", "false_background_pixels"):  # said only where there is something to say
+        per = per.withColumn(_COUNTERS[c], F.when(F.col("_false") > 0, F.col(_COUNTERS[c])))
+    kernel = _kernel(options.min_negative_gap)
+    noted = frames.select("image_id", kernel.cast("int").alias("negative_space_kernel"), (kernel * kernel).cast("long").alias("negative_space_hole_limit"), F.lit(4).alias("contour_low_passes"), F.lit(2).alias("compact_contour_low_passes"))
+    noted = noted.join(totals.select("image_id", F.col("closed_pixels").alias("negative_space_closed_pixels"), F.col("holes_filled").alias("negative_space_holes_filled")), "image_id", "left")
+    per = per.drop("_false").join(noted.na.fill(0), "image_id")
     return Scene(final.drop("paint"), samples, styled, ground.withColumn("role", F.lit(None).cast("string")), masks.frame_grid(frames), _general_notes(rows, inks, features, per, frames, limit))
 
 
@@ -229,7 +257,8 @@ def night_masks(pixels: DataFrame, frames: DataFrame, options: Options) -> dict[
     near = masks.intersection(stencils.dilated(seed, 9, frames), shade)
     land = stencils.cleaned(masks.union(seed, near), 5, 5, frames)
     land = K.below_sky(K.bottom_connected(land, frames, F.greatest(F.lit(3), F.rint(f * 0.010))), frames)
-    land = K.stored(stencils.gap_closed(land, _kernel(options.min_negative_gap), frames).select(PIXEL))
+    open_land = K.stored(land)
+    land = K.stored(stencils.gap_closed(open_land, _kernel(options.min_negative_gap), frames).select(PIXEL))
     sky = K.stored(masks.complement(land, frames))
     broad = stencils.blurred(base, "lum", at_least(5.0, 31.0)).join(soft.select(*PIXEL, "down", "width"), PIXEL)
     broad = broad.join(sky, PIXEL, "left_semi")
@@ -245,8 +274,9 @@ def night_masks(pixels: DataFrame, frames: DataFrame, options: Options) -> dict[
     light = K.stored(stencils.smoothed_boundary(light, at_least(3.0, 120.0), frames))
     light = stencils.rounded_tips(light, _kernel(min(0.040, options.min_negative_gap * 1.35)), frames)
     light = K.stored(stencils.smoothed_boundary(light, at_least(1.8, 260.0), frames))
-    light = K.stored(masks.intersection(K.largest(light, frames, 0.0075, 2), land))
-    return {"foreground": land, "sky": sky, "luminous": glow, "light": light}
+    light = K.stored(light)
+    snapped = masks.intersection(K.largest(light, frames, 0.0075, 2), land)
+    return {"foreground": land, "sky": sky, "luminous": glow, "light": snapped, "unclosed": open_land, "unsnapped": light}
 
 
 def night(pixels: DataFrame, frames: DataFrame, options: Options) -> Scene:
@@ -263,8 +293,17 @@ def night(pixels: DataFrame, frames: DataFrame, options: Options) -> Scene:
     ]
     ground = aggregates.percentile_color(pixels.join(m["sky"], PIXEL, "left_semi"), ["image_id"], 0.24).withColumn("role", F.lit("sky"))
     points = m["sky"].join(frames, "image_id").where(F.col("y") < F.greatest(F.lit(1), F.col("height") - 1) * 0.79).select(PIXEL)
-    notes = frames.select("image_id", F.lit("periodic cubic B-spline").alias("curve_model"), F.lit("warm seed, shadow nearby, what the sky does not reach, narrow gaps closed").alias("foreground_segmentation"))
-    return _scene(roles, pixels, ground, points, notes)
+    notes = frames.select(
+        "image_id", F.lit("periodic cubic B-spline").alias("curve_model"), F.lit("warm seed, shadow nearby, what the sky does not reach, narrow gaps closed").alias("foreground_segmentation"),
+        _kernel(gap).cast("int").alias("gap_closure_kernel"), F.lit("tips rounded, light cut at the outline of the land").alias("internal_contour_policy"),
+        F.create_map(F.lit("foreground-light"), _kernel(min(0.040, gap * 1.35)).cast("int")).alias("internal_rounding_kernels"),
+    )
+    size = lambda df, n: df.groupBy("image_id").agg(F.count("*").cast("long").alias(n))
+    for part in (size(masks.difference(m["foreground"], m["unclosed"]), "gap_pixels_closed"), size(masks.difference(glow, m["luminous"]), "_glow"), size(masks.difference(lit, m["light"]), "_lit"), size(masks.difference(m["unsnapped"], m["light"]), "_cut")):
+        notes = notes.join(part, "image_id", "left")
+    notes = notes.na.fill(0, ["gap_pixels_closed", "_glow", "_lit", "_cut"])
+    notes = notes.withColumn("seam_underlap_added_pixels", F.create_map(F.lit("luminous-sky-field"), F.col("_glow"), F.lit("foreground-light"), F.col("_lit"))).withColumn("internal_edge_snap_pixels", F.create_map(F.lit("foreground-light"), F.col("_cut")))
+    return _scene(roles, pixels, ground, points, notes.drop("_glow", "_lit", "_cut"))
 
 
 # ---------------------------------------------------------------- mirrored

@@ -440,7 +440,7 @@ def test_weaker_islands(spark, monkeypatch):
     assert [(r.kind, r.component // K.WIDE) for r in got] == [("cross-field", 26)]
     monkeypatch.setitem(detect._RARE, "area", (0.001, 0.05))  # a patch that fills its percentile is larger than usual here
     soft = np.full((80, 120, 3), 128)
-    soft[20:33, 20:33] = (190, 105, 70)
+    soft[20:34, 20:34] = (160, 112, 108)  # rare by its distance from the image's median hue, not by a broad blur
     px2 = detect.with_oklab(pixels_of(spark, soft)).withColumn("label", F.when(F.col("x") < 26, 0).otherwise(1))
     rare = detect.rare_chromatic_island(px2, raster.frames(px2)).collect()
     assert [(r.kind, r.satellites) for r in rare] == [("rare-chromatic", [])]

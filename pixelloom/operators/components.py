@@ -140,7 +140,8 @@ def bottom_connected(mask: DataFrame, frames: DataFrame, band: int | Column = 1)
 
 def holes(mask: DataFrame, frames: DataFrame) -> DataFrame:
     """(image_id, y, x, component) of the parts of the complement that don't reach the frame."""
-    parts = stored(components(complement(mask, frames)).join(frames, "image_id"))
+    frames = frames.select("image_id", "width", "height")
+    parts = stored(components(complement(mask.select(PIXEL), frames)).join(frames, "image_id"))
     edge = parts.where("x = 0 or y = 0 or x = width - 1 or y = height - 1").select("image_id", "component").distinct()
     return parts.join(edge, ["image_id", "component"], "left_anti").select(*PIXEL, "component")
 

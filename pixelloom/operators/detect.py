@@ -25,6 +25,7 @@ def heights(pixels: DataFrame) -> DataFrame:
 
 def night_gate(pixels: DataFrame) -> DataFrame:
     """(image_id, top, low_warm, top_warm, night): a dark upper part over a warmer lower part."""
+    pixels = pixels.select(*PIXEL, "r", "g", "b")
     rows = pixels.join(heights(pixels), "image_id")
     upper, lower = F.col("y") < F.col("height") * 0.58, F.col("y") >= F.col("height") * 0.45
     warm = color.warmth(F.col("r"), F.col("b"))
@@ -37,8 +38,9 @@ def reflection(pixels: DataFrame, frames: DataFrame) -> DataFrame:
 
     Wide images only. Lightness, chroma and edges of the rows above are compared with the mirrored rows below.
     """
+    frames = frames.select("image_id", "width", "height")
     wide = frames.where("width >= height * 1.35")
-    rows = with_oklab(pixels.join(wide, "image_id"))
+    rows = with_oklab(pixels.select(*PIXEL, "r", "g", "b").join(wide, "image_id"))
     radius = F.greatest(F.lit(3.0), F.col("width") / 70.0)
     soft = rows.select(PIXEL)
     for c in ("L", "a", "bb"):
@@ -51,12 +53,13 @@ def reflection(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     top = at.where((F.col("y") < F.col("axis")) & (F.col("y") >= F.col("axis") - F.col("depth")))
     low = at.where((F.col("y") >= F.col("axis")) & (F.col("y") < F.col("axis") + F.col("depth"))).select("image_id", "axis", (F.col("axis") * 2 - 1 - F.col("y")).alias("y"), "x", *(F.col(c).alias(f"m_{c}") for c in ("L", "a", "bb", "edge")))
     pair = K.stored(top.join(low, ["image_id", "axis", "y", "x"]))
+    both = pair.select("image_id", "axis", F.explode(F.array(*(F.struct(F.col(c).alias("tint"), F.col(f"m_{c}").alias("m_tint")) for c in ("a", "bb")))).alias("t")).select("image_id", "axis", "t.*")
     out = None
-    for c in ("L", "a", "bb", "edge"):
-        part = aggregates.normalised_correlation(pair, ["image_id", "axis"], c, f"m_{c}").withColumnRenamed("correlation", c)
+    for c, rows_of in (("L", pair), ("tint", both), ("edge", pair)):  # both channels of hue in one correlation
+        part = aggregates.normalised_correlation(rows_of, ["image_id", "axis"], c, f"m_{c}").withColumnRenamed("correlation", c)
         out = part if out is None else out.join(part, ["image_id", "axis"])
     step = rows.groupBy("image_id", "y").agg(F.avg("edge").alias("strength")).select("image_id", F.col("y").alias("axis"), "strength")
-    out = out.join(step, ["image_id", "axis"]).withColumn("tint", (F.col("a") + F.col("bb")) / 2)
+    out = out.join(step, ["image_id", "axis"])
     score = F.col("L") * 0.42 + F.col("tint") * 0.23 + F.col("edge") * 0.35 + F.col("strength") * 1.4
     best = aggregates.best(out.withColumn("score", score), ["image_id"], "score", "axis", ["axis", "L", "tint", "edge", "score"]).join(frames.select("image_id", "height"), "image_id")
     share = F.col("axis") / F.col("height")

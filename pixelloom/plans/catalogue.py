@@ -650,7 +650,12 @@ def farthest_point_palette(spark, sf_dir):
     return palette.quantised(_rgb(spark, sf_dir), 6)[1]
 
 
-@query()
+@query(f"""WITH RECURSIVE {_GRAY}, h AS (SELECT image_id, CAST(height AS INT) AS rows, greatest(4, CAST(round_even(0.028 * height, 0) AS INT)) AS step, width FROM frame), col AS (SELECT image_id, x, list(v::DOUBLE ORDER BY y) AS s FROM gray GROUP BY 1, 2),
+w AS (SELECT image_id, 0 AS x, s AS total, NULL::INT[] AS came FROM col WHERE x = 0 UNION ALL
+SELECT image_id, x, list_transform(range(1, rows + 1), lambda y: o[y].best + s[y]), list_transform(range(1, rows + 1), lambda y: o[y].move) FROM (SELECT w.image_id, col.x, col.s, h.rows, list_transform(range(1, h.rows + 1), lambda y: list_max(list_transform(list_filter(range(-h.step, h.step + 1), lambda m: y + m BETWEEN 1 AND h.rows),
+lambda m: {{'best': w.total[y + m] - (0.0045::DOUBLE * (m * m) + 0.0040::DOUBLE * abs(m)), 'k': -m, 'move': CAST(m AS INT)}}))) AS o FROM w JOIN col ON col.image_id = w.image_id AND col.x = w.x + 1 JOIN h ON h.image_id = w.image_id)),
+fin AS (SELECT w.image_id, w.x, CASE WHEN list_max(s) > 0 THEN list_position(list_transform(s, lambda v: v >= 0.94::DOUBLE * list_max(s)), true) ELSE list_position(s, list_max(s)) END AS y FROM w JOIN h ON h.image_id = w.image_id AND w.x = h.width - 1 JOIN col ON col.image_id = w.image_id AND col.x = w.x),
+b AS (SELECT image_id, x, CAST(y AS INT) AS y FROM fin UNION ALL SELECT b.image_id, CAST(b.x - 1 AS INT), b.y + w.came[b.y] FROM b JOIN w ON w.image_id = b.image_id AND w.x = b.x WHERE b.x > 0) SELECT image_id, x, CAST(y - 1 AS INT) AS y FROM b""")
 def contour_dp(spark, sf_dir):
     return geometry.contours(_gray(spark, sf_dir), "v")
 

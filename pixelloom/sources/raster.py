@@ -84,7 +84,9 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def resized(pixels: DataFrame, longest: int, channels: tuple[str, ...] = ("r", "g", "b"), lobes: int = 3) -> DataFrame:
-    """Images scaled to a longest side of at most `longest` pixels, one axis after the other, by windowed-sinc weights."""
+    """Images scaled to a longest side of at most `longest` pixels, one axis after the other, by windowed-sinc weights. Other
+    columns than the channels are not read."""
+    pixels = pixels.select("image_id", "y", "x", *channels)
     frame = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     scale = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest("w", "h"))
     frame = frame.select("image_id", "w", "h", *(F.greatest(F.lit(2), F.rint(F.col(s) * scale).cast("int")).alias(f"{s}2") for s in "wh"))

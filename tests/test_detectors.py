@@ -143,3 +143,36 @@ def test_rare_hues_take_in_caps_above_them(spark):
     assert all({(y, x) for y in range(102, 118) for x in range(42, 57)} <= drawn[k] for k in got)
     assert {(y, 49) for y in range(88, 118)} <= drawn[1]  # the cap, and the bridge to it
     assert all(min(y for y, _ in drawn[k]) >= 95 for k in (0, 2, 3))
+
+
+def mirrored(kind):
+    """A wide image whose lower half mirrors the upper one; kind: what the lower half does with hue."""
+    rng = np.random.default_rng(5)
+    top = np.repeat(np.repeat(rng.integers(60, 200, (5, 14, 3)), 8, axis=0), 8, axis=1)
+    low = top[::-1].copy()
+    if kind == "grey":
+        low[...] = low.mean(axis=2, keepdims=True)
+    return np.concatenate([top, low])
+
+
+def test_reflection_pools_both_channels_of_hue(spark):
+    px = pixels_of(spark, mirrored("same"), mirrored("grey"))
+    got = {r.image_id: r for r in detect.reflection(px, raster.frames(px)).collect()}
+    assert got[0].axis == 40 and got[0].chroma > 0.99 and got[0].light > 0.99 and got[0].reflective
+    assert abs(got[1].chroma) < 0.5 and not got[1].reflective
+
+
+def test_columns_of_clashing_names_are_not_read(spark):
+    from pyspark.sql import functions as F
+
+    from pixelloom.operators import components as K
+
+    px = pixels_of(spark, mirrored("same"))
+    more = px.select("*", *(F.lit("clash").alias(c) for c in ("w", "h", "width", "height", "component", "v", "t", "k")))
+    frames = raster.frames(px)
+    wider = frames.select("*", F.lit("clash").alias("component"), F.lit("clash").alias("y"))
+    assert raster.resized(more, 24).count() == raster.resized(px, 24).count() > 0
+    assert detect.night_gate(more).first() == detect.night_gate(px).first()
+    assert detect.reflection(more, frames).first() == detect.reflection(px, frames).first()
+    ring = spark.createDataFrame([(0, y, x, "clash") for y in range(2, 7) for x in range(2, 7) if (y, x) != (4, 4)], "image_id long, y int, x int, component string")
+    assert [(r.y, r.x) for r in K.holes(ring, wider).collect()] == [(4, 4)]

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pixelloom.operators import coverage, geometry, joins, regions, validate
 from pixelloom.operators import components as K
 from pixelloom.operators.masks import PIXEL
-from pixelloom.plans.catalogue import _EV, _GRAY, _LEVELS, _frames, _gray, _labels, _mask, _round, _series, _sql_reach, _table, registrar
-from pixelloom.sources import runs
+from pixelloom.plans.catalogue import _EV, _GRAY, _LEVELS, _RGB, _ROLES, _frames, _gray, _labels, _mask, _rgb, _round, _series, _sql_reach, _table, registrar
+from pixelloom.sources import raster, runs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -87,6 +87,27 @@ def micro_contour_gate(spark, sf_dir):
     return rows.select("user_id", F.col("seq").alias("i"), _round("x", 3).alias("x"), _round("y", 3).alias("y"))
 
 
+def _sql_stop(end: str, c: str) -> str:
+    base = f"base_{c}"
+    return f"CAST(round_even(greatest(0, least(255, round_even({base}, 0) + greatest(-48, least(48, coalesce({end}_{c}, {base}) - {base})) * 0.30::DOUBLE)), 0) AS INT)"
+
+
+_ENDS = {"low": "t <= p18", "mid": "t >= p46 AND t <= p54", "high": "t >= p82"}
+
+
+@query(f"""WITH {_RGB}, d AS (SELECT *, [{", ".join(f"(r-{a})*(r-{a})+(g-{b})*(g-{b})+(b-{c})*(b-{c})" for a, b, c in _ROLES)}] AS d FROM rgb), l AS (SELECT *, CAST(list_position(d, list_min(d)) - 1 AS INT) AS label FROM d), f AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM rgb GROUP BY 1),
+u AS (SELECT l.*, x / greatest(1, w - 1)::DOUBLE AS u, y / greatest(1, h - 1)::DOUBLE AS v FROM l JOIN f USING (image_id)), q AS (SELECT image_id, label, r, g, b, i, axis, CASE i WHEN 0 THEN u WHEN 1 THEN v WHEN 2 THEN (u + v) / 2.0::DOUBLE ELSE (u + 1.0::DOUBLE - v) / 2.0::DOUBLE END AS t FROM u, (VALUES (0, 'horizontal'), (1, 'vertical'), (2, 'diagonal-down'), (3, 'diagonal-up')) a(i, axis)),
+p AS (SELECT image_id, label, i, quantile_cont(t, 0.18) AS p18, quantile_cont(t, 0.46) AS p46, quantile_cont(t, 0.54) AS p54, quantile_cont(t, 0.82) AS p82 FROM q GROUP BY ALL HAVING count(*) >= 64),
+e AS (SELECT image_id, label, i, axis, {", ".join(f"median({c}) FILTER ({when}) AS {name}_{c}" for name, when in _ENDS.items() for c in "rgb")}, {", ".join(f"median({c}) AS base_{c}" for c in "rgb")}, count(*) FILTER (t <= p18) AS n_low, count(*) FILTER (t >= p82) AS n_high FROM q JOIN p USING (image_id, label, i) GROUP BY image_id, label, i, axis),
+s AS (SELECT *, sqrt(pow((high_r - low_r) * 0.30::DOUBLE, 2) + pow((high_g - low_g) * 0.59::DOUBLE, 2) + pow((high_b - low_b) * 0.11::DOUBLE, 2)) AS score FROM e WHERE n_low >= 16 AND n_high >= 16), k AS (SELECT *, row_number() OVER (PARTITION BY image_id, label ORDER BY score DESC, i) AS k FROM s)
+SELECT image_id, label, axis, round(score, 6) AS score, {", ".join(f"{_sql_stop(name, c)} AS {name}_{c}" for name in _ENDS for c in "rgb")} FROM k WHERE k = 1""")
+def gradient_stops(spark, sf_dir):
+    """The axis and the three stops of each label's gradient, flat."""
+    rows = joins.nearest_centre(_rgb(spark, sf_dir), ["r", "g", "b"], _ROLES)
+    out = geometry.source_gradients(rows, ["image_id", "label"], raster.frames(rows))
+    return out.select("image_id", "label", "axis", F.round("score", 6).alias("score"), *(F.col("stops")[i][c].alias(f"{name}_{c}") for i, name in enumerate(_ENDS) for c in "rgb"))
+
+
 # ---------------------------------------------------------------- documents and plans, listings
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, 'l' || l_linenumber AS path_id, max(l_quantity)::DOUBLE AS q, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2), s AS (SELECT * FROM l WHERE l_linenumber % 4 <> 0), p AS (SELECT * FROM l WHERE part % 7 <> 0)
 SELECT coalesce(s.l_orderkey, p.l_orderkey) AS order_id, coalesce(s.path_id, p.path_id) AS path_id, s.l_orderkey IS NOT NULL AS in_svg, p.l_orderkey IS NOT NULL AS in_plan, least(20.0 - s.q, s.q) AS x0, greatest(20.0 - s.q, s.q) AS x1,

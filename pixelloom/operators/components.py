@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def at_once(spark, *tasks: Callable) -> list:
+    """Results of tasks that do not need each other, in their order. A task takes nothing and stores tables on its way; the
+    jobs of all tasks are submitted side by side, so that small ones do not wait for each other's planning."""
+    shared_folder(spark)  # found once, before the tasks look for it
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]]
+
+
+def without_rows(df: DataFrame) -> bool:
+    return not df.limit(1).count()
+
+
 def runs(mask: DataFrame, label: str | None = None) -> DataFrame:
     """(image_id, y, x0, x1, node, label): rows of neighbouring pixels with one label; node is the first pixel's number."""
     kind = F.col(label) if label else F.lit(0)
@@ -81,12 +96,14 @@ def run_components(nodes: DataFrame, rounds: int = ROUNDS, band: int = BAND) ->
     rows = nodes.select("image_id", "y", "x0", "x1", "label", "node")
     local = rows.groupBy("image_id", F.floor(F.col("y") / band)).applyInPandas(_joined, f"image_id long, y int, x0 int, x1 int, label {kind}, node long, local long")
     nodes = stored(local)
+    if without_rows(nodes.where(F.pmod("y", F.lit(band)) == band - 1)):  # nothing lies at a border
+        return nodes.withColumnRenamed("local", "root")
     upper, lower = (nodes.where(F.pmod("y", F.lit(band)) == at) for at in (band - 1, 0))
     a, b = upper.alias("a"), lower.select("image_id", F.col("y").alias("y2"), F.col("x0").alias("o0"), F.col("x1").alias("o1"), F.col("label").alias("label2"), F.col("local").alias("other")).alias("b")
     touch = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.y") + 1 == F.col("b.y2")) & (F.col("a.label") == F.col("b.label2")) & (F.col("a.x0") <= F.col("b.o1")) & (F.col("b.o0") <= F.col("a.x1"))
     down = a.join(b, touch).select("a.image_id", F.col("a.local").alias("node"), F.col("b.other").alias("other"))
     edges = stored(down.unionByName(down.select("image_id", F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    if not edges.limit(1).count():
+    if without_rows(edges):
         return nodes.withColumnRenamed("local", "root")
     label = edges.select("image_id", "node", F.col("node").alias("root")).distinct()
     for _ in range(rounds):
@@ -94,7 +111,7 @@ def run_components(nodes: DataFrame, rounds: int = ROUNDS, band: int = BAND) ->
         step = label.join(near, ["image_id", "node"]).select("image_id", "node", "root", F.least("root", "least").alias("least"))
         jump = step.join(label.select("image_id", F.col("node").alias("least"), F.col("root").alias("further")), ["image_id", "least"])
         label = stored(jump.select("image_id", "node", F.col("root").alias("before"), F.least("least", "further").alias("root")))
-        if not label.where("before <> root").limit(1).count():
+        if without_rows(label.where("before <> root")):
             found = label.select("image_id", F.col("node").alias("local"), "root")
             return nodes.join(found, ["image_id", "local"], "left").withColumn("root", F.coalesce("root", "local")).drop("local")
         label = label.select("image_id", "node", "root")
@@ -172,7 +189,7 @@ def grown(seed: DataFrame, domain: DataFrame, frames: DataFrame, rounds: int = 1
     done = front = stored(seed.select(PIXEL))
     for _ in range(rounds):
         front = stored(difference(intersection(dilated(front, 3, frames), domain), done))
-        if not front.limit(1).count():
+        if without_rows(front):
             break
         done = done.unionByName(front)
     return done

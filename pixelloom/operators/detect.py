@@ -534,7 +534,9 @@ def focal_masks(labelled: DataFrame, frames: DataFrame, protected: list[int] | N
     found, mask = _compact(labelled, frames, protected)
     found = K.stored(found.select(*names))
     for weaker in (_rare, _cross):
-        rest = frames.join(found, "image_id", "left_anti")
+        rest = K.stored(frames.join(found, "image_id", "left_anti"))
+        if K.without_rows(rest):
+            break
         more, pixels = weaker(labelled.join(rest.select("image_id"), "image_id", "left_semi"), rest)
         found, mask = K.stored(found.unionByName(more.select(*names))), mask.unionByName(pixels)
     return found, mask

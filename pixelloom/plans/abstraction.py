@@ -33,10 +33,14 @@ def archetypes(pixels: DataFrame, frames: DataFrame, options: Options) -> DataFr
 
 def composed(pixels: DataFrame, frames: DataFrame, kinds: DataFrame, options: Options) -> scenes.Scene:
     """One Scene of all images. Archetypes that no image has are not planned; at most three names reach the driver."""
-    out = None
-    for (kind,) in sorted(kinds.select("archetype").distinct().collect()):
+
+    def composition(kind: str) -> scenes.Scene:
         own = kinds.where(F.col("archetype") == kind).select("image_id")
-        scene = COMPOSITIONS[kind](K.stored(pixels.join(own, "image_id", "left_semi")), K.stored(frames.join(own, "image_id", "left_semi")), options)
+        return COMPOSITIONS[kind](K.stored(pixels.join(own, "image_id", "left_semi")), K.stored(frames.join(own, "image_id", "left_semi")), options)
+
+    present = sorted(kind for (kind,) in kinds.select("archetype").distinct().collect())
+    out = None
+    for scene in K.at_once(pixels.sparkSession, *(lambda kind=kind: composition(kind) for kind in present)):
         scene = [getattr(scene, part) for part in scenes.Scene.__dataclass_fields__]
         out = scene if out is None else [a.unionByName(b, allowMissingColumns=True) for a, b in zip(out, scene, strict=True)]
     return scenes.Scene(*out)
@@ -62,7 +66,7 @@ def abstraction(pixels: DataFrame, options: Options = Options()) -> DataFrame:
     pixels = K.stored(resized(pixels.select(*PIXEL, "r", "g", "b"), options.analysis_size).select(*PIXEL, "r", "g", "b"))
     frames = K.stored(frames_of(pixels))
     kinds = K.stored(archetypes(pixels, frames, options))
-    empty = not kinds.limit(1).count()
+    empty = K.without_rows(kinds)
     if empty:
         return kinds.select("image_id", F.lit("").alias("svg"), F.lit("").alias("plan"))
     scene = composed(pixels, frames, kinds, options)
@@ -79,12 +83,12 @@ def abstraction(pixels: DataFrame, options: Options = Options()) -> DataFrame:
     hexed = lambda c: color.rgb_hex(F.col(f"{c}.r"), F.col(f"{c}.g"), F.col(f"{c}.b"))
     layers = layers.withColumn("c", inked()).withColumn("fill", hexed("c")).withColumn("source", color.rgb_hex(F.col("r"), F.col("g"), F.col("b")))
     gradient = document.gradient_def(F.concat(F.lit("g-"), "name"), F.col("axis"), F.col("stops"))
-    layers = K.stored(layers.where("path <> ''").withColumn("gradient", F.when(F.col("axis").isNotNull(), gradient)))
+    layers = layers.where("path <> ''").withColumn("gradient", F.when(F.col("axis").isNotNull(), gradient))
     ground = scene.ground.withColumn("c", inked()).select("image_id", hexed("c").alias("fill"))
     canvas = K.stored(frames.join(scales, "image_id").select("image_id", F.lit(options.width).alias("width"), F.rint(F.col("height") * F.col("scale")).cast("int").alias("height")))
-    points, specks = _points(pixels, frames, scene, scales, options), None
-    if options.paper_style == "rough":
-        specks = K.stored(document.texture(canvas, options.paper, options.paper_density, options.seed))
+    rough = options.paper_style == "rough"
+    texture = lambda: K.stored(document.texture(canvas, options.paper, options.paper_density, options.seed)) if rough else None
+    layers, points, specks = K.at_once(pixels.sparkSession, lambda: K.stored(layers), lambda: _points(pixels, frames, scene, scales, options), texture)
     grain = options.paper if options.paper_style == "grain" else options.grain_overlay
     svg = document.documents(canvas, layers, ground, points, specks, grain=grain)
     plans = canvas.join(kinds, "image_id").join(scene.notes, "image_id", "left").join(_counts(layers, points, specks), "image_id", "left").join(_shares(layers, ground, frames), "image_id", "left")

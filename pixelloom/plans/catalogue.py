@@ -644,10 +644,49 @@ def raster_rollup_bench(spark, sf_dir):
     return cells.groupBy("y").agg(F.count("*").alias("pixels"), F.round(F.sum("q"), 2).alias("quantity"), F.round(F.median("q"), 2).alias("median_quantity"), F.round(F.percentile("q", F.lit(0.82)), 2).alias("p82"), F.max("n").alias("most"))
 
 
-# ---------------------------------------------------------------- without SQL: order-dependent geometry and whole documents
-@query()
+# ---------------------------------------------------------------- palettes, order-dependent geometry and whole documents
+def _sql_oklab(table: str, keep: str) -> str:
+    """Columns kept, and L, a, bb of r, g, b."""
+    linear = f"SELECT *, {', '.join(_sql_linear(c) + f' AS l{c}' for c in 'rgb')} FROM {table}"
+    root = f"SELECT *, {', '.join(f'cbrt({_sql_dot(row, ["lr", "lg", "lb"])}) AS k{i}' for i, row in enumerate(_TO_LMS))} FROM ({linear})"
+    return f"SELECT {keep}, {', '.join(f'{_sql_dot(row, ["k0", "k1", "k2"])} AS {n}' for n, row in zip(('L', 'a', 'bb'), _TO_LAB, strict=True))} FROM ({root})"
+
+
+def _sql_boxes(last: int) -> str:
+    """Tables c0 to c{last} of distinct colours and their boxes; each step halves the widest box of an image."""
+    steps = ["c0 AS MATERIALIZED (SELECT image_id, r, g, b, count(*) AS n, 0 AS box FROM rgb GROUP BY ALL)"]
+    of = "CASE channel WHEN 1 THEN r WHEN 2 THEN g ELSE b END"
+    for k in range(1, last + 1):
+        steps.append(f"""wide{k} AS (SELECT image_id, box, [max(r) - min(r), max(g) - min(g), max(b) - min(b)] AS spans FROM c{k - 1} GROUP BY ALL),
+pick{k} AS (SELECT DISTINCT ON (image_id) image_id, box, list_position(spans, list_max(spans)) AS channel, list_max(spans) AS span FROM wide{k} ORDER BY image_id, span DESC, box),
+level{k} AS (SELECT image_id, {of} AS v, sum(n) AS n FROM c{k - 1} JOIN pick{k} USING (image_id, box) WHERE span > 0 GROUP BY ALL),
+upto{k} AS (SELECT image_id, v, sum(n) OVER (PARTITION BY image_id ORDER BY v) AS upto, sum(n) OVER (PARTITION BY image_id) AS total, max(v) OVER (PARTITION BY image_id) AS top FROM level{k}),
+mid{k} AS (SELECT image_id, least(min(v), min(top) - 1) AS middle FROM upto{k} WHERE upto * 2 >= total GROUP BY image_id),
+c{k} AS MATERIALIZED (SELECT c.image_id, r, g, b, n, CASE WHEN c.box = p.box AND {of} > middle THEN {k} ELSE c.box END AS box FROM c{k - 1} c JOIN pick{k} p ON c.image_id = p.image_id LEFT JOIN mid{k} m ON c.image_id = m.image_id)""")
+    return ", ".join(steps)
+
+
+def _sql_roles(roles: int) -> str:
+    """Tables t1 to t{roles} of chosen candidates: the commonest, a chromatic one of some size, then the farthest ones."""
+    steps = [
+        "cand AS (SELECT image_id, box AS candidate, CAST(round_even(median(r), 0) AS INT) AS r, CAST(round_even(median(g), 0) AS INT) AS g, CAST(round_even(median(b), 0) AS INT) AS b, count(*) AS population FROM rgb JOIN boxed USING (image_id, r, g, b) GROUP BY 1, 2)",
+        f"tinted AS ({_sql_oklab('cand', 'image_id, candidate, r, g, b, population')})",
+        "q AS MATERIALIZED (SELECT *, population / sum(population) OVER i AS share, sqrt(a * a + bb * bb) AS chroma, 0.35::DOUBLE + 0.65::DOUBLE * sqrt(population / max(population) OVER i) AS w, count(*) OVER i AS k FROM tinted WINDOW i AS (PARTITION BY image_id))",
+        "common AS (SELECT DISTINCT ON (image_id) image_id, candidate, 0 AS label FROM q ORDER BY image_id, population DESC, candidate)",
+        "vivid AS (SELECT DISTINCT ON (image_id) image_id, candidate, chroma FROM q WHERE share >= 0.004 ORDER BY image_id, chroma DESC, candidate)",
+        "t1 AS MATERIALIZED (SELECT * FROM common UNION ALL SELECT v.image_id, v.candidate, 1 FROM vivid v JOIN common c ON v.image_id = c.image_id AND v.candidate <> c.candidate WHERE v.chroma >= 0.04)",
+    ]
+    for k in range(2, roles + 1):
+        steps.append(f"""near{k} AS (SELECT q.image_id, q.candidate, sqrt(min(pow(q.L - z.L, 2) + pow(q.a - z.a, 2) + pow(q.bb - z.bb, 2))) * min(q.w) AS d, count(*) AS had FROM q JOIN t{k - 1} t ON t.image_id = q.image_id JOIN q z ON z.image_id = t.image_id AND z.candidate = t.candidate
+GROUP BY 1, 2, q.k HAVING count(*) < least({roles}, q.k) AND NOT bool_or(z.candidate = q.candidate)),
+t{k} AS MATERIALIZED (SELECT * FROM t{k - 1} UNION ALL SELECT * FROM (SELECT DISTINCT ON (image_id) image_id, candidate, had FROM near{k} ORDER BY image_id, d DESC, candidate))""")
+    return ", ".join(steps)
+
+
+@query(f"""WITH {_RGB}, {_sql_boxes(11)}, boxed AS (SELECT * FROM c11), {_sql_roles(6)}
+SELECT image_id, candidate, r, g, b, round(L, 6) AS L, round(a, 6) + 0.0 AS a, round(bb, 6) + 0.0 AS bb, CAST(label AS INT) AS label FROM t6 JOIN q USING (image_id, candidate)""")
 def farthest_point_palette(spark, sf_dir):
-    return palette.quantised(_rgb(spark, sf_dir), 6)[1]
+    return palette.quantised(_rgb(spark, sf_dir), 6)[1].withColumns({c: _round(c) for c in ("L", "a", "bb")})
 
 
 @query(f"""WITH RECURSIVE {_GRAY}, h AS (SELECT image_id, CAST(height AS INT) AS rows, greatest(4, CAST(round_even(0.028 * height, 0) AS INT)) AS step, width FROM frame), col AS (SELECT image_id, x, list(v::DOUBLE ORDER BY y) AS s FROM gray GROUP BY 1, 2),

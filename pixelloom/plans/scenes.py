@@ -67,6 +67,22 @@ def labelled(pixels: DataFrame, frames: DataFrame, options: Options) -> tuple[Da
     Labels by colour are smoothed twice. Where they do not follow an image well, spatial roles overwrite them; then come a
     support field, the focal island that it lies under, and an accent line.
     """
+    line, (rows, islands, island, support) = K.at_once(
+        pixels.sparkSession, lambda: K.stored(detect.ribbon(detect.accent_line(pixels, frames), frames)), lambda: _fields(pixels, frames, options)
+    )
+    claims = None
+    for label, mask in ((ACCENT, line), (ISLAND, island), (SUPPORT, support)):
+        mask = mask.select(*PIXEL, F.lit(label).alias("mark"))
+        claims = mask if claims is None else claims.unionByName(mask)
+    claims = K.stored(claims.groupBy(PIXEL).agg(F.max("mark").alias("mark")))
+    rows = K.stored(masks.overwritten(rows, claims, new="mark"))
+    inks = K.stored(aggregates.median_color(rows, ["image_id", "label"]).select("image_id", "label", "r", "g", "b"))
+    kinds = islands.select("image_id", "kind")
+    return rows, inks, claims.select("image_id", "mark").distinct().join(kinds, "image_id", "left")
+
+
+def _fields(pixels: DataFrame, frames: DataFrame, options: Options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(pixels labelled by colour and spatial role, islands, their pixels, pixels of their support fields)."""
     found, seeds = palette.quantised(pixels, options.palette_size)
     lab = K.stored(found.select(*PIXEL, "r", "g", "b", *_LAB, "label"))
     marks = lab.select(*PIXEL, "label")
@@ -75,22 +91,16 @@ def labelled(pixels: DataFrame, frames: DataFrame, options: Options) -> tuple[Da
     rows = K.stored(lab.drop("label").join(marks, PIXEL))
     sure = detect.quadrant_confidence(similar_roles(rows, seeds), frames)
     weak = K.stored(sure.groupBy("image_id").agg(F.min("confidence").alias("least")).where(F.col("least") < SURE).select("image_id"))
-    spatial = repaired_roles(pixels.join(weak, "image_id", "left_semi"), frames.join(weak, "image_id", "left_semi"))
-    rows = K.stored(masks.overwritten(rows, spatial, offset=SPATIAL))
+    if not K.without_rows(weak):
+        spatial = repaired_roles(K.stored(pixels.join(weak, "image_id", "left_semi")), K.stored(frames.join(weak, "image_id", "left_semi")))
+        rows = K.stored(masks.overwritten(rows, spatial, offset=SPATIAL))
     islands, island = detect.focal_masks(rows, frames, [SPATIAL, SPATIAL + 1, SPATIAL + 2])
     island = K.stored(island)
     lit = islands.where("kind = 'rare-chromatic'").select("image_id")
-    support = detect.luminous_support(pixels.join(lit, "image_id", "left_semi"), frames.join(lit, "image_id", "left_semi"), island)
-    line = detect.ribbon(detect.accent_line(pixels, frames), frames)
-    claims = None
-    for label, mask in ((ACCENT, line), (ISLAND, island), (SUPPORT, support)):
-        mask = mask.select(*PIXEL, F.lit(label).alias("mark"))
-        claims = mask if claims is None else claims.unionByName(mask)
-    claims = K.stored(claims.groupBy(PIXEL).agg(F.max("mark").alias("mark")))
-    rows = K.stored(masks.overwritten(rows, claims, new="mark"))
-    inks = K.stored(aggregates.median_color(rows, ["image_id", "label"]).select("image_id", "label", "r", "g", "b"))
-    kinds = islands.select("image_id", "kind")
-    return rows, inks, claims.select("image_id", "mark").distinct().join(kinds, "image_id", "left")
+    if K.without_rows(lit):
+        return rows, islands, island, island.where(F.lit(False))
+    lit_pixels, lit_frames = (K.stored(df.join(lit, "image_id", "left_semi")) for df in (pixels, frames))
+    return rows, islands, island, K.stored(detect.luminous_support(lit_pixels, lit_frames, island).select(PIXEL))
 
 
 def similar_roles(rows: DataFrame, roles: DataFrame) -> DataFrame:
@@ -104,9 +114,9 @@ def similar_roles(rows: DataFrame, roles: DataFrame) -> DataFrame:
 
 def repaired_roles(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     """(pixel, priority): spatial roles in order of claim: corridor 0, silhouette 1, shore 2."""
-    corridor = detect.corridor_mask(detect.perspective_corridor(pixels, frames), frames)
+    found = (lambda: detect.corridor_mask(detect.perspective_corridor(pixels, frames), frames), lambda: detect.silhouette(pixels, frames), lambda: detect.cool_shore(pixels, frames))
     stack = None
-    for i, m in enumerate((corridor, detect.silhouette(pixels, frames), detect.cool_shore(pixels, frames))):
+    for i, m in enumerate(K.at_once(pixels.sparkSession, *found)):
         m = m.select(*PIXEL, F.lit(i).alias("priority"))
         stack = m if stack is None else stack.unionByName(m)
     return masks.claimed(stack, frames)
@@ -324,8 +334,9 @@ def reflective_masks(pixels: DataFrame, frames: DataFrame, axes: DataFrame) -> d
         soft = stencils.smoothed_boundary(K.stored(stencils.cleaned(seed.select(PIXEL), closing, size, frames)), radius, frames)
         return K.stored(K.largest(masks.intersection(soft, terrain), frames, share, 2).select(PIXEL))
 
-    rock = part(at.where("L >= light and chroma <= grey"), 13, 11, 5.5, 0.012)
-    green = part(at.where("a < -0.012 and bb > 0.010 and L < shade"), 11, 9, 4.5, 0.006)
+    rock, green = K.at_once(
+        pixels.sparkSession, lambda: part(at.where("L >= light and chroma <= grey"), 13, 11, 5.5, 0.012), lambda: part(at.where("a < -0.012 and bb > 0.010 and L < shade"), 11, 9, 4.5, 0.006)
+    )
 
     def below(mask: DataFrame) -> DataFrame:
         return masks.mirrored(mask.join(axes.select("image_id", "axis"), "image_id"), F.col("axis")).join(frames, "image_id").where("y < height").select(PIXEL)

@@ -1,10 +1,10 @@
 import pytest
 
-from pixelloom.plans import audits, catalogue, details
+from pixelloom.plans import audits, catalogue, details, findings
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = catalogue.queries() | details.queries() | audits.queries(), catalogue.oracle_sql() | details.oracle_sql() | audits.oracle_sql()
+QUERIES, SQL = catalogue.queries() | details.queries() | audits.queries() | findings.queries(), catalogue.oracle_sql() | details.oracle_sql() | audits.oracle_sql() | findings.oracle_sql()
 
 
 @pytest.fixture(scope="module")

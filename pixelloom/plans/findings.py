@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelloom.functions import color
 from pixelloom.operators import detect, document, joins
 from pixelloom.operators.masks import PIXEL
 from pixelloom.plans import scenes
-from pixelloom.plans.catalogue import _GRAY, _LAB, _RGB, _ROLES, _frames, _gray, _lab, _rgb, _round, _sql_convolve, _sql_oklab, registrar
+from pixelloom.plans.catalogue import _GRAY, _LAB, _ROLES, _frames, _gray, _lab, _rgb, _round, _sql_convolve, _sql_oklab, _sql_reach, registrar
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -70,6 +71,44 @@ def mirror_axes(spark, sf_dir):
     return found.select("image_id", F.col("axis").cast("int").alias("axis"), *(_round(c).alias(c) for c in ("light", "chroma", "edge", "score")), "reflective")
 
 
+# ---------------------------------------------------------------- corridors
+@query(f"""WITH {_GRAY}, peak AS (SELECT DISTINCT ON (image_id) image_id, CAST(x AS INT) AS vx, CAST(y AS INT) AS vy FROM gray ORDER BY image_id, v DESC, y, x),
+line AS (SELECT p.*, width, t.y, pow((t.y - vy) / greatest(1, height - 1 - vy), 0.88::DOUBLE) AS t, greatest(3, round_even(width * 0.018, 0)) AS half FROM peak p JOIN frame USING (image_id), range(0, 64) t(y) WHERE t.y BETWEEN vy AND height - 1),
+span AS (SELECT image_id, y, greatest(0, round_even(vx - half + (0 - (vx - half)) * t, 0)) AS low, least(width - 1, round_even(vx + half + (width - 1 - (vx + half)) * t, 0)) AS high FROM line)
+SELECT s.image_id, CAST(s.y AS INT) AS y, count(*) AS pixels, min(v) AS darkest, round(avg(v), 6) AS mean FROM span s JOIN gray g ON g.image_id = s.image_id AND g.y = s.y AND g.x BETWEEN low AND high GROUP BY 1, 2""")
+def corridor_rows(spark, sf_dir):
+    gray = _gray(spark, sf_dir)
+    frames = _frames(gray)
+    peak = gray.groupBy("image_id").agg(F.max_by(F.struct("x", "y"), F.struct("v", -F.col("y"), -F.col("x"))).alias("p")).select("image_id", F.col("p.x").alias("vx"), F.col("p.y").alias("vy"))
+    peak = peak.join(frames, "image_id").select("image_id", "vx", "vy", F.lit(0).alias("lx"), (F.col("width") - 1).alias("rx"))
+    inside = detect.corridor_mask(peak, frames).join(gray, PIXEL)
+    return inside.groupBy("image_id", "y").agg(F.count("*").alias("pixels"), F.min("v").alias("darkest"), F.round(F.avg("v"), 6).alias("mean"))
+
+
+# ---------------------------------------------------------------- how far labels follow an image
+_GAPS = ", ".join(f"(r-{r})*(r-{r})+(g-{g})*(g-{g})+(b-{b})*(b-{b})" for r, g, b in _ROLES)
+
+
+@query(f"""WITH RECURSIVE {_LAB}, seed(label, r, g, b) AS (VALUES {', '.join(str((i, *rgb)) for i, rgb in enumerate(_ROLES))}), ink AS ({_sql_oklab('seed', 'label')}),
+named AS (SELECT *, CAST(list_position(d, list_min(d)) - 1 AS INT) AS label FROM (SELECT *, [{_GAPS}] AS d FROM lab)),
+apart AS (SELECT image_id, y, x, list(e ORDER BY e) AS d FROM (SELECT l.image_id, l.y, l.x, sqrt(pow(l.L - i.L, 2) + pow(l.a - i.a, 2) + pow(l.bb - i.bb, 2)) AS e FROM lab l, ink i) GROUP BY ALL),
+size AS (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM lab GROUP BY 1),
+slope AS (SELECT image_id, y, x, label, {_sql_slope('x')} AS gx, {_sql_slope('y')} AS gy, coalesce(label <> lag(label) OVER (PARTITION BY image_id, y ORDER BY x), false) OR coalesce(label <> lag(label) OVER (PARTITION BY image_id, x ORDER BY y), false) AS edge FROM named),
+cell AS MATERIALIZED (SELECT image_id * 4 + CAST(y >= height // 2 AS INT) * 2 + CAST(x >= width // 2 AS INT) AS image_id, y, x, label, edge, sqrt(gx * gx + gy * gy) AS g, (d[2] - d[1]) / greatest(1e-9, d[2]) AS margin FROM slope JOIN apart USING (image_id, y, x) JOIN size USING (image_id)),
+{_sql_reach('c', 'cell', 'label')}, part AS (SELECT image_id, label, component, count(*) AS n FROM c GROUP BY ALL), whole AS (SELECT image_id, sum(m) / sum(s) AS coherence FROM (SELECT image_id, label, max(n) AS m, sum(n) AS s FROM part GROUP BY 1, 2) GROUP BY 1),
+lim AS (SELECT image_id, quantile_cont(g, 0.88) AS lim, avg(margin) AS margin, avg(g * g) AS energy FROM cell GROUP BY 1),
+recall AS (SELECT image_id, sum(CASE WHEN g >= lim AND edge THEN g ELSE 0 END) / greatest(sum(CASE WHEN g >= lim THEN g ELSE 0 END), 1e-9) AS recall FROM cell JOIN lim USING (image_id) GROUP BY 1),
+mix AS (SELECT image_id, -sum(p * ln(p)) / ln(greatest(2, max(label) + 1)) AS entropy FROM (SELECT image_id, label, count(*) / sum(count(*)) OVER (PARTITION BY image_id) AS p FROM cell GROUP BY 1, 2) GROUP BY 1)
+SELECT image_id // 4 AS image_id, CAST(image_id % 4 AS INT) AS quadrant, round(recall * 0.45 + coherence * 0.30 + margin * 0.25 - CASE WHEN (recall < 0.48 AND entropy < 0.55 AND energy > 0.0045) OR (coherence < 0.80 AND margin < 0.58 AND recall < 0.68 AND energy > 0.0040) THEN 0.16 ELSE 0 END, 6) + 0.0 AS confidence
+FROM whole JOIN lim USING (image_id) JOIN recall USING (image_id) JOIN mix USING (image_id)""")
+def quadrant_confidences(spark, sf_dir):
+    rows = joins.nearest_centre(_lab(spark, sf_dir), ["r", "g", "b"], _ROLES)
+    frames = _frames(rows)
+    seeds = frames.select("image_id", F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(rgb, "rgb", strict=True))) for rgb in _ROLES))).alias("s")).select("image_id", "s.*")
+    seeds = seeds.select("image_id", *(c.alias(n) for c, n in zip(color.oklab(F.col("r"), F.col("g"), F.col("b")), ("L", "a", "bb"), strict=True)))
+    return detect.quadrant_confidence(scenes.similar_roles(rows, seeds), frames).select("image_id", "quadrant", _round("confidence").alias("confidence"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

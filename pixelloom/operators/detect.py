@@ -33,6 +33,15 @@ def night_gate(pixels: DataFrame) -> DataFrame:
     return s.withColumn("night", (F.col("top") < 82) & (F.col("low_warm") > F.col("top_warm") + 13))
 
 
+def _likeness(one: list[str], two: list[str], floor: float = 1e-6) -> Column:
+    """Correlation of the values of columns one with those of columns two, taken together, as an aggregate; deviations below
+    the floor are raised to it."""
+    mean = lambda of: sum((F.avg(c) for c in of[1:]), F.avg(of[0])) / len(of)
+    product = lambda a, b: sum((F.avg(F.col(c) * F.col(d)) for c, d in zip(a[1:], b[1:], strict=True)), F.avg(F.col(a[0]) * F.col(b[0]))) / len(a)
+    spread = lambda of: F.greatest(F.lit(floor), F.sqrt(F.greatest(F.lit(0.0), product(of, of) - mean(of) * mean(of))))
+    return (product(one, two) - mean(one) * mean(two)) / (spread(one) * spread(two))
+
+
 def reflection(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     """(image_id, axis, light, chroma, edge, score, reflective): the best horizontal axis about which an image mirrors.
 
@@ -52,12 +61,9 @@ def reflection(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     at = rows.select("image_id", "y", "x", "L", "a", "bb", "edge").join(axes, "image_id")
     top = at.where((F.col("y") < F.col("axis")) & (F.col("y") >= F.col("axis") - F.col("depth")))
     low = at.where((F.col("y") >= F.col("axis")) & (F.col("y") < F.col("axis") + F.col("depth"))).select("image_id", "axis", (F.col("axis") * 2 - 1 - F.col("y")).alias("y"), "x", *(F.col(c).alias(f"m_{c}") for c in ("L", "a", "bb", "edge")))
-    pair = K.stored(top.join(low, ["image_id", "axis", "y", "x"]))
-    both = pair.select("image_id", "axis", F.explode(F.array(*(F.struct(F.col(c).alias("tint"), F.col(f"m_{c}").alias("m_tint")) for c in ("a", "bb")))).alias("t")).select("image_id", "axis", "t.*")
-    out = None
-    for c, rows_of in (("L", pair), ("tint", both), ("edge", pair)):  # both channels of hue in one correlation
-        part = aggregates.normalised_correlation(rows_of, ["image_id", "axis"], c, f"m_{c}").withColumnRenamed("correlation", c)
-        out = part if out is None else out.join(part, ["image_id", "axis"])
+    pair = top.join(low, ["image_id", "axis", "y", "x"])
+    # one pass over the pairs; both channels of hue are pooled in one correlation
+    out = pair.groupBy("image_id", "axis").agg(*(_likeness([c], [f"m_{c}"]).alias(c) for c in ("L", "edge")), _likeness(["a", "bb"], ["m_a", "m_bb"]).alias("tint"))
     step = rows.groupBy("image_id", "y").agg(F.avg("edge").alias("strength")).select("image_id", F.col("y").alias("axis"), "strength")
     out = out.join(step, ["image_id", "axis"])
     score = F.col("L") * 0.42 + F.col("tint") * 0.23 + F.col("edge") * 0.35 + F.col("strength") * 1.4

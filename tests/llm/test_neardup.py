@@ -130,3 +130,46 @@ def test_words_that_defeat_polynomial_hashes(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     got = {r.doc_id: r.component_id for r in N.near_duplicates(df, shingle=2).collect()}
     assert got == {i: i - 2 if i % 10 == 2 else i for i, _ in rows}
+
+
+def test_components_of_long_chains_in_few_rounds(spark, monkeypatch):
+    """Chains in random order, two chains that meet at their ends only, stars and trees."""
+    rnd = random.Random(2)
+    ids = list(range(-1000, 1000))
+    rnd.shuffle(ids)
+    links = list(zip(ids, ids[1:], strict=False)) + [(i, i + 2) for i in range(3000, 3400)] + [(3400, 3401)]
+    links += [(5000, 5000 + i) for i in range(1, 200)] + [(5999, 5500 + i) for i in range(200)] + [(7, 7), (8000, 8000)]
+    links += [(6000 + i, 6000 + rnd.randrange(i)) for i in range(1, 500)]
+    up = {x: x for link in links for x in link}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    tables, written = [], N.C.written
+    monkeypatch.setattr(N.C, "written", lambda df, name: tables.append(written(df, name)) or tables[-1])
+    got = N.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()
+    assert sorted((r.id, r.component) for r in got) == sorted((x, root(x)) for x in up if x != 8000)
+    assert len(tables) < 20
+
+
+def test_rounds_join_about_one_link_for_each_member(spark, monkeypatch):
+    """Each of 64 bands links the members of a group to another first one; the rounds do not carry these links along."""
+    rnd = random.Random(6)
+    members = range(600)
+    links = set()
+    for _ in range(64):
+        band = [m for m in members if rnd.random() < 0.3]
+        links |= {(m, band[0]) for m in band[1:]}
+    tables, written = [], N.C.written
+    monkeypatch.setattr(N.C, "written", lambda df, name: tables.append((name, written(df, name))) or tables[-1][1])
+    got = N.components(spark.createDataFrame(sorted(links), "a long, b long").repartition(4)).collect()
+    linked = {x for link in links for x in link}
+    assert sorted((r.id, r.component) for r in got) == [(m, 0) for m in sorted(linked)] and 0 in linked
+    sizes = [t.count() for _, t in tables]
+    assert sizes[0] == len(links) > 4 * len(members) and sum(sizes[1:]) < 5 * len(members)

@@ -137,21 +137,34 @@ def with_units(unit: str, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarr
         yield rid, *units_of(unit, part, np.array([0, len(part)]))[:2], runs.as_py()
 
 
+def _repeating(runs: DataFrame) -> DataFrame:
+    """RUNS, as a table, without those whose anchor occurs once. Most end here, before any shuffle of more than their anchors
+    and one of their own; the table of all of them is deleted."""
+    spark, path = runs.sparkSession, C.scratch_path(runs.sparkSession, "scan")
+    runs.write.parquet(path)
+    runs = spark.read.schema(RUNS).parquet(path)
+    again = runs.where("times > 0").groupBy("h").agg(F.sum("times").alias("all")).where("all > 1").select("h")
+    # rows without a key repeat one of their batch
+    kept = C.written(runs.where("h is not null").join(again.hint("merge"), "h", "left_semi").unionByName(runs.where("h is null")), "runs")
+    C.dropped(spark, path)
+    return kept
+
+
 def scanned(keyed: DataFrame, unit: str, window: int, gram: int, keys: bool = False) -> DataFrame:
-    """RUNS of keyed (rid, text), as a table."""
-    return C.written(keyed.select("rid", "text").mapInArrow(_scan(unit, window, gram, keys), RUNS), "runs")
+    """RUNS of keyed (rid, text) whose anchor occurs again, as a table."""
+    return _repeating(keyed.select("rid", "text").mapInArrow(_scan(unit, window, gram, keys), RUNS))
 
 
 def anchored_again(keyed: DataFrame, runs: DataFrame, unit: str, window: int, gram: int, keys: bool = False) -> DataFrame:
-    """RUNS, as a table, of the windows of runs (rid, j0, n, weight) by other anchors."""
-    return C.written(with_text(keyed, runs).mapInArrow(_again(unit, window, gram, keys), RUNS), "runs")
+    """RUNS, as a table, of the windows of runs (rid, j0, n, weight) by other anchors, where these occur again."""
+    return _repeating(with_text(keyed, runs).mapInArrow(_again(unit, window, gram, keys), RUNS))
 
 
 def counted(runs: DataFrame) -> DataFrame:
-    """(h, c, times, rep, different) of the contents that may hold a repeated window, as a table: how often the content
+    """(h, c, times, rep, different) of the contents of runs whose anchors occur again, as a table: how often the content
     occurs, one of its runs (rid, j0, n), and how many contents the anchor has."""
     contents = runs.where("times > 0").groupBy("h", "c").agg(F.sum("times").alias("times"), F.min(F.struct("rid", "j0", "n")).alias("rep"))
-    anchors = contents.groupBy("h").agg(F.count("*").alias("different"), F.sum("times").alias("all")).where("all > 1").select("h", "different")
+    anchors = contents.groupBy("h").agg(F.count("*").alias("different"))
     return C.written(contents.join(anchors, "h"), "contents")
 
 

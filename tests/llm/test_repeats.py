@@ -171,3 +171,25 @@ def test_word_hashes_tell_words_apart():
         units = C.word_units(data, starts, ends, which)
         assert len({(t, u) for t, u in zip(text, units.tolist(), strict=True)}) == len(set(text)) == len(set(units.tolist()))
     assert not (C.word_units(data, starts, ends) == units).any()
+
+
+def test_runs_of_single_anchors_are_let_go_at_once(spark, tmp_path):
+    """Only runs whose anchor occurs again are kept for the counts; the table of all runs is deleted."""
+    import os
+
+    from pixelloom.llm import _common as C
+    from pixelloom.llm import _repeats as R
+
+    rnd = random.Random(9)
+    fresh = lambda: " ".join(f"w{rnd.randrange(10**9)}" for _ in range(200))
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, fresh()) for i in range(40)] + [(100 + i, f"{fresh()} {common} {fresh()}") for i in range(3)] + [(200, rows_text := fresh()), (201, rows_text)]
+    df = spark.createDataFrame(rows, "rid long, text string").repartition(3)
+    folder = C.scratch_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    runs = R.scanned(df, "word", 35, 18).collect()
+    assert {r.rid for r in runs} == {100, 101, 102, 200, 201}
+    assert len(runs) < 60
+    assert all(x.startswith("runs-") for x in set(os.listdir(folder)) - before)
+    got = {r.doc_id: r.n_removed for r in dedup_word_windows(df.withColumnRenamed("rid", "doc_id")).collect()}
+    assert got == {i: sum(m) for (i, _), (_, m) in zip(rows, brute(rows, 35, words), strict=True)}

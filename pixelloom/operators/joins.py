@@ -1,4 +1,9 @@
-"""Joins that pixel analysis needs: nearest centre, neighbours, rings, overlapping ranges, lines, duplicates."""
+"""Joins that pixel analysis needs: nearest centre, neighbours, rings, overlapping ranges, lines, duplicates.
+
+Tables of pixels and of components are merged, not broadcast: they are far smaller as Parquet, by which Spark would choose,
+than in memory, and smaller still before their surroundings are exploded. Contacts and surroundings are found within an image,
+by whose id both sides are dealt out first, so that only whole pixels are shuffled and not what they explode to.
+"""
 
 from __future__ import annotations
 
@@ -40,25 +45,32 @@ def neighbours(pixels: DataFrame, columns: list[str]) -> DataFrame:
     return pixels.join(sent, PIXEL)
 
 
+def by_image(pixels: DataFrame) -> DataFrame:
+    """Pixels dealt out by image, as a side of a join that is merged."""
+    return pixels.repartition("image_id").hint("merge")
+
+
 def contacts(parts: DataFrame, owners: DataFrame) -> DataFrame:
     """(image_id, component, owner, contacts): sides that pixels of a component share with pixels of an owner."""
     away = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in NEIGHBOURS))).alias("d")
-    sent = parts.select("image_id", "y", "x", "component", away).select("image_id", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), "component")
-    return sent.join(owners.select(*PIXEL, "owner"), PIXEL).groupBy("image_id", "component", "owner").agg(F.count("*").alias("contacts"))
+    sent = by_image(parts.select(*PIXEL, "component")).select(*PIXEL, "component", away).select("image_id", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), "component")
+    return sent.join(by_image(owners.select(*PIXEL, "owner")), PIXEL).groupBy("image_id", "component", "owner").agg(F.count("*").alias("contacts"))
 
 
 def near_contacts(parts: DataFrame, owners: DataFrame, frames: DataFrame, reach: int = 7, owner_reach: int = 5) -> DataFrame:
     """As contacts, for components that touch none: pixels in both surroundings."""
     around = dilated_by(parts, "component", reach, frames)
     near = dilated_by(owners, "owner", owner_reach, frames)
-    return around.join(near, PIXEL).groupBy("image_id", "component", "owner").agg(F.count("*").alias("contacts"))
+    return around.join(near.hint("merge"), PIXEL).groupBy("image_id", "component", "owner").agg(F.count("*").alias("contacts"))
 
 
 def dilated_by(pixels: DataFrame, key: str, size: int, frames: DataFrame) -> DataFrame:
     k = size // 2
-    out = pixels.select("image_id", key, "y", F.explode(F.sequence(F.col("x") - k, F.col("x") + k)).alias("x")).distinct()
-    out = out.select("image_id", key, F.explode(F.sequence(F.col("y") - k, F.col("y") + k)).alias("y"), "x").distinct()
-    return out.join(frames, "image_id").where("x >= 0 and y >= 0 and x < width and y < height").select(*PIXEL, key)
+    along = lambda c, limit: F.explode(F.sequence(F.greatest(F.lit(0), F.col(c) - k), F.least(F.col(limit) - 1, F.col(c) + k))).alias(c)
+    rows = by_image(pixels.select(*PIXEL, key)).join(by_image(frames.select("image_id", "width", "height")), "image_id")
+    rows = rows.where((F.col("x") + k >= 0) & (F.col("x") - k < F.col("width")) & (F.col("y") + k >= 0) & (F.col("y") - k < F.col("height")))
+    out = rows.select("image_id", key, "y", "height", along("x", "width")).distinct()
+    return out.select("image_id", along("y", "height"), "x", key).distinct()
 
 
 def best_owner(found: DataFrame, distance: Column) -> DataFrame:

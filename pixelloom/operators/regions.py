@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+from itertools import groupby
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,29 +66,31 @@ def _in_order(protected: frozenset[int]):
     """Merges of one image: components in reading order, each with the owners as they are by then."""
 
     def kernel(edges: pd.DataFrame, inks: pd.DataFrame) -> pd.DataFrame:
-        ink = {(bool(k), int(n)): (int(lab), np.array([r, g, b], float)) for k, n, lab, r, g, b in inks[["is_owner", "node", "label", "r", "g", "b"]].itertuples(index=False)}
+        ink = {(k, n): (lab, rgb) for k, n, lab, *rgb in zip(*(inks[c].tolist() for c in ("is_owner", "node", "label", "r", "g", "b")), strict=True)}
+        edges = edges.sort_values("component")
         belongs: dict[int, int] = {}
         rows = []
-        for component, own in edges.groupby("component"):
-            label, color_of = ink[False, int(component)]
+        for component, own in groupby(zip(*(edges[c].tolist() for c in ("component", "is_owner", "target", "contacts", "near")), strict=True), itemgetter(0)):
+            label, color_of = ink[False, component]
             found: dict[int, list[int]] = {}
-            for is_owner, target, side, near in own[["is_owner", "target", "contacts", "near"]].itertuples(index=False):
-                owner = int(target) if is_owner else belongs.get(int(target))
+            for _, is_owner, target, side, near in own:
+                owner = target if is_owner else belongs.get(target)
                 if owner is not None:
                     sums = found.setdefault(owner, [0, 0])
-                    sums[0] += int(side)
-                    sums[1] += int(near)
+                    sums[0] += side
+                    sums[1] += near
             touched = {o: c for o, (c, _) in found.items() if c} or {o: n for o, (_, n) in found.items() if n}
             scores = []
             for owner, n in touched.items():
                 owner_label, owner_ink = ink[True, owner]
                 if owner_label not in protected or owner_label == label:
-                    gap = float(np.sqrt((((color_of - owner_ink) * (0.30, 0.59, 0.11)) ** 2).sum())) / 255.0
+                    off = [(a - b) * w for a, b, w in zip(color_of, owner_ink, (0.30, 0.59, 0.11), strict=True)]
+                    gap = math.sqrt(off[0] * off[0] + off[1] * off[1] + off[2] * off[2]) / 255.0
                     scores.append((n / (1 + 2 * gap), n, -owner))
             if scores:
                 _, n, owner = max(scores)
-                belongs[int(component)] = -owner
-                rows.append((edges["image_id"].iloc[0], int(component), -owner, n))
+                belongs[component] = -owner
+                rows.append((edges["image_id"].iloc[0], component, -owner, n))
         return pd.DataFrame(rows, columns=["image_id", "component", "owner", "contacts"])
 
     return kernel
@@ -101,18 +106,18 @@ def merged_in_order(dropped: DataFrame, owners: DataFrame, frames: DataFrame, dr
     """
     known = K.stored(dropped.select(*PIXEL, "component", "label"))
     targets = owners.select(*PIXEL, (F.col("owner") * 2 + 1).alias("owner")).unionByName(known.select(*PIXEL, (F.col("component") * 2).alias("owner")))
-    targets = K.stored(targets)
+    targets = K.stored(targets)  # read and merged image by image, as are all pixels here
     others = F.col("owner") != F.col("component") * 2
     touch = K.stored(joins.contacts(known, targets).where(others))
     met = touch.where(F.col("owner") % 2 == 1).select("image_id", "component").distinct()
-    lonely = K.stored(known.join(met, ["image_id", "component"], "left_anti"))
+    lonely = K.stored(known.join(met.hint("merge"), ["image_id", "component"], "left_anti"))
     around = joins.dilated_by(lonely, "component", 7, frames)
-    near = around.join(targets, PIXEL).where(others).groupBy("image_id", "component", "owner").agg(F.count("*").alias("near"))
+    near = around.join(joins.by_image(targets), PIXEL).where(others).groupBy("image_id", "component", "owner").agg(F.count("*").alias("near"))
     edges = touch.select("image_id", "component", "owner", "contacts", F.lit(0).cast("long").alias("near")).unionByName(near.select("image_id", "component", "owner", F.lit(0).cast("long").alias("contacts"), "near"))
     edges = edges.groupBy("image_id", "component", "owner").agg(F.sum("contacts").alias("contacts"), F.sum("near").alias("near"))
     edges = edges.select("image_id", "component", (F.col("owner") % 2 == 1).alias("is_owner"), F.shiftright("owner", 1).alias("target"), "contacts", "near")
     ink = [F.col(c).cast("double").alias(c) for c in "rgb"]
-    inks = dropped_color.join(known.select("image_id", "component", "label").distinct(), ["image_id", "component"]).select("image_id", F.lit(False).alias("is_owner"), F.col("component").alias("node"), "label", *ink)
+    inks = dropped_color.join(known.select("image_id", "component", "label").distinct().hint("merge"), ["image_id", "component"]).select("image_id", F.lit(False).alias("is_owner"), F.col("component").alias("node"), "label", *ink)
     inks = inks.unionByName(owner_color.select("image_id", F.lit(True).alias("is_owner"), F.col("owner").cast("long").alias("node"), "label", *ink))
     return edges.groupBy("image_id").cogroup(inks.groupBy("image_id")).applyInPandas(lambda a, b: _in_order(frozenset(protected or ()))(a, b), "image_id long, component long, owner long, contacts long")
 

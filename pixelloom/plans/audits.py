@@ -7,7 +7,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelloom.operators import coverage, geometry, joins, regions, validate
@@ -161,12 +161,12 @@ def batch_run_summary(spark, sf_dir):
 def _merge_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     gray = _gray(spark, sf_dir)
     parts = K.stored(K.components(_labels(gray).where("label <> 1"), "label"))
-    size = parts.groupBy("image_id", "component").agg(F.count("*").alias("area"))
-    owner = K.stored(parts.join(size.where("area >= 12"), ["image_id", "component"]).select(*PIXEL, "label", F.col("component").alias("owner")))
-    lost = K.stored(parts.join(size.where("area < 12"), ["image_id", "component"]).select(*PIXEL, "label", "component"))
+    sized = K.stored(parts.withColumn("area", F.count("*").over(Window.partitionBy("image_id", "component"))))
+    owner = sized.where("area >= 12").select(*PIXEL, "label", F.col("component").alias("owner"))
+    lost = sized.where("area < 12").select(*PIXEL, "label", "component")
     ink = F.element_at(F.array(*(F.lit(v[0]) for v in _LEVELS)), F.col("label") + 1)
     inks = lambda df, key: df.select("image_id", key, "label").distinct().select("*", *(ink.alias(c) for c in "rgb"))
-    return lost, owner, _frames(gray), inks(lost, "component").drop("label"), inks(owner, "owner")
+    return lost, owner, K.stored(_frames(gray)), inks(lost, "component").drop("label"), inks(owner, "owner")
 
 
 @query()

@@ -1,3 +1,5 @@
+import contextlib
+import io
 import re
 
 import numpy as np
@@ -147,6 +149,31 @@ def test_merges_in_reading_order(spark, protected):
     assert counts == {(i, o): (sum(1 for k, v in want.items() if k[0] == i and v[0] == o), sum(v[2] for k, v in want.items() if k[0] == i and v[0] == o)) for i in range(3) for o in range(3)}
 
 
+def plan(df):
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain()
+    return out.getvalue()
+
+
+def test_tables_of_pixels_are_not_broadcast(spark):
+    """Stored, they are small; they and what they explode to don't go through the driver."""
+    pixel = spark.range(4096).select(F.lit(1).cast("long").alias("image_id"), *(F.expr(e).cast("int").alias(c) for e, c in (("id div 64", "y"), ("id % 64", "x"))), (F.col("id") % 7).alias("component"))
+    parts, owners = K.stored(pixel), K.stored(pixel.withColumn("owner", F.col("component") + 7))
+    sizes = parts.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))  # more bytes by Spark's estimate
+    around = joins.dilated_by(parts.where("component = 1"), "component", 7, sizes)
+    for df in (joins.contacts(parts, owners), around, joins.near_contacts(parts, owners, sizes)):
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+    want = {(b, a) for i in range(1, 4096, 7) for y, x in [divmod(i, 64)] for b in range(max(0, y - 3), min(64, y + 4)) for a in range(max(0, x - 3), min(64, x + 4))}
+    assert {(r.y, r.x) for r in around.collect()} == want and around.count() == len(want)
+
+
+def test_surroundings_end_at_the_frame(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 5), (1, -3, 2, 6), (1, -4, 2, 7), (1, 2, 11, 8), (2, 0, 0, 9)], "image_id long, y int, x int, component long")
+    frames = spark.createDataFrame([(1, 8, 4)], "image_id long, width int, height int")
+    got = {(r.component, r.y, r.x) for r in joins.dilated_by(rows, "component", 7, frames).collect()}
+    assert got == {(5, y, x) for y in range(4) for x in range(4)} | {(6, 0, x) for x in range(6)}
+
+
 def test_pairs_of_listings(spark):
     one = spark.createDataFrame([(1, "b/1"), (1, "a/1"), (1, "a/111"), (2, "x"), (None, "n"), (4, None)], "id long, path string")
     two = spark.createDataFrame([(1, "p"), (3, "q"), (None, "m"), (4, "r")], "id long, path string")

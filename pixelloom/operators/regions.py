@@ -125,8 +125,8 @@ def merged_in_order(dropped: DataFrame, owners: DataFrame, frames: DataFrame, dr
 def merge_counts(merges: DataFrame, dropped: DataFrame, owners: DataFrame) -> DataFrame:
     """(image_id, owner, components, pixels) that each owner took in; owners that took nothing have zeros."""
     size = dropped.groupBy("image_id", "component").agg(F.count("*").alias("area"))
-    took = merges.join(size, ["image_id", "component"]).groupBy("image_id", "owner").agg(F.count("*").alias("components"), F.sum("area").alias("pixels"))
-    return owners.select("image_id", "owner").distinct().join(took, ["image_id", "owner"], "left").na.fill(0, ["components", "pixels"])
+    took = merges.join(size.hint("merge"), ["image_id", "component"]).groupBy("image_id", "owner").agg(F.count("*").alias("components"), F.sum("area").alias("pixels"))
+    return owners.select("image_id", "owner").distinct().join(took.hint("merge"), ["image_id", "owner"], "left").na.fill(0, ["components", "pixels"])
 
 
 def negative_space(fields: DataFrame, frames: DataFrame, kernel: int | Column) -> DataFrame:

@@ -165,6 +165,8 @@ def test_tables_of_pixels_are_not_broadcast(spark):
         assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
     want = {(b, a) for i in range(1, 4096, 7) for y, x in [divmod(i, 64)] for b in range(max(0, y - 3), min(64, y + 4)) for a in range(max(0, x - 3), min(64, x + 4))}
     assert {(r.y, r.x) for r in around.collect()} == want and around.count() == len(want)
+    merges = K.stored(joins.contacts(parts, owners).select("image_id", "component", "owner", "contacts"))
+    assert "Broadcast" not in plan(regions.merge_counts(merges, parts, owners))
 
 
 def test_surroundings_end_at_the_frame(spark):

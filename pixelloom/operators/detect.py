@@ -42,13 +42,13 @@ def _likeness(one: list[str], two: list[str], floor: float = 1e-6) -> Column:
     return (product(one, two) - mean(one) * mean(two)) / (spread(one) * spread(two))
 
 
-def reflection(pixels: DataFrame, frames: DataFrame) -> DataFrame:
+def reflection(pixels: DataFrame, frames: DataFrame, wide: float = 1.35) -> DataFrame:
     """(image_id, axis, light, chroma, edge, score, reflective): the best horizontal axis about which an image mirrors.
 
-    Wide images only. Lightness, chroma and edges of the rows above are compared with the mirrored rows below.
+    Only images at least so wide, as a share of their height; 0: all. Lightness, chroma and edges of the rows above are compared with the mirrored rows below.
     """
     frames = frames.select("image_id", "width", "height")
-    wide = frames.where("width >= height * 1.35")
+    wide = frames.where(F.col("width") >= F.col("height") * wide)
     rows = with_oklab(pixels.select(*PIXEL, "r", "g", "b").join(wide, "image_id"))
     radius = F.greatest(F.lit(3.0), F.col("width") / 70.0)
     soft = rows.select(PIXEL)

@@ -51,16 +51,17 @@ def gaussian(df: DataFrame, value: str, radius: float, out: str | None = None) -
 
 def blurred(df: DataFrame, value: str, radius: Column) -> DataFrame:
     """(pixel, value): as gaussian, with a radius that follows the frame: a column of width and height. A task holds lines of
-    pixels, edges extended."""
+    pixels, edges extended; pixels that a line lacks are passed over."""
     rows = df.select(*PIXEL, F.col(value).cast("double").alias("v"), radius.cast("double").alias("radius"))
     for line, place in (("y", "x"), ("x", "y")):
-        rows = rows.groupBy("image_id", line).agg(F.transform(F.array_sort(F.collect_list(F.struct(place, "v"))), lambda c: c["v"]).alias("line"), F.first("radius").alias("radius"))
+        rows = rows.groupBy("image_id", line).agg(F.array_sort(F.collect_list(F.struct(place, "v"))).alias("cells"), F.first("radius").alias("radius"))
+        rows = rows.withColumn("line", F.transform("cells", lambda c: c["v"]))
         reach = F.greatest(F.lit(1), F.ceil(F.col("radius") * 3).cast("int"))
         rows = rows.withColumn("taps", F.transform(F.sequence(-reach, reach), lambda d: F.struct(d.alias("d"), F.exp(-0.5 * F.pow(d / F.col("radius"), F.lit(2))).alias("w"))))
         rows = rows.withColumn("total", F.aggregate("taps", F.lit(0.0), lambda s, t: s + t["w"]))
         last = F.size("line") - 1
         cell = lambda i: F.aggregate("taps", F.lit(0.0), lambda s, t: s + t["w"] * F.element_at("line", F.greatest(F.lit(0), F.least(last, i + t["d"])) + 1)) / F.col("total")  # noqa: E731, B023
-        rows = rows.select("image_id", line, "radius", F.posexplode(F.transform("line", lambda _, i: cell(i))).alias(place, "v"))  # noqa: B023
+        rows = rows.select("image_id", line, "radius", F.inline(F.transform("cells", lambda c, i: F.struct(c[place].alias(place), cell(i).alias("v")))))  # noqa: B023
     return rows.select(*PIXEL, F.col("v").alias(value))
 
 

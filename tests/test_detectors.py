@@ -162,6 +162,20 @@ def test_reflection_pools_both_channels_of_hue(spark):
     assert abs(got[1].chroma) < 0.5 and not got[1].reflective
 
 
+@pytest.mark.parametrize("kept", ["vec_id < 80", "vec_id < 65", "vec_id < 70 or vec_id in (130, 131, 133)"])
+def test_mirror_axes_of_narrow_and_sparse_images_are_those_of_the_sql(spark, tmp_path, kept):
+    import duckdb
+
+    from pixelloom.plans import findings
+    from tests.oracle import compare
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet' WHERE {kept}) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    why = compare(spark, con, "mirror_axes", findings.queries()["mirror_axes"], findings.oracle_sql()["mirror_axes"], str(tmp_path))
+    assert why is None, why
+
+
 def test_columns_of_clashing_names_are_not_read(spark):
     from pyspark.sql import functions as F
 

@@ -34,6 +34,12 @@ def segments(paths: DataFrame, key: str, path: str = "path") -> DataFrame:
     return loops.select("image_id", key, "loop", F.posexplode(F.array_append(starts, way_back)).alias("seq", "p"))
 
 
+def crossing(cubics: DataFrame, slack: float = 1e-6) -> DataFrame:
+    """The segments whose handles and ends have the centre of a pixel row between them, or all but: no other is filled by."""
+    ends = [F.col("p")[k] for k in (1, 3, 5, 7)]
+    return cubics.where(F.ceil(F.least(*ends) - 0.5 - slack) <= F.floor(F.greatest(*ends) - 0.5 + slack))
+
+
 def flattened(cubics: DataFrame, key: str, pieces: int = PIECES) -> DataFrame:
     """(image_id, key, x0, y0, x1, y1): each segment as so many lines of equal parameter."""
 

@@ -197,4 +197,4 @@ def boundary_edges(parts: DataFrame, key: str = "component") -> DataFrame:
     side = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip((dy, dx, *e), ("dy", "dx", "ax", "ay", "bx", "by"), strict=True))) for dy, dx, e in sides))).alias("s")
     rows = parts.select("image_id", key, "y", "x", side).select("image_id", key, (F.col("y") + F.col("s.dy")).alias("ny"), (F.col("x") + F.col("s.dx")).alias("nx"), *((F.col(p) + F.col(f"s.{c}")).alias(c) for c, p in (("ax", "x"), ("ay", "y"), ("bx", "x"), ("by", "y"))))
     inside = parts.select("image_id", key, F.col("y").alias("ny"), F.col("x").alias("nx"))
-    return rows.join(inside, ["image_id", key, "ny", "nx"], "left_anti").select("image_id", key, "ax", "ay", "bx", "by")
+    return rows.join(inside.hint("merge"), ["image_id", key, "ny", "nx"], "left_anti").select("image_id", key, "ax", "ay", "bx", "by")

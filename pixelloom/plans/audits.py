@@ -65,9 +65,9 @@ def curve_coverage(spark, sf_dir):
     """Pixels that the fitted curves of components lose and gain; tests compare with filling by winding of dense samples."""
     gray = _gray(spark, sf_dir)
     parts = K.stored(K.components(_mask(gray)))
-    paths = K.stored(geometry.path_table(regions.boundary_edges(parts)))
-    lines = coverage.flattened(coverage.segments(paths, "component"), "component")
-    return coverage.audit(parts, coverage.covered_pixels(coverage.scan_filled(lines, "component"), "component", _frames(gray)), "component")
+    cubics = coverage.crossing(geometry.segment_table(regions.boundary_edges(parts)))
+    lines = coverage.flattened(cubics, "component")
+    return coverage.audit(parts, coverage.covered_pixels(coverage.scan_filled(lines, "component"), "component", K.stored(_frames(gray))), "component")
 
 
 _BANDS = {"p": [1, 8, 28, 56, -186, 56, 28, 8, 1], "b": [1, 8, 12, -8, -26, -8, 12, 8, 1]}  # 256ths: broad mean less the point, and less the narrow mean

@@ -3,6 +3,7 @@ import io
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,29 @@ def test_curves_fill_what_a_dense_polyline_fills(spark):
         assert (report[key].pixels, report[key].covered, report[key].lost, report[key].leaked) == (len(fields[key]), len(want), len(fields[key] - want), len(want - fields[key]))
 
 
+def test_segments_without_text_are_those_of_the_paths(spark):
+    mask = spark.createDataFrame(blobs(2, 40) + [(0, 60, 3), (0, 60, 5), (0, 61, 4)], "image_id long, y int, x int")
+    edges = K.stored(regions.boundary_edges(K.components(mask)))
+    rows = lambda df: sorted((r.image_id, r.component, *r.p) for r in df.collect())
+    read = [r for r in rows(coverage.segments(geometry.path_table(edges), "component")) if r[2:8] != r[4:10]]
+    own = geometry.segment_table(edges)
+    assert rows(own) == read and len(read) > 100
+    fill = lambda df: sorted(map(tuple, coverage.scan_filled(coverage.flattened(df, "component"), "component").collect()))
+    assert fill(coverage.crossing(own)) == fill(own) and coverage.crossing(own).count() < len(read) * 0.8
+    assert geometry.segment_table(edges.limit(0)).count() == 0 and "Broadcast" not in plan(regions.boundary_edges(K.stored(K.components(mask))))
+
+
+def test_small_parts_are_drawn_once(monkeypatch):
+    calls = []
+    drawn = geometry._drawn
+    monkeypatch.setattr(geometry, "_drawn", lambda *a, **b: calls.append(1) or drawn(*a, **b))
+    square = lambda name, x: [(name, x, 0, x + 1, 0), (name, x + 1, 0, x + 1, 1), (name, x + 1, 1, x, 1), (name, x, 1, x, 0)]
+    pdf = pd.DataFrame(square(4, 901) + square(5, 907) + square(3, 901)[::-1], columns=["part", "ax", "ay", "bx", "by"])
+    plain = {"tolerance": 0.9, "scale": (1.0, 1.0), "smoothing": 0.82, "budget": None, "mode": "adaptive"}
+    got = dict(geometry._paths(pdf, "part", {}, plain))
+    assert sorted(got) == [3, 4, 5] and got[3] == got[4] != got[5] and len(calls) == 2
+
+
 def test_degenerate_paths_cover_nothing_and_holes_are_found(spark):
     rows = [(1, 1, None), (1, 2, ""), (1, 3, "M 1 1 Z"), (1, 4, "M 0 0 C 1 0 2 0 4 0 Z"), (1, 5, "M 1 1 C 1 3 1 5 1 7 C 3 7 5 7 7 7 C 7 5 7 3 7 1 Z M 3 3 C 3 4 3 4 3 5 C 4 5 4 5 5 5 C 5 4 5 4 5 3 Z"), (1, 6, "M -4 -4 C -4 1 -4 1 -4 2 C 1 2 1 2 2 2 C 2 -1 2 -1 2 -4")]
     paths = spark.createDataFrame([(*r, "w") for r in rows], "image_id long, part int, path string, width string")

@@ -52,7 +52,7 @@ def purity(labels: DataFrame, label: str, keys: list[str]) -> DataFrame:
 def row_residual(pixels: DataFrame, value: str, out: str = "residual") -> DataFrame:
     """A value minus the median of its row. Rows are short, whatever the number of images."""
     med = pixels.groupBy("image_id", "y").agg(F.median(value).alias("_m"))
-    return pixels.join(med, ["image_id", "y"]).withColumn(out, F.col(value) - F.col("_m")).drop("_m")
+    return pixels.join(med.hint("merge"), ["image_id", "y"]).withColumn(out, F.col(value) - F.col("_m")).drop("_m")
 
 
 def quadrants(frames_joined: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def edge_recall(pixels: DataFrame, keys: list[str], gradient: str, near: str, sh
     """Of the gradient above a quantile, the share that lies near a label boundary."""
     limit = pixels.groupBy(*keys).agg(F.percentile(gradient, F.lit(share)).alias("limit"))
     strong = F.when(F.col(gradient) >= F.col("limit"), F.col(gradient)).otherwise(0.0)
-    return pixels.join(limit, keys).groupBy(*keys).agg((F.sum(F.when(F.col(near), strong).otherwise(0.0)) / F.greatest(F.sum(strong), F.lit(1e-9))).alias("recall"))
+    return pixels.join(limit.hint("merge"), keys).groupBy(*keys).agg((F.sum(F.when(F.col(near), strong).otherwise(0.0)) / F.greatest(F.sum(strong), F.lit(1e-9))).alias("recall"))
 
 
 def edge_mode(labels: DataFrame, frames: DataFrame, label: str = "label", share: float = 0.035) -> DataFrame:
@@ -86,13 +86,13 @@ def mirror_correlation(pixels: DataFrame, value: str, axis: DataFrame) -> DataFr
     """Correlation of the rows above an axis with the mirrored ones below; axis (image_id, axis)."""
     rows = pixels.select("image_id", "y", "x", value).join(axis, "image_id")
     below = rows.where("y >= axis").select("image_id", "axis", (F.col("axis") * 2 - 1 - F.col("y")).cast("int").alias("y"), "x", F.col(value).alias("_mirror"))
-    return normalised_correlation(rows.where("y < axis").join(below, ["image_id", "axis", "y", "x"]), ["image_id", "axis"], value, "_mirror")
+    return normalised_correlation(rows.where("y < axis").join(below.hint("merge"), ["image_id", "axis", "y", "x"]), ["image_id", "axis"], value, "_mirror")
 
 
 def line_fit(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Least-squares slope and intercept of y over x, and the median absolute residual."""
     fit = points.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
-    off = points.join(fit, keys).groupBy(*keys).agg(F.median(F.abs(F.col(y) - F.col("slope") * F.col(x) - F.col("intercept"))).alias("error"))
+    off = points.join(fit.hint("merge"), keys).groupBy(*keys).agg(F.median(F.abs(F.col(y) - F.col("slope") * F.col(x) - F.col("intercept"))).alias("error"))
     return fit.join(off, keys)
 
 
@@ -100,14 +100,14 @@ def spread(pixels: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Median distance of a group's pixels from its median."""
     mid = pixels.groupBy(*keys).agg(*(F.median(v).alias(f"_{v}") for v in values))
     gap = [(F.col(v) - F.col(f"_{v}")) * (F.col(v) - F.col(f"_{v}")) for v in values]
-    return pixels.join(mid, keys).groupBy(*keys).agg(F.median(F.sqrt(sum(gap[1:], gap[0]))).alias("spread"))
+    return pixels.join(mid.hint("merge"), keys).groupBy(*keys).agg(F.median(F.sqrt(sum(gap[1:], gap[0]))).alias("spread"))
 
 
 def rarity(pixels: DataFrame, centres: DataFrame, values: list[str], within: float = 0.035) -> DataFrame:
     """Share of an image's pixels within a distance of each centre (image_id, component, values)."""
     c = centres.select("image_id", "component", *(F.col(v).alias(f"_{v}") for v in values))
     gap = [(F.col(v) - F.col(f"_{v}")) * (F.col(v) - F.col(f"_{v}")) for v in values]
-    return pixels.join(c, "image_id").groupBy("image_id", "component").agg(F.avg((F.sqrt(sum(gap[1:], gap[0])) <= within).cast("double")).alias("rarity"))
+    return pixels.join(c.hint("merge"), "image_id").groupBy("image_id", "component").agg(F.avg((F.sqrt(sum(gap[1:], gap[0])) <= within).cast("double")).alias("rarity"))
 
 
 def islands(rows: DataFrame, keys: list[str], place: str, least: int = 3) -> DataFrame:

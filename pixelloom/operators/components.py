@@ -143,7 +143,7 @@ def largest(mask: DataFrame, frames: DataFrame, share: float, limit: int) -> Dat
 
 def touching(parts: DataFrame, where) -> DataFrame:
     """Pixels of the components that have a pixel where a condition holds."""
-    return parts.join(parts.where(where).select("image_id", "component").distinct(), ["image_id", "component"], "left_semi")
+    return parts.join(parts.where(where).select("image_id", "component").distinct().hint("merge"), ["image_id", "component"], "left_semi")
 
 
 def bottom_connected(mask: DataFrame, frames: DataFrame, band: int | Column = 1) -> DataFrame:
@@ -160,7 +160,7 @@ def holes(mask: DataFrame, frames: DataFrame) -> DataFrame:
     frames = frames.select("image_id", "width", "height")
     parts = stored(components(complement(mask.select(PIXEL), frames)).join(frames, "image_id"))
     edge = parts.where("x = 0 or y = 0 or x = width - 1 or y = height - 1").select("image_id", "component").distinct()
-    return parts.join(edge, ["image_id", "component"], "left_anti").select(*PIXEL, "component")
+    return parts.join(edge.hint("merge"), ["image_id", "component"], "left_anti").select(*PIXEL, "component")
 
 
 def filled(mask: DataFrame, frames: DataFrame, most: int | Column | None = None) -> DataFrame:
@@ -169,7 +169,7 @@ def filled(mask: DataFrame, frames: DataFrame, most: int | Column | None = None)
     if most is not None:
         inner = stored(inner)
         small = inner.groupBy("image_id", "component").agg(F.count("*").alias("area")).join(frames, "image_id").where(F.col("area") <= most)
-        inner = inner.join(small, ["image_id", "component"], "left_semi")
+        inner = inner.join(small.hint("merge"), ["image_id", "component"], "left_semi")
     return mask.select(PIXEL).unionByName(inner.select(PIXEL))
 
 

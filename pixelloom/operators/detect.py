@@ -26,7 +26,7 @@ def heights(pixels: DataFrame) -> DataFrame:
 def night_gate(pixels: DataFrame) -> DataFrame:
     """(image_id, top, low_warm, top_warm, night): a dark upper part over a warmer lower part."""
     pixels = pixels.select(*PIXEL, "r", "g", "b")
-    rows = pixels.join(heights(pixels), "image_id")
+    rows = pixels.join(heights(pixels).hint("merge"), "image_id")
     upper, lower = F.col("y") < F.col("height") * 0.58, F.col("y") >= F.col("height") * 0.45
     warm = color.warmth(F.col("r"), F.col("b"))
     s = rows.groupBy("image_id").agg(F.avg(F.when(upper, color.luminance(F.col("r"), F.col("g"), F.col("b")))).alias("top"), F.percentile(F.when(lower, warm), F.lit(0.7)).alias("low_warm"), F.median(F.when(upper, warm)).alias("top_warm"))
@@ -53,7 +53,7 @@ def reflection(pixels: DataFrame, frames: DataFrame, wide: float = 1.35) -> Data
     radius = F.greatest(F.lit(3.0), F.col("width") / 70.0)
     soft = rows.select(PIXEL)
     for c in ("L", "a", "bb"):
-        soft = soft.join(stencils.blurred(rows, c, radius), PIXEL)
+        soft = soft.join(stencils.blurred(rows, c, radius).hint("merge"), PIXEL)
     rows = K.stored(stencils.gradient_magnitude(soft, "L", "edge"))
     axes = wide.select("image_id", "height", F.explode(F.sequence(F.ceil(F.col("height") * 0.38).cast("int"), F.floor(F.col("height") * 0.64).cast("int"))).alias("axis"))
     depth = F.least(F.col("axis"), F.col("height") - F.col("axis"), F.floor(F.col("height") * 0.34).cast("int"))
@@ -61,7 +61,7 @@ def reflection(pixels: DataFrame, frames: DataFrame, wide: float = 1.35) -> Data
     at = rows.select("image_id", "y", "x", "L", "a", "bb", "edge").join(axes, "image_id")
     top = at.where((F.col("y") < F.col("axis")) & (F.col("y") >= F.col("axis") - F.col("depth")))
     low = at.where((F.col("y") >= F.col("axis")) & (F.col("y") < F.col("axis") + F.col("depth"))).select("image_id", "axis", (F.col("axis") * 2 - 1 - F.col("y")).alias("y"), "x", *(F.col(c).alias(f"m_{c}") for c in ("L", "a", "bb", "edge")))
-    pair = top.join(low, ["image_id", "axis", "y", "x"])
+    pair = top.join(low.hint("merge"), ["image_id", "axis", "y", "x"])
     # one pass over the pairs; both channels of hue are pooled in one correlation
     out = pair.groupBy("image_id", "axis").agg(*(_likeness([c], [f"m_{c}"]).alias(c) for c in ("L", "edge")), _likeness(["a", "bb"], ["m_a", "m_bb"]).alias("tint"))
     step = rows.groupBy("image_id", "y").agg(F.avg("edge").alias("strength")).select("image_id", F.col("y").alias("axis"), "strength")
@@ -86,7 +86,7 @@ def outer_contour(pixels: DataFrame, axes: DataFrame) -> DataFrame:
     for c in "rgb":
         fine, broad = stencils.gaussian(fine, c, 1.2), stencils.gaussian(broad, c, 5.5)
     fine, broad = with_oklab(fine).select(*PIXEL, *(F.col(c).alias(f"f{c}") for c in _LAB)), with_oklab(broad).select(*PIXEL, *_LAB)
-    rows = K.stored(broad.join(fine, PIXEL).withColumn("texture", _gap("", "f")).select(*PIXEL, *_LAB, "texture"))
+    rows = K.stored(broad.join(fine.hint("merge"), PIXEL).withColumn("texture", _gap("", "f")).select(*PIXEL, *_LAB, "texture"))
     column = stencils.column_window()
     mean = lambda c, low, high: F.avg(c).over(column.rowsBetween(low, high))
     jump = F.sqrt(sum((F.pow(mean(c, 2, 7) - mean(c, -7, -3), F.lit(2)) for c in _LAB[1:]), F.pow(mean("L", 2, 7) - mean("L", -7, -3), F.lit(2))))
@@ -106,8 +106,8 @@ def outer_contour(pixels: DataFrame, axes: DataFrame) -> DataFrame:
         near = F.explode(F.sequence(F.greatest(F.lit(0), F.col("x") - F.col("reach")), F.least(F.col("width") - 1, F.col("x") + F.col("reach")))).alias("x")
         return series.select("image_id", near, value).groupBy("image_id", "x").agg(how(value).alias(out))
 
-    opened = running(line.select("image_id", "x", "width", "reach").join(running(line, "top", F.min, "least"), ["image_id", "x"]), "least", F.max, "opened")
-    rows = line.join(opened, ["image_id", "x"])
+    opened = running(line.select("image_id", "x", "width", "reach").join(running(line, "top", F.min, "least").hint("merge"), ["image_id", "x"]), "least", F.max, "opened")
+    rows = line.join(opened.hint("merge"), ["image_id", "x"])
     top = F.rint(F.col("top") * 0.35 + F.least("top", "opened") * 0.65)
     return rows.select("image_id", "x", F.greatest(F.col("low"), F.least(F.col("axis") - 7, top)).cast("int").alias("top"))
 
@@ -158,7 +158,7 @@ def perspective_corridor(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     best = K.stored(best.where("vy <= height * 0.56 and rx - lx >= width * 0.72 and least(l, r) >= 0.015").select("image_id", "vx", "vy", "lx", "rx", "score"))
     inset = F.greatest(F.lit(2), F.rint(F.col("width") * 0.035).cast("int"))
     core = corridor_mask(best, frames).join(frames, "image_id").where((F.col("x") >= inset) & (F.col("x") < F.col("width") - inset))
-    dark = core.join(rows, PIXEL).groupBy("image_id").agg(F.median("L").alias("light")).where("light < 0.42")
+    dark = core.join(rows.hint("merge"), PIXEL).groupBy("image_id").agg(F.median("L").alias("light")).where("light < 0.42")
     return best.join(dark.select("image_id"), "image_id", "left_semi")
 
 
@@ -177,17 +177,17 @@ def silhouette(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     the middle rows. A subject that runs on into its reflection is cut below the horizon, see tapered."""
     rows = with_oklab(pixels)
     radius = F.greatest(F.lit(4), F.rint(F.count("*") * 0.12).cast("int"))
-    gap = K.stored(rows.join(stencils.reflected_mean(rows, "L", radius, "around"), PIXEL).withColumn("gap", F.col("around") - F.col("L")).select(*PIXEL, "L", "bb", "gap").join(frames, "image_id"))
+    gap = K.stored(rows.join(stencils.reflected_mean(rows, "L", radius, "around").hint("merge"), PIXEL).withColumn("gap", F.col("around") - F.col("L")).select(*PIXEL, "L", "bb", "gap").join(frames, "image_id"))
     row = lambda share: F.rint(F.col("height") * share)
     limit = gap.where((F.col("y") >= row(0.28)) & (F.col("y") < row(0.90))).groupBy("image_id").agg(F.greatest(F.lit(0.045), F.percentile("gap", F.lit(0.88))).alias("limit"))
-    strong = gap.join(limit, "image_id").where((F.col("gap") > F.col("limit")) & (F.col("y") >= row(0.28)) & (F.col("y") < row(0.92))).select(PIXEL)
+    strong = gap.join(limit.hint("merge"), "image_id").where((F.col("gap") > F.col("limit")) & (F.col("y") >= row(0.28)) & (F.col("y") < row(0.92))).select(PIXEL)
     parts = K.stored(K.components(stencils.closed(strong, 7, frames)))
     size = K.measures(parts).join(frames, "image_id").withColumn("w", F.col("x1") - F.col("x0") + 1).withColumn("h", F.col("y1") - F.col("y0") + 1)
     size = size.where("area between width * height * 0.003 and width * height * 0.15 and w between width * 0.04 and width * 0.38 and h between height * 0.10 and height * 0.55 and y0 < height * 0.68 and y1 > height * 0.48")
-    power = parts.join(gap.select(*PIXEL, "gap"), PIXEL).groupBy("image_id", "component").agg(F.avg("gap").alias("gap")).join(size, ["image_id", "component"])
+    power = parts.join(gap.select(*PIXEL, "gap").hint("merge"), PIXEL).groupBy("image_id", "component").agg(F.avg("gap").alias("gap")).join(size.hint("merge"), ["image_id", "component"])
     best = aggregates.best(power.withColumn("score", F.col("gap") * F.sqrt("area") * F.col("h") / F.col("height")), ["image_id"], "score", "component", ["component", "score", "x0", "x1", "y1"]).where("score >= 2.0")
     best = K.stored(best)
-    subject = tapered(K.stored(parts.join(best, ["image_id", "component"], "left_semi").select(PIXEL)), best, gap, frames)
+    subject = tapered(K.stored(parts.join(best.hint("merge"), ["image_id", "component"], "left_semi").select(PIXEL)), best, gap, frames)
     clearance = F.greatest(F.lit(1), F.rint(F.least("width", "height") * 0.040).cast("int"))
     return stencils.smoothed_boundary(K.filled(K.stored(subject), frames, clearance * clearance), 1.2, frames)
 
@@ -205,10 +205,10 @@ def tapered(subject: DataFrame, boxes: DataFrame, pixels: DataFrame, frames: Dat
     lines = lines.withColumn("change", change).where((F.col("y") >= F.rint(F.col("height") * 0.50)) & (F.col("y") < F.rint(F.col("height") * 0.72)))
     horizon = aggregates.best(lines, ["image_id"], "change", "y", ["y"]).withColumnRenamed("y", "horizon").join(frames, "image_id").join(boxes.select("image_id", "y1"), "image_id")
     horizon = horizon.withColumn("bottom", F.least(F.col("height") - 1, F.col("horizon") + F.rint(F.col("height") * 0.09).cast("int"))).where("y1 - bottom > height * 0.10")
-    lower = K.stored(subject.join(horizon, "image_id").where(F.col("y") >= F.col("horizon") - F.rint(F.col("height") * 0.03)).join(pixels.select(*PIXEL, "L"), PIXEL))
-    dark = lower.join(lower.groupBy("image_id").agg(F.percentile("L", F.lit(0.45)).alias("limit")), "image_id").where("L <= limit")
-    trunk = horizon.join(dark.groupBy("image_id").agg(F.rint(F.median("x")).alias("middle")), "image_id").select("image_id", "horizon", "bottom", "middle", "width")
-    rows = subject.join(trunk, "image_id", "left")
+    lower = K.stored(subject.join(horizon.hint("merge"), "image_id").where(F.col("y") >= F.col("horizon") - F.rint(F.col("height") * 0.03)).join(pixels.select(*PIXEL, "L").hint("merge"), PIXEL))
+    dark = lower.join(lower.groupBy("image_id").agg(F.percentile("L", F.lit(0.45)).alias("limit")).hint("merge"), "image_id").where("L <= limit")
+    trunk = horizon.join(dark.groupBy("image_id").agg(F.rint(F.median("x")).alias("middle")).hint("merge"), "image_id").select("image_id", "horizon", "bottom", "middle", "width")
+    rows = subject.join(trunk.hint("merge"), "image_id", "left")
     t = (F.col("y") - F.col("horizon")) / F.greatest(F.lit(1), F.col("bottom") - F.col("horizon"))
     half = F.rint(F.col("width") * (F.lit(0.12) * (F.lit(1.0) - t) + t * 0.03))
     keep = F.col("horizon").isNull() | (F.col("y") < F.col("horizon")) | ((F.col("y") <= F.col("bottom")) & (F.abs(F.col("x") - F.col("middle")) <= half))
@@ -227,11 +227,11 @@ def cool_shore(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     lines = rows.where(far).groupBy("image_id", "height", "y").agg(F.median("bb").alias("tint")).withColumn("x", F.lit(0))
     lines = lines.withColumn("change", F.abs(stencils.central_gradient("tint", "y"))).where((F.col("y") >= at("height", 0.35)) & (F.col("y") < at("height", 0.58)))
     horizon = aggregates.best(lines, ["image_id"], "change", "y", ["y"]).withColumnRenamed("y", "horizon")
-    cold = rows.join(tint.join(horizon, "image_id"), "image_id").where((F.col("y") >= F.col("horizon")) & (F.col("bb") < (F.col("warm") + F.col("cool")) * 0.5)).select(PIXEL)
+    cold = rows.join(tint.join(horizon.hint("merge"), "image_id").hint("merge"), "image_id").where((F.col("y") >= F.col("horizon")) & (F.col("bb") < (F.col("warm") + F.col("cool")) * 0.5)).select(PIXEL)
     parts = K.stored(K.components(stencils.closed(cold, 9, frames)))
     good = K.measures(parts).join(frames, "image_id").where("area >= width * height * 0.04 and x1 >= width - 3 and x1 - x0 >= width * 0.45 and y1 >= height * 0.85")
     best = aggregates.best(good, ["image_id"], "area", "component", ["component"])
-    return K.filled(K.stored(stencils.smoothed_boundary(parts.join(best, ["image_id", "component"], "left_semi"), 1.2, frames)), frames)
+    return K.filled(K.stored(stencils.smoothed_boundary(parts.join(best.hint("merge"), ["image_id", "component"], "left_semi"), 1.2, frames)), frames)
 
 
 def compact_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:
@@ -250,18 +250,18 @@ def _compact(labelled: DataFrame, frames: DataFrame, protected: list[int] | None
     side = frames.select("image_id", "width", "height")
     rows = labelled.select(*PIXEL, "label", "r", "g", "b").join(side, "image_id")
     fine = soft_oklab(rows, F.greatest(F.lit(1.0), F.greatest("width", "height") / 260.0))
-    fine = fine.join(soft_oklab(rows, F.greatest(F.lit(6.0), F.greatest("width", "height") / 42.0), "s_"), PIXEL)
+    fine = fine.join(soft_oklab(rows, F.greatest(F.lit(6.0), F.greatest("width", "height") / 42.0), "s_").hint("merge"), PIXEL)
     gap = color.oklab_distance([F.col(c) for c in _LAB], [F.col(f"s_{c}") for c in _LAB])
-    rows = K.stored(fine.withColumn("gap", gap).select(*PIXEL, *_LAB, *"rgb", "gap").join(labelled.select(*PIXEL, "label"), PIXEL))
+    rows = K.stored(fine.withColumn("gap", gap).select(*PIXEL, *_LAB, *"rgb", "gap").join(labelled.select(*PIXEL, "label").hint("merge"), PIXEL))
     seeds = _inside(masks.above_percentile(rows, "gap", 0.982, 0.085), side)
     parts = K.stored(K.components(stencils.cleaned(seeds, 5, 5, side)))
     size = K.measures(parts).join(side, "image_id").withColumn("w", F.col("x1") - F.col("x0") + 1).withColumn("h", F.col("y1") - F.col("y0") + 1)
     size = size.where("area between width * height * 0.0008 and width * height * 0.025").where(_FREE)
     size = size.where((scalars.compactness(F.col("area"), F.col("w"), F.col("h")) >= 0.18) & (scalars.aspect(F.col("w"), F.col("h")) >= 0.20))
-    parts = K.stored(parts.join(size.select(*keys), keys, "left_semi"))
-    own = parts.join(rows, PIXEL)
+    parts = K.stored(parts.join(size.select(*keys).hint("merge"), keys, "left_semi"))
+    own = parts.join(rows.hint("merge"), PIXEL)
     claimed = own.groupBy(*keys).agg(F.avg(F.when(F.col("label").isin(protected or []), 1.0).otherwise(0.0)).alias("claimed")).where("claimed <= 0.30").select(*keys)
-    ring = K.stored(_ring(parts, side).join(rows, PIXEL))
+    ring = K.stored(_ring(parts, side).join(rows.hint("merge"), PIXEL))
     pure = aggregates.purity(ring, "label", keys).where("purity >= 0.82").select(*keys)
     even = aggregates.spread(ring, keys, _LAB).where("spread <= 0.065").select(*keys)
     mid = lambda df, p: df.groupBy(*keys).agg(*(F.median(c).alias(f"{p}{c}") for c in (*_LAB, *"rgb")))
@@ -273,7 +273,7 @@ def _compact(labelled: DataFrame, frames: DataFrame, protected: list[int] | None
     share = F.sqrt(F.col("area") / (F.col("width") * F.col("height")))
     both = both.withColumn("contrast", _gap("i", "o")).withColumn("seen", contrast).where("seen >= 0.095").withColumn("score", F.col("seen") * share * scalars.compactness(F.col("area"), F.col("w"), F.col("h")))
     best = K.stored(aggregates.best(both, ["image_id"], "score", "component", ["component", "score", "contrast"]))
-    core = K.stored(parts.join(best, keys, "left_semi").select(PIXEL))
+    core = K.stored(parts.join(best.hint("merge"), keys, "left_semi").select(PIXEL))
     far = rows.join(best.join(outer.select(*keys, *(f"o{c}" for c in _LAB)), keys), "image_id").where(_gap("", "o") >= F.greatest(F.lit(0.045), F.col("contrast") * 0.33)).select(PIXEL)
     whole = K.grown(core, masks.intersection(far, stencils.dilated(core, 13, side)), side)
     whole = K.stored(masks.union(stencils.cleaned(whole, 5, 3, side), core))
@@ -296,7 +296,7 @@ def _ring(parts: DataFrame, frames: DataFrame) -> DataFrame:
     rows = parts.select(*PIXEL, "component").join(frames, "image_id").withColumn("_k", F.floor((wide + F.when(wide % 2 == 0, 1).otherwise(0)) / 2).cast("int"))
     across = rows.select("image_id", "component", "y", "height", "_k", F.explode(F.sequence(F.greatest(F.lit(0), F.col("x") - F.col("_k")), F.least(F.col("width").cast("int") - 1, F.col("x") + F.col("_k")))).alias("x")).distinct()
     around = across.select("image_id", "component", F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - F.col("_k")), F.least(F.col("height").cast("int") - 1, F.col("y") + F.col("_k")))).alias("y"), "x").distinct()
-    return around.join(joins.dilated_by(parts, "component", 3, frames), [*PIXEL, "component"], "left_anti")
+    return around.join(joins.dilated_by(parts, "component", 3, frames).hint("merge"), [*PIXEL, "component"], "left_anti")
 
 
 def soft_oklab(pixels: DataFrame, radius: float | Column, prefix: str = "") -> DataFrame:
@@ -306,7 +306,7 @@ def soft_oklab(pixels: DataFrame, radius: float | Column, prefix: str = "") -> D
     if isinstance(radius, Column):
         soft = pixels.select(PIXEL)
         for c in "rgb":
-            soft = soft.join(stencils.blurred(rows, c, radius), PIXEL)
+            soft = soft.join(stencils.blurred(rows, c, radius).hint("merge"), PIXEL)
     else:
         for c in "rgb":
             rows = stencils.gaussian(rows.withColumn(c, F.col(c).cast("double")), c, radius)
@@ -329,7 +329,7 @@ def accent_line(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     """
     rows = pixels.select(*PIXEL, "r", "g", "b").join(frames.select("image_id", "width", "height"), "image_id")
     broad = soft_oklab(rows, F.greatest(F.lit(6.0), F.greatest("width", "height") / 45.0), "s_")
-    fine = soft_oklab(rows, 0.7).join(broad, PIXEL)
+    fine = soft_oklab(rows, 0.7).join(broad.hint("merge"), PIXEL)
     lab = [F.col(c) for c in _LAB]
     cues = {"gap": color.oklab_distance(lab, [F.col(f"s_{c}") for c in _LAB]), "chroma": color.chroma(lab), "lift": F.col("L") - F.col("s_L")}
     fine = K.stored(fine.select(*PIXEL, *(v.alias(k) for k, v in cues.items())))
@@ -339,7 +339,7 @@ def accent_line(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     size = K.stored(K.components(stencils.closed(found, 3, frames)))
     parts, size = size, K.measures(size).join(frames, "image_id").withColumn("h", F.col("y1") - F.col("y0") + 1).withColumn("w", F.col("x1") - F.col("x0") + 1)
     size = K.stored(size.where("y1 >= height - 3 and h >= height * 0.18 and w <= width * 0.07 and h >= 4 * w").select(*keys, "h", "y0", "width", "height"))
-    own = K.stored(parts.join(size, keys).join(fine, PIXEL))
+    own = K.stored(parts.join(size.hint("merge"), keys).join(fine.hint("merge"), PIXEL))
     foot = own.where("y >= height - 12").groupBy(*keys, "width").agg(F.median("x").alias("foot")).where("foot between width * 0.35 and width * 0.65").select(*keys)
     lines = K.stored(own.groupBy(*keys, "height", "y").agg(F.median("x").alias("cx"), (F.max("x") - F.min("x") + 1).alias("across")))
     fit = aggregates.line_fit(lines, keys, "y", "cx").join(size, keys)
@@ -354,7 +354,7 @@ def accent_line(pixels: DataFrame, frames: DataFrame) -> DataFrame:
 def _extended(weak: DataFrame, best: DataFrame) -> DataFrame:
     """(image_id, top): the first row of the runs of at least three rows above a line that have weak evidence in its tube."""
     reach = F.greatest(F.lit(3), F.rint(F.col("width") * 0.012))
-    near = weak.join(best, "image_id").where((F.col("y") >= F.rint(F.col("height") * _LINE_TOP[1])) & (F.col("y") < F.col("y0")))
+    near = weak.join(best.hint("merge"), "image_id").where((F.col("y") >= F.rint(F.col("height") * _LINE_TOP[1])) & (F.col("y") < F.col("y0")))
     rows = near.where(F.abs(F.col("x") - F.rint(F.col("slope") * F.col("y") + F.col("intercept"))) <= reach).select("image_id", "y").distinct()
     rows = rows.withColumn("_run", F.col("y") - F.row_number().over(Window.partitionBy("image_id").orderBy("y")))
     return rows.groupBy("image_id", "_run").agg(F.count("*").alias("n"), F.min("y").alias("y")).where("n >= 3").groupBy("image_id").agg(F.min("y").alias("top"))
@@ -362,7 +362,7 @@ def _extended(weak: DataFrame, best: DataFrame) -> DataFrame:
 
 def _half_width(lines: DataFrame, best: DataFrame) -> DataFrame:
     """(image_id, half) of a line's lowest 20 rows, or of all its rows if none of them is so low."""
-    own = lines.join(best.select("image_id", "component"), ["image_id", "component"])
+    own = lines.join(best.select("image_id", "component").hint("merge"), ["image_id", "component"])
     low = F.coalesce(F.median(F.when(F.col("y") >= F.col("height") - 20, F.col("across"))), F.median("across"))
     return own.groupBy("image_id").agg(F.greatest(F.lit(1.3), low * 0.32).alias("half"))
 
@@ -388,10 +388,10 @@ def luminous_support(pixels: DataFrame, frames: DataFrame, focal: DataFrame) ->
     first, last = F.greatest(F.lit(2), F.col("_a") - F.rint(F.col("height") * 0.20)), F.least(F.col("height") - 2, F.col("_b") + F.rint(F.col("height") * 0.42))
     seen = K.stored(seen.select("image_id", "width", "height", first.alias("first"), last.alias("last")))
     rows = pixels.select(*PIXEL, "r", "g", "b").join(seen.select("image_id"), "image_id", "left_semi")
-    soft = K.stored(soft_oklab(rows, 2.0).join(seen, "image_id"))
+    soft = K.stored(soft_oklab(rows, 2.0).join(seen.hint("merge"), "image_id"))
     left, right = F.col("x") < F.greatest(F.lit(3), F.rint(F.col("width") * 0.22)), F.col("x") >= F.least(F.col("width") - 3, F.rint(F.col("width") * 0.78))
     sides = soft.groupBy("image_id", "y").agg(*(F.median(F.when(c, F.col("L"))).alias(f"_{i}") for i, c in enumerate((left, right))))
-    light = soft.where("y >= first and y < last").join(sides, ["image_id", "y"]).select("image_id", "y", "x", "L", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"_{i}").alias("ref")) for i in (0, 1)))).alias("s"))
+    light = soft.where("y >= first and y < last").join(sides.hint("merge"), ["image_id", "y"]).select("image_id", "y", "x", "L", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"_{i}").alias("ref")) for i in (0, 1)))).alias("s"))
     sheets = K.stored(seen.select(F.explode(F.array(F.col("image_id") * 2, F.col("image_id") * 2 + 1)).alias("image_id"), "width", "height"))
     light = light.where(F.col("L") - F.col("s.ref") >= 0.050).select((F.col("image_id") * 2 + F.col("s.i")).alias("image_id"), "y", "x")
     parts = K.stored(K.components(stencils.cleaned(K.stored(stencils.closed(light, 9, sheets, shrink=7)), 1, 5, sheets)))
@@ -401,7 +401,7 @@ def luminous_support(pixels: DataFrame, frames: DataFrame, focal: DataFrame) ->
     near = stencils.dilated(focal.select(PIXEL), reach + F.when(reach % 2 == 0, 1).otherwise(0), frames)
     near = near.select(F.explode(F.array(F.col("image_id") * 2, F.col("image_id") * 2 + 1)).alias("image_id"), "y", "x")
     keys = ["image_id", "component"]
-    touch = parts.join(near, PIXEL, "left_semi").groupBy(*keys).agg(F.count("*").alias("adjacent"))
+    touch = parts.join(near.hint("merge"), PIXEL, "left_semi").groupBy(*keys).agg(F.count("*").alias("adjacent"))
     chosen = size.join(touch, keys).where(F.col("adjacent") >= F.greatest(F.lit(8.0), F.rint(total * 0.001)))
     image = F.floor(F.col("image_id") / 2).cast("long")
     turn = F.row_number().over(Window.partitionBy(image).orderBy("image_id", "component"))
@@ -453,18 +453,18 @@ def _rare(labelled: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]
     rows = soft_oklab(labelled.select(*PIXEL, "r", "g", "b").join(side, "image_id"), F.greatest(F.lit(1.0), F.greatest("width", "height") / 260.0))
     mid = rows.groupBy("image_id").agg(*(F.median(c).alias(f"m{c}") for c in hue))
     away = lambda p, q: F.sqrt(sum(((F.col(f"{p}{c}") - F.col(f"{q}{c}")) * (F.col(f"{p}{c}") - F.col(f"{q}{c}")) for c in hue), F.lit(0.0)))
-    rows = K.stored(rows.join(mid, "image_id").withColumn("gap", away("", "m")).select(*PIXEL, *hue, "gap").join(labelled.select(*PIXEL, "label"), PIXEL))
+    rows = K.stored(rows.join(mid.hint("merge"), "image_id").withColumn("gap", away("", "m")).select(*PIXEL, *hue, "gap").join(labelled.select(*PIXEL, "label").hint("merge"), PIXEL))
     lim = rows.groupBy("image_id").agg(F.percentile("gap", F.lit(0.982)).alias("p98"), F.percentile("gap", F.lit(0.90)).alias("p90")).where(F.col("p98").between(t["low"], t["high"]) & (F.col("p90") <= t["calm"]))
-    lim = K.stored(lim.join(mid, "image_id").join(side, "image_id"))
-    seeds = _inside(rows.join(lim.select("image_id", "p98"), "image_id").where("gap >= p98"), side)
+    lim = K.stored(lim.join(mid.hint("merge"), "image_id").join(side, "image_id"))
+    seeds = _inside(rows.join(lim.select("image_id", "p98").hint("merge"), "image_id").where("gap >= p98"), side)
     parts = K.stored(K.components(stencils.cleaned(K.stored(stencils.closed(seeds, 7, side, shrink=5)), 1, 3, side)))
     boxes = K.stored(K.measures(parts).join(side, "image_id"))
     size = _boxes(parts, side, t["area"], t["compact"], t["aspect"]).where(_FREE).select(*keys, "area", "w", "h", "x0", "x1", "y0")
-    hues = K.stored(_medians(parts.join(rows, PIXEL), keys, "i", hue).join(lim, "image_id"))
-    own = parts.join(size.select(*keys), keys, "left_semi").join(rows, PIXEL)
+    hues = K.stored(_medians(parts.join(rows.hint("merge"), PIXEL), keys, "i", hue).join(lim.hint("merge"), "image_id"))
+    own = parts.join(size.select(*keys).hint("merge"), keys, "left_semi").join(rows.hint("merge"), PIXEL)
     mixed = aggregates.purity(own, "label", keys).where(F.col("purity") < t["purity"]).select(*keys)
     even = aggregates.spread(own, keys, hue).where(F.col("spread") <= t["spread"]).select(*keys)
-    around = _medians(_ring(parts.join(size.select(*keys), keys, "left_semi"), side).join(rows, PIXEL), keys, "o", hue)
+    around = _medians(_ring(parts.join(size.select(*keys).hint("merge"), keys, "left_semi"), side).join(rows.hint("merge"), PIXEL), keys, "o", hue)
     good = hues.where(away("i", "m") >= F.col("p98") * t["strength"])
     for gate in (around, mixed, even, size):
         good = good.join(gate, keys)
@@ -481,7 +481,7 @@ def _rare(labelled: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]
     named = near.groupBy("image_id").agg(F.array_sort(F.collect_set("satellite")).alias("satellites"))
     found = K.stored(best.join(named, "image_id", "left").select(*keys, F.lit("rare-chromatic").alias("kind"), "score", F.coalesce("satellites", F.array().cast("array<long>")).alias("satellites")))
     every = found.select("image_id", F.explode(F.array_union(F.array("component"), "satellites")).alias("component"))
-    whole = parts.join(every, keys, "left_semi").select(PIXEL).unionByName(_bridges(near, boxes, parts, side)).distinct()
+    whole = parts.join(every.hint("merge"), keys, "left_semi").select(PIXEL).unionByName(_bridges(near, boxes, parts, side)).distinct()
     radius = F.greatest(F.lit(0.45), F.least("width", "height") * 0.0018)
     seen = side.join(found.select("image_id"), "image_id", "left_semi")
     return found, stencils.smoothed_boundary(K.stored(K.filled(K.stored(whole), seen)), radius, seen)
@@ -491,7 +491,7 @@ def _bridges(near: DataFrame, boxes: DataFrame, parts: DataFrame, frames: DataFr
     """Pixels between an island and each satellite (near: image_id, satellite, w, x0, x1, y0 of the island), about the median
     column of the satellite, as wide as 0.36 of the narrower of the two."""
     box = boxes.select("image_id", F.col("component").alias("satellite"), (F.col("x1") - F.col("x0") + 1).alias("_sw"), F.col("y1").alias("_sy"))
-    centre = parts.join(near.select("image_id", F.col("satellite").alias("component")), ["image_id", "component"], "left_semi").groupBy("image_id", F.col("component").alias("satellite")).agg(F.median("x").alias("_c"))
+    centre = parts.join(near.select("image_id", F.col("satellite").alias("component")).hint("merge"), ["image_id", "component"], "left_semi").groupBy("image_id", F.col("component").alias("satellite")).agg(F.median("x").alias("_c"))
     rows = near.join(box, ["image_id", "satellite"]).join(centre, ["image_id", "satellite"]).join(frames.select("image_id", "width"), "image_id")
     mid = F.least(F.col("x1"), F.greatest(F.col("x0"), F.rint("_c").cast("int")))
     half = F.greatest(F.lit(1), F.rint(F.least("w", "_sw") * 0.18).cast("int"))
@@ -513,19 +513,19 @@ def _cross(labelled: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame
     far = near.where(_gap("", "r") >= t["distance"]).select(PIXEL)
     parts = K.stored(K.components(stencils.closed(stencils.opened(far, 3, frames), 3, frames)))
     size = K.stored(_boxes(parts, frames, t["area"], t["compact"], t["aspect"]).where(F.col("cy") < F.col("height") * t["lowest"]))
-    own = K.stored(parts.join(size.select(*keys), keys, "left_semi").join(rows, PIXEL))
-    ring = joins.ring(own.select(*PIXEL, "component"), 9, frames).join(rows, PIXEL)
+    own = K.stored(parts.join(size.select(*keys).hint("merge"), keys, "left_semi").join(rows.hint("merge"), PIXEL))
+    ring = joins.ring(own.select(*PIXEL, "component"), 9, frames).join(rows.hint("merge"), PIXEL)
     share = ring.groupBy(*keys, "label").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
     fields = K.stored(share.where(F.col("share") >= t["share"]))
     meets = fields.groupBy(*keys).agg(F.max("share").alias("top"), F.count("*").alias("k"), F.sum("share").alias("cover")).where((F.col("top") < t["top"]) & F.col("k").between(2, 3) & (F.col("cover") >= t["cover"])).select(*keys)
     mid = K.stored(_medians(own, keys, "i"))
-    apart = fields.join(mid, keys).join(roles, ["image_id", "label"]).groupBy(*keys).agg(F.min(_gap("i", "r")).alias("contrast")).where(F.col("contrast") >= t["distance"])
+    apart = fields.join(mid.hint("merge"), keys).join(roles, ["image_id", "label"]).groupBy(*keys).agg(F.min(_gap("i", "r")).alias("contrast")).where(F.col("contrast") >= t["distance"])
     even = aggregates.spread(own, keys, _LAB).where(F.col("spread") <= t["spread"]).select(*keys)
     rare = aggregates.rarity(rows, mid.select(*keys, *(F.col(f"i{c}").alias(c) for c in _LAB)), _LAB).where(F.col("rarity") <= t["rarity"]).select(*keys)
     good = meets.join(apart, keys).join(even, keys).join(rare, keys).join(size.select(*keys, "area", "w", "h"), keys)
     good = good.withColumn("score", F.col("contrast") * F.sqrt("area") * scalars.compactness(F.col("area"), F.col("w"), F.col("h")))
     found = K.stored(aggregates.best(good, ["image_id"], "score", "component", ["component", "score"]).select("image_id", "component", F.lit("cross-field").alias("kind"), "score"))
-    return found, parts.join(found, keys, "left_semi").select(PIXEL)
+    return found, parts.join(found.hint("merge"), keys, "left_semi").select(PIXEL)
 
 
 def focal_island(labelled: DataFrame, frames: DataFrame) -> DataFrame:

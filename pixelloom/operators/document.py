@@ -67,12 +67,12 @@ def highlights(pixels: DataFrame, frames: DataFrame, seed: int = 17, allowed: Da
     rows = stencils.gaussian(rows.withColumn("soft", F.col("grey")), "soft", 2.3).withColumn("detail", F.col("grey") - F.col("soft"))
     upper = rows.where(F.col("y") < F.greatest(F.lit(2.0), F.rint(F.col("height") * SKY_SHARE)))
     lim = upper.groupBy("image_id").agg(F.avg("grey").alias("mean"), F.greatest(F.lit(9.0), F.percentile("detail", F.lit(0.9915))).alias("most"), F.greatest(F.lit(80.0), F.percentile("grey", F.lit(0.82))).alias("bright"))
-    found = upper.join(lim.where(F.col("mean") <= DARK_ENOUGH), "image_id").where("detail >= most and grey >= bright and soft <= 145")
+    found = upper.join(lim.where(F.col("mean") <= DARK_ENOUGH).hint("merge"), "image_id").where("detail >= most and grey >= bright and soft <= 145")
     if allowed is not None:
-        found = found.join(allowed.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi")
+        found = found.join(allowed.select("image_id", "y", "x").hint("merge"), ["image_id", "y", "x"], "left_semi")
     enough = found.groupBy("image_id").agg(F.count("*").alias("n")).where("n >= 24").select("image_id")
     apart = F.greatest(F.lit(4.0), F.least("width", "height") * 0.022)
-    found = found.join(enough, "image_id", "left_semi").select("image_id", "x", "y", (F.col("detail") + F.col("grey") * 0.18).alias("score"), apart.alias("apart"))
+    found = found.join(enough.hint("merge"), "image_id", "left_semi").select("image_id", "x", "y", (F.col("detail") + F.col("grey") * 0.18).alias("score"), apart.alias("apart"))
     kept = spaced(found, "apart", "score")
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "y", "x"))
     draw = F.pmod(F.xxhash64(F.lit(seed), "image_id", "x", "y"), F.lit(1000)) / 1000.0 * 0.24 - 0.12

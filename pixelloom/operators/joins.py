@@ -42,7 +42,7 @@ def neighbours(pixels: DataFrame, columns: list[str]) -> DataFrame:
     away = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in NEIGHBOURS))).alias("d")
     sent = pixels.select("image_id", "y", "x", *(F.col(c).alias(f"other_{c}") for c in columns), away)
     sent = sent.select("image_id", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), *(f"other_{c}" for c in columns))
-    return pixels.join(sent, PIXEL)
+    return pixels.join(sent.hint("merge"), PIXEL)
 
 
 def by_image(pixels: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def best_owner(found: DataFrame, distance: Column) -> DataFrame:
 
 def ring(parts: DataFrame, size: int, frames: DataFrame) -> DataFrame:
     """(pixel, component): the surroundings of each component without the component itself."""
-    return dilated_by(parts, "component", size, frames).join(parts.select(*PIXEL, "component"), [*PIXEL, "component"], "left_anti")
+    return dilated_by(parts, "component", size, frames).join(parts.select(*PIXEL, "component").hint("merge"), [*PIXEL, "component"], "left_anti")
 
 
 def satellites(boxes: DataFrame, height: Column, gap: float = 0.045, cell: int = 64) -> DataFrame:
@@ -104,7 +104,7 @@ def along(lines: DataFrame, pixels: DataFrame, value: str, least: int = 8) -> Da
     spots = lines.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("_t", F.col("_i") / (F.col("_n") - 1))
     at = lambda a, b: F.rint(F.col(a) + (F.col(b) - F.col(a)) * F.col("_t")).cast("int")
     spots = spots.select("image_id", "line", at("x0", "x1").alias("x"), at("y0", "y1").alias("y"))
-    return spots.join(pixels.select(*PIXEL, value), PIXEL).groupBy("image_id", "line").agg(F.avg(value).alias("mean"))
+    return spots.join(pixels.select(*PIXEL, value).hint("merge"), PIXEL).groupBy("image_id", "line").agg(F.avg(value).alias("mean"))
 
 
 def spaced(points: DataFrame, distance: float | str, score: str) -> DataFrame:
@@ -122,12 +122,12 @@ def spaced(points: DataFrame, distance: float | str, score: str) -> DataFrame:
     while left.limit(1).count():
         sent = left.select("*", near).select("image_id", (F.col("_cx") + F.col("_d.a")).alias("_cx"), (F.col("_cy") + F.col("_d.b")).alias("_cy"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("_r").alias("_o"))
         close = (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")) < distance * distance
-        beaten = left.join(sent, ["image_id", "_cx", "_cy"]).where(close & (F.col("_o") > F.col("_r"))).select("image_id", "y", "x").distinct()
-        won = stored(left.join(beaten, PIXEL, "left_anti"))
+        beaten = left.join(sent.hint("merge"), ["image_id", "_cx", "_cy"]).where(close & (F.col("_o") > F.col("_r"))).select("image_id", "y", "x").distinct()
+        won = stored(left.join(beaten.hint("merge"), PIXEL, "left_anti"))
         kept = won if kept is None else kept.unionByName(won)
         cover = won.select("*", near).select("image_id", (F.col("_cx") + F.col("_d.a")).alias("_cx"), (F.col("_cy") + F.col("_d.b")).alias("_cy"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-        gone = left.join(cover, ["image_id", "_cx", "_cy"]).where(close).select("image_id", "y", "x").distinct()
-        left = stored(left.join(gone, PIXEL, "left_anti"))
+        gone = left.join(cover.hint("merge"), ["image_id", "_cx", "_cy"]).where(close).select("image_id", "y", "x").distinct()
+        left = stored(left.join(gone.hint("merge"), PIXEL, "left_anti"))
     return (kept if kept is not None else left).select(*points.columns)
 
 

@@ -15,7 +15,7 @@ def mask_where(pixels: DataFrame, condition: Column) -> DataFrame:
 def above_percentile(pixels: DataFrame, value: str, share: float, least: float) -> DataFrame:
     """Pixels at or above both a percentile of their image and a fixed floor."""
     limit = pixels.groupBy("image_id").agg(F.greatest(F.lit(float(least)), F.percentile(value, F.lit(share))).alias("limit"))
-    return pixels.join(limit, "image_id").where(F.col(value) >= F.col("limit")).select(PIXEL)
+    return pixels.join(limit.hint("merge"), "image_id").where(F.col(value) >= F.col("limit")).select(PIXEL)
 
 
 def union(*masks: DataFrame) -> DataFrame:
@@ -26,11 +26,11 @@ def union(*masks: DataFrame) -> DataFrame:
 
 
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select(PIXEL).join(b.select(PIXEL), PIXEL, "left_semi")
+    return a.select(PIXEL).join(b.select(PIXEL).hint("merge"), PIXEL, "left_semi")
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select(PIXEL).join(b.select(PIXEL), PIXEL, "left_anti")
+    return a.select(PIXEL).join(b.select(PIXEL).hint("merge"), PIXEL, "left_anti")
 
 
 def frame_grid(frames: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def claimed(layers: DataFrame, frames: DataFrame, share: float = 0.003, floor: i
 def overwritten(labels: DataFrame, claims: DataFrame, column: str = "label", new: str = "priority", offset: int = 0) -> DataFrame:
     """labels with the label of claims where there is one."""
     found = claims.select(*PIXEL, (F.col(new) + offset).alias("_new"))
-    return labels.join(found, PIXEL, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+    return labels.join(found.hint("merge"), PIXEL, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
 def touched_edges(mask: DataFrame, frames: DataFrame) -> DataFrame:

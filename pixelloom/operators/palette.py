@@ -49,7 +49,7 @@ def median_cut(pixels: DataFrame, boxes: int) -> DataFrame:
         pdf = pdf.sort_values(["r", "g", "b"], ignore_index=True)
         return pdf[["image_id", "r", "g", "b"]].assign(box=cut_boxes(pdf[["r", "g", "b"]].to_numpy(), pdf["n"].to_numpy(), boxes))
 
-    return pixels.join(colors.groupBy("image_id").applyInPandas(kernel, "image_id long, r int, g int, b int, box long"), ["image_id", "r", "g", "b"])
+    return pixels.join(colors.groupBy("image_id").applyInPandas(kernel, "image_id long, r int, g int, b int, box long").hint("merge"), ["image_id", "r", "g", "b"])
 
 
 def candidates(boxed: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def negative_space_parts(fields: DataFrame, frames: DataFrame, kernel: int | Col
     closed = masks.difference(wide, every).groupBy("image_id").agg(F.count("*").alias("closed_pixels"))
     holes = K.components(K.stored(masks.difference(whole, wide))).groupBy("image_id").agg(F.count_distinct("component").alias("holes_filled"))
     totals = closed.join(holes, "image_id", "full").na.fill(0)
-    return parts.join(best, ["image_id", "component"]).select(*PIXEL, "owner", "component"), totals
+    return parts.join(best.hint("merge"), ["image_id", "component"]).select(*PIXEL, "owner", "component"), totals
 
 
 def unclaimed_holes(field: DataFrame, others: DataFrame, background: DataFrame, frames: DataFrame, most_background: float = 0.5, inner: DataFrame | None = None) -> DataFrame:
@@ -160,8 +160,8 @@ def unclaimed_holes(field: DataFrame, others: DataFrame, background: DataFrame,
     holes if they are known."""
     inner = K.stored(K.holes(field, frames)) if inner is None else inner
     reached = joins.contacts(inner, others.select(*PIXEL, F.lit(0).alias("owner"))).select("image_id", "component")
-    covered = inner.join(others.select(PIXEL), PIXEL, "left_semi").select("image_id", "component")
-    back = inner.join(background.select(*PIXEL, F.lit(1).alias("_b")), PIXEL, "left").groupBy("image_id", "component").agg(F.avg(F.coalesce("_b", F.lit(0))).alias("share"))
+    covered = inner.join(others.select(PIXEL).hint("merge"), PIXEL, "left_semi").select("image_id", "component")
+    back = inner.join(background.select(*PIXEL, F.lit(1).alias("_b")).hint("merge"), PIXEL, "left").groupBy("image_id", "component").agg(F.avg(F.coalesce("_b", F.lit(0))).alias("share"))
     keep = back.where(F.col("share") < most_background).join(reached.unionByName(covered).distinct(), ["image_id", "component"], "left_anti")
     return inner.join(keep.select("image_id", "component"), ["image_id", "component"], "left_semi").select(PIXEL)
 
@@ -170,8 +170,8 @@ def chromatic_false_background(holes: DataFrame, pixels: DataFrame, background:
     """(image_id, component): holes that look like background by label but by hue belong to the enclosing field: small, mostly background-labelled,
     chromatic like the field and opposite to the background. Colours are (image_id, a, bb) in Oklab."""
     size = K.measures(holes).join(frames, "image_id")
-    back = holes.join(background.select(*PIXEL, F.lit(1).alias("_b")), PIXEL, "left").groupBy("image_id", "component").agg(F.avg(F.coalesce("_b", F.lit(0))).alias("share"))
-    mid = holes.join(pixels.select(*PIXEL, "r", "g", "b"), PIXEL).groupBy("image_id", "component").agg(*(F.median(c).alias(c) for c in "rgb"))
+    back = holes.join(background.select(*PIXEL, F.lit(1).alias("_b")).hint("merge"), PIXEL, "left").groupBy("image_id", "component").agg(F.avg(F.coalesce("_b", F.lit(0))).alias("share"))
+    mid = holes.join(pixels.select(*PIXEL, "r", "g", "b").hint("merge"), PIXEL).groupBy("image_id", "component").agg(*(F.median(c).alias(c) for c in "rgb"))
     lab = color.oklab(F.col("r"), F.col("g"), F.col("b"))
     rows = size.join(back, ["image_id", "component"]).join(mid, ["image_id", "component"]).join(field_color.select("image_id", F.col("a").alias("fa"), F.col("bb").alias("fb")), "image_id").join(back_color.select("image_id", F.col("a").alias("ba"), F.col("bb").alias("bk")), "image_id")
     own, field, ground = [F.lit(0.0), *lab[1:]], [F.lit(0.0), F.col("fa"), F.col("fb")], [F.lit(0.0), F.col("ba"), F.col("bk")]

@@ -92,7 +92,7 @@ def dilated(mask: DataFrame, size: int | Column, frames: DataFrame | None = None
 def eroded(mask: DataFrame, size: int | Column, frames: DataFrame) -> DataFrame:
     """A mask shrunk by a square of odd size; what is outside the frame does not count against it."""
     if isinstance(size, Column):
-        return mask.select(PIXEL).join(dilated(complement(mask, frames), size, frames), PIXEL, "left_anti")
+        return mask.select(PIXEL).join(dilated(complement(mask, frames), size, frames).hint("merge"), PIXEL, "left_anti")
     k = size // 2
     out = mask.join(frames, "image_id")
     for c, limit, w in (("x", "width", row_window()), ("y", "height", column_window())):
@@ -131,14 +131,14 @@ def cleaned(mask: DataFrame, closing: int, mode_size: int, frames: DataFrame) ->
 
 def smoothed_boundary(mask: DataFrame, radius: float | Column, frames: DataFrame) -> DataFrame:
     """A mask blurred and cut at one half."""
-    dense = frame_grid(frames).join(mask.select(*PIXEL, F.lit(1.0).alias("v")), PIXEL, "left").na.fill(0.0, ["v"])
+    dense = frame_grid(frames).join(mask.select(*PIXEL, F.lit(1.0).alias("v")).hint("merge"), PIXEL, "left").na.fill(0.0, ["v"])
     soft = blurred(dense.join(frames, "image_id"), "v", radius) if isinstance(radius, Column) else gaussian(dense, "v", radius)
     return soft.where("v >= 0.5").select(PIXEL)
 
 
 def rounded_tips(mask: DataFrame, size: int | Column, frames: DataFrame, least: int = 64, share: float = 0.72) -> DataFrame:
     """Opening within the mask, kept only for images where enough of the mask is left."""
-    new = opened(mask, size, frames).join(mask.select(PIXEL), PIXEL, "left_semi")
+    new = opened(mask, size, frames).join(mask.select(PIXEL).hint("merge"), PIXEL, "left_semi")
     counts = mask.groupBy("image_id").agg(F.count("*").alias("n")).join(new.groupBy("image_id").agg(F.count("*").alias("m")), "image_id", "left")
     good = counts.where(F.coalesce("m", F.lit(0)) >= F.greatest(F.lit(float(least)), F.col("n") * share)).select("image_id")
     return new.join(good, "image_id", "left_semi").unionByName(mask.select(PIXEL).join(good, "image_id", "left_anti"))
@@ -152,8 +152,8 @@ def gap_closed(mask: DataFrame, size: int | Column, frames: DataFrame) -> DataFr
 
 def seam_overlap(field: DataFrame, occluder: DataFrame, clearance: int | Column, margin: int | Column, frames: DataFrame) -> DataFrame:
     """Pixels by which a field is extended under an occluder it nearly touches."""
-    near = dilated(field, (clearance + margin) * 2 + 1, frames).join(dilated(occluder, clearance * 2 + 1, frames), PIXEL, "left_semi")
-    return near.join(field.select(PIXEL), PIXEL, "left_anti")
+    near = dilated(field, (clearance + margin) * 2 + 1, frames).join(dilated(occluder, clearance * 2 + 1, frames).hint("merge"), PIXEL, "left_semi")
+    return near.join(field.select(PIXEL).hint("merge"), PIXEL, "left_anti")
 
 
 def reflected_mean(df: DataFrame, value: str, radius: Column, out: str) -> DataFrame:

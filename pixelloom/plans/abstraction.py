@@ -75,7 +75,7 @@ def abstraction(pixels: DataFrame, options: Options = Options()) -> DataFrame:
     layers = K.stored(scene.layers)
     paths = geometry.path_table(edges, "owner", styles=layers.join(scales, "image_id"))
     graded = scene.samples.join(layers.where("graded").select("image_id", "owner"), ["image_id", "owner"], "left_semi")
-    tint = geometry.source_gradients(pixels.join(graded, PIXEL), ["image_id", "owner"], frames, options.gradient_strength).select("image_id", "owner", "axis", "stops")
+    tint = geometry.source_gradients(pixels.join(graded.hint("merge"), PIXEL), ["image_id", "owner"], frames, options.gradient_strength).select("image_id", "owner", "axis", "stops")
     area = scene.fields.groupBy("image_id", "owner").agg(F.count("*").alias("area"))
     for part in (paths, tint, touched, area):
         layers = layers.join(part, ["image_id", "owner"], "left")
@@ -119,7 +119,7 @@ def _shares(layers: DataFrame, ground: DataFrame, frames: DataFrame) -> DataFram
 def _points(pixels: DataFrame, frames: DataFrame, scene: scenes.Scene, scales: DataFrame, options: Options) -> DataFrame | None:
     if not options.points:
         return None
-    found = document.highlights(pixels, frames, options.seed, scene.points).withColumnRenamed("r", "radius").join(pixels.select(*PIXEL, "r", "g", "b"), PIXEL).join(scales, "image_id")
+    found = document.highlights(pixels, frames, options.seed, scene.points).withColumnRenamed("r", "radius").join(pixels.select(*PIXEL, "r", "g", "b").hint("merge"), PIXEL).join(scales, "image_id")
     star = color.rgb_hex(*(color.star_color(F.col(c)) for c in "rgb"))
     return K.stored(found.select("image_id", "n", *(((F.col(c) + 0.5) * F.col("scale")).alias(c) for c in "xy"), (F.col("radius") * F.col("scale")).alias("r"), star.alias("fill")))
 

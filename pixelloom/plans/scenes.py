@@ -88,7 +88,7 @@ def _fields(pixels: DataFrame, frames: DataFrame, options: Options) -> tuple[Dat
     marks = lab.select(*PIXEL, "label")
     for _ in range(2):
         marks = K.stored(stencils.mode(marks, "label", 7, frames))
-    rows = K.stored(lab.drop("label").join(marks, PIXEL))
+    rows = K.stored(lab.drop("label").join(marks.hint("merge"), PIXEL))
     sure = detect.quadrant_confidence(similar_roles(rows, seeds), frames)
     weak = K.stored(sure.groupBy("image_id").agg(F.min("confidence").alias("least")).where(F.col("least") < SURE).select("image_id"))
     if not K.without_rows(weak):
@@ -107,7 +107,7 @@ def similar_roles(rows: DataFrame, roles: DataFrame) -> DataFrame:
     """rows with the margin between their two nearest roles, as a share of the farther distance."""
     packed = roles.groupBy("image_id").agg(F.collect_list(F.struct(*_LAB)).alias("_c"))
     gaps = F.array_sort(F.transform("_c", lambda c: color.oklab_distance([F.col(k) for k in _LAB], [c[k] for k in _LAB])))
-    out = rows.join(packed, "image_id").withColumn("_g", gaps)
+    out = rows.join(packed.hint("merge"), "image_id").withColumn("_g", gaps)
     first, second = F.get("_g", F.lit(0)), F.coalesce(F.get("_g", F.lit(1)), F.lit(1.0))
     return out.withColumn("margin", (second - first) / F.greatest(F.lit(1e-9), second)).drop("_c", "_g")
 
@@ -137,7 +137,7 @@ def _selected(rows: DataFrame, inks: DataFrame, frames: DataFrame, options: Opti
     owner = K.stored(owner)
     counts = regions.merge_counts(owner, lost, owned).select("image_id", "owner", F.col("components").alias("merged_components"), F.col("pixels").alias("merged_pixels"))
     totals = frames.select("image_id", F.lit(0).cast("long").alias("closed_pixels"), F.lit(0).cast("long").alias("holes_filled"))
-    whole = K.stored(owned.select(*PIXEL, "owner").unionByName(lost.join(owner, keys).select(*PIXEL, "owner")))
+    whole = K.stored(owned.select(*PIXEL, "owner").unionByName(lost.join(owner.hint("merge"), keys).select(*PIXEL, "owner")))
     if options.min_negative_gap > 0:
         given, totals = regions.negative_space_parts(whole, frames, _kernel(options.min_negative_gap))
         given = K.stored(given)
@@ -182,11 +182,11 @@ def general(pixels: DataFrame, frames: DataFrame, options: Options) -> Scene:
     field_tint = tint(chosen.join(own, ["image_id", "owner", "paint"]).select(F.col("layer").alias("image_id"), "r", "g", "b"))
     ground = inks.join(background, "image_id").where("label = background").select("image_id", "r", "g", "b")
     back_tint = tint(own.select("image_id", "layer").join(ground, "image_id").select(F.col("layer").alias("image_id"), "r", "g", "b"))
-    layered = on_layer(inner.select(F.col("image_id").alias("layer"), "y", "x").join(own, "layer").join(pixels, PIXEL), "r", "g", "b")
+    layered = on_layer(inner.select(F.col("image_id").alias("layer"), "y", "x").join(own, "layer").join(pixels.hint("merge"), PIXEL), "r", "g", "b")
     false = regions.chromatic_false_background(inner, layered, back, sheets, field_tint, back_tint)
-    false = K.stored(inner.join(false, ["image_id", "component"], "left_semi"))
+    false = K.stored(inner.join(false.hint("merge"), ["image_id", "component"], "left_semi"))
     merged = lambda df, what: df.groupBy(F.col("image_id").alias("layer")).agg(F.count_distinct("component").alias(f"{what}_holes"), F.count("*").alias(f"{what}_pixels"))
-    unclaimed = K.stored(inner.join(unclaimed, PIXEL, "left_semi"))
+    unclaimed = K.stored(inner.join(unclaimed.hint("merge"), PIXEL, "left_semi"))
     final = K.stored(masks.union(full, unclaimed.select(PIXEL), false.select(PIXEL)).withColumnRenamed("image_id", "layer").join(own, "layer").select(*PIXEL, "owner", "paint"))
     island, accent = F.col("label") == ISLAND, F.col("label") == ACCENT
     name = F.concat(F.lit("field-"), scalars.padded_id(F.col("paint")))
@@ -233,7 +233,7 @@ def _scene(roles: list[tuple[str, DataFrame, DataFrame, float | None, dict]], pi
     for i, (name, drawn, sampled, share, style) in enumerate(roles):
         own = style | {"owner": i, "paint": i + 1, "name": name}
         drawn, sampled = (df.select(*PIXEL, F.lit(i).cast("long").alias("owner")) for df in (drawn, sampled))
-        values = pixels.join(sampled, PIXEL)
+        values = pixels.join(sampled.hint("merge"), PIXEL)
         ink = aggregates.median_color(values, ["image_id"]).drop("population") if share is None else aggregates.percentile_color(values, ["image_id"], share)
         layer = ink.select("image_id", "r", "g", "b", *(F.lit(v).cast(_TYPES.get(k, "string")).alias(k) for k, v in own.items()), F.lit(None).cast("int").alias("margin"))
         fields, samples, layers = (b if a is None else a.unionByName(b) for a, b in ((fields, drawn), (samples, sampled), (layers, layer)))
@@ -258,10 +258,10 @@ def night_masks(pixels: DataFrame, frames: DataFrame, options: Options) -> dict[
     base = K.stored(pixels.select(*PIXEL, color.luminance(F.col("r"), F.col("g"), F.col("b")).alias("lum"), (color.clamp(color.warmth(F.col("r"), F.col("b")) + 128, 0, 255)).alias("warm")).join(frames, "image_id"))
     at_least = lambda low, part: F.greatest(F.lit(low), w / part)
     soft = stencils.blurred(base, "warm", at_least(1.15, 380.0)).withColumn("warm", F.col("warm") - 128)
-    soft = K.stored(soft.join(stencils.blurred(base, "lum", at_least(1.0, 460.0)), PIXEL).join(frames, "image_id").withColumn("down", F.col("y") / F.greatest(F.lit(1), f - 1)))
+    soft = K.stored(soft.join(stencils.blurred(base, "lum", at_least(1.0, 460.0)).hint("merge"), PIXEL).join(frames, "image_id").withColumn("down", F.col("y") / F.greatest(F.lit(1), f - 1)))
     floor = base.where(F.col("y") < F.greatest(F.lit(2), F.rint(f * 0.28))).groupBy("image_id").agg(F.percentile("lum", F.lit(0.34)).alias("floor"))
     up = 1 - F.col("down")
-    seed = soft.join(floor, "image_id").where(((F.col("warm") > up * 6 + 15) & (F.col("lum") > F.greatest(F.lit(20.0), F.col("floor") + 2)) & (F.col("down") > 0.245)) | (F.col("y") >= f - F.greatest(F.lit(2), F.rint(f * 0.012))))
+    seed = soft.join(floor.hint("merge"), "image_id").where(((F.col("warm") > up * 6 + 15) & (F.col("lum") > F.greatest(F.lit(20.0), F.col("floor") + 2)) & (F.col("down") > 0.245)) | (F.col("y") >= f - F.greatest(F.lit(2), F.rint(f * 0.012))))
     seed = K.stored(stencils.cleaned(seed.select(PIXEL), 5, 5, frames))
     shade = soft.where((F.col("warm") > up * 3 + 5) & (F.col("lum") > 16) & (F.col("down") > 0.245)).select(PIXEL)
     near = masks.intersection(stencils.dilated(seed, 9, frames), shade)
@@ -270,16 +270,16 @@ def night_masks(pixels: DataFrame, frames: DataFrame, options: Options) -> dict[
     open_land = K.stored(land)
     land = K.stored(stencils.gap_closed(open_land, _kernel(options.min_negative_gap), frames).select(PIXEL))
     sky = K.stored(masks.complement(land, frames))
-    broad = stencils.blurred(base, "lum", at_least(5.0, 31.0)).join(soft.select(*PIXEL, "down", "width"), PIXEL)
-    broad = broad.join(sky, PIXEL, "left_semi")
+    broad = stencils.blurred(base, "lum", at_least(5.0, 31.0)).join(soft.select(*PIXEL, "down", "width").hint("merge"), PIXEL)
+    broad = broad.join(sky.hint("merge"), PIXEL, "left_semi")
     limit = broad.groupBy("image_id").agg(F.percentile("lum", F.lit(0.84)).alias("limit"))
-    glow = stencils.cleaned(broad.join(limit, "image_id").where((F.col("lum") >= F.col("limit")) & (F.col("down") < 0.93)).select(PIXEL), 7, 7, frames)
+    glow = stencils.cleaned(broad.join(limit.hint("merge"), "image_id").where((F.col("lum") >= F.col("limit")) & (F.col("down") < 0.93)).select(PIXEL), 7, 7, frames)
     glow = K.stored(K.largest(stencils.smoothed_boundary(glow, at_least(2.5, 170.0), frames), frames, 0.009, 2))
     thin = K.measures(glow).join(frames, "image_id").where("(x0 <= 1 or x1 >= width - 2) and x1 - x0 + 1 < width * 0.14")
-    glow = K.stored(glow.join(thin, ["image_id", "component"], "left_anti").select(PIXEL))
-    value = stencils.blurred(base, "lum", at_least(4.0, 54.0)).join(soft.select(*PIXEL, "down"), PIXEL).join(land, PIXEL, "left_semi")
+    glow = K.stored(glow.join(thin.hint("merge"), ["image_id", "component"], "left_anti").select(PIXEL))
+    value = stencils.blurred(base, "lum", at_least(4.0, 54.0)).join(soft.select(*PIXEL, "down").hint("merge"), PIXEL).join(land.hint("merge"), PIXEL, "left_semi")
     limit = value.groupBy("image_id").agg(F.percentile("lum", F.lit(0.72)).alias("limit"))
-    bright = value.join(limit, "image_id").where(F.col("lum") >= F.col("limit") + color.clamp((F.col("down") - 0.68) / 0.32, 0.0, 1.0) * 22).select(PIXEL)
+    bright = value.join(limit.hint("merge"), "image_id").where(F.col("lum") >= F.col("limit") + color.clamp((F.col("down") - 0.68) / 0.32, 0.0, 1.0) * 22).select(PIXEL)
     light = K.filled(K.stored(stencils.cleaned(bright, 7, 7, frames)), frames)
     light = K.stored(stencils.smoothed_boundary(light, at_least(3.0, 120.0), frames))
     light = stencils.rounded_tips(light, _kernel(min(0.040, options.min_negative_gap * 1.35)), frames)
@@ -301,7 +301,7 @@ def night(pixels: DataFrame, frames: DataFrame, options: Options) -> Scene:
         ("foreground-silhouette", land, m["foreground"], 0.62, _style("foreground", 1.64 - 0.58 * detail, smooth, budget=132)),
         ("foreground-light", masks.intersection(lit, m["foreground"]), m["light"], None, _style("light", 2.75 - 0.38 * detail, smooth + 0.14, budget=36, passes=4)),
     ]
-    ground = aggregates.percentile_color(pixels.join(m["sky"], PIXEL, "left_semi"), ["image_id"], 0.24).withColumn("role", F.lit("sky"))
+    ground = aggregates.percentile_color(pixels.join(m["sky"].hint("merge"), PIXEL, "left_semi"), ["image_id"], 0.24).withColumn("role", F.lit("sky"))
     points = m["sky"].join(frames, "image_id").where(F.col("y") < F.greatest(F.lit(1), F.col("height") - 1) * 0.79).select(PIXEL)
     notes = frames.select(
         "image_id", F.lit("periodic cubic B-spline").alias("curve_model"), F.lit("warm seed, shadow nearby, what the sky does not reach, narrow gaps closed").alias("foreground_segmentation"),
@@ -322,13 +322,13 @@ def reflective_masks(pixels: DataFrame, frames: DataFrame, axes: DataFrame) -> d
     mirror image, vegetation and bright rock within both, and the shore."""
     top = K.stored(detect.outer_contour(pixels, axes))
     rows = pixels.join(axes.select("image_id", "axis"), "image_id").join(frames, "image_id")
-    terrain = K.stored(rows.join(top, ["image_id", "x"]).where("y >= top and y < axis").select(PIXEL))
+    terrain = K.stored(rows.join(top.hint("merge"), ["image_id", "x"]).where("y >= top and y < axis").select(PIXEL))
     broad = rows.select(*PIXEL, *(F.col(c).cast("double").alias(c) for c in "rgb"))
     for c in "rgb":
         broad = stencils.gaussian(broad, c, 5.5)
-    lab = K.stored(detect.with_oklab(broad.join(terrain, PIXEL, "left_semi")).withColumn("chroma", color.chroma([F.col(c) for c in _LAB])).select(*PIXEL, *_LAB, "chroma"))
+    lab = K.stored(detect.with_oklab(broad.join(terrain.hint("merge"), PIXEL, "left_semi")).withColumn("chroma", color.chroma([F.col(c) for c in _LAB])).select(*PIXEL, *_LAB, "chroma"))
     lim = lab.groupBy("image_id").agg(F.percentile("L", F.lit(0.57)).alias("light"), F.percentile("chroma", F.lit(0.52)).alias("grey"), F.percentile("L", F.lit(0.64)).alias("shade"))
-    at = K.stored(lab.join(lim, "image_id"))
+    at = K.stored(lab.join(lim.hint("merge"), "image_id"))
 
     def part(seed: DataFrame, closing: int, size: int, radius: float, share: float) -> DataFrame:
         soft = stencils.smoothed_boundary(K.stored(stencils.cleaned(seed.select(PIXEL), closing, size, frames)), radius, frames)
@@ -357,6 +357,6 @@ def reflective(pixels: DataFrame, frames: DataFrame, options: Options) -> Scene:
     style = _style(None, 2.25, min(0.92, options.curve_smoothing + 0.04), mode="adaptive", passes=4)
     sky = K.stored(masks.difference(m["sky"], m["upper-terrain"]))
     roles = [(name, mask, sky if name == "sky" else mask, None, style | {"graded": name != "shore-divider"}) for name, mask in m.items()]
-    ground = aggregates.median_color(pixels.join(sky, PIXEL, "left_semi"), ["image_id"]).select("image_id", "r", "g", "b", F.lit(None).cast("string").alias("role"))
+    ground = aggregates.median_color(pixels.join(sky.hint("merge"), PIXEL, "left_semi"), ["image_id"]).select("image_id", "r", "g", "b", F.lit(None).cast("string").alias("role"))
     notes = found.select("image_id", F.col("axis").alias("reflection_axis"), *(F.round(c, 6).alias(f"reflection_{n}") for c, n in (("score", "score"), ("light", "lightness_correlation"), ("chroma", "chroma_correlation"), ("edge", "edge_correlation"))))
     return _scene(roles, pixels, ground, pixels.select(PIXEL).where(F.lit(False)), notes.withColumn("curve_model", F.lit("adaptive cubic Bezier")))

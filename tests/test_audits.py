@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pixelloom.operators import coverage, geometry, joins, regions, validate
+from pixelloom.operators import coverage, detect, geometry, joins, masks, regions, validate
 from pixelloom.operators import components as K
 
 
@@ -193,6 +193,16 @@ def test_tables_of_pixels_are_not_broadcast(spark):
     assert "Broadcast" not in plan(regions.merge_counts(merges, parts, owners))
 
 
+def test_masks_and_limits_of_images_are_not_broadcast(spark):
+    pixel = spark.range(4096).select(F.lit(1).cast("long").alias("image_id"), *(F.expr(e).cast("int").alias(c) for e, c in (("id div 64", "y"), ("id % 64", "x"), ("id % 200", "v"), ("id % 90", "r"), ("id % 80", "g"), ("id % 70", "b"))))
+    rows = K.stored(pixel)
+    one, two = K.stored(rows.where("v < 90").select(masks.PIXEL)), K.stored(rows.where("v > 60").select(masks.PIXEL))
+    claims = K.stored(one.withColumn("priority", F.lit(7)))
+    for df in (masks.intersection(one, two), masks.difference(one, two), masks.overwritten(rows.withColumnRenamed("v", "label"), claims), masks.above_percentile(rows, "v", 0.5, 3), detect.night_gate(rows), joins.along(one.selectExpr("image_id", "y as line", "0 as x0", "0 as y0", "x as x1", "y as y1"), rows, "v")):
+        assert "Broadcast" not in plan(df)
+    assert masks.intersection(one, two).count() == rows.where("v > 60 and v < 90").count() and masks.difference(one, two).count() == rows.where("v <= 60").count()
+
+
 def test_surroundings_end_at_the_frame(spark):
     rows = spark.createDataFrame([(1, 0, 0, 5), (1, -3, 2, 6), (1, -4, 2, 7), (1, 2, 11, 8), (2, 0, 0, 9)], "image_id long, y int, x int, component long")
     frames = spark.createDataFrame([(1, 8, 4)], "image_id long, width int, height int")
